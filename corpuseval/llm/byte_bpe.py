@@ -14,10 +14,12 @@ and only the two columns named are read, so further columns cannot clash.
 from __future__ import annotations
 
 import base64
+import string
 import struct
 from collections.abc import Iterator
-from itertools import islice
+from itertools import chain, islice
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,7 +27,10 @@ from pyspark.sql import functions as F
 #: Bytes are shown to SentencePiece as the characters from this code on.
 _FIRST_CHARACTER = 0x100
 _RUN = 100_000  # pre-tokens handled at once
-_KEPT = 200_000  # pre-tokens whose ids a worker remembers
+_KEPT = 300_000  # pre-tokens, and units, whose ids a worker remembers before it starts anew
+_LATIN_END = "\u0250"  # below, str.isalpha() is \p{L} in every version of Unicode
+_SHIFT = {b: _FIRST_CHARACTER + b for b in range(256)}
+_PAIRS = [chr(c) + " " for c in range(0x3001) if chr(c).isspace()]
 
 
 def read_ranks(content: bytes) -> list[bytes]:
@@ -67,63 +72,109 @@ def model_from_ranks(tokens: list[bytes]) -> bytes:
     return b"".join(pieces) + _field(2, trainer) + _field(3, normalizer)
 
 
-class _Ids(dict):
-    """Pre-token -> its ids as little-endian unsigned 32-bit integers."""
+class Encoder:
+    """Encodes texts; remembers the ids of pre-tokens and of units (what stands between single spaces).
 
-    def __init__(self, tokens: list[bytes], model: bytes):
+    ``split_at_spaces`` states that the pattern always starts a pre-token at a space that follows anything but
+    white space, that a space and the letters
+    after it are one pre-token, and that punctuation after those is another.  Texts where white space never precedes a space are then cut at spaces first, and the pattern
+    runs once for each new unit and not for each word of the text.
+    """
+
+    def __init__(self, tokens: list[bytes], model: bytes, pattern: str, split_at_spaces: bool):
+        import regex
         import sentencepiece
 
         self._pieces = sentencepiece.SentencePieceProcessor(model_proto=model)
+        self._pattern = regex.compile(pattern)
         self._whole = {t: struct.pack("<I", i) for i, t in enumerate(tokens)}
-
-    def __missing__(self, word: str) -> bytes:
-        raw = word.encode()
-        if (ids := self._whole.get(raw)) is None:
-            found = self._pieces.encode(_mapped(raw))
-            if 0 in found:
-                raise ValueError("the vocabulary lacks a single byte")
-            ids = struct.pack(f"<{len(found)}I", *(i - 1 for i in found))
-        if len(self) < _KEPT and len(raw) <= 64:
-            self[word] = ids
-        return ids
-
-
-_workers: dict[tuple[int, str], tuple] = {}
-
-
-def _encoder(tokens: list[bytes], model: bytes, pattern: str) -> tuple:
-    key = (hash(model), pattern)
+        self._split = split_at_spaces
+        self._words: dict[str, bytes] = {}
+        self._units: dict[str, bytes] = {}
+
+    def _merged(self, words: list[str]) -> Iterator[bytes]:
+        """Ids of pre-tokens by the vocabulary alone or the model's merges."""
+        raw = [w.encode() for w in words]
+        found = self._pieces.encode([r.decode("latin-1").translate(_SHIFT) for r in raw], num_threads=1)
+        flat = np.fromiter(chain.from_iterable(found), np.int64) - 1
+        if len(flat) and flat.min() < 0:
+            raise ValueError("the vocabulary lacks a single byte")
+        data, low = flat.astype("<u4").tobytes(), 0
+        for token, pieces in zip(raw, found, strict=True):
+            high = low + 4 * len(pieces)
+            yield self._whole.get(token) or data[low:high]
+            low = high
+
+    def _learn_words(self, words: set[str]) -> None:
+        if len(self._words) > _KEPT:
+            self._words.clear()
+        new = list(words.difference(self._words))
+        self._words.update(zip(new, self._merged(new), strict=True))
+
+    def _learn_units(self, units: set[str]) -> None:
+        if len(self._units) > 2 * _KEPT:
+            self._units.clear()
+        new, stems = units.difference(self._units), {}
+        for unit in new:
+            stem = unit.rstrip(string.punctuation)
+            if stem.isalpha() and max(stem) < _LATIN_END:
+                stems[unit] = stem
+        plain = list(set(stems.values()).difference(self._units))  # with their space one pre-token each
+        self._units.update(zip(plain, self._merged([" " + u for u in plain]), strict=True))
+        cut = {u: self._pattern.findall(" " + u) for u in new.difference(stems)}
+        self._learn_words({u[len(x) :] for u, x in stems.items() if u != x}.union(chain.from_iterable(cut.values())))
+        for unit, stem in stems.items():
+            if unit != stem:
+                self._units[unit] = self._units[stem] + self._words[unit[len(stem) :]]
+        for unit, words in cut.items():
+            self._units[unit] = b"".join(map(self._words.__getitem__, words))
+
+    def _plain(self, text: str) -> bytes:
+        found, parts = self._pattern.finditer(text), []
+        while words := [m[0] for m in islice(found, _RUN)]:
+            self._learn_words(set(words))
+            parts.append(b"".join(map(self._words.__getitem__, words)))
+        return b"".join(parts)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers."""
+        units = [t.split(" ") if self._split and not any(pair in t for pair in _PAIRS) else None for t in texts]
+        self._learn_units(set(chain.from_iterable(u[1:] for u in units if u)))
+        out = []
+        for text, parts in zip(texts, units, strict=True):
+            if parts is None:
+                out.append(self._plain(text))
+            else:
+                out.append(self._plain(parts[0]) + b"".join(map(self._units.__getitem__, parts[1:])))
+        return out
+
+
+_workers: dict[tuple, Encoder] = {}
+
+
+def _worker(tokens: list[bytes], model: bytes, pattern: str, split_at_spaces: bool) -> Encoder:
+    key = (hash(model), pattern, split_at_spaces)
     if key not in _workers:
-        import regex
-
         _workers.clear()
-        _workers[key] = regex.compile(pattern), _Ids(tokens, model)
+        _workers[key] = Encoder(tokens, model, pattern, split_at_spaces)
     return _workers[key]
 
 
-def encode_text(text: str, pattern, ids: _Ids) -> bytes:
-    if len(text) < 10 * _RUN:
-        return b"".join(map(ids.__getitem__, pattern.findall(text)))
-    found, parts = pattern.finditer(text), []
-    while part := [ids[m[0]] for m in islice(found, _RUN)]:
-        parts.append(b"".join(part))
-    return b"".join(parts)
-
-
-def encode(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text", split_at_spaces: bool = False) -> DataFrame:
     """``id_col``, ``ids`` (binary: little-endian unsigned 32-bit integers) and ``n_tokens`` of every row's whole text.
 
-    ``ranks`` is the content of a rank file, a bounded vocabulary that is broadcast.
+    ``ranks`` is the content of a rank file, a bounded vocabulary that is broadcast; see ``Encoder`` for
+    ``split_at_spaces``.
     """
     tokens = read_ranks(ranks)
-    shared = docs.sparkSession.sparkContext.broadcast((tokens, model_from_ranks(tokens), pattern))
+    shared = docs.sparkSession.sparkContext.broadcast((tokens, model_from_ranks(tokens), pattern, split_at_spaces))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut, ids = _encoder(*shared.value)
+        worker = _worker(*shared.value)
         for batch in batches:
             for low in range(0, len(batch), 500):
                 part = batch.slice(low, 500)
-                found = [encode_text(t or "", cut, ids) for t in part.column(1).to_pylist()]
+                found = worker.encode([t or "" for t in part.column(1).to_pylist()])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.binary()), pa.array([len(x) // 4 for x in found], pa.int64())], names=[id_col, "ids", "n_tokens"])
 
     kind = docs.select(id_col).schema[0].dataType.simpleString()
@@ -136,8 +187,6 @@ def decode(encoded: DataFrame, ranks: bytes) -> DataFrame:
     kept = [c for c in encoded.columns if c != "decoded"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
         tokens = shared.value
         for batch in batches:
             for low in range(0, len(batch), 500):
@@ -154,5 +203,5 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
         ranks = f.read()
-    done = decode(encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), ranks, public_tokenizers.PATTERN), ranks)
+    done = decode(encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), ranks, public_tokenizers.PATTERN, split_at_spaces=True), ranks)
     return done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
