@@ -35,3 +35,10 @@ def cut(df: DataFrame) -> DataFrame:
     """The rows as a checkpoint in the shared folder: computed once, and not lost with an executor."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a table in the shared folder: computed once, with known sizes and no lineage."""
+    spark = df.sparkSession
+    df.write.parquet(path := scratch(spark, name))
+    return spark.read.schema(df.schema).parquet(path)

@@ -7,11 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from corpuseval.llm.byte_bpe import op9_byte_bpe
+from corpuseval.llm.decontaminate import op8_decontaminate
+from corpuseval.llm.embedding_dedup import op2_embedding_dedup
+from corpuseval.llm.language_id import op1_language_id
+from corpuseval.llm.quality import op3_quality
+from corpuseval.llm.sharding import op10_sharding
+from corpuseval.llm.simhash import op7_simhash
+from corpuseval.llm.substring_dedup import op6_substring_dedup
+from corpuseval.llm.warc import OP5_SQL, op5_warc
+
+_QUERIES = (op1_language_id, op2_embedding_dedup, op3_quality, op5_warc, op6_substring_dedup, op7_simhash, op8_decontaminate, op9_byte_bpe, op10_sharding)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op9_byte_bpe": op9_byte_bpe}
+    return {q.__name__: q for q in _QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_warc": OP5_SQL}
