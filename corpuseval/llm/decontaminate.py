@@ -147,17 +147,17 @@ def _joined_spans(spans: F.Column) -> F.Column:
     return F.aggregate(F.array_sort(spans), F.array().cast(_SPANS), add)
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", clean: bool = False, max_windows: int = MAX_WINDOWS) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", clean: bool = False, max_windows: int = MAX_WINDOWS, carry: tuple[str, ...] = ()) -> DataFrame:
     """``id_col``, ``n_words``, ``hits`` (runs of hit words: first and last word, from 0) and ``items`` (found item ids, sorted).
 
-    ``clean`` adds ``cleaned``, the text without the hit words; it needs a benchmark of one block.
+    ``clean`` adds ``cleaned``, the text without the hit words, and the columns ``carry``; both need a benchmark of one block.
     """
     windows = benchmark_windows(benchmark, width, item_col, item_text_col)
     total = windows.count()
     blocks = max(1, -(-total // max_windows))
     if blocks == 1:
-        return _scan(docs, [tuple(r) for r in windows.collect()], [id_col], text_col, clean)
-    if clean:
+        return _scan(docs, [tuple(r) for r in windows.collect()], [id_col, *carry], text_col, clean)
+    if clean or carry:
         raise ValueError("a benchmark of several blocks: remove spans by the hits of all blocks")
     numbered = windows.withColumn("block", F.pmod(F.xxhash64("window"), F.lit(2 * blocks)))
     parts = [_scan(docs, [tuple(r) for r in numbered.where(F.col("block") == k).select("item", "window").collect()], [id_col], text_col, False) for k in range(2 * blocks)]

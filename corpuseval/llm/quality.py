@@ -201,16 +201,17 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col:
     return model
 
 
-def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
-    """The columns ``keep`` with ``score`` (0 to 1) and ``predicted`` (1 from ``THRESHOLD`` on) of every row's whole text."""
+def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", keep_text: bool = False) -> DataFrame:
+    """The columns ``keep``, and the text if asked for, with ``score`` (0 to 1) and ``predicted`` (1 from ``THRESHOLD`` on)."""
+    sent, names = len(keep) + 1, [*keep, *([text_col] if keep_text else [])]
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low, high, data, offsets in _text.slices(batch.column(len(keep))):
-                yield pa.RecordBatch.from_arrays([*(c.slice(low, high - low) for c in batch.columns[: len(keep)]), pa.array(shared.value.score(statistics(data, offsets)))], names=[*keep, "score"])
+            for low, high, data, offsets in _text.slices(batch.column(sent - 1)):
+                yield pa.RecordBatch.from_arrays([*(c.slice(low, high - low) for c in batch.columns[: len(names)]), pa.array(shared.value.score(statistics(data, offsets)))], names=[*names, "score"])
 
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
     scored = docs.select(*keep, F.col(text_col).cast("string")).mapInArrow(run, f"{kinds}, score double")
     return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 

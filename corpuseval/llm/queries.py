@@ -14,13 +14,16 @@ from corpuseval.llm.quality import op3_quality
 from corpuseval.llm.sharding import op10_sharding
 from corpuseval.llm.simhash import op7_simhash
 from corpuseval.llm.substring_dedup import op6_substring_dedup
+from corpuseval.llm.url_filter import op4_url_filter
 from corpuseval.llm.warc import OP5_SQL, op5_warc
 
-_QUERIES = (op1_language_id, op2_embedding_dedup, op3_quality, op5_warc, op6_substring_dedup, op7_simhash, op8_decontaminate, op9_byte_bpe, op10_sharding)
+_QUERIES = (op1_language_id, op2_embedding_dedup, op3_quality, op4_url_filter, op5_warc, op6_substring_dedup, op7_simhash, op8_decontaminate, op9_byte_bpe, op10_sharding)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in _QUERIES}
+    import corpus_pipeline
+
+    return {q.__name__: q for q in _QUERIES} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:

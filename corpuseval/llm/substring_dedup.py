@@ -211,44 +211,48 @@ def _windows(flagged: DataFrame, deals: int) -> DataFrame:
     return flagged.mapInArrow(run, _PACKED)
 
 
-def _cut(flagged: DataFrame, kind: str) -> DataFrame:
+def _cut(flagged: DataFrame, carry: tuple[str, ...], keep_unchanged: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _text.not_space()
         for batch in batches:
-            tags = batch.column(2)
+            tags, valid = batch.column(2), batch.column(1).is_valid().to_pylist()
             for low, high, data, offsets in _text.slices(batch.column(1)):
                 starts, ends, first = _text.words(data, offsets, table)
                 counts, kept, removed = np.diff(first), [], []
                 own = tags.slice(low, high - low)
                 hashes = _text.window_hashes(_text.word_hashes(data, starts, ends), WINDOW) if own.null_count < len(own) else None
                 for k, mine in enumerate(own.to_pylist()):
-                    words = data[offsets[k] : offsets[k + 1]].tobytes().split()
-                    lost = 0
+                    text, lost = data[offsets[k] : offsets[k + 1]].tobytes(), 0
+                    words = text.split() if mine or not keep_unchanged else []
                     if mine:
                         at = hashes[first[k] : max(first[k], first[k + 1] - WINDOW + 1)]
                         gone = _text.cover(np.isin(at, unpack(_flat(mine), 12)[0]), WINDOW, len(words))
                         lost = int(gone.sum())
                         words = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
                     removed.append(lost)
-                    kept.append(b" ".join(words))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=["id", "n_words", "n_removed", "kept"])
+                    kept.append(b" ".join(words) if lost or not keep_unchanged else text if valid[low + k] else None)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), *(c.slice(low, high - low) for c in batch.columns[3:])], names=["id", "n_words", "n_removed", "kept", *carry])
 
-    return flagged.mapInArrow(run, f"id {kind}, n_words long, n_removed long, kept string")
+    carried = "".join(f", `{c}` {flagged.schema[c].dataType.simpleString()}" for c in carry)
+    return flagged.select("id", "text", "tags", *carry).mapInArrow(run, f"id long, n_words long, n_removed long, kept string{carried}")
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col``, ``n_words``, ``n_removed`` and ``kept`` (the words that stay, joined by one space) of every row."""
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_unchanged: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``id_col``, ``n_words``, ``n_removed`` and ``kept`` (the words that stay, joined by one space) of every row.
+
+    ``keep_unchanged`` leaves texts that lose nothing as they are; the columns ``carry`` come along.
+    """
     spark = docs.sparkSession
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *carry)
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     deals = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // _TASK_BYTES + 1)
     named = texts.where("id is not null")
-    anchors = _settle(_anchors(named, deals), deals, 6, False)
+    anchors = _settle(_anchors(named.select("id", "text"), deals), deals, 6, False)
     flagged = named.join(anchors, F.col("id") == F.col("doc")).select("id", "text", "tags")
     windows = _settle(_windows(flagged, deals), deals, 12, True)
-    marked = named.join(windows, F.col("id") == F.col("doc"), "left").select("id", "text", "tags")
-    nameless = texts.where("id is null").select("id", "text", F.lit(None).cast("array<binary>").alias("tags"))
-    return _cut(marked.unionByName(nameless), "long").withColumnRenamed("id", id_col)
+    marked = named.join(windows, F.col("id") == F.col("doc"), "left").select("id", "text", "tags", *carry)
+    nameless = texts.where("id is null").select("id", "text", F.lit(None).cast("array<binary>").alias("tags"), *carry)
+    return _cut(marked.unionByName(nameless), carry, keep_unchanged).withColumnRenamed("id", id_col)
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
