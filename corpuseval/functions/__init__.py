@@ -1 +1 @@
-
+"""Column functions: labels, model responses, text keys."""

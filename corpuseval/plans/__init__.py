@@ -1 +1 @@
-
+"""Fixture views and registered queries."""
