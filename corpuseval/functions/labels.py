@@ -119,7 +119,8 @@ def render_label(raw: Column | str) -> Column:
 def majority_vote(votes: Column | str, labels: Sequence[str] = TIERS) -> Column:
     """E20. Winner of an ordered list of votes: counts, ties (alphabetical), and the place of its first vote."""
     votes = _col(votes)
-    rows = F.array_sort(F.array(*(F.struct((-F.size(F.filter(votes, lambda v, x=x: v == x))).alias("cost"), F.lit(x).alias("label")) for x in labels)))
+    count = lambda x: F.size(F.filter(votes, lambda v: v == x))
+    rows = F.array_sort(F.array(*(F.struct((-count(x)).alias("cost"), F.lit(x).alias("label")) for x in labels)))
     best = F.get(rows, F.lit(0))
     tied = F.transform(F.filter(rows, lambda r: (r["cost"] == best["cost"]) & (r["cost"] < 0)), lambda r: r["label"])
     won = F.when(best["cost"] < 0, best["label"])

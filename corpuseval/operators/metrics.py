@@ -64,7 +64,7 @@ def macro(prf: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def confusion_matrix(df: DataFrame, truth: str, prediction: str, labels: Sequence[str] = TIERS) -> DataFrame:
     """E17. Counts of predictions (columns) for each true label."""
-    return df.where(F.col(truth).isNotNull()).groupBy(truth).pivot(prediction, list(labels)).agg(F.count("*")).na.fill(0)
+    return df.where(F.col(truth).isNotNull()).groupBy(truth).pivot(prediction, list(labels)).agg(F.count(F.lit(1))).na.fill(0)
 
 
 def leaderboard(df: DataFrame, subject: str, model: str, truth: str, label: str, source: str, labels: Sequence[str] = TIERS) -> DataFrame:

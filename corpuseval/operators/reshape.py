@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpuseval.sources.shared import stored
+
 
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -44,20 +46,20 @@ def batch_id(df: DataFrame, size: int, *order: str) -> DataFrame:
     return number_rows(df, *order).withColumn("batch", F.floor((F.col("row_no") - 1) / size)).drop("row_no")
 
 
-def number_rows(df: DataFrame, *order: str) -> DataFrame:
+def number_rows(df: DataFrame, *order: str | Column) -> DataFrame:
     """F1. ``row_no`` from 1 in sorted order over the whole table.
 
-    Rows are range-partitioned by the order; each partition counts its own rows and starts after those before it,
+    Rows are range-partitioned by the order and written; each range counts its own rows and starts after those before it,
     so no task sorts the whole table. The order must be total for the numbers to be reproducible.
     """
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id())
+    placed = stored(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), "ranges")
     counts = placed.groupBy("_part").agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = counts.select("_part", before.alias("_before"))
     own = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    return placed.withColumn("_own", own).join(F.broadcast(starts), "_part").withColumn("row_no", F.col("_before") + F.col("_own")).drop("_part", "_own", "_before")
+    return placed.withColumn("_own", own).join(starts, "_part").withColumn("row_no", F.col("_before") + F.col("_own")).drop("_part", "_own", "_before")
 
 
 def rename_fields(df: DataFrame, by_name: Mapping[str, str], by_position: Mapping[int, str] | None = None, extra: Mapping[str, str] | None = None) -> DataFrame:

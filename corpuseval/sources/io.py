@@ -69,10 +69,10 @@ def write_csv(df: DataFrame, path: str, decimals: int = 2, mode: str = "error")
 
 
 def report_lines(df: DataFrame, group: str, columns: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """A10. Markdown lines, a table for each group, with ``group``, ``at`` to sort by."""
+    """A10. Markdown lines, a table for each group, with ``group`` and ``seq`` to sort by."""
     cells = lambda xs: F.concat(F.lit("| "), F.concat_ws(" | ", *xs), F.lit(" |"))
-    rows = df.withColumn("at", F.row_number().over(Window.partitionBy(group).orderBy(*order)) + 2).select(group, "at", cells([F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]).alias("line"))
-    head = df.select(group).distinct().select(group, F.inline(F.array(*(F.struct(F.lit(k).alias("at"), c.alias("line")) for k, c in enumerate((F.concat(F.lit("## "), F.col(group)), cells([F.lit(c) for c in columns]), cells([F.lit("---")] * len(columns))))))))
+    rows = df.withColumn("seq", F.row_number().over(Window.partitionBy(group).orderBy(*order)) + 2).select(group, "seq", cells([F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]).alias("line"))
+    head = df.select(group).distinct().select(group, F.inline(F.array(*(F.struct(F.lit(k).alias("seq"), c.alias("line")) for k, c in enumerate((F.concat(F.lit("## "), F.col(group)), cells([F.lit(c) for c in columns]), cells([F.lit("---")] * len(columns))))))))
     return head.unionByName(rows)
 
 

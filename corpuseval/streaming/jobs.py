@@ -59,5 +59,5 @@ def stage_chain(df: DataFrame, works: dict[str, Column], limit: int = 3) -> Data
         mine = F.col("status").isin(a, f"{b}_retrying")
         ok, tried = F.coalesce(works[a], F.lit(False)), F.coalesce(F.col("trial_count"), F.lit(0)) + 1
         status = F.when(ok, b).when(tried < limit, f"{b}_retrying").otherwise(f"{b}_failed")
-        df = df.withColumn("_mine", mine).withColumn("trial_count", F.when(F.col("_mine"), F.when(ok, 0).otherwise(tried)).otherwise(F.col("trial_count"))).withColumn("status", F.when(F.col("_mine"), status).otherwise(F.col("status"))).drop("_mine")
+        df = df.withColumns({"trial_count": F.when(mine, F.when(ok, 0).otherwise(tried)).otherwise(F.col("trial_count")), "status": F.when(mine, status).otherwise(F.col("status"))})
     return df
