@@ -27,13 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuseval.llm._session import scratch
+from corpuseval.llm._session import scratch, stored, text_batches
 
 VERSION = "WARC/1.1"
 SEGMENT_CHARS = 32_768
-CHUNK_CHARS = 4_096
+CHUNK_CHARS = 16_384
 _END = "\r\n\r\n"
-_SEPARATOR = f"{_END}{VERSION}\r\n"
+#: Readers split files here: it does not overlap itself and stands nowhere inside a record.
+_SEPARATOR = f"{VERSION}\r\n"
 _HEADERS = ("WARC-Type", "WARC-Record-ID", "WARC-Target-URI", "WARC-Payload-Digest", "WARC-Refers-To", "WARC-Segment-Number", "WARC-Segment-Origin-ID", "WARC-Segment-Total-Length", "Content-Length")
 
 
@@ -45,8 +46,8 @@ def base32_sha1(payload: F.Column) -> F.Column:
 
 def chunked(payload: F.Column) -> F.Column:
     """The payload in chunked transfer framing; chunks are cut inside every version mark."""
-    pieces = F.split(payload, r"(?<=WARC)(?=/1\.1)")
-    chunks = F.flatten(F.transform(pieces, lambda p: F.regexp_extract_all(p, F.lit(f"(?s).{{1,{CHUNK_CHARS}}}"), F.lit(0))))
+    pieces = F.when(payload.contains(VERSION), F.split(payload, r"(?<=WARC)(?=/1\.1)")).otherwise(F.array(payload))
+    chunks = F.flatten(F.transform(pieces, lambda p: F.regexp_extract_all(p, F.lit(f"(?s).{{1,{CHUNK_CHARS}}}+"), F.lit(0))))
     return F.concat(F.array_join(F.transform(chunks, lambda c: F.concat(F.hex(F.octet_length(c)), F.lit("\r\n"), c, F.lit("\r\n"))), ""), F.lit(f"0{_END}"))
 
 
@@ -60,13 +61,15 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", pay
     rows = pages.select(F.col(id_col).alias("id"), F.regexp_replace(F.coalesce(F.col(url_col).cast("string"), F.lit("")), r"[\r\n]", " ").alias("url"), F.coalesce(F.col(payload_col).cast("string"), F.lit("")).alias("payload"))
     rows = rows.withColumn("bytes", F.octet_length("payload").cast("long")).withColumn("digest", base32_sha1(F.col("payload")))
     newest = rows.where(F.col("bytes") >= min_revisit_bytes).groupBy("digest").agg(F.max("id").alias("newest"), F.count("*").alias("n")).where(F.col("n") > 1)
-    rows = rows.join(newest.select("digest", "newest"), "digest", "left")
+    # Written first, so that its size is known: few repeated payloads are broadcast and pages are not shuffled for them.
+    rows = rows.join(stored(newest.select("digest", "newest"), "repeated-payloads"), "digest", "left")
     revisit = F.col("newest").isNotNull() & (F.col("bytes") >= min_revisit_bytes) & ~F.col("id").eqNullSafe(F.col("newest"))
     name = lambda page, digest: F.concat(F.lit("<urn:page:"), F.coalesce(page.cast("string"), F.lit("none")), F.lit(":"), digest, F.lit(">"))
     rows = rows.withColumn("revisit", revisit).withColumn("name", name(F.col("id"), F.col("digest")))
     head = F.when(F.col("revisit"), F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("bytes").cast("string"), F.lit(_END)))
     body = F.concat(F.lit(f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked{_END}"), chunked(F.col("payload")))
-    rows = rows.withColumn("parts", F.regexp_extract_all(F.coalesce(head, body), F.lit(f"(?s).{{1,{segment_chars}}}"), F.lit(0)))
+    rows = rows.withColumn("whole", F.coalesce(head, body))
+    rows = rows.withColumn("parts", F.when(F.length("whole") > segment_chars, F.regexp_extract_all("whole", F.lit(f"(?s).{{1,{segment_chars}}}+"), F.lit(0))).otherwise(F.array("whole")))
     rows = rows.withColumn("total", F.aggregate("parts", F.lit(0).cast("long"), lambda n, p: n + F.octet_length(p)))
     cut = rows.withColumn("segments", F.size("parts")).select("*", F.posexplode("parts").alias("at", "part"))
     first, many = F.col("at") == 0, F.col("segments") > 1
@@ -89,19 +92,19 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", pay
 
 def write_warc(found: DataFrame, path: str, compression: str = "gzip") -> None:
     """Archives of the ``record`` strings, one file for each task."""
-    found.select(F.concat(F.lit(f"{VERSION}\r\n"), F.col("record"))).write.option("lineSep", _END).option("compression", compression).text(path)
+    found.select(F.concat(F.lit(f"{VERSION}\r\n"), F.col("record"))).write.option("lineSep", _END).option("compression", compression).option("zlib.compress.level", "BEST_SPEED").text(path)
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """Header fields and ``block`` of every record, lengths verified."""
     raw = spark.read.option("lineSep", _SEPARATOR).text(path)
-    raw = raw.select(F.regexp_replace("value", rf"\A{VERSION}\r\n", "").alias("record"))
+    raw = raw.where("value <> ''").withColumnRenamed("value", "record")
     head = F.substring_index("record", _END, 1)
     raw = raw.select(head.alias("head"), F.expr(f"substr(record, length(substring_index(record, '{_END}', 1)) + 5)").alias("block"))
     field = lambda k: F.nullif(F.regexp_extract("head", rf"(?m)^{k}: (.*?)\r?$", 1), F.lit(""))
     rows = raw.select(*(field(k).alias(k.lower().replace("-", "_")) for k in _HEADERS), "block")
     want, got = F.col("content_length").cast("long"), F.octet_length("block")
-    whole = F.when(got == want, F.col("block")).when((got == want + 4) & F.col("block").endswith(_END), F.expr("substr(block, 1, length(block) - 4)"))  # the last record of a file keeps its end
+    whole = F.when((got == want + 4) & F.col("block").endswith(_END), F.expr("substr(block, 1, length(block) - 4)"))
     return rows.withColumn("block", F.coalesce(whole, F.raise_error(F.concat(F.lit("record of a wrong length: "), F.coalesce("warc_record_id", F.lit("?")))).cast("string")))
 
 
@@ -163,7 +166,7 @@ def payloads(rows: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(heads, pa.string()), pa.array(bodies, pa.binary())], names=[*kept, "http_head", "payload"])
 
     schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept)
-    return rows.mapInArrow(run, f"{schema}, http_head string, payload binary")
+    return text_batches(rows).mapInArrow(run, f"{schema}, http_head string, payload binary")
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
