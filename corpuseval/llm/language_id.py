@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpuseval.llm import _text
+from corpuseval.llm._session import text_batches
 
 #: The sample of each language: texts, and symbols of all of them.
 SAMPLE_TEXTS = 200
@@ -37,7 +38,11 @@ _CODES = 0x3000  # letters from here on are one symbol for each text position, l
 
 
 def automaton(symbols: list[int], width: int) -> np.ndarray:
-    """Dense table ``state * width + symbol`` -> 2 * next state, plus 1 where a phrase ends and the next begins."""
+    """Dense table ``state * width + symbol`` -> 4 * next state + phrases that end.
+
+    A phrase ends before a symbol that does not follow it in the sample; a symbol that the sample lacks is a phrase of its
+    own, after which the parse is at the root again.
+    """
     links, lengths, moves, last = [-1], [0], [{}], 0
     for s in symbols:
         here = len(moves)
@@ -66,7 +71,8 @@ def automaton(symbols: list[int], width: int) -> np.ndarray:
     for state, known in enumerate(moves):
         table[state, list(known)] = list(known.values())
     first = table[0].copy()
-    return np.where(table == 0, 2 * first + 1, 2 * table).astype(np.int32)
+    ends = 1 + (first == 0) * (np.arange(len(table)) > 0)[:, None]
+    return np.where(table == 0, 4 * first + ends, 4 * table).astype(np.int32)
 
 
 def _letters() -> np.ndarray:
@@ -139,10 +145,10 @@ class Model:
             if not m:
                 break
             move = self.table[offsets + state[:, :m] * self.width + symbols[start[:m] + k]]
-            count[:, :m] += move & 1
-            state[:, :m] = move >> 1
+            count[:, :m] += move & 3
+            state[:, :m] = move >> 2
         out = np.zeros((len(lengths), len(self.languages)), np.int64)
-        np.add.at(out, owner, count.T + 1)
+        np.add.at(out, owner, (count + (state > 0)).T)
         return out
 
     def predict(self, data: np.ndarray, offsets: np.ndarray) -> tuple[list[str], np.ndarray]:
@@ -181,7 +187,7 @@ def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",),
                 yield pa.RecordBatch.from_arrays([*(c.slice(low, high - low) for c in batch.columns[: len(keep)]), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*keep, "lang_pred", "score"])
 
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*keep, F.col(text_col).cast("string")).mapInArrow(run, f"{kinds}, lang_pred string, score double")
+    return text_batches(docs).select(*keep, F.col(text_col).cast("string")).mapInArrow(run, f"{kinds}, lang_pred string, score double")
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
