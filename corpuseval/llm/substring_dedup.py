@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuseval.llm import _text
+from corpuseval.llm._session import text_batches
 
 WINDOW = 13
 PERIOD = 7
@@ -36,7 +37,6 @@ ANCHOR = WINDOW - PERIOD + 1
 _PACK = 400_000
 _TASK_BYTES = 32 << 20
 _PACKED = "deal int, settled boolean, docs binary, tags binary"
-_MASK = np.uint64((1 << 48) - 1)
 
 
 class _Words:
@@ -64,13 +64,13 @@ class _Words:
 class _Packer:
     """Collects (document, hash) and gives them out as packed rows, settled in part."""
 
-    def __init__(self, deals: int, keep_smallest: bool):
-        self.deals, self.keep_smallest, self.parts, self.n, self.packs = deals, keep_smallest, [], 0, 0
+    def __init__(self, deals: int, keep_smallest: bool, pack: int):
+        self.deals, self.keep_smallest, self.pack, self.parts, self.n = deals, keep_smallest, pack, [], 0
 
     def add(self, docs: np.ndarray, low: np.ndarray, high: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
         self.parts.append((docs, low, np.zeros(len(low), np.uint64) if high is None else high))
         self.n += len(low)
-        if self.n >= _PACK:
+        if self.n >= self.pack:
             yield self.flush()
 
     def flush(self) -> pa.RecordBatch:
@@ -88,8 +88,7 @@ class _Packer:
         deal = ((low >> np.uint64(32)) * np.uint64(self.deals) >> np.uint64(32)).astype(np.int64)
         rows = [self._rows(docs[new_hash], low[new_hash], high[new_hash], deal[new_hash], False)]
         if settled.any():
-            rows.append(self._rows(docs[settled], low[settled], high[settled], np.full(int(settled.sum()), self.packs * 7919 % self.deals), True))
-        self.packs += 1
+            rows.append(self._rows(docs[settled], low[settled], high[settled], np.full(int(settled.sum()), int(_spread(docs[settled][:1], self.deals)[0])), True))
         return pa.Table.from_batches(rows).combine_chunks().to_batches()[0] if sum(map(len, rows)) else rows[0]
 
     def _rows(self, docs, low, high, deal, settled) -> pa.RecordBatch:
@@ -127,49 +126,69 @@ def slabs(data: bytes, bounds: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(bounds.astype(np.int32).tobytes()), pa.py_buffer(data)])
 
 
-def _by_document(docs: np.ndarray, low: np.ndarray, high: np.ndarray, width: int) -> pa.RecordBatch:
-    order = np.argsort(docs, kind="stable")
-    docs = docs[order]
-    at = np.concatenate(([0], np.flatnonzero(np.diff(docs)) + 1, [len(docs)])) if len(docs) else np.zeros(1, np.int64)
-    tags = pack(low[order], high[order]) if width == 12 else pack(low[order])
-    return pa.RecordBatch.from_arrays([pa.array(docs[at[:-1]], pa.int64()), slabs(tags, at * width)], names=["doc", "tags"])
+def _spread(docs: np.ndarray, deals: int) -> np.ndarray:
+    return (_text.mix(docs.astype(np.uint64) + np.uint64(1)) % np.uint64(deals)).astype(np.int64)
 
 
 def _settle(packed: DataFrame, deals: int, width: int, keep_smallest: bool) -> DataFrame:
-    """``doc`` and ``tags``: hashes that stand in two documents or more; with ``keep_smallest`` not those of the smallest."""
+    """``doc`` and ``tags``: hashes that stand in two documents or more; with ``keep_smallest`` not those of the smallest.
+
+    What is found goes back by document, again packed into rows of many, and is gathered into a row for each document.
+    Within one document shorter tags will do: four bytes to look around an anchor, eight to cut.
+    """
+    back = 8 if keep_smallest else 4
+
+    def by_document(docs: np.ndarray, low: np.ndarray) -> pa.RecordBatch:
+        deal = _spread(docs, deals)
+        order = np.lexsort((docs, deal))
+        docs, deal, low = docs[order], deal[order], low[order]
+        at = np.concatenate(([0], np.flatnonzero(np.diff(deal)) + 1, [len(deal)])) if len(deal) else np.zeros(1, np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(deal[at[:-1]], pa.int32()), slabs(docs.astype("<i8").tobytes(), at * 8), slabs(low.astype(f"<u{back}").tobytes(), at * back)], names=["deal", "docs", "tags"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        docs, tags = [], []
+        docs, tags, done_docs, done_tags, n = [], [], [], [], 0
         for batch in batches:
             for done, d, t in zip(*(batch.column(c).to_pylist() for c in ("settled", "docs", "tags")), strict=True):
-                if done:
-                    yield _by_document(np.frombuffer(d, "<i8"), *unpack(t, width), width)
-                else:
+                if not done:
                     docs.append(d)
                     tags.append(t)
-        if not docs:
-            return
-        docs = np.frombuffer(b"".join(docs), "<i8")
-        low, high = unpack(b"".join(tags), width)
-        del tags
-        order = np.lexsort((docs, high, low)) if keep_smallest else np.argsort(low, kind="stable")
-        docs, low, high = docs[order], low[order], high[order]
-        new = np.ones(len(docs) + 1, bool)
+                    continue
+                done_docs.append(d)
+                done_tags.append(t)
+                n += len(d) // 8
+                if n >= _PACK:
+                    yield by_document(np.frombuffer(b"".join(done_docs), "<i8"), unpack(b"".join(done_tags), width)[0])
+                    done_docs, done_tags, n = [], [], 0
+        found, low, high = np.frombuffer(b"".join(docs), "<i8"), *unpack(b"".join(tags), width)
+        del docs, tags
+        order = np.lexsort((found, high, low)) if keep_smallest else np.argsort(low, kind="stable")
+        found, low, high = found[order], low[order], high[order]
+        new = np.ones(len(found) + 1, bool)
         new[1:-1] = (low[1:] != low[:-1]) | (high[1:] != high[:-1])
         if keep_smallest:
-            begin = np.flatnonzero(new[:-1])
-            mine = docs > docs[begin][np.cumsum(new[:-1]) - 1]
+            mine = found > found[np.flatnonzero(new[:-1])][np.cumsum(new[:-1]) - 1] if len(found) else new[:-1]
         else:
             mine = ~(new[:-1] & new[1:])
-        yield _by_document(docs[mine], low[mine], high[mine], width)
+        yield by_document(np.concatenate([found[mine], np.frombuffer(b"".join(done_docs), "<i8")]), np.concatenate([low[mine], unpack(b"".join(done_tags), width)[0]]))
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [(d, t) for batch in batches for d, t in zip(*(batch.column(c).to_pylist() for c in ("docs", "tags")), strict=True)]
+        docs, low = np.frombuffer(b"".join(d for d, _ in rows), "<i8"), np.frombuffer(b"".join(t for _, t in rows), f"<u{back}")
+        del rows
+        order = np.argsort(docs, kind="stable")
+        docs, low = docs[order], low[order]
+        at = np.concatenate(([0], np.flatnonzero(np.diff(docs)) + 1, [len(docs)])) if len(docs) else np.zeros(1, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(docs[at[:-1]], pa.int64()), slabs(low.tobytes(), at * back)], names=["_doc", "_tags"])
 
-    dealt = packed.repartition(deals, "deal").select("settled", "docs", "tags")
-    return dealt.mapInArrow(run, "doc long, tags binary").groupBy("doc").agg(F.collect_list("tags").alias("tags"))
+    found = packed.repartition(deals, "deal").select("settled", "docs", "tags").mapInArrow(run, "deal int, docs binary, tags binary")
+    return found.repartition(deals, "deal").select("docs", "tags").mapInArrow(gather, "_doc long, _tags binary")
 
 
 def _anchors(texts: DataFrame, deals: int) -> DataFrame:
+    size = _PACK
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, packer = _text.not_space(), _Packer(deals, False)
+        table, packer = _text.not_space(), _Packer(deals, False, size)
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for low, high, data, offsets in _text.slices(batch.column(1)):
@@ -178,29 +197,26 @@ def _anchors(texts: DataFrame, deals: int) -> DataFrame:
                 yield from packer.add(ids[low:high][found.rows[at]], hashes)
         yield packer.flush()
 
-    return texts.mapInArrow(run, _PACKED)
-
-
-def _flat(tags: list[bytes] | None) -> bytes:
-    return b"".join(tags) if tags else b""
+    return text_batches(texts).mapInArrow(run, _PACKED)
 
 
 def _windows(flagged: DataFrame, deals: int) -> DataFrame:
     """Packed windows of documents around the anchors that others share."""
+    size = _PACK
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, packer = _text.not_space(), _Packer(deals, True)
+        table, packer = _text.not_space(), _Packer(deals, True, size)
         for batch in batches:
             ids, tags = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2)
             for low, high, data, offsets in _text.slices(batch.column(1)):
                 found = _Words(data, offsets, table)
                 at, hashes = found.anchors()
-                hashes &= _MASK
+                hashes &= np.uint64(0xFFFFFFFF)
                 shared = np.zeros(len(found.rows) + 1, np.int32)
                 bounds = np.searchsorted(at, found.first)
                 for k in range(high - low):
                     own = slice(bounds[k], bounds[k + 1])
-                    shared[at[own]] = np.isin(hashes[own], unpack(_flat(tags[low + k].as_py()), 6)[0])
+                    shared[at[own]] = np.isin(hashes[own], np.frombuffer(tags[low + k].as_py(), "<u4"))
                 near = np.concatenate(([0], np.cumsum(shared)))
                 fit = _text.inside_rows(found.rows, WINDOW)
                 n = len(fit)
@@ -226,7 +242,7 @@ def _cut(flagged: DataFrame, carry: tuple[str, ...], keep_unchanged: bool) -> Da
                     words = text.split() if mine or not keep_unchanged else []
                     if mine:
                         at = hashes[first[k] : max(first[k], first[k + 1] - WINDOW + 1)]
-                        gone = _text.cover(np.isin(at, unpack(_flat(mine), 12)[0]), WINDOW, len(words))
+                        gone = _text.cover(np.isin(at, np.frombuffer(mine, "<u8")), WINDOW, len(words))
                         lost = int(gone.sum())
                         words = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
                     removed.append(lost)
@@ -234,7 +250,7 @@ def _cut(flagged: DataFrame, carry: tuple[str, ...], keep_unchanged: bool) -> Da
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), *(c.slice(low, high - low) for c in batch.columns[3:])], names=["id", "n_words", "n_removed", "kept", *carry])
 
     carried = "".join(f", `{c}` {flagged.schema[c].dataType.simpleString()}" for c in carry)
-    return flagged.select("id", "text", "tags", *carry).mapInArrow(run, f"id long, n_words long, n_removed long, kept string{carried}")
+    return flagged.select("_id", "_text", "_tags", *carry).mapInArrow(run, f"id long, n_words long, n_removed long, kept string{carried}")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_unchanged: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -242,19 +258,36 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     ``keep_unchanged`` leaves texts that lose nothing as they are; the columns ``carry`` come along.
     """
+    if clash := {id_col, "id", "n_words", "n_removed", "kept"}.intersection(carry):
+        raise ValueError(f"these names are taken: {sorted(clash)}")
     spark = docs.sparkSession
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *carry)
-    total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"), *carry)
+    total = texts.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     deals = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // _TASK_BYTES + 1)
-    named = texts.where("id is not null")
-    anchors = _settle(_anchors(named.select("id", "text"), deals), deals, 6, False)
-    flagged = named.join(anchors, F.col("id") == F.col("doc")).select("id", "text", "tags")
+    named = texts.where("_id is not null")
+    anchors = _settle(_anchors(named.select("_id", "_text"), deals), deals, 6, False)
+    dealt = named.repartition(deals, "_id")  # one shuffle of the texts serves both joins
+    flagged = dealt.select("_id", "_text").join(anchors, F.col("_id") == F.col("_doc")).select("_id", "_text", "_tags")
     windows = _settle(_windows(flagged, deals), deals, 12, True)
-    marked = named.join(windows, F.col("id") == F.col("doc"), "left").select("id", "text", "tags", *carry)
-    nameless = texts.where("id is null").select("id", "text", F.lit(None).cast("array<binary>").alias("tags"), *carry)
+    marked = dealt.join(windows, F.col("_id") == F.col("_doc"), "left").select("_id", "_text", "_tags", *carry)
+    nameless = texts.where("_id is null").select("_id", "_text", F.lit(None).cast("binary").alias("_tags"), *carry)
     return _cut(marked.unionByName(nameless), carry, keep_unchanged).withColumnRenamed("id", id_col)
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP6_SQL = r"""
+with w as (select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from documents),
+starts as (select doc_id, ws, unnest(range(1, len(ws) - 11)) as i from w where len(ws) >= 13),
+windows as (select doc_id, i, array_to_string(ws[i:i + 12], ' ') as k from starts),
+least_doc as (select k, min(doc_id) as d from windows group by k),
+gone as (select distinct doc_id, unnest(range(i, i + 13)) as j from windows join least_doc using (k) where d < doc_id),
+words as (select doc_id, ws[j] as word, j from (select doc_id, ws, unnest(range(1, len(ws) + 1)) as j from w)),
+kept as (select doc_id, string_agg(word, ' ' order by j) as t from words anti join gone using (doc_id, j) group by doc_id),
+lost as (select doc_id, count(*) as n from gone group by doc_id)
+select doc_id, len(ws)::bigint as n_words, coalesce(n, 0)::bigint as n_removed, sha256(coalesce(t, '')) as kept_sha256
+from w left join lost using (doc_id) left join kept using (doc_id)
+"""
