@@ -148,3 +148,14 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, id_col: str = "v
 
 def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).withColumnRenamed("component", "component_id")
+
+
+#: For vectors without null or non-finite components and with different ids.
+OP2_SQL = """
+with recursive v as (select vec_id, label, cast(embedding as double[]) as e from embeddings where label is not null and embedding is not null and list_aggregate(list_transform(embedding, lambda x: abs(x)), 'max') > 0),
+links as (select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e) where list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e)) / sqrt(list_dot_product(b.e, b.e)) >= 0.98),
+reach as (select distinct a as node, a as other from links union select reach.node, links.b from reach join links on links.a = reach.other),
+counts as (select a, count(*) as n from links group by a), roots as (select node, min(other) as root from reach group by node)
+select e.vec_id, coalesce(n, 0)::bigint as n_links, coalesce(root, e.vec_id) as component_id, coalesce(root, e.vec_id) = e.vec_id as kept
+from embeddings e left join counts on counts.a = e.vec_id left join roots on roots.node = e.vec_id
+"""

@@ -7,13 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from corpuseval.llm.byte_bpe import op9_byte_bpe
-from corpuseval.llm.decontaminate import op8_decontaminate
-from corpuseval.llm.embedding_dedup import op2_embedding_dedup
+from corpuseval.llm.decontaminate import OP8_SQL, op8_decontaminate
+from corpuseval.llm.embedding_dedup import OP2_SQL, op2_embedding_dedup
 from corpuseval.llm.language_id import op1_language_id
 from corpuseval.llm.quality import op3_quality
 from corpuseval.llm.sharding import op10_sharding
 from corpuseval.llm.simhash import op7_simhash
-from corpuseval.llm.substring_dedup import op6_substring_dedup
+from corpuseval.llm.substring_dedup import OP6_SQL, op6_substring_dedup
 from corpuseval.llm.url_filter import op4_url_filter
 from corpuseval.llm.warc import OP5_SQL, op5_warc
 
@@ -27,4 +27,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_warc": OP5_SQL}
+    return {"op2_embedding_dedup": OP2_SQL, "op5_warc": OP5_SQL, "op6_substring_dedup": OP6_SQL, "op8_decontaminate": OP8_SQL}
