@@ -44,7 +44,8 @@ def shuffle_shards(docs: DataFrame, shards: int = SHARDS, seed: int = 42, bucket
     sizes = dealt.groupBy("bucket").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = sizes.select("bucket", before.alias("offset"))  # a row for each bucket
-    mixed = dealt.repartition(buckets, "bucket").groupBy("bucket").agg(F.shuffle(F.array_sort(F.collect_list("row")), seed).alias("rows"))
+    # One bucket for each partition: the seed of a partition is then that of its bucket.
+    mixed = dealt.repartitionById(buckets, F.col("bucket")).groupBy("bucket").agg(F.shuffle(F.array_sort(F.collect_list("row")), seed).alias("rows"))
     placed = mixed.join(offsets, "bucket").select("offset", F.posexplode("rows").alias("at", "row"))
     place = F.col("offset") + F.col("at")
     return placed.select("row.record.*", F.pmod(place, F.lit(shards)).cast("int").alias("shard"), F.floor(place / shards).cast("long").alias("slot"))
