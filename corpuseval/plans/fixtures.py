@@ -75,4 +75,5 @@ def with_views(sql: str) -> str:
     sql = sql.strip()
     if not ctes:
         return sql
-    return f"with {', '.join(ctes)}{', ' + sql[5:] if sql[:5].lower() == 'with ' else ' ' + sql}"
+    start = next((s for s in ("with recursive ", "with ") if sql.lower().startswith(s)), "")
+    return f"{start or 'with '}{', '.join(ctes)}{', ' if start else ' '}{sql[len(start):]}"

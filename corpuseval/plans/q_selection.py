@@ -193,34 +193,34 @@ def _(s, d):
 
 
 def _year_counts(s, d):
-    return articles(s, d).where("journal is not null").groupBy("journal", F.col("published_year").cast("int").alias("year")).agg(F.count("*").alias("n"))
+    return articles(s, d).groupBy(F.col("subject").alias("journal"), F.col("published_year").cast("int").alias("year")).agg(F.count("*").alias("n"))
 
 
-_YEARS = "y as (select journal, published_year::int as year, count(*) as n from articles where journal is not null group by 1, 2)"
+_YEARS = "y as (select subject as journal, published_year::int as year, count(*) as n from articles group by 1, 2)"
 _DECAY = f"""
-with recursive {_YEARS}, cur as (select journal, least(coalesce(sum(n) filter (where year = 2025), 0), 4)::bigint as first from y group by journal),
+with recursive {_YEARS}, cur as (select journal, least(coalesce(sum(n) filter (where year = 2025), 0), 60)::bigint as first from y group by journal),
 o as (select y.journal, year, n, row_number() over (partition by y.journal order by year desc) as i, first from y join cur on y.journal = cur.journal where year <> 2025),
 at1 as (select c.journal, any_value(c.first) + coalesce(sum(least(floor(o.first * 1.0)::bigint, o.n)), 0) as total from cur c left join o on c.journal = o.journal group by c.journal),
 step as (select journal, 0 as k, 0.5::double as lo, 1.0::double as hi, 1.0::double as best, false as done from cur
  union all
- select s.journal, s.k + 1, case when not s.done and e.t < 8 then (s.lo + s.hi) / 2 else s.lo end, case when not s.done and e.t >= 8 then (s.lo + s.hi) / 2 else s.hi end, case when s.done then s.best else (s.lo + s.hi) / 2 end, s.done or abs(e.t - 8) <= 1
+ select s.journal, s.k + 1, case when not s.done and e.t < 60 then (s.lo + s.hi) / 2 else s.lo end, case when not s.done and e.t >= 60 then (s.lo + s.hi) / 2 else s.hi end, case when s.done then s.best else (s.lo + s.hi) / 2 end, s.done or abs(e.t - 60) <= 1
  from step s join lateral (select coalesce(sum(least(floor(o.first * pow((s.lo + s.hi) / 2, o.i))::bigint, o.n)), 0) + max(c.first) as t from cur c left join o on o.journal = c.journal where c.journal = s.journal) e on true where s.k < 50),
-dd as (select step.journal, case when at1.total <= 8 then 1.0 else best end as d from step join at1 on at1.journal = step.journal where k = 50)
+dd as (select step.journal, case when at1.total <= 60 then 1.0 else best end as d from step join at1 on at1.journal = step.journal where k = 50)
 select o.journal, o.year::bigint as year, least(floor(o.first * pow(dd.d, o.i))::bigint, o.n)::bigint as quota from o join dd on dd.journal = o.journal
 union all select journal, 2025, first from cur where first > 0"""
 
 
-@query("f8_year_quota_decay")
+@query("f8_year_quota_decay", _DECAY)
 def _(s, d):
-    return qt.year_quota_decay(_year_counts(s, d), 8, 2025)
+    return qt.year_quota_decay(_year_counts(s, d), 60, 2025)
 
 
 @query("f9_year_quota_weight", f"""
-with {_YEARS}, w as (select *, pow(0.8, 2025 - year) as w from y), q as (select *, least(floor(20 * w / sum(w) over (partition by journal))::bigint, n) as quota from w),
-r as (select *, greatest(20 - sum(quota) over (partition by journal), 0) as rest, coalesce(sum(n - quota) over (partition by journal order by year desc rows between unbounded preceding and 1 preceding), 0) as before from q)
+with {_YEARS}, w as (select *, pow(0.8, 2025 - year) as w from y), q as (select *, least(floor(100 * w / sum(w) over (partition by journal))::bigint, n) as quota from w),
+r as (select *, greatest(100 - sum(quota) over (partition by journal), 0) as rest, coalesce(sum(n - quota) over (partition by journal order by year desc rows between unbounded preceding and 1 preceding), 0) as before from q)
 select journal, year, n, (quota + least(n - quota, greatest(0, rest - before)))::bigint as quota from r""")
 def _(s, d):
-    return qt.year_quota_weight(_year_counts(s, d), 20, 2025, 0.8)
+    return qt.year_quota_weight(_year_counts(s, d), 100, 2025, 0.8)
 
 
 @query("f10_size_factor")
