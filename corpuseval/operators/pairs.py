@@ -5,24 +5,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuseval.functions.labels import TIERS, tier_distance, tier_number
+from corpuseval.functions.labels import TIERS, tier_distance
+from corpuseval.operators.reshape import number_rows
 from corpuseval.operators.sampling import draw, top_per_group
 
 PAIR_TYPES = tuple((a, b) for i, b in enumerate(TIERS) for a in TIERS[i + 1 :])  # lower tier first
 
 
-def sample_pairs(items: DataFrame, n: int, seed: int, key: str, tier: str, per_item: int | None = None) -> DataFrame:
+def sample_pairs(items: DataFrame, n: int, seed: int, key: str, tier: str) -> DataFrame:
     """D9, F14. Up to ``n`` random pairs of each pair type, as (pair_type, key_a, key_b), the lower tier first.
 
-    Only the products of two tiers' first items in the random order are formed. Any n pairs of a uniform draw need at most n items of a
-    side, so each side sends ``per_item`` (default n) items by md5 of its own key before the pairs are drawn, and the pairs of a type are at
-    most n x n whatever the size of a tier.
+    The product of two tiers is never formed. Items are numbered within their tier, pairs are numbered by the two numbers, and a few
+    times n pair numbers are drawn by md5 and made distinct, or all of them if there are not more; the first n in a random order are joined
+    with the items. Every set of n pairs is equally likely.
     """
-    side = top_per_group(items.where(F.col(tier).isin(*TIERS)).select(F.col(key).alias("key"), F.col(tier).alias("tier")), ["tier"], [draw(seed, "key"), F.col("key")], per_item or n)
-    types = items.sparkSession.createDataFrame([(f"{a}_{b}", a, b) for a, b in PAIR_TYPES], "pair_type string, a string, b string")
-    a = side.join(types, side["tier"] == types["a"]).select("pair_type", F.col("key").alias("key_a"))
-    b = side.join(types, side["tier"] == types["b"]).select("pair_type", F.col("key").alias("key_b"))
-    return top_per_group(a.join(b, "pair_type"), ["pair_type"], [draw(seed, "key_a", "key_b"), F.col("key_a"), F.col("key_b")], n)
+    spark, draws = items.sparkSession, 4 * n + 64
+    known = items.where(F.col(tier).isin(*TIERS)).select(F.col(key).alias("key"), F.col(tier).alias("tier"))
+    numbered = number_rows(known, "tier", "key")
+    sizes = numbered.groupBy("tier").agg(F.min("row_no").alias("start"), F.count("*").alias("size"))
+    placed = numbered.join(sizes, "tier").select("tier", "key", (F.col("row_no") - F.col("start")).alias("at"))
+    types = spark.createDataFrame([(f"{a}_{b}", a, b) for a, b in PAIR_TYPES], "pair_type string, a string, b string")
+    side = lambda t: sizes.select(F.col("tier").alias(t), F.col("size").alias(f"n_{t}"))
+    each = types.join(side("a"), "a").join(side("b"), "b").withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    product = F.col("n_a") * F.col("n_b")
+    drawn = F.conv(F.substring(draw(seed, "pair_type", "j"), 1, 15), 16, 10).cast("long") % product
+    numbers = each.where((product > draws) | (F.col("j") < product)).select("pair_type", "a", "b", "n_b", F.when(product > draws, drawn).otherwise(F.col("j")).alias("number")).distinct()
+    chosen = top_per_group(numbers, ["pair_type"], [draw(seed, "pair_type", "number"), F.col("number")], n)
+    asked = chosen.select("pair_type", "a", "b", F.floor(F.col("number") / F.col("n_b")).alias("at_a"), (F.col("number") % F.col("n_b")).alias("at_b"))
+    of = lambda t: placed.select(F.col("tier").alias(t), F.col("at").alias(f"at_{t}"), F.col("key").alias(f"key_{t}"))
+    return asked.join(of("a"), ["a", "at_a"]).join(of("b"), ["b", "at_b"]).select("pair_type", "key_a", "key_b")
 
 
 def assign_position(pairs: DataFrame, seed: int, a: str = "key_a", b: str = "key_b") -> DataFrame:
@@ -50,5 +61,3 @@ def judge_pairs(df: DataFrame, answer: str = "prediction") -> DataFrame:
     fail = ~F.coalesce(told.isin("first", "second"), F.lit(False))
     return df.withColumn("alignment_fail", fail).withColumn("is_correct", ~fail & (told == F.col("correct_position")))
 
-
-__all__ = ["PAIR_TYPES", "assign_position", "attach_texts", "judge_pairs", "pair_messages", "sample_pairs", "tier_number"]

@@ -83,7 +83,12 @@ def _(s, d):
 
 
 _ITEMS = f"items as (select id as key, {rank_sql('rank_raw')} as tier from articles)"
-_DRAWN = f"{_ITEMS}, side as (select * from (select key, tier, row_number() over (partition by tier order by md5('32:' || key), key) as nth from items where tier is not null) where nth <= 50), lv as (select unnest(['exceptional', 'strong', 'fair', 'limited']) as tier, unnest([0, 1, 2, 3]) as lvl), pairs as (select a.tier || '_' || b.tier as pair_type, a.key as key_a, b.key as key_b from side a join lv la on a.tier = la.tier join lv lb on lb.lvl < la.lvl join side b on b.tier = lb.tier), drawn as (select * exclude (nth) from (select *, row_number() over (partition by pair_type order by md5('32:' || key_a || ':' || key_b), key_a, key_b) as nth from pairs) where nth <= 50)"
+_DRAWN = f"""{_ITEMS}, n as (select key, tier, row_number() over (partition by tier order by key) - 1 as at from items where tier is not null), sz as (select tier, count(*) as m from n group by tier),
+lv as (select unnest(['exceptional', 'strong', 'fair', 'limited']) as tier, unnest([0, 1, 2, 3]) as lvl),
+ty as (select la.tier || '_' || lb.tier as pair_type, la.tier as a, lb.tier as b, sa.m * sb.m as p, sb.m as mb from lv la join lv lb on lb.lvl < la.lvl join sz sa on sa.tier = la.tier join sz sb on sb.tier = lb.tier),
+nums as (select distinct pair_type, a, b, mb, case when p > 264 then cast('0x' || substr(md5('32:' || pair_type || ':' || j), 1, 15) as bigint) % p else j end as number from ty cross join (select unnest(range(264)) as j) where p > 264 or j < p),
+top as (select * from (select *, row_number() over (partition by pair_type order by md5('32:' || pair_type || ':' || number), number) as nth from nums) where nth <= 50),
+drawn as (select pair_type, x.key as key_a, y.key as key_b from top join n x on x.tier = a and x.at = number // mb join n y on y.tier = b and y.at = number % mb)"""
 
 
 def _pairs(s, d):
