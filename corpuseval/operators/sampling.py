@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpuseval.operators.reshape import number_rows
+
 
 def draw(seed: int, *keys: str | Column) -> Column:
     """The key of a uniform order."""
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *(F.col(k).cast("string") if isinstance(k, str) else k.cast("string") for k in keys)))
 
 
-def top_per_group(df: DataFrame, groups: Sequence[str], order: Sequence[Column], n: int | Column) -> DataFrame:
+def top_per_group(df: DataFrame, groups: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
     nth = F.row_number().over(Window.partitionBy(*groups).orderBy(*order))
     return df.withColumn("_nth", nth).where(F.col("_nth") <= n).drop("_nth")
 
@@ -33,32 +36,42 @@ def seeded_shuffle(df: DataFrame, seed: int, key: str) -> DataFrame:
     return df.orderBy(draw(seed, key), key)
 
 
-def mark_fraction(df: DataFrame, hit: Column, fraction: float, column: str, value: str, seed: int, key: str, groups: Sequence[str] = ()) -> DataFrame:
-    """F5. Exactly floor(n x fraction) of the matching rows (of each group) get a new value."""
+def mark_fraction(df: DataFrame, hit: Column, fraction: float, column: str, value: str, seed: int, key: str) -> DataFrame:
+    """F5. Exactly floor(n x fraction) of the n matching rows get a new value.
+
+    Matching rows are numbered by ranges of the random order, so no task ranks them all.
+    """
     if not 0 < fraction <= 1:
         raise ValueError("fraction is over 0 and at most 1")
     hit = F.coalesce(hit, F.lit(False))
-    w = Window.partitionBy(*groups, hit)
-    chosen = hit & (F.row_number().over(w.orderBy(draw(seed, key), key)) <= F.floor(F.count("*").over(w) * F.lit(fraction)))
-    return df.withColumn("_chosen", chosen).withColumn(column, F.when(F.col("_chosen"), F.lit(value)).otherwise(F.col(column))).drop("_chosen")
+    numbered = number_rows(df.where(hit).withColumn("_draw", draw(seed, key)), "_draw", key)
+    chosen = F.col("row_no") <= math.floor(df.where(hit).count() * fraction)
+    marked = numbered.withColumn(column, F.when(chosen, F.lit(value)).otherwise(F.col(column))).select(*df.columns)
+    return df.where(~hit).unionByName(marked)
 
 
 def top_up_split(df: DataFrame, groups: Sequence[str], n: int, seed: int, key: str, split: str = "split", strict: bool = True) -> DataFrame:
-    """F6. Each group's validate rows filled up to ``n``, all others train; ``strict`` raises where a group is too small."""
-    w = Window.partitionBy(*groups)
-    have = F.count_if(F.col(split) == "validate").over(w)
+    """F6. Each group's validate rows filled up to ``n``, all others train; ``strict`` raises where a group is too small.
+
+    Only the first ``n`` candidates of a group are ranked; the rows that are promoted are joined back by ``key``.
+    """
     is_validate = F.coalesce(F.col(split) == "validate", F.lit(False))
-    place = F.row_number().over(Window.partitionBy(*groups, is_validate).orderBy(draw(seed, key), key))
-    rows = df.withColumn("_have", have).withColumn("_place", place).withColumn("_all", F.count("*").over(w)).withColumn("_is", is_validate)
-    new = F.when(F.col("_is") | (F.col("_place") <= n - F.col("_have")), "validate").otherwise("train")
-    if strict:
-        new = F.when(F.col("_all") < n, F.raise_error(F.lit("a group has fewer rows than are asked for")).cast("string")).otherwise(new)
-    return rows.withColumn(split, new).drop("_have", "_place", "_all", "_is")
+    counts = df.groupBy(*groups).agg(F.count_if(is_validate).alias("_have"), F.count("*").alias("_all"))
+    if strict and counts.where(F.col("_all") < n).take(1):
+        raise ValueError("a group has fewer rows than are asked for")
+    order = Window.partitionBy(*groups).orderBy(draw(seed, key), key)
+    ranked = df.where(~is_validate).select(*groups, key).withColumn("_nth", F.row_number().over(order)).where(F.col("_nth") <= n)
+    promoted = ranked.join(counts, list(groups)).where(F.col("_nth") <= n - F.col("_have")).select(key, F.lit(True).alias("_up"))
+    new = F.when(is_validate | F.col("_up"), "validate").otherwise("train")
+    return df.join(promoted, key, "left").withColumn(split, new).select(*df.columns)
 
 
 def sample_by_quota(df: DataFrame, quotas: DataFrame, keys: Sequence[str], seed: int, key: str) -> DataFrame:
     """F11. As many random rows of each group as its ``quota`` says."""
-    return top_per_group(df.join(quotas.select(*keys, "quota"), list(keys)), keys, [draw(seed, key), F.col(key)], F.col("quota")).drop("quota")
+    most = quotas.agg(F.max("quota")).first()[0] or 0  # a literal bound lets each task cut its groups before the shuffle
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(draw(seed, key), key))
+    rows = df.join(quotas.select(*keys, "quota"), list(keys)).withColumn("_nth", nth)
+    return rows.where((F.col("_nth") <= int(most)) & (F.col("_nth") <= F.col("quota"))).drop("_nth", "quota")
 
 
 def cap_sample(df: DataFrame, cap: int, seed: int, key: str) -> DataFrame:
