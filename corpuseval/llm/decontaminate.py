@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuseval.llm import _text
+from corpuseval.llm._session import text_batches
 
 WIDTH = 10
 #: Windows that are broadcast at once: about 200 bytes each.
@@ -133,7 +134,7 @@ def _scan(docs: DataFrame, windows: list[tuple[str, str]], keys: list[str], text
 
     kinds = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keys)
     schema = f"{kinds}, n_words int, hits {_SPANS}, items array<string>" + (", cleaned string" if clean else "")
-    return docs.select(*keys, F.col(text_col).cast("string")).mapInArrow(run, schema)
+    return text_batches(docs).select(*keys, F.col(text_col).cast("string")).mapInArrow(run, schema)
 
 
 def _joined_spans(spans: F.Column) -> F.Column:
@@ -176,3 +177,21 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         (n_hit > 0).alias("contaminated"),
     )
+
+
+def _words_sql(table: str, key: str) -> str:
+    lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"select {key} as id, list_filter(regexp_split_to_array({lower}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') as ws from {table}"
+
+
+OP8_SQL = f"""
+with d as ({_words_sql("documents", "doc_id")}), b as ({_words_sql("benchmark", "item_id")}),
+items as (select distinct id as item, least(10, len(ws)) as size, array_to_string(ws[i:i + least(10, len(ws)) - 1], ' ') as k from (select id, ws, unnest(range(1, greatest(len(ws) - 9, 1) + 1)) as i from b where len(ws) > 0)),
+sizes as (select distinct size from items),
+windows as (select id, i, size, array_to_string(ws[i:i + size - 1], ' ') as k from (select id, ws, size, unnest(range(1, len(ws) - size + 2)) as i from d cross join sizes where len(ws) >= size)),
+found as (select windows.id, windows.i, windows.size, items.item from windows join items on items.size = windows.size and items.k = windows.k),
+hit as (select id, count(distinct j) as n from (select id, unnest(range(i, i + size)) as j from found) group by id),
+named as (select id, count(*) as n, string_agg(name, ',' order by name) as names from (select distinct id, cast(item as varchar) as name from found) group by id)
+select d.id as doc_id, len(ws)::bigint as n_words, coalesce(hit.n, 0)::bigint as n_hit, coalesce(named.n, 0)::bigint as n_items, sha256(coalesce(names, '')) as items_sha256, coalesce(hit.n, 0) > 0 as contaminated
+from d left join hit on hit.id = d.id left join named on named.id = d.id
+"""

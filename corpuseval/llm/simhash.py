@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuseval.llm._components import components
-from corpuseval.llm._session import stored
+from corpuseval.llm._session import stored, text_batches
 
 SHINGLE = 3
 MAX_BITS = 3
@@ -65,7 +65,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id"
                 texts = pc.cast(pc.fill_null(part.column(1), ""), pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([_fingerprint(t.as_py(), shingle) for t in texts], pa.int64())], names=[id_col, "fp"])
 
-    return docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, fp long")
+    return text_batches(docs).select(id_col, F.col(text_col).cast("string")).mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, fp long")
 
 
 def _golay() -> tuple[np.ndarray, np.ndarray]:
@@ -146,8 +146,8 @@ def spanning_links(fps: np.ndarray, bits: int) -> list[tuple[np.ndarray, np.ndar
     return out
 
 
-def _links_of_sorted(keys: np.ndarray, fps: np.ndarray, bits: int) -> tuple[list, list]:
-    """Links within the runs of equal keys; runs of more than LARGE are returned as they are."""
+def _links_of_sorted(keys: np.ndarray, fps: np.ndarray, bits: int, large: int) -> tuple[list, list]:
+    """Links within the runs of equal keys; runs of more than ``large`` are returned as they are."""
     bounds = np.concatenate(([0], np.flatnonzero(np.diff(keys)) + 1, [len(keys)]))
     sizes = np.diff(bounds)
     small = np.repeat(sizes <= 16, sizes)
@@ -163,14 +163,14 @@ def _links_of_sorted(keys: np.ndarray, fps: np.ndarray, bits: int) -> tuple[list
         found.append((fps[near], fps[near + step]))
     for k in np.flatnonzero(sizes > 16):
         part = fps[bounds[k] : bounds[k + 1]]
-        if len(part) > LARGE:
+        if len(part) > large:
             left.append((keys[bounds[k]], part))
         else:
             found += spanning_links(part, bits)
     return found, left
 
 
-def _links(keyed: DataFrame, bits: int) -> DataFrame:
+def _links(keyed: DataFrame, bits: int, large: int = LARGE) -> DataFrame:
     """``a``, ``b``: linked fingerprints; or, where ``n`` is not null, fingerprint ``a`` of key ``b`` that n share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,16 +194,16 @@ def _links(keyed: DataFrame, bits: int) -> DataFrame:
             keys, fps = np.concatenate([*held_keys, keys]), np.concatenate([*held, fps])
             cut = int(np.searchsorted(keys, keys[-1]))
             held_keys, held = [keys[cut:]], [fps[cut:]]
-            yield batch_of(*_links_of_sorted(keys[:cut], fps[:cut], bits))
+            yield batch_of(*_links_of_sorted(keys[:cut], fps[:cut], bits, large))
         if held:
-            yield batch_of(*_links_of_sorted(np.concatenate(held_keys), np.concatenate(held), bits))
+            yield batch_of(*_links_of_sorted(np.concatenate(held_keys), np.concatenate(held), bits, large))
 
     return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long, n long")
 
 
-def _links_of_blocks(left: DataFrame, bits: int) -> DataFrame:
+def _links_of_blocks(left: DataFrame, bits: int, large: int = LARGE) -> DataFrame:
     """Links within keys that very many fingerprints share: a group for each pair of blocks."""
-    blocks = F.ceil(F.col("n") * 2 / LARGE).cast("int")
+    blocks = F.ceil(F.col("n") * 2 / large).cast("int")
     rows = left.select("b", F.col("a").alias("fp"), blocks.alias("blocks"), F.pmod(F.xxhash64("a"), blocks).cast("int").alias("own"))
     pairs = rows.select("b", "fp", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     pairs = pairs.select("b", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp")
