@@ -33,7 +33,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     named = docs.where("doc_id is not null").select(*columns)
     found = simhash.near_duplicates(named)
     kept = found.where("doc_id = component").select("doc_id").distinct()
-    return named.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(*columns).unionByName(docs.where("doc_id is null").select(*columns))
+    rest = named.join(kept, "doc_id", "left_semi")
+    if named.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").take(1):
+        rest = rest.dropDuplicates(["doc_id", "text"])
+    return rest.select(*columns).unionByName(docs.where("doc_id is null").select(*columns))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
