@@ -55,3 +55,14 @@ def text_batches(df: DataFrame) -> DataFrame:
     if int(conf.get(BATCH)) > TEXT_ROWS:
         conf.set(BATCH, str(TEXT_ROWS))
     return df
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan of fewer partitions than the cluster has cores, dealt out evenly; any larger scan as it is, without a shuffle."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
+def read_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and whole texts of ``documents``."""
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))

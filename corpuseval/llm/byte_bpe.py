@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuseval.llm._session import text_batches
+from corpuseval.llm._session import read_texts, text_batches
 
 #: Bytes are shown to SentencePiece as the characters from this code on.
 _FIRST_CHARACTER = 0x100
@@ -205,5 +205,5 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
         ranks = f.read()
-    done = decode(encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), ranks, public_tokenizers.PATTERN, split_at_spaces=True), ranks)
+    done = decode(encode(read_texts(spark, sf_dir), ranks, public_tokenizers.PATTERN, split_at_spaces=True), ranks)
     return done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuseval.llm import _text
-from corpuseval.llm._session import text_batches
+from corpuseval.llm._session import read_texts, text_batches
 
 WIDTH = 10
 #: Windows that are broadcast at once: about 200 bytes each.
@@ -167,7 +167,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = find_contamination(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    found = find_contamination(read_texts(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda n, run: n + run["last"] - run["first"] + 1)
     return found.select(
         "doc_id",

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpuseval.llm import _text
-from corpuseval.llm._session import text_batches
+from corpuseval.llm._session import read_texts, text_batches
 
 #: The sample of each language: texts, and symbols of all of them.
 SAMPLE_TEXTS = 200
@@ -192,5 +192,5 @@ def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",),
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 3
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("held_out", fold == 1)
-    return identify(docs, train(docs.where(~F.col("held_out"))), ("doc_id", "held_out"))
+    labelled = spark.read.parquet(f"{sf_dir}/documents.parquet").where(fold != 1)
+    return identify(read_texts(spark, sf_dir).withColumn("held_out", fold == 1), train(labelled), ("doc_id", "held_out"))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuseval.llm import _text
-from corpuseval.llm._session import stored, text_batches
+from corpuseval.llm._session import read_texts, stored, text_batches
 
 FEATURES = 192
 WIDTH = 2.5  # of the kernel, in standard deviations
@@ -224,10 +224,10 @@ def learnt_fold(id_col: str = "doc_id") -> F.Column:
 def train_on_tables(spark: SparkSession, sf_dir: str) -> Model:
     """A model of the labelled documents of the folds that may teach."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality").where(learnt_fold())
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").where(learnt_fold())
+    docs = read_texts(spark, sf_dir).where(learnt_fold())
     return train(docs, labels)
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", (~learnt_fold()).alias("held_out"))
+    docs = read_texts(spark, sf_dir).withColumn("held_out", ~learnt_fold())
     return score(docs, train_on_tables(spark, sf_dir), ("doc_id", "held_out"))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuseval.llm import _text
-from corpuseval.llm._session import text_batches
+from corpuseval.llm._session import read_texts, text_batches
 
 WINDOW = 13
 PERIOD = 7
@@ -275,7 +275,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    found = remove_repeats(read_texts(spark, sf_dir))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
