@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpuseval.llm._session import stored
+
 #: Levels of the tree; deeper segments do not count.
 DEPTH = 3
 #: A segment stays literal from this share of its parent's urls on, and from this number.
@@ -56,6 +58,7 @@ def _templates(rows: DataFrame, depth: int) -> DataFrame:
         counts = at.where("segment is not null").groupBy("host", "template", "segment").agg(F.count("*").alias("n"))
         totals = counts.groupBy("host", "template").agg(F.sum("n").alias("total"))
         literal = counts.join(totals, ["host", "template"]).where(F.col("n") >= F.greatest(F.lit(MIN_URLS), F.col("total") * MIN_SHARE)).select("host", "template", "segment", F.lit(True).alias("literal"))
+        literal = stored(literal, "segments")  # small, and the plan of the next level stays a chain of joins
         grown = F.concat("template", F.lit("/"), F.when(F.col("literal"), F.col("segment")).otherwise("*"))
         there = F.col("segment").isNotNull()
         at = at.join(literal, ["host", "template", "segment"], "left")
@@ -67,7 +70,7 @@ def judge(pages: DataFrame, rules=RULES, depth: int = DEPTH, id_col: str = "page
     """``id_col``, ``host``, ``path``, ``rule``, ``verdict``, ``template`` and ``purity`` of every row."""
     host, path = host_and_path(F.col(url_col))
     rows = pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path"))
-    rows = _templates(rows.withColumn("fit", rule_of(F.col("host"), F.col("path"), rules)), depth)
+    rows = stored(_templates(rows.withColumn("fit", rule_of(F.col("host"), F.col("path"), rules)), depth), "templates")
     labels = rows.groupBy("host", "parent", "template").agg(F.count("fit").alias("n"), F.count_if(F.col("fit.action") == "block").alias("bad"))
     whole = labels.groupBy("host", "parent").agg(F.sum("n").alias("all_n"), F.sum("bad").alias("all_bad"))
     overall = rows.agg(F.try_divide(F.count_if(F.col("fit.action") == "block"), F.count("fit"))).first()[0] or 0.0
