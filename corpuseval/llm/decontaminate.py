@@ -5,9 +5,10 @@ consecutive words of a benchmark item; an item of fewer words, but not none, is
 document is scanned once: its windows are hashed, those in the set are compared word by word with the item's
 window, and the words inside any true occurrence are hit.
 
-The benchmark's windows are collected only after their size has been counted.  Beyond ``max_windows`` the
-benchmark is taken in blocks of that size, each one scan of the documents, and the marks are joined afterwards
-by row, so any size of benchmark gives the same result.
+The benchmark's windows are collected only after their size has been counted.  Beyond ``max_windows`` the rows get
+numbers and are written once; distinct windows are taken in blocks of at most about that size, each one scan of the
+rows, and what is found is joined by row number.  Items are joined to the windows found, so that they are never
+broadcast.  Any size of benchmark gives the same rows, whatever ids repeat or are null.
 
 Null text has no words.  Null items give no windows; items with equal words each count.  Repeated rows are judged
 alike, and only the columns named are read, so further columns cannot clash.
@@ -16,7 +17,6 @@ alike, and only the columns named are read, so further columns cannot clash.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,13 +24,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuseval.llm import _text
-from corpuseval.llm._session import read_texts, text_batches
+from corpuseval.llm._session import read_texts, scratch, stored, text_batches
 
 WIDTH = 10
 #: Windows that are broadcast at once: about 200 bytes each.
 MAX_WINDOWS = 200_000
 _SPANS = "array<struct<first:int,last:int>>"
 _FILTER_BITS = 20
+_ROW, _FOUND = "__row", "__found"  # columns of a benchmark of several blocks
 
 
 def normalised_words(column: F.Column) -> F.Column:
@@ -105,9 +106,31 @@ def _without(text: bytes, starts: np.ndarray, ends: np.ndarray, hit: np.ndarray)
     return b"".join([*parts, text[low:]])
 
 
-def _scan(docs: DataFrame, windows: list[tuple[str, str]], keys: list[str], text_col: str, clean: bool) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(_Windows(windows))
+def _marked(columns: list[pa.Array], names: list[str], texts: pa.Array, raw: np.ndarray, offsets: np.ndarray, words: tuple, hit: np.ndarray, items: list[list[str]], clean: bool) -> pa.RecordBatch:
+    """The rows of a slice with ``n_words``, ``hits``, ``items`` and perhaps ``cleaned``."""
+    starts, ends, first = words
+    touched = set(_text.row_of(first)[hit].tolist())
+    runs = [_runs(hit[first[k] : first[k + 1]]) if k in touched else [] for k in range(len(texts))]
     spans = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
+    columns = [*columns, pa.array(np.diff(first), pa.int32()), pa.array(runs, spans), pa.array(items, pa.list_(pa.string()))]
+    names = [*names, "n_words", "hits", "items"]
+    if clean:
+        kept = texts.to_pylist()
+        for k in touched:
+            at = slice(first[k], first[k + 1])
+            kept[k] = _without(raw[offsets[k] : offsets[k + 1]].tobytes(), starts[at] - offsets[k], ends[at] - offsets[k], hit[at]).decode()
+        columns.append(pa.array(kept, texts.type))
+        names.append("cleaned")
+    return pa.RecordBatch.from_arrays(columns, names=names)
+
+
+def _schema(docs: DataFrame, keys: list[str], clean: bool) -> str:
+    kinds = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keys)
+    return f"{kinds}, n_words int, hits {_SPANS}, items array<string>" + (", cleaned string" if clean else "")
+
+
+def _scan(docs: DataFrame, shared, keys: list[str], text_col: str, clean: bool) -> DataFrame:
+    """Every row marked by the windows that ``shared`` broadcasts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, table, lower = shared.value, _text.alphanumeric(), _text.lower_ascii()
@@ -115,55 +138,64 @@ def _scan(docs: DataFrame, windows: list[tuple[str, str]], keys: list[str], text
             texts = batch.column(len(keys))
             for low, high, raw, offsets in _text.slices(texts):
                 data = lower[raw]
-                starts, ends, first = _text.words(data, offsets, table)
-                hit, items = known.scan(data, offsets, starts, ends, first)
-                any_hit = set(items)
-                columns = [*(c.slice(low, high - low) for c in batch.columns[: len(keys)]), pa.array(np.diff(first), pa.int32())]
-                columns.append(pa.array([_runs(hit[first[k] : first[k + 1]]) if k in any_hit else [] for k in range(high - low)], spans))
-                columns.append(pa.array([sorted(known.items[i] for i in items[k]) if k in any_hit else [] for k in range(high - low)], pa.list_(pa.string())))
-                names = [*keys, "n_words", "hits", "items"]
-                if clean:
-                    text = texts.slice(low, high - low)
-                    kept = text.to_pylist()
-                    for k in any_hit:
-                        at = slice(first[k], first[k + 1])
-                        kept[k] = _without(raw[offsets[k] : offsets[k + 1]].tobytes(), starts[at] - offsets[k], ends[at] - offsets[k], hit[at]).decode()
-                    columns.append(pa.array(kept, text.type))
-                    names.append("cleaned")
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+                words = _text.words(data, offsets, table)
+                hit, items = known.scan(data, offsets, *words)
+                found = [sorted(known.items[i] for i in items.get(k, ())) for k in range(high - low)]
+                yield _marked([c.slice(low, high - low) for c in batch.columns[: len(keys)]], keys, texts.slice(low, high - low), raw, offsets, words, hit, found, clean)
+
+    return text_batches(docs).select(*keys, F.col(text_col).cast("string")).mapInArrow(run, _schema(docs, keys, clean))
 
-    kinds = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keys)
-    schema = f"{kinds}, n_words int, hits {_SPANS}, items array<string>" + (", cleaned string" if clean else "")
-    return text_batches(docs).select(*keys, F.col(text_col).cast("string")).mapInArrow(run, schema)
 
+def _scan_blocks(rows: DataFrame, windows: DataFrame, blocks: int, text_col: str) -> DataFrame:
+    """``_ROW``, ``hits`` and ``items`` (numbers of windows) of the rows that each block hits; a row of several blocks repeats."""
+    spark, path = rows.sparkSession, scratch(rows.sparkSession, "marks")
+    for k in range(blocks):
+        block = windows.where(F.col("block") == k).select(F.col("number").cast("string"), "window").collect()
+        shared = spark.sparkContext.broadcast(_Windows([tuple(r) for r in block]))
+        found = _scan(rows, shared, [_ROW], text_col, False).where(F.size("hits") > 0).select(_ROW, "hits", "items")
+        found.write.mode("append").parquet(path)
+        shared.destroy()
+    return spark.read.schema(f"{_ROW} long, hits {_SPANS}, items array<string>").parquet(path)
 
-def _joined_spans(spans: F.Column) -> F.Column:
-    """Runs that overlap or touch as one."""
 
-    def add(done: F.Column, run: F.Column) -> F.Column:
-        last = F.element_at(done, -1)
-        grown = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(last["first"].alias("first"), F.greatest(last["last"], run["last"]).alias("last"))))
-        return F.when((F.size(done) > 0) & (F.try_element_at(done, F.lit(-1))["last"] + 1 >= run["first"]), grown).otherwise(F.concat(done, F.array(run)))
+def _join_marks(rows: DataFrame, keys: list[str], text_col: str, clean: bool) -> DataFrame:
+    """Every row marked by the spans ``_FOUND`` of all blocks and its ``items``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, lower = _text.alphanumeric(), _text.lower_ascii()
+        for batch in batches:
+            texts, found, items = batch.columns[len(keys) :]
+            for low, high, raw, offsets in _text.slices(texts):
+                words = _text.words(lower[raw], offsets, table)
+                hit = np.zeros(len(words[0]), dtype=bool)
+                for k, spans in enumerate(found.slice(low, high - low).to_pylist()):
+                    for span in spans:
+                        hit[words[2][k] + span["first"] : words[2][k] + span["last"] + 1] = True
+                yield _marked([c.slice(low, high - low) for c in batch.columns[: len(keys)]], keys, texts.slice(low, high - low), raw, offsets, words, hit, items.slice(low, high - low).to_pylist(), clean)
 
-    return F.aggregate(F.array_sort(spans), F.array().cast(_SPANS), add)
+    return text_batches(rows).select(*keys, F.col(text_col).cast("string"), _FOUND, "items").mapInArrow(run, _schema(rows, keys, clean))
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", clean: bool = False, max_windows: int = MAX_WINDOWS, carry: tuple[str, ...] = ()) -> DataFrame:
     """``id_col``, ``n_words``, ``hits`` (runs of hit words: first and last word, from 0) and ``items`` (found item ids, sorted).
 
-    ``clean`` adds ``cleaned``, the text without the hit words, and the columns ``carry``; both need a benchmark of one block.
+    ``clean`` adds ``cleaned``, the text without the hit words; ``carry`` names columns that are passed on.
     """
-    windows = benchmark_windows(benchmark, width, item_col, item_text_col)
-    total = windows.count()
-    blocks = max(1, -(-total // max_windows))
-    if blocks == 1:
-        return _scan(docs, [tuple(r) for r in windows.collect()], [id_col, *carry], text_col, clean)
-    if clean or carry:
-        raise ValueError("a benchmark of several blocks: remove spans by the hits of all blocks")
-    numbered = windows.withColumn("block", F.pmod(F.xxhash64("window"), F.lit(2 * blocks)))
-    parts = [_scan(docs, [tuple(r) for r in numbered.where(F.col("block") == k).select("item", "window").collect()], [id_col], text_col, False) for k in range(2 * blocks)]
-    marks = reduce(DataFrame.unionByName, parts)
-    return marks.groupBy(id_col).agg(F.max("n_words").alias("n_words"), _joined_spans(F.flatten(F.collect_list("hits"))).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    spark, keys = docs.sparkSession, [id_col, *carry]
+    windows = benchmark_windows(benchmark, width, item_col, item_text_col).where("item is not null")
+    if windows.count() <= max_windows:
+        return _scan(docs, spark.sparkContext.broadcast(_Windows([tuple(r) for r in windows.collect()])), keys, text_col, clean)
+    whole = stored(windows.groupBy("window").agg(F.collect_list("item").alias("names")).withColumn("number", F.monotonically_increasing_id()), "windows")
+    total = whole.count()
+    blocks = 1 if total <= max_windows else 2 * -(-total // max_windows)
+    whole = whole.withColumn("block", F.pmod(F.xxhash64("window"), F.lit(blocks)))
+    rows = stored(docs.select(*keys, text_col).withColumn(_ROW, F.monotonically_increasing_id()), "rows")
+    marks = _scan_blocks(rows, whole, blocks, text_col)
+    spans = marks.groupBy(_ROW).agg(F.flatten(F.collect_list("hits")).alias(_FOUND))
+    named = marks.select(_ROW, F.explode(F.col("items").cast("array<bigint>")).alias("number")).join(whole.select("number", F.explode("names").alias("name")), "number")
+    named = named.groupBy(_ROW).agg(F.array_sort(F.collect_set("name")).alias("items"))
+    found = rows.join(spans.join(named, _ROW), _ROW, "left")
+    return _join_marks(found.withColumn(_FOUND, F.coalesce(_FOUND, F.array().cast(_SPANS))).withColumn("items", F.coalesce("items", F.array().cast("array<string>"))), keys, text_col, clean)
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -145,6 +145,19 @@ def test_decontaminate_cleans(spark):
     assert got == {1: "keep this. ! And this.", 2: "clean  text", 3: None}
 
 
+def test_decontaminate_blocks_give_the_same_rows(spark):
+    """Repeated and null ids, one window of many items, cleaned texts and carried columns, whatever the number of blocks."""
+    docs = contaminated_docs()
+    docs += [(1000, "no hit at all"), (1000, f"again {ITEMS[0][1]}"), (None, ITEMS[4][1]), (None, "short item and more"), (None, None), (1000, "no hit at all")]
+    bench = spark.createDataFrame([*ITEMS, *((100 + k, "short item") for k in range(20))], "item_id long, text string")
+    df = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(docs)], DOCS + ", tag int")
+    got = [sorted(map(repr, decontaminate.find_contamination(df, bench, clean=True, max_windows=m, carry=("tag",)).collect())) for m in (decontaminate.MAX_WINDOWS, 15, 5, 1)]
+    assert len(got[0]) == len(docs) and sum("hits=[]" not in r for r in got[0]) > 20
+    assert all(g == got[0] for g in got[1:])
+    plain = [sorted(map(repr, decontaminate.find_contamination(df.select("doc_id", "text"), bench, max_windows=m).collect())) for m in (decontaminate.MAX_WINDOWS, 5)]
+    assert plain[0] == plain[1] and len(plain[0]) == len(docs)
+
+
 def test_sharding(spark):
     docs = texts(4, 333)
     df = spark.createDataFrame([(i, t, 1, "hot") for i, t in docs] + [(None, "x", 1, "hot")] * 3, "doc_id long, text string, slot int, source string")
