@@ -34,15 +34,13 @@ RUN = 256
 CERTAIN = 40
 UNKNOWN = "und"
 _SPACE = 1  # symbol; 0 is a letter that no sample holds
-_CODES = 0x3000  # letters from here on are one symbol for each text position, like unknown ones
+_CODES = 0x110000
+#: Cells of all languages' dense tables; larger alphabets have sorted transitions, with the same parse.
+DENSE_CELLS = 1 << 25
 
 
-def automaton(symbols: list[int], width: int) -> np.ndarray:
-    """Dense table ``state * width + symbol`` -> 4 * next state + phrases that end.
-
-    A phrase ends before a symbol that does not follow it in the sample; a symbol that the sample lacks is a phrase of its
-    own, after which the parse is at the root again.
-    """
+def _moves(symbols: list[int]) -> list[dict[int, int]]:
+    """Next states of each state of the suffix automaton by symbol."""
     links, lengths, moves, last = [-1], [0], [{}], 0
     for s in symbols:
         here = len(moves)
@@ -67,6 +65,19 @@ def automaton(symbols: list[int], width: int) -> np.ndarray:
                     moves[at][s] = twin
                     at = links[at]
         last = here
+    return moves
+
+
+def automaton(symbols: list[int], width: int) -> np.ndarray:
+    """Dense table ``state * width + symbol`` -> 4 * next state + phrases that end.
+
+    A phrase ends before a symbol that does not follow it in the sample; a symbol that the sample lacks is a phrase of its
+    own, after which the parse is at the root again.
+    """
+    return _dense(_moves(symbols), width)
+
+
+def _dense(moves: list[dict[int, int]], width: int) -> np.ndarray:
     table = np.zeros((len(moves), width), dtype=np.int32)
     for state, known in enumerate(moves):
         table[state, list(known)] = list(known.values())
@@ -76,19 +87,17 @@ def automaton(symbols: list[int], width: int) -> np.ndarray:
 
 
 def _letters() -> np.ndarray:
-    """For each code below the limit its lower-case letter, or 0 if it is none."""
-    out = np.zeros(_CODES + 1, dtype=np.int32)
+    """For each code its lower-case letter, or 0 if it is none."""
+    out = np.zeros(_CODES, dtype=np.int32)
     for code in range(_CODES):
-        low = chr(code).lower()
-        out[code] = ord(low[0]) if chr(code).isalpha() and ord(low[0]) < _CODES else 0
-    out[_CODES] = _CODES
+        if chr(code).isalpha():
+            out[code] = ord(chr(code).lower()[0])
     return out
 
 
 def _codes(text: bytes) -> np.ndarray:
-    """Code points of UTF-8; all that are not below the limit, letters or not, as the limit."""
-    raw = np.frombuffer(text.decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
-    return np.minimum(raw, _CODES).astype(np.int32)
+    """Code points of UTF-8."""
+    return np.frombuffer(text.decode("utf-8", "replace").encode("utf-32-le"), np.uint32).astype(np.int32)
 
 
 class Model:
@@ -97,13 +106,13 @@ class Model:
     def __init__(self, samples: dict[str, list[str]]):
         letters = _letters()
         cleaned = {lang: [letters[_codes(t.encode("utf-8", "replace"))] for t in texts] for lang, texts in sorted(samples.items())}
-        seen = sorted({int(c) for texts in cleaned.values() for t in texts for c in np.unique(t)} - {0, _CODES})
-        symbol = np.zeros(_CODES + 1, dtype=np.uint8 if len(seen) < 250 else np.int32)
+        seen = sorted({int(c) for texts in cleaned.values() for t in texts for c in np.unique(t)} - {0})
+        symbol = np.zeros(_CODES, dtype=np.uint8 if len(seen) < 250 else np.int32)
         symbol[0] = _SPACE
         symbol[seen] = np.arange(2, len(seen) + 2)
         self.symbols = symbol[letters]  # of each code
         self.width = len(seen) + 2
-        self.languages, tables, self.bits = [], [], []
+        self.languages, moves, self.bits = [], [], []
         for lang, texts in cleaned.items():
             parts, n = [], 0
             for t in texts:
@@ -114,11 +123,31 @@ class Model:
                     break
             joined = np.concatenate(parts) if parts else np.zeros(0, symbol.dtype)
             if (joined > _SPACE).any():
-                tables.append(automaton(joined.tolist(), self.width))
+                moves.append(_moves(joined.tolist()))
                 self.languages.append(lang)
                 self.bits.append(np.log2(len(joined) + 1))
-        self.offsets = np.cumsum([0, *(t.size for t in tables)])[:-1].astype(np.int32)
-        self.table = np.concatenate([t.ravel() for t in tables]) if tables else np.zeros(0, np.int32)
+        sizes = np.array([len(m) for m in moves], np.int64)
+        self.dense = int(sizes.sum()) * self.width <= DENSE_CELLS
+        if self.dense:
+            self.offsets = ((np.cumsum(sizes) - sizes) * self.width).astype(np.int32)
+            self.table = np.concatenate([_dense(m, self.width).ravel() for m in moves]) if moves else np.zeros(0, np.int32)
+            return
+        self.offsets = (np.cumsum(sizes) - sizes) * self.width
+        self.first = np.zeros((len(moves), self.width), np.int32)
+        for k, m in enumerate(moves):
+            self.first[k, list(m[0])] = list(m[0].values())
+        known = [(at + state * self.width + s, 4 * to) for at, m in zip(self.offsets.tolist(), moves, strict=True) for state, row in enumerate(m) for s, to in row.items()]
+        known = np.array(sorted(known), np.int64)
+        self.keys, self.table = known[:, 0].copy(), known[:, 1].astype(np.int32)
+
+    def move(self, state: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        """4 * next state + phrases that end, for each language (rows) and run."""
+        if self.dense:
+            return self.table[self.offsets[:, None] + state * self.width + symbols]
+        key = self.offsets[:, None] + state.astype(np.int64) * self.width + symbols
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        first = self.first[:, symbols]
+        return np.where(self.keys[at] == key, self.table[at], 4 * first + 1 + ((first == 0) & (state > 0)))
 
     @staticmethod
     def squeeze(symbols: np.ndarray) -> np.ndarray:
@@ -139,12 +168,11 @@ class Model:
         start, size, owner = start[order], size[order], owner[order]
         active = np.searchsorted(-size, -np.arange(RUN), "left")  # runs that are longer than each position
         state, count = np.zeros((len(self.languages), len(owner)), np.int32), np.zeros((len(self.languages), len(owner)), np.int32)
-        offsets = self.offsets[:, None]
         for k in range(RUN):
             m = int(active[k])
             if not m:
                 break
-            move = self.table[offsets + state[:, :m] * self.width + symbols[start[:m] + k]]
+            move = self.move(state[:, :m], symbols[start[:m] + k])
             count[:, :m] += move & 3
             state[:, :m] = move >> 2
         out = np.zeros((len(lengths), len(self.languages)), np.int64)

@@ -74,6 +74,22 @@ def test_language(spark):
     assert {r.lang_pred for r in language_id.identify(train, language_id.train(train.limit(0))).collect()} == {"und"}
 
 
+def test_language_letters_of_all_scripts(monkeypatch):
+    rng = random.Random(4)
+    scripts = {"ja": "あいうえおかきくけこ", "ko": "가나다라마바사아자차", "zh": [chr(0x4E00 + 3 * k) + chr(0x4E01 + 3 * k) + chr(0x4E02 + 3 * k) for k in range(200)], "en": "abcdefghij"}
+    text = lambda lang, n: "".join(rng.choice(scripts[lang]) for _ in range(n))
+    samples = {lang: [text(lang, 400) for _ in range(5)] for lang in scripts}
+    tests = [text(lang, 50) for lang in scripts] + ["\U0001F600 \U0001F680", "。、「」", "\u3000", "12 !?", text("ko", 3000) + "zq 日" + text("zh", 700)]
+    data = "".join(tests).encode()
+    offsets = np.cumsum([0, *(len(t.encode()) for t in tests)])
+    got = []
+    for cells in (1 << 25, 0):
+        monkeypatch.setattr(language_id, "DENSE_CELLS", cells)
+        got.append(language_id.Model(samples).predict(np.frombuffer(data, np.uint8), offsets))
+    assert got[0][0] == [*scripts, "und", "und", "und", "und", "ko"] and (got[0][1][4:8] == 0).all()
+    assert got[1][0] == got[0][0] and (got[1][1] == got[0][1]).all()
+
+
 def test_quality(spark):
     rng = random.Random(2)
     good = lambda: " ".join("".join(rng.choice("aeioulnrst") for _ in range(rng.randrange(2, 9))) for _ in range(60)) + "."
