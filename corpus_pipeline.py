@@ -28,14 +28,17 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that of the smallest id; equal rows count once. Rows of a null id stay."""
+    """One document of each group of near copies (5-word shingles, Jaccard similarity of 0.8 or more): that of the smallest id.
+
+    Rows equal in all columns count once; rows of the kept id and text that differ elsewhere stay, and so do rows of a null id.
+    """
     columns = _columns(docs)
-    named = docs.where("doc_id is not null").select(*columns)
-    found = simhash.near_duplicates(named)
-    kept = found.where("doc_id = component").select("doc_id").distinct()
-    rest = named.join(kept, "doc_id", "left_semi")
-    if named.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").take(1):
-        rest = rest.dropDuplicates(["doc_id", "text"])
+    found = stored(simhash.similar_texts(docs), "similar")
+    kept = found.where("doc_id = first_id and code = first_code").select(F.col("doc_id").alias("_id"), F.col("code").alias("_kept"), F.col("rows").alias("_rows"))
+    named = docs.where("doc_id is not null").select(*columns, simhash.text_code().alias("_code"))
+    rest = named.join(kept, (F.col("doc_id") == F.col("_id")) & (F.col("_code") == F.col("_kept")))
+    if kept.where("_rows > 1").take(1):
+        rest = rest.where("_rows = 1").select(*columns).unionByName(rest.where("_rows > 1").select(*columns).distinct())
     return rest.select(*columns).unionByName(docs.where("doc_id is null").select(*columns))
 
 

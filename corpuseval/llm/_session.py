@@ -38,19 +38,6 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
-#: Rows of whole texts that are sent to Python at once.
-TEXT_ROWS = 1_000
-
-
-def text_batches(df: DataFrame) -> DataFrame:
-    """The frame, with the session's Arrow batches small enough for rows of whole texts."""
-    conf = df.sparkSession.conf
-    if int(conf.get(BATCH)) > TEXT_ROWS:
-        conf.set(BATCH, str(TEXT_ROWS))
-    return df
-
-
 def spread(scan: DataFrame) -> DataFrame:
     """A scan of fewer partitions than the cluster has cores, dealt out evenly; any larger scan as it is, without a shuffle."""
     cores = scan.sparkSession.sparkContext.defaultParallelism

@@ -64,6 +64,12 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, in
         low = high
 
 
+def spans(column: pa.Array, limit: int = 4 * SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """(first row, row after the last) of runs of whole rows of about ``limit`` bytes."""
+    for low, high, _, _ in slices(column, limit):
+        yield low, high
+
+
 def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of all words, and for each row the index of its first word (one more than rows)."""
     inside = table[data]

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuseval.llm._session import read_texts, text_batches
+from corpuseval.llm._session import read_texts
 
 #: Bytes are shown to SentencePiece as the characters from this code on.
 _FIRST_CHARACTER = 0x100
@@ -180,7 +180,7 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id",
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.binary()), pa.array([len(x) // 4 for x in found], pa.int64())], names=[id_col, "ids", "n_tokens"])
 
     kind = docs.select(id_col).schema[0].dataType.simpleString()
-    return text_batches(docs).select(id_col, F.col(text_col).cast("string")).mapInArrow(run, f"`{id_col}` {kind}, ids binary, n_tokens long")
+    return docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, f"`{id_col}` {kind}, ids binary, n_tokens long")
 
 
 def decode(encoded: DataFrame, ranks: bytes) -> DataFrame:
@@ -197,7 +197,7 @@ def decode(encoded: DataFrame, ranks: bytes) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.binary())], names=[*part.schema.names, "decoded"])
 
     schema = ", ".join(f"`{c}` {encoded.schema[c].dataType.simpleString()}" for c in kept)
-    return text_batches(encoded).select(*kept).mapInArrow(run, f"{schema}, decoded binary")
+    return encoded.select(*kept).mapInArrow(run, f"{schema}, decoded binary")
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

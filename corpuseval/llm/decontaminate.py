@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuseval.llm import _text
-from corpuseval.llm._session import read_texts, scratch, stored, text_batches
+from corpuseval.llm._session import read_texts, scratch, stored
 
 WIDTH = 10
 #: Windows that are broadcast at once: about 200 bytes each.
@@ -143,7 +143,7 @@ def _scan(docs: DataFrame, shared, keys: list[str], text_col: str, clean: bool)
                 found = [sorted(known.items[i] for i in items.get(k, ())) for k in range(high - low)]
                 yield _marked([c.slice(low, high - low) for c in batch.columns[: len(keys)]], keys, texts.slice(low, high - low), raw, offsets, words, hit, found, clean)
 
-    return text_batches(docs).select(*keys, F.col(text_col).cast("string")).mapInArrow(run, _schema(docs, keys, clean))
+    return docs.select(*keys, F.col(text_col).cast("string")).mapInArrow(run, _schema(docs, keys, clean))
 
 
 def _scan_blocks(rows: DataFrame, windows: DataFrame, blocks: int, text_col: str) -> DataFrame:
@@ -173,7 +173,7 @@ def _join_marks(rows: DataFrame, keys: list[str], text_col: str, clean: bool) ->
                         hit[words[2][k] + span["first"] : words[2][k] + span["last"] + 1] = True
                 yield _marked([c.slice(low, high - low) for c in batch.columns[: len(keys)]], keys, texts.slice(low, high - low), raw, offsets, words, hit, items.slice(low, high - low).to_pylist(), clean)
 
-    return text_batches(rows).select(*keys, F.col(text_col).cast("string"), _FOUND, "items").mapInArrow(run, _schema(rows, keys, clean))
+    return rows.select(*keys, F.col(text_col).cast("string"), _FOUND, "items").mapInArrow(run, _schema(rows, keys, clean))
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", clean: bool = False, max_windows: int = MAX_WINDOWS, carry: tuple[str, ...] = ()) -> DataFrame:

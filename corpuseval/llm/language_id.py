@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpuseval.llm import _text
-from corpuseval.llm._session import read_texts, text_batches
+from corpuseval.llm._session import read_texts
 
 #: The sample of each language: texts, and symbols of all of them.
 SAMPLE_TEXTS = 200
@@ -215,7 +215,7 @@ def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",),
                 yield pa.RecordBatch.from_arrays([*(c.slice(low, high - low) for c in batch.columns[: len(keep)]), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*keep, "lang_pred", "score"])
 
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return text_batches(docs).select(*keep, F.col(text_col).cast("string")).mapInArrow(run, f"{kinds}, lang_pred string, score double")
+    return docs.select(*keep, F.col(text_col).cast("string")).mapInArrow(run, f"{kinds}, lang_pred string, score double")
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

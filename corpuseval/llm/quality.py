@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuseval.llm import _text
-from corpuseval.llm._session import read_texts, stored, text_batches
+from corpuseval.llm._session import read_texts, stored
 
 FEATURES = 192
 WIDTH = 2.5  # of the kernel, in standard deviations
@@ -90,7 +90,7 @@ def _statistics_of(docs: DataFrame, keep: list[str], text_col: str) -> DataFrame
                 yield pa.RecordBatch.from_arrays([*(c.slice(low, high - low) for c in batch.columns[: len(keep)]), _rows(found)], names=[*keep, "stats"])
 
     kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
-    return text_batches(docs).select(*keep, F.col(text_col).cast("string")).mapInArrow(run, f"{kinds}stats array<double>")
+    return docs.select(*keep, F.col(text_col).cast("string")).mapInArrow(run, f"{kinds}stats array<double>")
 
 
 def _rows(matrix: np.ndarray) -> pa.Array:
@@ -212,7 +212,7 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), te
                 yield pa.RecordBatch.from_arrays([*(c.slice(low, high - low) for c in batch.columns[: len(names)]), pa.array(shared.value.score(statistics(data, offsets)))], names=[*names, "score"])
 
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
-    scored = text_batches(docs).select(*keep, F.col(text_col).cast("string")).mapInArrow(run, f"{kinds}, score double")
+    scored = docs.select(*keep, F.col(text_col).cast("string")).mapInArrow(run, f"{kinds}, score double")
     return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 

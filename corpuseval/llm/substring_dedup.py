@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuseval.llm import _text
-from corpuseval.llm._session import read_texts, text_batches
+from corpuseval.llm._session import read_texts
 
 WINDOW = 13
 PERIOD = 7
@@ -197,7 +197,7 @@ def _anchors(texts: DataFrame, deals: int) -> DataFrame:
                 yield from packer.add(ids[low:high][found.rows[at]], hashes)
         yield packer.flush()
 
-    return text_batches(texts).mapInArrow(run, _PACKED)
+    return texts.mapInArrow(run, _PACKED)
 
 
 def _windows(flagged: DataFrame, deals: int) -> DataFrame:

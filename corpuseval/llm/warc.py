@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuseval.llm._session import scratch, stored, text_batches
+from corpuseval.llm._session import scratch, stored
 
 VERSION = "WARC/1.1"
 SEGMENT_CHARS = 32_768
@@ -166,7 +166,7 @@ def payloads(rows: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(heads, pa.string()), pa.array(bodies, pa.binary())], names=[*kept, "http_head", "payload"])
 
     schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept)
-    return text_batches(rows).mapInArrow(run, f"{schema}, http_head string, payload binary")
+    return rows.mapInArrow(run, f"{schema}, http_head string, payload binary")
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:

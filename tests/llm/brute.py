@@ -79,6 +79,19 @@ def simhash(docs, bits=3):
     return {i: (f"{marks[i]:016x}", comp[i]) for i in marks}
 
 
+def similar(docs, width=5, similarity=0.8):
+    """doc_id -> component, by the Jaccard similarity of sets of shingles."""
+    words = {i: tuple(WORD.findall(lower(t))) for i, t in docs}
+    sets = {i: {w[k : k + width] for k in range(max(1, len(w) - width + 1))} for i, w in words.items()}
+    ids, links = list(sets), []
+    for k, i in enumerate(ids):
+        for j in ids[k + 1 :]:
+            both = len(sets[i] & sets[j])
+            if both >= similarity * (len(sets[i]) + len(sets[j]) - both) - 1e-9:
+                links.append((i, j))
+    return roots(ids, links)
+
+
 def contamination(docs, items, width=10):
     """doc_id -> (words, hit words, item ids)."""
     windows = defaultdict(set)

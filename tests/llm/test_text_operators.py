@@ -94,25 +94,70 @@ def test_keys_find_all_pairs_within_three_bits():
     tables = simhash._golay()
     wa, ka = simhash._expand(a, tables)
     wb, kb = simhash._expand(b, tables)
-    keys_a = {(int(w), int(k)) for w, k in zip(wa, ka)}
-    met = {int(w) for w, k in zip(wb, kb) if (int(w), int(k)) in keys_a}
+    asked = {(int(w), int(k) >> 1) for w, k in zip(wa, ka) if k & 1}
+    assert len(asked) == 3 * 300  # the own keys alone ask
+    met = {int(w) for w, k in zip(wb, kb) if (int(w), int(k) >> 1) in asked}
     assert met == set(range(300))
 
 
-def test_spanning_links_and_large_keys(spark):
+def test_all_near_keys_find_all_pairs_within_five_bits():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    a = rng.integers(-(1 << 63), (1 << 63) - 1, 300)
+    flips = [sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 6), replace=False)) for _ in a]
+    b = (a.view(np.uint64) ^ np.array(flips, dtype=np.uint64)).view(np.int64)
+    tables = simhash._golay()
+    keys = [{(int(w), int(k)) for w, k in zip(*simhash._expand(x, tables, True))} for x in (a, b)]
+    assert {w for w, _ in keys[0] & keys[1]} == set(range(300))
+
+
+@pytest.mark.parametrize("large", [40, 1000])
+@pytest.mark.parametrize("asking", [1, 3, 127])
+def test_links_of_large_keys(spark, large, asking):
+    """Links of rows that ask, whether a key is compared at once or in blocks, and whatever the batches."""
     base = 0x123456789ABCDEF
     fps = [base ^ (1 << k) for k in range(64)] + [base ^ (1 << k) ^ (1 << (k + 1)) for k in range(63)]
     fps = [f - (1 << 64) if f >= 1 << 63 else f for f in fps]
-    keyed = spark.createDataFrame([(7, f) for f in fps] + [(8, 1), (8, 3), (9, 1)], "key long, fp long")
-    links = simhash._links(keyed, 3, 40)
-    left = links.where("n > 0")
-    assert left.count() == 127
-    edges = [(r.a, r.b) for r in links.where("n = 0").collect()] + [(r.a, r.b) for r in simhash._links_of_blocks(left, 3, 40).collect()]
-    want = [(a, b) for i, a in enumerate(fps) for b in fps[i + 1 :] if bin((a ^ b) & ((1 << 64) - 1)).count("1") <= 3] + [(1, 3)]
+    asks = {f: k % (128 // asking) == 0 for k, f in enumerate(fps)}
+    rows = [(14 | asks[f], f) for f in fps] + [(16, 1), (17, 3), (19, 1)]
+    keyed = spark.createDataFrame(rows, "key long, fp long")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        links = simhash._links(keyed, (3,), large).cache()
+        left = links.where("key is not null")
+        assert left.count() == (127 if large == 40 else 0)
+        edges = [(r.a, r.b) for r in links.where("key is null").collect()] + [(r.a, r.b) for r in simhash._links_of_blocks(left, (3,), large).collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = [(a, b) for i, a in enumerate(fps) for b in fps[i + 1 :] if (asks[a] or asks[b]) and bin((a ^ b) & ((1 << 64) - 1)).count("1") <= 3] + [(1, 3)]
     nodes = sorted({*fps, 1, 3})
     assert brute.roots(nodes, edges) == brute.roots(nodes, want)
 
 
+def edited(words, rng, share):
+    return [rng.choice("pqrst") + str(rng.randrange(99)) if rng.random() < share else w for w in words]
+
+
+@pytest.mark.parametrize("block", [simhash.BLOCK_SHINGLES, 2000])
+def test_similar_texts(spark, monkeypatch, block):
+    monkeypatch.setattr(simhash, "BLOCK_SHINGLES", block)
+    rng = random.Random(9)
+    vocabulary = [f"{rng.choice('abcdefgh')}{k}" for k in range(2000)]
+    docs = [(k, " ".join(rng.choice(vocabulary) for _ in range(rng.randrange(5, 300)))) for k in range(150)]
+    for k in range(120):  # chains and stars of edited copies
+        docs.append((1000 + k, " ".join(edited((docs[k % 7] if k < 60 else docs[rng.randrange(len(docs))])[1].split(), rng, rng.choice([0, 0.01, 0.02, 0.04])))))
+    docs += [(3000, None), (3001, ""), (3002, " \n"), (3003, "one two"), (3004, "ONE  two"), (3005, "one two three"), (3006, "a " * 9), (3007, "a " * 7), (3008, docs[3][1].upper()), (3009, (docs[5][1] + " ") * 200), (3010, (docs[5][1] + " ") * 210)]
+    rng.shuffle(docs)
+    want = brute.similar(docs)
+    df = spark.createDataFrame([*((i, t, 1) for i, t in docs), (docs[0][0], docs[0][1], 2), (None, docs[0][1], 1), (None, None, 1)], DOCS + ", node int")
+    got = simhash.similar_texts(df).collect()
+    assert len(got) == len(docs) and {r.doc_id: r.first_id for r in got} == want
+    assert {r.doc_id for r in got if r.rows == 2} == {docs[0][0]}
+    assert len(set(want.values())) < 200
+    assert simhash.similar_texts(df.limit(0)).count() == 0
+
+
 ITEMS = [(1, "The quick brown fox jumps over the lazy dog again and again, until Dawn!"), (2, "short item"), (3, None), (4, ""), (5, "Über éclair naïve café déjà vu garçon señor piñata über straße"), (6, "short item"), (None, "a b c")]
 
 
