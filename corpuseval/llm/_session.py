@@ -1,41 +1,12 @@
-"""Shared folders for intermediate tables and checkpoints."""
+"""Shared folders for intermediate tables, and scans."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-SETTING = "spark.checkpoint.dir"
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names, which driver and executors share.
-
-    Only where it is unset, as in local tests, a folder of this machine is used; the session must then be local.
-    """
-    if folder := spark.conf.get(SETTING, None):
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(folder)
-        return folder.rstrip("/")
-    if not (spark.sparkContext.master + "[").startswith("local["):
-        raise ValueError(f"{SETTING} must name a folder that all executors share")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-"))
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder. What is written there outlives the query; clear it as checkpoints are cleared."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
+from corpuseval.sources.shared import scratch, stored
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The rows as a table in the shared folder: computed once, with known sizes and no lineage."""
-    spark = df.sparkSession
-    df.write.parquet(path := scratch(spark, name))
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["read_texts", "scratch", "spread", "stored"]
 
 
 def spread(scan: DataFrame) -> DataFrame:

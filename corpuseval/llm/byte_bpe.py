@@ -6,8 +6,8 @@ the neighbours of best score first, which is the merge order of the ranks.  Text
 the tokenizer's pattern; a pre-token that is itself an entry is that entry, all others go through the model.
 Nothing is trained.
 
-Null text counts as empty and gives no ids; very long texts are handled in runs of pre-tokens, so only the
-text, its ids and one run are in memory.  Rows keep their order and number, repeated rows are encoded alike,
+Null text counts as empty and gives no ids.  Texts are handled in runs of whole rows of about a megabyte, or one longer text: a run,
+its units or a part of its pre-tokens, its ids and the caches are what is in memory.  Rows keep their order and number, repeated rows are encoded alike,
 and only the two columns named are read, so further columns cannot clash.
 """
 
@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpuseval.llm import _text
 from corpuseval.llm._session import read_texts
 
 #: Bytes are shown to SentencePiece as the characters from this code on.
@@ -174,8 +175,8 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker = _worker(*shared.value)
         for batch in batches:
-            for low in range(0, len(batch), 500):
-                part = batch.slice(low, 500)
+            for low, high in _text.spans(batch.column(1)):
+                part = batch.slice(low, high - low)
                 found = worker.encode([t or "" for t in part.column(1).to_pylist()])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.binary()), pa.array([len(x) // 4 for x in found], pa.int64())], names=[id_col, "ids", "n_tokens"])
 
@@ -191,8 +192,8 @@ def decode(encoded: DataFrame, ranks: bytes) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = shared.value
         for batch in batches:
-            for low in range(0, len(batch), 500):
-                part = batch.slice(low, 500)
+            for low, high in _text.spans(batch.column("ids")):
+                part = batch.slice(low, high - low)
                 texts = [b"".join(map(tokens.__getitem__, np.frombuffer(x or b"", "<u4").tolist())) for x in part.column("ids").to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.binary())], names=[*part.schema.names, "decoded"])
 
