@@ -29,7 +29,6 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -47,7 +46,7 @@ LARGE = 30_000
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
 CANDIDATE_BITS = (10, 20)
 #: Shingles of the texts that one group compares.
-BLOCK_SHINGLES = 1_000_000
+BLOCK_SHINGLES = 400_000
 _SEGMENTS = ((0, 22), (22, 21), (43, 21))  # first bit and length
 _PAIRS = ((0, 1), (0, 2), (1, 2))
 _GENERATOR = 0xC75  # x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1
@@ -272,13 +271,17 @@ def _links_of_blocks(left: DataFrame, limits: tuple[int, ...], large: int = LARG
     pairs = rows.select("base", "asks", *marks, "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     pairs = pairs.select("base", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "asks", *marks)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        columns = [pdf[m].to_numpy() for m in marks]
-        names, empty = _names(columns), np.zeros(0, np.int64)
-        found = spanning_links(pdf["asks"].to_numpy(), near_bits(columns, limits))
-        return pd.DataFrame({"a": np.concatenate([empty, *(np.full(len(y), names[x]) for x, y in found)]), "b": np.concatenate([empty, *(names[y] for _, y in found)])})
+    def run(table):
+        columns = [table[m].to_numpy() for m in marks]
+        return _pairs(_names(columns), spanning_links(table["asks"].to_numpy(), near_bits(columns, limits)))
 
-    return pairs.groupBy("base", "i", "j").applyInPandas(run, "a long, b long")
+    return pairs.repartition("base", "i", "j").groupBy("base", "i", "j").applyInArrow(run, "a long, b long")
+
+
+def _pairs(names: np.ndarray, found: list[tuple[int, np.ndarray]]) -> pa.Table:
+    empty = np.zeros(0, np.int64)
+    a, b = ([empty, *(np.full(len(y), names[x]) for x, y in found)], [empty, *(names[y] for _, y in found)])
+    return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
 
 
 def _candidates(nodes: DataFrame, marks: tuple[str, ...], limits: tuple[int, ...], all_ask: bool) -> DataFrame:
@@ -388,23 +391,27 @@ def _similar(members: DataFrame, similarity: float) -> DataFrame:
     centres = members.groupBy("group").agg(F.max_by(F.struct("node", "shingles"), order).alias("centre"))
     shared = F.size(F.array_intersect("shingles", "centre.shingles"))
     alike = shared >= similarity * (F.size("shingles") + F.size("centre.shingles") - shared) - 1e-9
-    judged = stored(members.join(centres, "group").select("group", "node", "shingles", F.col("centre.node").alias("centre"), alike.alias("alike")), "judged")
+    size = F.size("shingles").alias("size")
+    judged = stored(members.join(centres, "group").select("group", "node", size, F.col("centre.node").alias("centre"), alike.alias("alike")), "judged")
     direct = judged.where("alike and node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b"))
-    blocks = lambda cond: F.ceil((F.sum(F.when(cond, F.size("shingles"))) + 1) / BLOCK_SHINGLES).cast("int")
+    blocks = lambda cond: F.ceil((F.sum(F.when(cond, F.col("size"))) + 1) / BLOCK_SHINGLES).cast("int")
     sizes = judged.groupBy("group").agg(blocks(~F.col("alike")).alias("asking"), blocks(F.lit(True)).alias("all")).where("asking is not null")
-    sized = judged.join(sizes, "group")
+    sized = members.select("node", "shingles").join(judged.join(sizes, "group").select("group", "node", "alike", "asking", "all"), "node")
     own = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     asks = sized.where("not alike").select("group", "node", "shingles", F.lit(True).alias("asks"), own(F.col("asking")).alias("i"), every(F.col("all")).alias("j"))
     answers = sized.select("group", "node", "shingles", F.lit(False).alias("asks"), every(F.col("asking")).alias("i"), own(F.col("all")).alias("j"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("asks", ascending=False).drop_duplicates("node")
-        nodes, empty = pdf["node"].to_numpy(), np.zeros(0, np.int64)
-        found = spanning_links(pdf["asks"].to_numpy(), near_sets([np.asarray(s, np.int64) for s in pdf["shingles"]], similarity))
-        return pd.DataFrame({"a": np.concatenate([empty, *(np.full(len(y), nodes[x]) for x, y in found)]), "b": np.concatenate([empty, *(nodes[y] for _, y in found)])})
+    def run(table):
+        asking, node, sets = table["asks"].to_numpy(), table["node"].to_numpy(), table["shingles"].combine_chunks()
+        order = np.argsort(~asking, kind="stable")
+        order = order[np.sort(np.unique(node[order], return_index=True)[1])]  # who asks is also among the answers
+        bounds, values = sets.offsets.to_numpy(), sets.values.to_numpy()
+        found = spanning_links(asking[order], near_sets([values[bounds[k] : bounds[k + 1]] for k in order], similarity))
+        return _pairs(node[order], found)
 
-    return direct.unionByName(asks.unionByName(answers).groupBy("group", "i", "j").applyInPandas(run, "a long, b long"))
+    paired = asks.unionByName(answers).repartition("group", "i", "j").groupBy("group", "i", "j")
+    return direct.unionByName(paired.applyInArrow(run, "a long, b long"))
 
 
 def text_code(text_col: str = "text") -> F.Column:
