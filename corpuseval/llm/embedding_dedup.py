@@ -1,13 +1,21 @@
 """Near-duplicate embeddings by an exact metric range join over pivot cells.
 
-On unit vectors cosine >= c is distance <= r = sqrt(2 - 2c).  Pivots (a bounded seeded sample of the vectors) cut the
-space: a vector's home is the cell of its nearest pivot p.  If y lies within r of x and y's home is q, the triangle
-inequality gives d(x, q) <= d(x, p) + 2r, so x is copied to every cell q for which that holds, and each cell finds all
-links of its home vectors without another cell.  Cells are further cut into blocks of at most ``BLOCK`` rows, each pair
-of blocks a group of its own, so a hot cell spreads over tasks with nothing dropped.
+On unit vectors cosine >= c is distance <= r = sqrt(2 - 2c).  Labels of many vectors get pivots of their own, a bounded seeded
+sample; a vector's home is the cell of its nearest pivot p.  Of two linked vectors of different homes one visits the other's
+cell, the one of the lower cell the higher, so each pair meets once.  A vector x visits cell q only if all of these hold, each
+a consequence of the triangle inequality for any y of that cell within r of x:
 
-A group counts each home vector's links by one matrix product in double precision and keeps a spanning forest of
-them; pairs are never written out.  Equal vectors are one node with a multiplicity.
+* d(x, q) <= d(x, p) + 2r, since q is the nearest pivot of y;
+* d(x, q) <= R + r, where R is the greatest distance of the cell's own vectors to q;
+* (d(x, q)^2 - d(x, s)^2) / (2 d(q, s)) <= r for other pivots s, the distance of x to the bisector that y lies behind.
+
+How many pivots a label gets follows from the visits that a sample shows: more pivots mean fewer comparisons but more visits;
+where pivots keep almost nothing apart the label is one cell.  Cells are cut into blocks of at most ``BLOCK`` rows, each pair of
+blocks a group of its own, so a hot cell spreads over tasks with nothing dropped.  Within a group rows are sorted by their
+distance to the pivot, and tiles whose distances differ by more than r are skipped.
+
+A group counts links by matrix products in double precision and keeps a spanning forest of them for each tile; pairs are never
+written out.  Equal vectors are one node with a multiplicity.
 
 A vector that is null, empty, zero, or holds null or non-finite components links with nothing, as does one of null label
 or null id, and none links across labels or lengths.  Rows that share an id are one node of the links.  Rows keep their
@@ -21,26 +29,65 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpuseval.llm._components import components
-from corpuseval.llm._session import stored
+from corpuseval.llm._session import spread, stored
 
 COSINE = 0.98
-#: Vectors for each pivot, and the most pivots; pivots are all that is collected and broadcast.
-PER_PIVOT = 4_096
-MAX_PIVOTS = 256
-BLOCK = 4_096
-_SLACK = 1e-9  # distances are rounded; cells get a little more than they need
+#: Vectors of a label for each pivot, at least; a label of fewer vectors is one cell.
+PER_PIVOT = 2_048
+#: Labels with pivots, the most pivots of one, and values of all sampled vectors: these are all that is collected and broadcast.
+MAX_LABELS, MAX_PIVOTS, SAMPLE_VALUES = 1_024, 256, 1_000_000
+#: Rows of a group's side, and of a tile.
+BLOCK, TILE = 8_192, 1_024
+#: Comparisons that cost as much as a row that is moved.
+ROW_COST = 1_000
+_SLACK = 1e-6  # distances are rounded; cells get a little more than they need
+_NEAREST = 8  # pivots whose bisectors are tried
+
+Key = tuple  # (label, length)
+
+
+def distances(units: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum(0, 2 - 2 * units @ pivots.T))
+
+
+def visits(far: np.ndarray, between: np.ndarray, reach: np.ndarray, radius: float) -> np.ndarray:
+    """Which later cells each vector visits: distances to the pivots, distances between these, the cells' own radii."""
+    home = far.argmin(axis=1)
+    nearest = far[np.arange(len(far)), home][:, None]
+    out = (far <= nearest + 2 * radius + _SLACK) & (far <= reach + radius + _SLACK) & (np.arange(far.shape[1]) > home[:, None])
+    for k in np.argsort(far, axis=1)[:, :_NEAREST].T:
+        apart = between[k]
+        out &= far**2 - np.take_along_axis(far, k[:, None], 1) ** 2 <= 2 * apart * radius + _SLACK
+    return out
+
+
+def choose(sample: np.ndarray, n: int, radius: float) -> np.ndarray:
+    """Pivots of a label of ``n`` vectors from its sample: as many as cost least, or none if they keep nothing apart."""
+    fewest, options = -(-n // PER_PIVOT), []
+    for k in (fewest, 2 * fewest, 4 * fewest):
+        k = min(k, MAX_PIVOTS, len(sample) // 2)
+        if k < 2:
+            continue
+        pivots, others = sample[:k], sample[k:]
+        far = distances(others, pivots)
+        reach = np.zeros(k)
+        np.maximum.at(reach, far.argmin(axis=1), far.min(axis=1))
+        copies = 1 + visits(far, distances(pivots, pivots), reach, radius).sum(axis=1).mean()
+        if copies - 1 < 0.9 * (k - 1) / 2:
+            options.append((copies * (ROW_COST + n / k), k))
+    return sample[: min(options)[1]] if options else sample[:0]
 
 
 def _units(column: pa.Array) -> list[np.ndarray]:
     return [v / np.linalg.norm(v) for v in (np.array(x, dtype=np.float64) for x in column.to_pylist())]
 
 
-def _cells(nodes: DataFrame, pivots: np.ndarray, radius: float) -> DataFrame:
-    """A row for each node and cell that needs it: the home cell, and those within the reach of the triangle inequality."""
+def _homes(nodes: DataFrame, pivots: dict[Key, np.ndarray]) -> DataFrame:
+    """Each node's unit vector, home cell and distance to its pivot; where there are no pivots the home is 0."""
     shared = nodes.sparkSession.sparkContext.broadcast(pivots)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -48,29 +95,43 @@ def _cells(nodes: DataFrame, pivots: np.ndarray, radius: float) -> DataFrame:
         for batch in batches:
             for low in range(0, len(batch), 2000):
                 part = batch.slice(low, 2000)
-                units = _units(part.column("embedding"))
-                which, cell, home = [], [], []
-                for size in {len(u) for u in units}:
-                    rows = np.array([k for k, u in enumerate(units) if len(u) == size])
-                    if size == known.shape[1]:
-                        far = np.sqrt(np.maximum(0, 2 - 2 * np.stack([units[k] for k in rows]) @ known.T))
-                    else:  # another length than the pivots': a single cell
-                        far = np.zeros((len(rows), 1))
-                    nearest = far.argmin(axis=1)
-                    i, j = np.nonzero(far <= far[np.arange(len(rows)), nearest][:, None] + 2 * radius + _SLACK)
-                    which.append(rows[i])
-                    cell.append(j)
-                    home.append(j == nearest[i])
-                which = np.concatenate(which)
-                packed = pa.array([u.tobytes() for u in units], pa.binary())
-                take = pa.array(which)
-                yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c).take(take) for c in ("node", "label", "n")), packed.take(take), pa.array([len(units[k]) for k in which], pa.int32()), pa.array(np.concatenate(cell), pa.int32()), pa.array(np.concatenate(home))],
-                    names=["node", "label", "n", "unit", "length", "cell", "home"],
-                )
+                units, labels = _units(part.column("embedding")), part.column("label").to_pylist()
+                home, far = np.zeros(len(units), np.int32), np.zeros(len(units))
+                groups: dict[Key, list[int]] = {}
+                for k, key in enumerate(zip(labels, map(len, units), strict=True)):
+                    if key in known:
+                        groups.setdefault(key, []).append(k)
+                for key, rows in groups.items():
+                    d = distances(np.stack([units[k] for k in rows]), known[key])
+                    home[rows], far[rows] = d.argmin(axis=1), d.min(axis=1)
+                columns = [*(part.column(c) for c in ("node", "label", "n")), pa.array([u.tobytes() for u in units], pa.binary()), pa.array([len(u) for u in units], pa.int32()), pa.array(home), pa.array(far)]
+                yield pa.RecordBatch.from_arrays(columns, names=["node", "label", "n", "unit", "length", "cell", "far"])
 
     kind = nodes.schema["label"].dataType.simpleString()
-    return nodes.select("node", "label", "n", "embedding").mapInArrow(run, f"node long, label {kind}, n long, unit binary, length int, cell int, home boolean")
+    return nodes.select("node", "label", "n", "embedding").mapInArrow(run, f"node long, label {kind}, n long, unit binary, length int, cell int, far double")
+
+
+def _visitors(homes: DataFrame, pivots: dict[Key, np.ndarray], reach: dict[Key, np.ndarray], radius: float) -> DataFrame:
+    """A row for each node and later cell that it visits, ``far`` its distance to that cell's pivot."""
+    shared = homes.sparkSession.sparkContext.broadcast((pivots, {k: distances(p, p) for k, p in pivots.items()}, reach))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, between, radii = shared.value
+        for batch in batches:
+            groups: dict[Key, list[int]] = {}
+            for k, key in enumerate(zip(batch.column("label").to_pylist(), batch.column("length").to_pylist(), strict=True)):
+                if key in known:
+                    groups.setdefault(key, []).append(k)
+            units = batch.column("unit")
+            for key, every in groups.items():
+                for low in range(0, len(every), 2000):
+                    rows = np.array(every[low : low + 2000])
+                    far = distances(np.frombuffer(b"".join(units[int(k)].as_py() for k in rows), np.float64).reshape(len(rows), -1), known[key])
+                    i, j = np.nonzero(visits(far, between[key], radii[key], radius))
+                    take = pa.array(rows[i])
+                    yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in ("node", "label", "n", "unit", "length")), pa.array(j.astype(np.int32)), pa.array(far[i, j])], names=["node", "label", "n", "unit", "length", "cell", "far"])
+
+    return homes.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in homes.schema))
 
 
 def spanning_links(near: np.ndarray) -> list[tuple[int, int]]:
@@ -90,28 +151,80 @@ def spanning_links(near: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _group(cosine: float):
+    radius = float(np.sqrt(2 - 2 * cosine))
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        home, other = pdf[pdf["query"]], pdf[~pdf["query"]]
-        if not len(home) or not len(other):
-            return pd.DataFrame({"node": [], "to": [], "links": []}).astype("int64")
-        a, b = (np.frombuffer(b"".join(x["unit"]), np.float64).reshape(len(x), -1) for x in (home, other))
-        ids, others, weights = home["node"].to_numpy(), other["node"].to_numpy(), other["n"].to_numpy()
-        near = a @ b.T >= cosine
-        near &= ids[:, None] != others
-        counts = near @ weights
-        linked = np.flatnonzero(counts)
-        forest = spanning_links(near)
-        return pd.DataFrame(
-            {
-                "node": np.concatenate([ids[linked], ids[[i for i, _ in forest]]]).astype("int64"),
-                "to": np.concatenate([ids[linked], others[[j for _, j in forest]]]).astype("int64"),
-                "links": np.concatenate([counts[linked], np.zeros(len(forest))]).astype("int64"),
-            }
-        )
+        pdf = pdf.sort_values("far")
+        same = pdf["kind"].iloc[0] == "homes" and pdf["i"].iloc[0] == pdf["j"].iloc[0]
+        a, b = (pdf, pdf) if same else (pdf[pdf["left"]], pdf[~pdf["left"]])
+        out = {"node": [np.zeros(0, np.int64)], "to": [np.zeros(0, np.int64)], "links": [np.zeros(0, np.int64)]}
+
+        def put(node, to, links):
+            for k, v in zip(out, (node, to, links), strict=True):
+                out[k].append(np.asarray(v, np.int64))
+
+        if len(a) and len(b):
+            x, y = (np.frombuffer(b"".join(s["unit"]), np.float64).reshape(len(s), -1) for s in (a, b))
+            (ids, far, weight), (others, far_b, weight_b) = ((s["node"].to_numpy(), s["far"].to_numpy(), s["n"].to_numpy()) for s in (a, b))
+            back = np.zeros(len(b), np.int64)
+            for low in range(0, len(a), TILE):
+                own = slice(low, low + TILE)
+                some = slice(np.searchsorted(far_b, far[own][0] - radius - _SLACK), np.searchsorted(far_b, far[own][-1] + radius + _SLACK, "right"))
+                near = (x[own] @ y[some].T >= cosine) & (ids[own][:, None] != others[some])
+                counts = near @ weight_b[some]
+                if counts.any():
+                    linked = np.flatnonzero(counts)
+                    put(ids[own][linked], ids[own][linked], counts[linked])
+                    back[some] += near.T @ weight[own]
+                    forest = spanning_links(near)
+                    put(ids[own][[i for i, _ in forest]], others[some][[j for _, j in forest]], np.zeros(len(forest)))
+            if not same:
+                linked = np.flatnonzero(back)
+                put(others[linked], others[linked], back[linked])
+        return pd.DataFrame({k: np.concatenate(v) for k, v in out.items()})
 
     return run
 
 
+def _links(homes: DataFrame, visitors: DataFrame, cosine: float) -> DataFrame:
+    """``node``, ``to``, ``links``: counts (node = to) and forests of the links of all cells."""
+    key = ["label", "length", "cell"]
+    rows = homes.withColumn("left", F.lit(False)).unionByName(visitors.withColumn("left", F.lit(True)))
+    blocks = lambda cond: F.ceil(F.count_if(cond) / BLOCK).cast("int")
+    sizes = rows.groupBy(*key).agg(blocks(~F.col("left")).alias("homes"), blocks(F.col("left")).alias("guests")).where("homes > 0")
+    sized = rows.join(sizes, key).withColumn("own", F.pmod(F.xxhash64("node"), F.when(F.col("left"), F.col("guests")).otherwise(F.col("homes"))).cast("int"))
+    wide = ["node", "n", "unit", "far", *key]
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    inside = sized.where("not left").select(*wide, F.lit("homes").alias("kind"), "own", every(F.col("homes")).alias("other"))
+    inside = inside.select(*wide, "kind", ((F.col("own") < F.col("other"))).alias("left"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    guests = sized.where("left").select(*wide, F.lit("guests").alias("kind"), "left", F.col("own").alias("i"), every(F.col("homes")).alias("j"))
+    hosts = sized.where("not left and guests > 0").select(*wide, F.lit("guests").alias("kind"), "left", every(F.col("guests")).alias("i"), F.col("own").alias("j"))
+    pairs = inside.unionByName(guests).unionByName(hosts).repartition(*key, "kind", "i", "j")  # a cell's blocks are not one task
+    return pairs.groupBy(*key, "kind", "i", "j").applyInPandas(_group(cosine), "node long, to long, links long")
+
+
+def _pivots(nodes: DataFrame, radius: float, seed: int) -> dict[Key, np.ndarray]:
+    """Pivots of the labels (and lengths) that have the most vectors."""
+    sizes = nodes.groupBy("label", F.size("embedding").alias("length")).agg(F.count("*").alias("total")).where(F.col("total") > PER_PIVOT)
+    large = sizes.orderBy(F.desc("total"), "length").limit(MAX_LABELS)
+    totals = {(r["label"], r["length"]): r["total"] for r in large.collect()}
+    if not totals:
+        return {}
+    each = min(4 * MAX_PIVOTS, SAMPLE_VALUES // (len(totals) * max(n for _, n in totals)))
+    first = F.row_number().over(Window.partitionBy("label", "length").orderBy(F.xxhash64(F.lit(seed), "embedding"), "node"))
+    rows = nodes.withColumn("length", F.size("embedding")).join(F.broadcast(large), ["label", "length"]).withColumn("nth", first).where(F.col("nth") <= each)
+    samples: dict[Key, list] = {}
+    for r in rows.orderBy("label", "length", "nth").select("label", "length", "embedding").collect():
+        samples.setdefault((r[0], r[1]), []).append(r[2])
+    out = {}
+    for key, vectors in samples.items():
+        units = np.array(vectors, dtype=np.float64)
+        chosen = choose(units / np.linalg.norm(units, axis=1, keepdims=True), totals[key], radius)
+        if len(chosen):
+            out[key] = chosen
+    return out
+
+
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", seed: int = 42) -> DataFrame:
     """``id_col``, ``n_links``, ``component`` and ``kept`` of every row."""
     if not 0 < cosine <= 1:
@@ -120,22 +233,16 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, id_col: str = "v
     sound = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("embedding", lambda x: x != 0)
     fit = rows.where(F.coalesce(F.col("id").isNotNull() & F.col("label").isNotNull() & sound, F.lit(False)))
     nodes = stored(fit.groupBy("label", "embedding").agg(F.min("id").alias("node"), F.count("*").alias("n")), "nodes")
-    total = nodes.count()
-    wanted = min(MAX_PIVOTS, max(2, -(-total // PER_PIVOT)))
-    chosen = [r[0] for r in nodes.orderBy(F.xxhash64(F.lit(seed), "embedding")).select("embedding").limit(wanted).collect()]
-    chosen = [x for x in chosen if len(x) == len(chosen[0])] or [[1.0]]
-    pivots = np.array(chosen, dtype=np.float64)
-    pivots /= np.linalg.norm(pivots, axis=1, keepdims=True)
-    cells = stored(_cells(nodes, pivots, float(np.sqrt(2 - 2 * cosine))), "cells")
-    key = ["label", "length", "cell"]
-    sizes = cells.groupBy(*key).agg(F.ceil(F.count_if("home") / BLOCK).cast("int").alias("homes"), F.ceil(F.count("*") / BLOCK).cast("int").alias("all"))
-    sized = cells.join(sizes.where("homes > 0"), key)
-    own = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    wide = ["node", "n", "unit", *key]
-    asks = sized.where("home").select(*wide, F.lit(True).alias("query"), own(F.col("homes")).alias("i"), every(F.col("all")).alias("j"))
-    answers = sized.select(*wide, F.lit(False).alias("query"), every(F.col("homes")).alias("i"), own(F.col("all")).alias("j"))
-    found = stored(asks.unionByName(answers).groupBy(*key, "i", "j").applyInPandas(_group(cosine), "node long, to long, links long"), "links")
+    radius = float(np.sqrt(2 - 2 * cosine))
+    pivots = _pivots(nodes, radius, seed)
+    homes = stored(_homes(spread(nodes), pivots), "homes")
+    visitors = homes.limit(0)
+    if pivots:
+        reach = {k: np.full(len(p), -np.inf) for k, p in pivots.items()}
+        for r in homes.groupBy("label", "length", "cell").agg(F.max("far").alias("far")).join(F.broadcast(_table(homes, pivots)), ["label", "length"], "left_semi").collect():
+            reach[r["label"], r["length"]][r["cell"]] = r["far"]
+        visitors = _visitors(homes, pivots, reach, radius)
+    found = stored(_links(homes, visitors, cosine), "links")
     counts = found.where("links > 0").groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(found.where("node <> to").select(F.col("node").alias("a"), F.col("to").alias("b")))
     named = nodes.join(counts, "node", "left").join(roots.withColumnRenamed("node", "at"), F.col("node") == F.col("at"), "left")
@@ -146,6 +253,11 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, id_col: str = "v
     return joined.select(F.col("id").alias(id_col), n_links.cast("long").alias("n_links"), root.alias("component"), F.col("id").eqNullSafe(root).alias("kept"))
 
 
+def _table(homes: DataFrame, pivots: dict[Key, np.ndarray]) -> DataFrame:
+    """The labels and lengths that have pivots."""
+    return homes.sparkSession.createDataFrame(list(pivots), homes.select("label", "length").schema)
+
+
 def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).withColumnRenamed("component", "component_id")
 
