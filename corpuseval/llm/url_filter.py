@@ -4,15 +4,21 @@ A url's host is what stands after the first ``://`` up to ``/``, ``?``, ``#`` or
 ``?``, ``#`` or the end.  A rule (action, host, path) fits its host and all subdomains where the path starts with the rule's;
 the longest rule that fits gives the verdict, and those verdicts are the labels of the method.
 
-Tree: level by level, a path segment that holds a fair share of its parent's urls stays as it is, all rarer
-segments become ``*``; so a template is a host and a path such as ``/en/*``.  Sibling templates whose labelled shares
-of blocked urls do not differ from their parent's (a test of two proportions) are merged and pool their counts.  A template is
-rejected where the share of blocked labels, smoothed by the share over all hosts, reaches ``REJECT``; a template without labels
-has the overall share alone.
+Of rules of equal length that of the longer host goes first, then by action, host and path in order of text.
+
+Tree: each host is a root.  Level by level a path segment that holds a fair share of its parent's urls stays as it is, and all
+rarer ones become ``*``; so a parent has at most 1 / ``MIN_SHARE`` literal children.  Children that labels fall on are taken in
+order of their share of blocked urls, and one that does not differ from the branch before it (a test of two
+proportions) is merged with it: ``/de|en``, or ``/*`` where the wildcard is among them.  Merged branches grow on as one.
+``*`` and ``|`` within segments are written ``%2A`` and ``%7C``.
+
+Purity: the share of blocked labels of a template, smoothed by its parent's purity, the root's by the share of all labels; a
+template without labels has its parent's.  From ``REJECT`` on a template is rejected.  Without any labels all are allowed.
 
 A null url, or one without ``://``, has an empty host and path, which no rule fits.  Every row is judged once; repeated rows
 are judged alike and count as often as they are there.  An empty table gives no rows.  Rules are literals of the plan and at
-most ``MAX_RULES``; counts of templates are joined, never collected, and large hosts are pre-aggregated.
+most ``MAX_RULES``.  Urls are only counted, by sums on the map side, so a large host is no large task; segments that are
+rarer than ``MIN_URLS`` go before anything is joined, and nothing but the overall share and the longest path is collected.
 """
 
 from __future__ import annotations
@@ -22,8 +28,8 @@ from pyspark.sql import functions as F
 
 from corpuseval.llm._session import stored
 
-#: Levels of the tree; deeper segments do not count.
-DEPTH = 3
+#: Most levels of the tree; the longest path ends it sooner, deeper segments do not count.
+DEPTH = 8
 #: A segment stays literal from this share of its parent's urls on, and from this number.
 MIN_SHARE, MIN_URLS = 0.02, 3
 #: Deviations up to which shares do not differ, labels that the overall share counts, and the share that rejects.
@@ -50,40 +56,74 @@ def rule_of(host: F.Column, path: F.Column, rules=RULES) -> F.Column:
     return F.coalesce(*found) if found else F.lit(None).cast("struct<rule:string,action:string>")
 
 
-def _templates(rows: DataFrame, depth: int) -> DataFrame:
-    """The rows with ``parent`` and ``template``, grown level by level."""
-    rows = rows.withColumn("segments", F.filter(F.split("path", "/"), lambda s: s != "")).withColumn("parent", F.lit("")).withColumn("template", F.lit(""))
-    for level in range(depth):
-        at = rows.withColumn("segment", F.get("segments", F.lit(level)))
-        counts = at.where("segment is not null").groupBy("host", "template", "segment").agg(F.count("*").alias("n"))
-        totals = counts.groupBy("host", "template").agg(F.sum("n").alias("total"))
-        literal = counts.join(totals, ["host", "template"]).where(F.col("n") >= F.greatest(F.lit(MIN_URLS), F.col("total") * MIN_SHARE)).select("host", "template", "segment", F.lit(True).alias("literal"))
-        literal = stored(literal, "segments")  # small, and the plan of the next level stays a chain of joins
-        grown = F.concat("template", F.lit("/"), F.when(F.col("literal"), F.col("segment")).otherwise("*"))
-        there = F.col("segment").isNotNull()
-        at = at.join(literal, ["host", "template", "segment"], "left")
-        rows = at.withColumn("parent", F.when(there, F.col("template")).otherwise(F.col("parent"))).withColumn("template", F.when(there, grown).otherwise(F.col("template"))).drop("segment", "literal")
-    return rows.drop("segments")
+def _merged(kids: F.Column) -> F.Column:
+    """Branches (``names``, ``n``, ``bad``) of children (``share``, ``segment``, ``n``, ``bad``): in order of shares, like ones merged."""
+    kind = "array<struct<names:array<string>,n:bigint,bad:bigint>>"
+
+    def step(done: F.Column, kid: F.Column) -> F.Column:
+        last = F.get(done, F.size(done) - 1)
+        n, bad = last["n"] + kid["n"], last["bad"] + kid["bad"]
+        spread = F.sqrt(bad / n * (1 - bad / n) * (1 / last["n"] + 1 / kid["n"]))
+        alike = F.coalesce(F.abs(last["bad"] / last["n"] - kid["share"]) <= SIMILAR * spread, F.lit(False))
+        more = F.struct(F.concat(last["names"], F.array(kid["segment"])).alias("names"), n.alias("n"), bad.alias("bad"))
+        alone = F.struct(F.array(kid["segment"]).alias("names"), kid["n"].alias("n"), kid["bad"].alias("bad"))
+        return F.when(alike, F.concat(F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))), F.array(more))).otherwise(F.concat(done, F.array(alone)))
+
+    labelled = F.array_sort(F.filter(kids, lambda k: k["n"] > 0))
+    others = F.transform(F.filter(kids, lambda k: k["n"] == 0), lambda k: F.struct(F.array(k["segment"]).alias("names"), k["n"].alias("n"), k["bad"].alias("bad")))
+    return F.concat(F.aggregate(labelled, F.array().cast(kind), step), others.cast(kind))
+
+
+def _branches(rows: DataFrame, parents: DataFrame, level: int) -> DataFrame:
+    """The next level: ``host``, ``parent``, ``template``, ``names``, ``n``, ``bad`` and ``purity`` of all children of ``parents``."""
+    at = rows.withColumn("segment", F.get("segments", F.lit(level))).where("segment is not null")
+    sums = [F.count("*").alias("urls"), F.count("fit").alias("n"), F.count_if(F.col("fit.action") == "block").alias("bad")]
+    totals = at.groupBy("host", "template").agg(*sums)
+    counts = at.groupBy("host", "template", "segment").agg(*sums).where(F.col("urls") >= MIN_URLS)
+    share = lambda bad, n: F.coalesce(F.try_divide(bad, n), F.lit(0.0)).alias("share")
+    kid = F.struct(share(F.col("bad"), F.col("n")), "segment", "n", "bad")
+    literal = counts.join(totals.select("host", "template", F.col("urls").alias("all")), ["host", "template"]).where(F.col("urls") >= F.col("all") * MIN_SHARE)
+    literal = literal.groupBy("host", "template").agg(F.collect_list(kid).alias("kids"), *(F.sum(c).alias(f"own_{c}") for c in ("urls", "n", "bad")))
+    rest = totals.join(literal, ["host", "template"], "left")
+    urls, n, bad = (F.col(c) - F.coalesce(f"own_{c}", F.lit(0)) for c in ("urls", "n", "bad"))
+    wild = F.struct(share(bad, n), F.lit("*").alias("segment"), n.alias("n"), bad.alias("bad"))
+    kids = F.coalesce("kids", F.array().cast("array<struct<share:double,segment:string,n:bigint,bad:bigint>>"))
+    grown = rest.select("host", "template", F.inline(_merged(F.when(urls > 0, F.concat(kids, F.array(wild))).otherwise(kids))))
+    name = F.when(F.array_contains("names", "*"), "*").otherwise(F.array_join(F.array_sort("names"), "|"))
+    known = parents.select("host", "template", F.col("purity").alias("above"))
+    purity = (F.col("bad") + PRIOR * F.col("above")) / (F.col("n") + PRIOR)
+    return grown.join(known, ["host", "template"]).select("host", F.col("template").alias("parent"), F.concat("template", F.lit("/"), name).alias("template"), "names", "n", "bad", purity.alias("purity"))
+
+
+def tree(rows: DataFrame, depth: int = DEPTH) -> tuple[DataFrame, DataFrame]:
+    """The rows (``host``, ``segments``, ``fit`` and others) with their ``template``, and ``host``, ``template`` and ``purity`` of all templates."""
+    bad, labels, longest = rows.agg(F.count_if(F.col("fit.action") == "block"), F.count("fit"), F.max(F.size("segments"))).first()
+    overall = bad / labels if labels else 0.0
+    smooth = (F.count_if(F.col("fit.action") == "block") + PRIOR * overall) / (F.count("fit") + PRIOR)
+    found = [rows.groupBy("host").agg(smooth.alias("purity")).select("host", F.lit("").alias("template"), "purity")]
+    rows = rows.withColumn("template", F.lit(""))
+    for level in range(min(depth, longest or 0)):
+        branches = stored(_branches(rows, found[-1], level), "branches")  # small, and plans stay chains of joins
+        literal = branches.select("host", F.col("parent").alias("template"), F.explode("names").alias("segment"), F.col("template").alias("grown")).where("segment <> '*'")
+        at = rows.withColumn("segment", F.get("segments", F.lit(level))).join(literal, ["host", "template", "segment"], "left")
+        next_ = F.coalesce("grown", F.concat("template", F.lit("/*")))
+        rows = at.withColumn("template", F.when(F.col("segment").isNotNull(), next_).otherwise(F.col("template"))).drop("segment", "grown")
+        found.append(branches.select("host", "template", "purity"))
+    nodes = found[0]
+    for more in found[1:]:
+        nodes = nodes.unionByName(more)
+    return rows, nodes
 
 
 def judge(pages: DataFrame, rules=RULES, depth: int = DEPTH, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """``id_col``, ``host``, ``path``, ``rule``, ``verdict``, ``template`` and ``purity`` of every row."""
     host, path = host_and_path(F.col(url_col))
     rows = pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path"))
-    rows = stored(_templates(rows.withColumn("fit", rule_of(F.col("host"), F.col("path"), rules)), depth), "templates")
-    labels = rows.groupBy("host", "parent", "template").agg(F.count("fit").alias("n"), F.count_if(F.col("fit.action") == "block").alias("bad"))
-    whole = labels.groupBy("host", "parent").agg(F.sum("n").alias("all_n"), F.sum("bad").alias("all_bad"))
-    overall = rows.agg(F.try_divide(F.count_if(F.col("fit.action") == "block"), F.count("fit"))).first()[0] or 0.0
-    nodes = labels.join(whole, ["host", "parent"])
-    share = F.col("all_bad") / F.col("all_n")
-    similar = F.coalesce(F.abs(F.col("bad") / F.col("n") - share) <= SIMILAR * F.sqrt(share * (1 - share) / F.col("n")), F.lit(False))
-    nodes = nodes.withColumn("similar", F.when((F.col("n") > 0) & (F.col("all_n") > 0), similar).otherwise(F.lit(False)))
-    pooled = nodes.where("similar").groupBy("host", "parent").agg(F.sum("n").alias("pool_n"), F.sum("bad").alias("pool_bad"))
-    nodes = nodes.join(pooled, ["host", "parent"], "left")
-    n, bad = (F.when(F.col("similar"), F.col(f"pool_{k}")).otherwise(F.col(k)) for k in ("n", "bad"))
-    nodes = nodes.select("host", "parent", "template", ((bad + PRIOR * overall) / (n + PRIOR)).alias("purity"))
+    rows = stored(rows.withColumn("fit", rule_of(F.col("host"), F.col("path"), rules)), "urls")
+    plain = F.replace(F.replace("path", F.lit("*"), F.lit("%2A")), F.lit("|"), F.lit("%7C"))
+    rows, nodes = tree(rows.withColumn("segments", F.filter(F.split(plain, "/"), lambda s: s != "")), depth)
     verdict = F.coalesce("fit.action", F.when(F.col("purity") >= REJECT, "block").otherwise("allow"))
-    joined = rows.join(nodes, ["host", "parent", "template"])
+    joined = rows.join(nodes, ["host", "template"])
     return joined.select(F.col("id").alias(id_col), "host", "path", F.col("fit.rule").alias("rule"), verdict.alias("verdict"), "template", "purity")
 
 
