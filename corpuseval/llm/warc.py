@@ -10,13 +10,15 @@ Reading: archives are streamed record by record; every Content-Length is verifie
 origin, ordered by number, checked to be gapless and of the stated total length, and the chunked framing is
 decoded.  The payload must have the digest that its header states; anything else raises.
 
-Archives are text files (record delimiter as the line separator, gzip), so any Hadoop file system serves, and
-files of any size are streamed.  The framing is cut inside every ``WARC/1.1`` of a payload, so the delimiter can
-never occur inside a record, whatever a page holds.
-
-A null payload is empty.  Rows with equal ids are records of their own; of equal payloads with equal largest
-ids all are responses.  A null id counts as the smallest.  Empty tables give an empty archive and no rows.  Only
-the columns named are read.
+Archives are text files (version line as the line separator), so any Hadoop file system serves, and files of any size are
+streamed.  A compressed file is one gzip stream, not a member for each record, and holds no warcinfo record.  The framing is cut
+inside every ``WARC/1.1`` of a payload, and control characters, white space and a final ``WARC/1.1`` of urls and ids are
+percent-encoded, so that neither the separator nor a line break can occur where it does not belong, whatever a page holds.
+Headers are read by exact line feeds and in any letter case; blocks must be UTF-8 text of WARC/1.1.
+
+A null payload is empty, invalid UTF-8 is replaced by U+FFFD.  Rows with equal ids are records of their own; of equal payloads
+with equal largest ids all are responses.  A null id counts as the smallest.  Empty tables give an empty archive and no
+rows.  Only the columns named are read.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpuseval.llm import _text
 from corpuseval.llm._session import scratch, stored
 
 VERSION = "WARC/1.1"
@@ -51,20 +54,33 @@ def chunked(payload: F.Column) -> F.Column:
     return F.concat(F.array_join(F.transform(chunks, lambda c: F.concat(F.hex(F.octet_length(c)), F.lit("\r\n"), c, F.lit("\r\n"))), ""), F.lit(f"0{_END}"))
 
 
+def encoded(text: F.Column) -> F.Column:
+    """A url or id whose control characters, white space and final version mark are percent-encoded."""
+    hostile = r"[\p{Cntrl}\p{Z}\s\x{80}-\x{9F}]"
+    each = F.transform(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), lambda c: F.when(c.rlike(hostile), F.regexp_replace(F.hex(F.encode(c, "UTF-8")), "(..)", "%$1")).otherwise(c))
+    return F.regexp_replace(F.when(text.rlike(hostile), F.array_join(each, "")).otherwise(text), r"WARC/1\.1\z", "WARC/1.%31")
+
+
 def _line(name: str, value: F.Column) -> F.Column:
     """A header line, or null, which concat_ws leaves out."""
     return F.concat(F.lit(f"{name}: "), value.cast("string"), F.lit("\r\n"))
 
 
-def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_revisit_bytes: int = 0, segment_chars: int = SEGMENT_CHARS) -> DataFrame:
-    """One ``record`` string for each archive record, without the version line and the final blank lines."""
-    rows = pages.select(F.col(id_col).alias("id"), F.regexp_replace(F.coalesce(F.col(url_col).cast("string"), F.lit("")), r"[\r\n]", " ").alias("url"), F.coalesce(F.col(payload_col).cast("string"), F.lit("")).alias("payload"))
+def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_revisit_bytes: int = 0, segment_chars: int = SEGMENT_CHARS, date: F.Column | None = None) -> DataFrame:
+    """One ``record`` string for each archive record, without the version line and the final blank lines.
+
+    ``date`` is the UTC time of all records, the time of the query unless it is given.
+    """
+    date = F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()) if date is None else date
+    payload = F.make_valid_utf8(F.coalesce(F.col(payload_col).cast("string"), F.lit("")))
+    rows = pages.select(F.col(id_col).alias("id"), encoded(F.coalesce(F.col(url_col).cast("string"), F.lit(""))).alias("url"), payload.alias("payload"))
     rows = rows.withColumn("bytes", F.octet_length("payload").cast("long")).withColumn("digest", base32_sha1(F.col("payload")))
     newest = rows.where(F.col("bytes") >= min_revisit_bytes).groupBy("digest").agg(F.max("id").alias("newest"), F.count("*").alias("n")).where(F.col("n") > 1)
     # Written first, so that its size is known: few repeated payloads are broadcast and pages are not shuffled for them.
     rows = rows.join(stored(newest.select("digest", "newest"), "repeated-payloads"), "digest", "left")
     revisit = F.col("newest").isNotNull() & (F.col("bytes") >= min_revisit_bytes) & ~F.col("id").eqNullSafe(F.col("newest"))
-    name = lambda page, digest: F.concat(F.lit("<urn:page:"), F.coalesce(page.cast("string"), F.lit("none")), F.lit(":"), digest, F.lit(">"))
+    text_id = dict(rows.dtypes)["id"] in ("string", "binary")
+    name = lambda page, digest: F.concat(F.lit("<urn:page:"), F.coalesce(encoded(page.cast("string")) if text_id else page.cast("string"), F.lit("none")), F.lit(":"), digest, F.lit(">"))
     rows = rows.withColumn("revisit", revisit).withColumn("name", name(F.col("id"), F.col("digest")))
     head = F.when(F.col("revisit"), F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("bytes").cast("string"), F.lit(_END)))
     body = F.concat(F.lit(f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked{_END}"), chunked(F.col("payload")))
@@ -77,6 +93,7 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", pay
         "",
         _line("WARC-Type", F.when(~first, "continuation").when(F.col("revisit"), "revisit").otherwise("response")),
         _line("WARC-Record-ID", F.when(first, F.col("name")).otherwise(F.concat(F.expr("substr(name, 1, length(name) - 1)"), F.lit(":"), (F.col("at") + 1).cast("string"), F.lit(">")))),
+        _line("WARC-Date", F.date_format(date, "yyyy-MM-dd'T'HH:mm:ss'Z'")),
         _line("WARC-Target-URI", F.col("url")),
         _line("WARC-Payload-Digest", F.when(first, F.concat(F.lit("sha1:"), F.col("digest")))),
         _line("WARC-Profile", F.when(first & F.col("revisit"), "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
@@ -101,7 +118,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     raw = raw.where("value <> ''").withColumnRenamed("value", "record")
     head = F.substring_index("record", _END, 1)
     raw = raw.select(head.alias("head"), F.expr(f"substr(record, length(substring_index(record, '{_END}', 1)) + 5)").alias("block"))
-    field = lambda k: F.nullif(F.regexp_extract("head", rf"(?m)^{k}: (.*?)\r?$", 1), F.lit(""))
+    field = lambda k: F.nullif(F.regexp_extract("head", rf"(?mdi)^{k}: (.*?)\r?$", 1), F.lit(""))
     rows = raw.select(*(field(k).alias(k.lower().replace("-", "_")) for k in _HEADERS), "block")
     want, got = F.col("content_length").cast("long"), F.octet_length("block")
     whole = F.when((got == want + 4) & F.col("block").endswith(_END), F.expr("substr(block, 1, length(block) - 4)"))
@@ -155,8 +172,8 @@ def payloads(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low in range(0, len(batch), 200):
-                part = batch.slice(low, 200)
+            for low, high in _text.spans(batch.column("block")):
+                part = batch.slice(low, high - low)
                 heads, bodies = [], []
                 for kind, block in zip(part.column("warc_type").to_pylist(), part.column("block").to_pylist(), strict=True):
                     head, _, body = (block or "").partition(_END)
@@ -187,7 +204,6 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_warc(spark, path).select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"))
 
 
-
 #: Digests by arithmetic on the hexadecimal digits; the newest page of each payload is the response.
 OP5_SQL = """
 with pages_ as (select page_id, coalesce(html, '') as html from pages),
