@@ -6,10 +6,12 @@ Phrases are normalised to bits for each symbol (phrases x log2(sample length) /
 fewest wins.  The score is the share of its likelihood, at most ``CERTAIN`` symbols counted.
 
 Symbols are lower-cased letters; every run of anything else is one space.  Letters that no sample holds are phrases
-of their own.  Texts are parsed whole, in runs of ``RUN`` symbols that start a new phrase, so that one step advances many
-runs at once and a very long text takes no more memory than its own length.
+of their own.  Texts are parsed whole: runs of ``RUN`` symbols advance side by side, each as if a phrase began with it, and are
+then parsed again from where the run before has ended until both parses are in one state, which they are after a few
+phrases.  So phrases are the longest matches of the whole text, and a very long text takes no more memory than its own length.
 
 Null texts, empty texts and texts without letters are ``und`` with score 0.  Without any labelled text all are ``und``.
+Of languages that need equally many bits the first in order of text wins.
 Repeated rows are judged alike; labels and sources are never read to predict; only the columns named are read.
 """
 
@@ -28,9 +30,9 @@ from corpuseval.llm._session import read_texts
 #: The sample of each language: texts, and symbols of all of them.
 SAMPLE_TEXTS = 200
 SAMPLE_SYMBOLS = 40_000
-#: Characters of one sampled text that are used, so that no text fills the sample.
+#: Characters of one sampled text that are used, from a seeded place on, so that no text fills the sample.
 SAMPLE_CHARS = 4_000
-RUN = 256
+RUN, CHECK = 256, 32  # symbols of a run, and between comparisons of two parses
 CERTAIN = 40
 UNKNOWN = "und"
 _SPACE = 1  # symbol; 0 is a letter that no sample holds
@@ -160,25 +162,58 @@ class Model:
         """Phrases of each text for each language (rows: texts); the texts' symbols stand one after another."""
         runs = -(-lengths // RUN)
         owner = np.repeat(np.arange(len(lengths)), runs)
-        begin = np.cumsum(lengths) - lengths
         nth = np.arange(len(owner)) - np.repeat(np.cumsum(runs) - runs, runs)
-        start = begin[owner] + nth * RUN
-        size = np.minimum(RUN, begin[owner] + lengths[owner] - start)
+        start = (np.cumsum(lengths) - lengths)[owner] + nth * RUN
+        size = np.minimum(RUN, lengths[owner] - nth * RUN)
         order = np.argsort(-size, kind="stable")
-        start, size, owner = start[order], size[order], owner[order]
-        active = np.searchsorted(-size, -np.arange(RUN), "left")  # runs that are longer than each position
-        state, count = np.zeros((len(self.languages), len(owner)), np.int32), np.zeros((len(self.languages), len(owner)), np.int32)
-        for k in range(RUN):
-            m = int(active[k])
-            if not m:
-                break
-            move = self.move(state[:, :m], symbols[start[:m] + k])
-            count[:, :m] += move & 3
-            state[:, :m] = move >> 2
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        start, size, owner, nth = start[order], size[order], owner[order], nth[order]
+        before = np.where(nth > 0, place[np.maximum(order - 1, 0)], -1)  # the run of the same text that ends where this begins
+        after = np.full(len(order), -1)
+        after[before[before >= 0]] = np.flatnonzero(before >= 0)
+        shape = (RUN // CHECK, len(self.languages), len(order))
+        states, counts = np.full(shape, -1, np.int32), np.zeros(shape, np.int32)  # after every ``CHECK`` symbols
+        end, count = np.zeros(shape[1:], np.int32), np.zeros(shape[1:], np.int32)
+        at, first = np.arange(len(order)), np.zeros(shape[1:], np.int32)
+        while len(at):
+            ended = end[:, at]
+            self._walk(at, first, symbols, start, size, states, counts, end, count)
+            at = after[at[(end[:, at] != ended).any(axis=0)]]
+            at = np.sort(at[at >= 0])
+            first = end[:, before[at]]
         out = np.zeros((len(lengths), len(self.languages)), np.int64)
-        np.add.at(out, owner, (count + (state > 0)).T)
+        np.add.at(out, owner, count.T)
+        last = after < 0
+        np.add.at(out, owner[last], (end[:, last] > 0).T)
         return out
 
+    def _walk(self, at, state, symbols, start, size, states, counts, end, count) -> None:
+        """Parses the runs ``at`` (longest first) from ``state`` on, each until its end or until it is in the state of the parse before."""
+        n = np.zeros(state.shape, np.int32)
+        for k in range(0, RUN, CHECK):
+            for j in range(k, k + CHECK):
+                m = int(np.searchsorted(-size[at], -j, "left"))  # runs that are longer
+                if not m:
+                    break
+                move = self.move(state[:, :m], symbols[start[at[:m]] + j])
+                n[:, :m] += move & 3
+                state = np.concatenate([move >> 2, state[:, m:]], axis=1) if m < len(at) else move >> 2
+            here = k // CHECK
+            same = (states[here][:, at] == state).all(axis=0) & (size[at] > k + CHECK)
+            if same.any():
+                met = at[same]
+                change = n[:, same] - counts[here][:, met]
+                counts[here:, :, met] += change
+                count[:, met] += change
+            done = same | (size[at] <= k + CHECK)
+            over = done & ~same
+            end[:, at[over]], count[:, at[over]] = state[:, over], n[:, over]
+            at, state, n = at[~done], state[:, ~done], n[:, ~done]
+            if not len(at):
+                return
+            states[here][:, at], counts[here][:, at] = state, n
+
     def predict(self, data: np.ndarray, offsets: np.ndarray) -> tuple[list[str], np.ndarray]:
         """Language and score of each text of a slice."""
         n = len(offsets) - 1
@@ -195,7 +230,9 @@ class Model:
 
 def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", seed: int = 42) -> Model:
     """A model of a bounded sample of every language: the texts that come first by a seeded hash, whatever their number."""
-    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.substring(text_col, 1, SAMPLE_CHARS).alias("text"))
+    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("whole"))
+    place = F.pmod(F.xxhash64(F.lit(seed + 1), "whole"), F.greatest(F.length("whole") - SAMPLE_CHARS, F.lit(0)) + 1) + 1
+    rows = rows.select("lang", F.substring("whole", place.cast("int"), F.lit(SAMPLE_CHARS)).alias("text"))
     first = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64(F.lit(seed), "text"), "text"))
     samples: dict[str, list[str]] = {}
     for lang, text in rows.withColumn("nth", first).where(F.col("nth") <= SAMPLE_TEXTS).orderBy("lang", "nth").select("lang", "text").collect():
