@@ -10,7 +10,8 @@ numbers and are written once; distinct windows are taken in blocks of at most ab
 rows, and what is found is joined by row number.  Items are joined to the windows found, so that they are never
 broadcast.  Any size of benchmark gives the same rows, whatever ids repeat or are null.
 
-Null text has no words.  Null items give no windows; items with equal words each count.  Repeated rows are judged
+Null text has no words, and an item of null text no windows.  Items of a null id hit like all others; together they are one
+item without a name, null and last among the items found.  Items with equal words each count.  Repeated rows are judged
 alike, and only the columns named are read, so further columns cannot clash.
 """
 
@@ -51,13 +52,12 @@ class _Windows:
     """The windows of one block by width and hash."""
 
     def __init__(self, found: list[tuple[str, str]]):
-        self.items = sorted({i for i, _ in found if i is not None})
+        self.items = sorted({i for i, _ in found}, key=lambda i: (i is None, i))
         number = {item: k for k, item in enumerate(self.items)}
         self.by_width: dict[int, tuple[np.ndarray, np.ndarray, dict[int, list]]] = {}
         by_width: dict[int, dict[bytes, list[int]]] = {}
         for item, window in found:
-            if item is not None:
-                by_width.setdefault(window.count(" ") + 1, {}).setdefault(window.encode(), []).append(number[item])
+            by_width.setdefault(window.count(" ") + 1, {}).setdefault(window.encode(), []).append(number[item])
         table = _text.alphanumeric()
         for width, windows in by_width.items():
             column = pa.array(list(windows), pa.binary())
@@ -140,7 +140,7 @@ def _scan(docs: DataFrame, shared, keys: list[str], text_col: str, clean: bool)
                 data = lower[raw]
                 words = _text.words(data, offsets, table)
                 hit, items = known.scan(data, offsets, *words)
-                found = [sorted(known.items[i] for i in items.get(k, ())) for k in range(high - low)]
+                found = [[known.items[i] for i in sorted(items.get(k, ()))] for k in range(high - low)]
                 yield _marked([c.slice(low, high - low) for c in batch.columns[: len(keys)]], keys, texts.slice(low, high - low), raw, offsets, words, hit, found, clean)
 
     return docs.select(*keys, F.col(text_col).cast("string")).mapInArrow(run, _schema(docs, keys, clean))
@@ -182,18 +182,19 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH
     ``clean`` adds ``cleaned``, the text without the hit words; ``carry`` names columns that are passed on.
     """
     spark, keys = docs.sparkSession, [id_col, *carry]
-    windows = benchmark_windows(benchmark, width, item_col, item_text_col).where("item is not null")
+    windows = benchmark_windows(benchmark, width, item_col, item_text_col)
     if windows.count() <= max_windows:
         return _scan(docs, spark.sparkContext.broadcast(_Windows([tuple(r) for r in windows.collect()])), keys, text_col, clean)
-    whole = stored(windows.groupBy("window").agg(F.collect_list("item").alias("names")).withColumn("number", F.monotonically_increasing_id()), "windows")
+    whole = stored(windows.select("window").distinct().withColumn("number", F.monotonically_increasing_id()), "windows")
+    items = stored(windows.join(whole, "window").select("number", F.struct("item").alias("name")), "items")
     total = whole.count()
     blocks = 1 if total <= max_windows else 2 * -(-total // max_windows)
     whole = whole.withColumn("block", F.pmod(F.xxhash64("window"), F.lit(blocks)))
     rows = stored(docs.select(*keys, text_col).withColumn(_ROW, F.monotonically_increasing_id()), "rows")
     marks = _scan_blocks(rows, whole, blocks, text_col)
     spans = marks.groupBy(_ROW).agg(F.flatten(F.collect_list("hits")).alias(_FOUND))
-    named = marks.select(_ROW, F.explode(F.col("items").cast("array<bigint>")).alias("number")).join(whole.select("number", F.explode("names").alias("name")), "number")
-    named = named.groupBy(_ROW).agg(F.array_sort(F.collect_set("name")).alias("items"))
+    named = marks.select(_ROW, F.explode(F.col("items").cast("array<bigint>")).alias("number")).join(items, "number")
+    named = named.groupBy(_ROW).agg(F.array_sort(F.transform(F.collect_set("name"), lambda n: n["item"])).alias("items"))
     found = rows.join(spans.join(named, _ROW), _ROW, "left")
     return _join_marks(found.withColumn(_FOUND, F.coalesce(_FOUND, F.array().cast(_SPANS))).withColumn("items", F.coalesce("items", F.array().cast("array<string>"))), keys, text_col, clean)
 
