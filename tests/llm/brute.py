@@ -92,13 +92,61 @@ def similar(docs, width=5, similarity=0.8):
     return roots(ids, links)
 
 
+def url_tree(urls, min_share, min_urls, similar, prior):
+    """(template, purity) of each (host, path, label): label 1 is blocked, 0 allowed, None unknown."""
+    known = [x for _, _, x in urls if x is not None]
+    overall = sum(known) / len(known) if known else 0.0
+    out = [None] * len(urls)
+
+    def smooth(rows, above):
+        labels = [urls[k][2] for k in rows if urls[k][2] is not None]
+        return (sum(labels) + prior * above) / (len(labels) + prior)
+
+    def grow(rows, level, template, purity):
+        deeper = defaultdict(list)
+        for k in rows:
+            segments = [s.replace("*", "%2A").replace("|", "%7C") for s in urls[k][1].split("/") if s]
+            if len(segments) > level:
+                deeper[segments[level]].append(k)
+            else:
+                out[k] = template, purity
+        total, kids = sum(map(len, deeper.values())), defaultdict(list)
+        for name, own in deeper.items():
+            kids[name if len(own) >= max(min_urls, total * min_share) else "*"] += own
+        branches, labelled = [], []
+        for name, own in kids.items():
+            labels = [urls[k][2] for k in own if urls[k][2] is not None]
+            if labels:
+                labelled.append((sum(labels) / len(labels), name, len(labels), sum(labels), own))
+            else:
+                branches.append([[name], 0, 0, own])
+        runs = []
+        for share, name, n, bad, own in sorted(labelled, key=lambda x: x[:4]):
+            if runs:
+                names, n0, bad0, own0 = runs[-1]
+                p = (bad + bad0) / (n + n0)
+                if abs(bad0 / n0 - share) <= similar * (p * (1 - p) * (1 / n + 1 / n0)) ** 0.5:
+                    runs[-1] = [[*names, name], n + n0, bad + bad0, own0 + own]
+                    continue
+            runs.append([[name], n, bad, own])
+        for names, _, _, own in branches + runs:
+            grow(own, level + 1, f"{template}/{'*' if '*' in names else '|'.join(sorted(names))}", smooth(own, purity))
+
+    hosts = defaultdict(list)
+    for k, (host, _, _) in enumerate(urls):
+        hosts[host].append(k)
+    for rows in hosts.values():
+        grow(rows, 0, "", smooth(rows, overall))
+    return out
+
+
 def contamination(docs, items, width=10):
     """doc_id -> (words, hit words, item ids)."""
     windows = defaultdict(set)
     for item, text in items:
         w = TOKEN.findall(lower(text))
         for k in range(max(1, len(w) - width + 1) if w else 0):
-            windows[tuple(w[k : k + width])].add(str(item))
+            windows[tuple(w[k : k + width])].add(None if item is None else str(item))
     sizes = {len(w) for w in windows}
     out = {}
     for i, text in docs:
@@ -109,7 +157,7 @@ def contamination(docs, items, width=10):
                 if (key := tuple(w[k : k + size])) in windows:
                     hit[k : k + size] = [True] * size
                     found |= windows[key]
-        out[i] = len(w), sum(hit), sorted(found)
+        out[i] = len(w), sum(hit), sorted(found, key=lambda x: (x is None, x))
     return out
 
 

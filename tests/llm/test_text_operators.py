@@ -6,6 +6,7 @@ import brute
 import pytest
 from pyspark.sql import functions as F
 
+from corpuseval.llm._session import scratch
 from corpuseval.llm import decontaminate, sharding, simhash, substring_dedup
 
 DOCS = "doc_id long, text string"
@@ -173,7 +174,7 @@ def contaminated_docs():
 
 def test_decontaminate(spark):
     docs = contaminated_docs()
-    want = brute.contamination(docs, [x for x in ITEMS if x[0] is not None])
+    want = brute.contamination(docs, ITEMS)
     df, bench = spark.createDataFrame([(i, t, 1) for i, t in docs], DOCS + ", hits int"), spark.createDataFrame(ITEMS, "item_id long, text string")
     for limit in (decontaminate.MAX_WINDOWS, 5):
         got = decontaminate.find_contamination(df, bench, max_windows=limit).collect()
@@ -217,3 +218,39 @@ def test_sharding(spark):
     again = sharding.shuffle_shards(df.repartition(5), shards=7, bucket_bytes=1000)
     assert sorted((r.doc_id or -1, r.shard, r.slot) for r in again.collect() if r.doc_id is not None) == sorted((r.doc_id or -1, r.shard, r.slot) for r in got if r.doc_id is not None)
     assert sharding.shuffle_shards(df.limit(0)).count() == 0
+    few = sharding.shuffle_shards(df.where("doc_id < 3"), shards=7).collect()
+    assert sorted((r.shard, r.slot) for r in few) == [(0, 0), (1, 0), (2, 0)]
+
+
+def test_sharding_order(spark):
+    """Every bucket is a range of the order, mixed and not sorted by its keys; the order is near uniform and depends on the seed."""
+    df = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("some text of one length").alias("text"))
+    total = 4000 * (23 + sharding.OVERHEAD)
+    orders = []
+    for seed in (1, 2):
+        got = sharding.shuffle_shards(df, shards=1, seed=seed, bucket_bytes=total // 8).orderBy("slot").collect()
+        orders.append([r.doc_id for r in got])
+        buckets = 1 + (total - 1) // (total // 8)
+        own = {r[0]: r[1] for r in df.select("doc_id", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(buckets))).collect()}
+        key = {r[0]: r[1] for r in df.select("doc_id", F.xxhash64(F.lit(seed + 1), "doc_id", "text")).collect()}
+        assert [own[i] for i in orders[-1]] == sorted(own.values())  # buckets one after another
+        first = [i for i in orders[-1] if own[i] == 0]
+        assert [key[i] for i in first] != sorted(key[i] for i in first)
+    assert orders[0] != orders[1] and sorted(orders[0]) == list(range(4000))
+    quarters = [sum(i < 1000 for i in orders[0][k : k + 1000]) for k in range(0, 4000, 1000)]
+    assert all(190 < q < 310 for q in quarters)
+
+
+def test_shards_of_any_columns_written_and_read(spark):
+    """Maps at any depth and columns named like those added; files hold the slots of a shard in order."""
+    df = spark.range(500).selectExpr("id as doc_id", "case when id % 9 = 0 then null else repeat('x', cast(id as int)) end as text", "map('b', id, 'a', null) as m", "array(named_struct('k', map(id, map('z', 1)))) as deep", "named_struct('n', cast(null as map<string,int>)) as n", "id as size")
+    sharded = sharding.shuffle_shards(df, shards=3, bucket_bytes=20_000)
+    sharding.write_shards(sharded, path := scratch(spark, "shards"))
+    back = sharding.read_shards(spark, path, sharded.schema)
+    assert sorted(map(repr, back.select(*sharded.columns).collect())) == sorted(map(repr, sharded.collect())) and back.count() == 500
+    files = back.withColumn("file", F.input_file_name()).select("file", "shard", "slot").collect()
+    held = {}
+    for r in files:
+        held.setdefault((r.shard, r.file), []).append(r.slot)
+    assert all(v == list(range(v[0], v[0] + len(v))) for v in held.values())
+    assert len(held) <= 3 + 2 * (1 + 500 * 300 // 20_000)
