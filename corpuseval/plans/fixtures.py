@@ -20,7 +20,7 @@ select doc_id as id, trim(split_part(text, chr(10), 1)) as title,
  upper(lang) as subject,
  case when doc_id % 5 < 3 then 'study' when doc_id % 5 = 3 then 'review' else 'others' end as type,
  case when doc_id % 19 = 0 then 'entries_failed' else 'entries_parsed' end as status,
- case when doc_id % 13 = 0 then '  ' else substr(text, 1, 400) end as rq_with_context
+ case when doc_id % 13 = 0 then '  ' else text end as rq_with_context
 from documents"""
 
 

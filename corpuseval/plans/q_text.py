@@ -270,11 +270,22 @@ def _(s, d):
     return ln.line_class(_lines(s, d), "doc_id").select("doc_id", "line_no", "kind")
 
 
-@query("k5_restore_paragraphs")
+_PARAGRAPHS = """m as (select doc_id, line_no, kind, trim(line) as t, kind = 'page_number' or (kind = 'header_footer' and regexp_matches(trim(line), '(?i)^(copyright|©|doi:)')) as mark from k join l using (doc_id, line_no)),
+kp as (select doc_id, line_no, case when mark then '[' || t || ']' else t end as tt, mark or kind in ('special', 'blank') as alone from m where kind <> 'header_footer' or mark),
+b as (select *, lag(tt) over w as before, coalesce(lag(alone) over w, true) as alone_before from kp window w as (partition by doc_id order by line_no)),
+g as (select *, not alone and not alone_before and (regexp_matches(before, '[-,;:]$') or not regexp_matches(before, '[.!?][''")\\]]?$') or regexp_matches(tt, '^\\p{Ll}')) as goes from b),
+p as (select *, sum(case when goes then 0 else 1 end) over (partition by doc_id order by line_no) as p from g),
+j as (select doc_id, p, list_reduce(list(tt order by line_no), lambda a, x: case when regexp_matches(a, '\\p{L}-$') then left(a, length(a) - 1) || x else a || ' ' || x end) as paragraph from p where tt <> '' group by doc_id, p)"""
+
+
+@query("k5_restore_paragraphs", f"with {_LINES}, {_CLASS}, {_PARAGRAPHS} select doc_id, (row_number() over (partition by doc_id order by p))::integer as paragraph_no, paragraph from j")
 def _(s, d):
     return ln.restore_paragraphs(ln.line_class(_lines(s, d), "doc_id"), "doc_id")
 
 
-@query("k6_join_pages", "select source, case when string_agg(text, '') = '' then 'failed' else 'content_parsed' end as status from documents group by source")
+_PAGES = "regexp_replace(regexp_replace(replace(string_agg(text, chr(10) || chr(10) order by turn, text), chr(13) || chr(10), chr(10)), '\\n{3,}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g')"
+
+
+@query("k6_join_pages", f"with p as (select conv_id, coalesce({_PAGES}, '') as content from conversations group by conv_id) select conv_id, md5(content) as content, case when content = '' then 'failed' else 'content_parsed' end as status from p")
 def _(s, d):
-    return ln.join_pages(table(s, d, "documents"), "source", "doc_id", "text").select("source", "status")
+    return ln.join_pages(table(s, d, "conversations"), "conv_id", "turn", "text").select("conv_id", F.md5("content").alias("content"), "status")
