@@ -1,6 +1,6 @@
 """Keys and clean forms of text.
 
-NFKC has no built-in function; the one Python function here runs only on texts outside ASCII.
+NFKC has no built-in function; the one Python function here gets texts outside ASCII, and null for all others.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ def _nfkc(texts: pd.Series) -> pd.Series:
 def nfkc(text: Column | str, ascii_only: bool = False) -> Column:
     """J9. NFKC form; ``ascii_only`` states that all texts are ASCII and leaves the function out of the plan."""
     text = _col(text)
-    return text if ascii_only else F.when(text.rlike(r"\A[\x00-\x7F]*\z"), text).otherwise(_nfkc(text))
+    return text if ascii_only else F.coalesce(_nfkc(F.when(~text.rlike(r"\A[\x00-\x7F]*\z"), text)), text)
 
 
 def journal_key(text: Column | str, ascii_only: bool = False) -> Column:

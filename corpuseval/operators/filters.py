@@ -10,6 +10,12 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpuseval.operators.reshape import number_rows
+
+
+#: Rows up to which a page is cut from the first rows.
+SHALLOW = 10_000
+
 
 @dataclass(frozen=True)
 class Filter:
@@ -89,10 +95,15 @@ def find_one(df: DataFrame, id_field: str, value: Any, order: str) -> DataFrame:
 
 
 def paginate(df: DataFrame, page: int, size: int, *order: str) -> DataFrame:
-    """B19. One page of sorted rows; a page holds 1 to 100 rows."""
+    """B19. One page of sorted rows; a page holds 1 to 100 rows.
+
+    The first ``SHALLOW`` rows are a top-k; for a page beyond them rows are numbered by ranges, so that no task holds all before it.
+    """
     if page < 1 or not 1 <= size <= 100:
         raise ValueError("page starts at 1 and size is 1 to 100")
-    return df.orderBy(*order).offset((page - 1) * size).limit(size)
+    if page * size <= SHALLOW:
+        return df.orderBy(*order).offset((page - 1) * size).limit(size)
+    return number_rows(df, *order).where(F.col("row_no").between((page - 1) * size + 1, page * size)).orderBy("row_no").drop("row_no")
 
 
 def page_count(df: DataFrame, size: int) -> DataFrame:

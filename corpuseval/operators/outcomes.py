@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpuseval.functions.labels import TIERS, logp_argmax_alpha, majority_vote, normalize_label_plain, parse_reasoning_and_final
 
@@ -16,6 +17,14 @@ OUTCOME = (
 )
 
 
+def outcome_struct(**fields: Column) -> Column:
+    """H9. An outcome of the fields given, all others null."""
+    kinds = T.StructType.fromDDL(OUTCOME.removeprefix("struct<").removesuffix(">"))
+    if unknown := set(fields).difference(kinds.names):
+        raise ValueError(f"an outcome has no {sorted(unknown)}")
+    return F.struct(*(fields.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in kinds))
+
+
 def fold_outcomes(long: DataFrame, key: str, entry: Column, model: str, outcome: Column, *keep: str) -> DataFrame:
     """Long rows as one nested map for each key; a key holds as many outcomes as there are models."""
     inner = long.withColumn("_entry", entry).groupBy(key, *keep, "_entry").agg(F.map_from_entries(F.collect_list(F.struct(F.col(model), outcome.alias("v")))).alias("m"))
@@ -64,7 +73,9 @@ def resolve_prediction(prediction: Column, votes: Column, response_text: Column,
         ("response_text", parse_reasoning_and_final(response_text, labels)["label"]),
         ("logp", logp_argmax_alpha(logp, labels)),
     )
-    return F.coalesce(*(F.when(c.isNotNull(), F.struct(c.alias("label"), F.lit(n).alias("source"))) for n, c in found))
+    # Source and label travel as one text, so that each parse stands once in the plan and only until one gives a label.
+    both = F.split(F.coalesce(*(F.concat(F.lit(f"{n}:"), c) for n, c in found)), ":", 2)
+    return F.when(both.isNotNull(), F.struct(F.get(both, F.lit(1)).alias("label"), F.get(both, F.lit(0)).alias("source")))
 
 
 def outcome_is_valid(outcome: Column, logp_mode: bool, need_all_votes: bool = False) -> Column:

@@ -12,8 +12,7 @@ def crosstab_with_totals(df: DataFrame, row: str, col: str, values: Sequence[str
     """E1. Counts by row and column value, with the row total (values without a column too), share of all, and a ``TOTAL`` row."""
     cells = [F.count_if(F.col(col) == v).alias(v) for v in values]
     table = df.rollup(row).agg(F.grouping(row).alias("_all"), *cells, F.count("*").alias("total"))
-    grand = F.max(F.when(F.col("_all") == 1, F.col("total"))).over(Window.partitionBy())
-    return table.withColumn("share", F.try_divide(100.0 * F.col("total"), grand)).withColumn(row, F.when(F.col("_all") == 1, "TOTAL").otherwise(F.col(row))).drop("_all")
+    return table.withColumn("share", F.try_divide(100.0 * F.col("total"), F.lit(df.count()))).withColumn(row, F.when(F.col("_all") == 1, "TOTAL").otherwise(F.col(row))).drop("_all")
 
 
 def group_profile(df: DataFrame, keys: Sequence[str], distinct: str) -> DataFrame:
@@ -39,7 +38,7 @@ def counts_with_total(df: DataFrame, key: str) -> DataFrame:
 
 def shares(df: DataFrame, key: str) -> DataFrame:
     """E5. Rows for each value and their percentage."""
-    return df.groupBy(key).agg(F.count("*").alias("n")).withColumn("percent", F.try_divide(100.0 * F.col("n"), F.sum("n").over(Window.partitionBy())))
+    return df.groupBy(key).agg(F.count("*").alias("n")).withColumn("percent", F.try_divide(100.0 * F.col("n"), F.lit(df.count())))
 
 
 def top_values(df: DataFrame, key: str, n: int = 20) -> DataFrame:

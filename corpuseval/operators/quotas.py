@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpuseval.operators.reshape import number_rows
+from corpuseval.sources.shared import stored
+
 STEPS = 50
 
 
@@ -12,18 +15,23 @@ def venue_quota(counts: DataFrame, target: int, venue: str = "journal", n: str =
     """F7. ``quota`` of each venue: target shared by (n/N)^power, rounded half to even, within 0 and n.
 
     If the sum is short, venues below n get one more, largest raw share first; if it is over target + slack, venues above 0 get one
-    less, largest excess first; one pass each. ``counts`` has a row for each venue.
+    less, largest excess first; one pass each. ``counts`` has a row for each venue. Sums are scalars and ranks come from ranges, so no
+    task sees all venues.
     """
-    every = Window.partitionBy()
-    rows = counts.select(F.col(venue), F.col(n).alias("n")).withColumn("_w", F.pow(F.col("n") / F.sum("n").over(every), F.lit(power)))
-    rows = rows.withColumn("_raw", target * F.col("_w") / F.sum("_w").over(every))
+    rows = stored(counts.select(F.col(venue), F.col(n).alias("n")), "venues")
+    all_n = rows.agg(F.sum("n")).first()[0] or 1
+    rows = rows.withColumn("_w", F.pow(F.col("n") / F.lit(float(all_n)), F.lit(power)))
+    rows = rows.withColumn("_raw", target * F.col("_w") / F.lit(rows.agg(F.sum("_w")).first()[0] or 1.0))
     rows = rows.withColumn("quota", F.least(F.greatest(F.bround("_raw").cast("long"), F.lit(0)), F.col("n")))
-    rows = rows.withColumn("_sum", F.sum("quota").over(every))
-    up, down = F.col("quota") < F.col("n"), F.col("quota") > 0
-    rows = rows.withColumn("_up", F.row_number().over(Window.partitionBy(up).orderBy(F.desc("_raw"), venue))).withColumn("_down", F.row_number().over(Window.partitionBy(down).orderBy(F.desc(F.col("quota") - F.col("_raw")), venue)))
-    short, over = F.lit(target) - F.col("_sum"), F.col("_sum") - target
-    change = F.when((short > 0) & up & (F.col("_up") <= short), 1).when((over > slack) & down & (F.col("_down") <= over), -1).otherwise(0)
-    return rows.select(venue, "n", (F.col("quota") + change).alias("quota"))
+    excess = (rows.agg(F.sum("quota")).first()[0] or 0) - target
+    if 0 <= excess <= slack:
+        return rows.select(venue, "n", "quota")
+    step = 1 if excess < 0 else -1
+    fit = F.col("quota") < F.col("n") if step > 0 else F.col("quota") > 0
+    first = F.col("_raw") if step > 0 else F.col("quota") - F.col("_raw")
+    chosen = number_rows(rows.where(fit).select(F.col(venue).alias("_venue"), (-first).alias("_first")), "_first", "_venue").where(F.col("row_no") <= abs(excess))
+    joined = rows.join(chosen.select("_venue", F.lit(step).alias("_step")), F.col(venue).eqNullSafe(F.col("_venue")), "left")
+    return joined.select(venue, "n", (F.col("quota") + F.coalesce("_step", F.lit(0))).alias("quota"))
 
 
 def _bisect(low: float, high: float, excess, tolerance: float) -> Column:
@@ -69,7 +77,10 @@ def year_quota_weight(counts: DataFrame, target: int, current: int, decay: float
 
 def size_factor(counts: DataFrame, target: int, tolerance: int, n: str = "n") -> DataFrame:
     """F10. Exponent f for which the sum of min(n, max(1, int(target (n/N)^f))) is within the tolerance of the target; larger f gives less."""
-    rows = counts.agg(F.collect_list(F.col(n).cast("long")).alias("ns"), F.sum(n).alias("total"))
-    total = lambda f: F.aggregate("ns", F.lit(0).cast("long"), lambda a, x: a + F.least(x, F.greatest(F.lit(1).cast("long"), F.floor(target * F.pow(x / F.col("total"), f)).cast("long"))))
+    # Groups of equal count are one entry: n rows hold at most sqrt(2n) different counts.
+    sizes = counts.groupBy(F.col(n).cast("long").alias("n")).agg(F.count("*").alias("groups"))
+    rows = sizes.agg(F.array_sort(F.collect_list(F.struct("n", "groups"))).alias("sizes"), F.sum(F.col("n") * F.col("groups")).alias("total"))
+    part = lambda x, f: F.least(x["n"], F.greatest(F.lit(1).cast("long"), F.floor(target * F.pow(x["n"] / F.col("total"), f)).cast("long")))
+    total = lambda f: F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x["groups"] * part(x, f))
     factor = _bisect(0.0, 4.0, lambda f: -(total(f) - target), tolerance)
     return rows.withColumn("factor", factor).select("factor", total(F.col("factor")).alias("total"))

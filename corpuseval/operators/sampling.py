@@ -75,8 +75,15 @@ def sample_by_quota(df: DataFrame, quotas: DataFrame, keys: Sequence[str], seed:
 
 
 def cap_sample(df: DataFrame, cap: int, seed: int, key: str) -> DataFrame:
-    """F12. A random sample of ``cap`` rows, or all if there are fewer."""
-    return df.orderBy(draw(seed, key), key).limit(cap)
+    """F12. A random sample of ``cap`` rows, or all if there are fewer; ``key`` names a row.
+
+    Only the random order is numbered, by ranges; the row in place ``cap`` bounds the sample.
+    """
+    order = F.struct(draw(seed, key).alias("_draw"), F.col(key).alias("_key"))
+    last = number_rows(df.select(order.alias("_order")).select("_order.*"), "_draw", "_key").where(F.col("row_no") == cap).first()
+    if cap < 1:
+        return df.limit(0)
+    return df if last is None else df.where((draw(seed, key) < last["_draw"]) | ((draw(seed, key) == last["_draw"]) & (F.coalesce(F.col(key) <= F.lit(last["_key"]), F.lit(True)))))
 
 
 def mark_kept(df: DataFrame, kept: DataFrame, key: str, scope: Column, flag: str = "abort") -> DataFrame:

@@ -13,6 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuseval.functions.labels import TIERS, majority_vote, parse_reasoning_and_final, vote_stats
+from corpuseval.functions.responses import parse_json_answer
+from corpuseval.functions.textkeys import first_text, null_words
+from corpuseval.operators.reshape import map_update
 
 SCORED = "response_text string, response_json string, attempts int, error string"
 
@@ -89,6 +92,36 @@ def dead_letters(scored: DataFrame) -> tuple[DataFrame, DataFrame]:
     return scored.where("error is null"), scored.where("error is not null")
 
 
+def _asked(text: Column, prompt: str) -> Column:
+    message = lambda role, c: F.struct(F.lit(role).alias("role"), c.alias("content"))
+    return F.when(text.isNotNull(), F.array(message("system", F.lit(prompt)), message("user", text)))
+
+
+def generate_entries_job(items: DataFrame, model: Callable, key: str, text: str, fields: Sequence[str], prompt: str, entries: str = "entries", **options) -> DataFrame:
+    """J6. ``entries`` with the fields of the model's JSON answer to the text, and ``status``.
+
+    Fields that are blank or say nothing ("null", "none", "n/a") are null; they replace what ``entries`` holds. Rows without a text, and
+    rows whose call fails or whose answer cannot be read, keep their entries and are ``entries_failed``.
+    """
+    asked = items.withColumn("_messages", _asked(F.when(F.trim(F.col(text)) != "", F.trim(F.col(text))), prompt))
+    scored = score(asked.where("_messages is not null").select(key, "_messages"), model, [key], "_messages", **options)
+    answers = scored.select(key, parse_json_answer("response_text", fields).alias("_answer"))
+    new = F.create_map(*(c for f in fields for c in (F.lit(f), null_words(F.col(f"_answer.{f}")))))
+    joined = items.join(answers, key, "left")
+    read = F.col("_answer").isNotNull()
+    merged = F.when(read, map_update(F.coalesce(entries, F.create_map().cast("map<string,string>")), new)).otherwise(F.col(entries))
+    return joined.withColumn(entries, merged).withColumn("status", F.when(read, "entries_parsed").otherwise("entries_failed")).drop("_answer")
+
+
+def classify_type_job(items: DataFrame, model: Callable, key: str, texts: Sequence[tuple[str, str]], prompt: str, kind: str = "type", **options) -> DataFrame:
+    """J7. ``kind`` from the model's JSON answer to the first of ``texts`` (name, column) with text; ``failed`` without text or answer."""
+    found = items.select(key, first_text(*texts)["text"].alias("_text"))
+    asked = found.where("_text is not null").select(key, _asked(F.col("_text"), prompt).alias("_messages"))
+    scored = score(asked, model, [key], "_messages", **options)
+    answers = scored.select(key, F.nullif(F.trim(parse_json_answer("response_text", ["type"])["type"]), F.lit("")).alias("_kind"))
+    return items.join(answers, key, "left").withColumn(kind, F.coalesce("_kind", F.lit("failed"))).drop("_kind")
+
+
 #: J8. Named transforms, for ``df.transform(TRANSFORMS[name])``.
 TRANSFORMS: dict[str, Callable[[DataFrame], DataFrame]] = {}
 

@@ -77,13 +77,12 @@ def report_lines(df: DataFrame, group: str, columns: Sequence[str], order: Seque
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str, order: str | None = None, mode: str = "replace") -> DataFrame:
-    """A14. Merge by key: the new row wins, of several the last by ``order``; rows without a key are kept.
+    """A14. Merge by key: the new row wins, of several the last by ``order``, or in the order they are read; rows without a key are kept.
 
     ``replace`` takes the new row whole; ``patch`` takes its values that are not null.
     """
-    last = new.where(F.col(key).isNotNull())
-    if order:
-        last = last.withColumn("_nth", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))).where("_nth = 1").drop("_nth")
+    last = new.where(F.col(key).isNotNull()).withColumn("_at", F.col(order) if order else F.monotonically_increasing_id())
+    last = last.withColumn("_nth", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("_at")))).where("_nth = 1").drop("_nth", "_at")
     nameless = old.where(F.col(key).isNull()).unionByName(new.where(F.col(key).isNull()), allowMissingColumns=True)
     named = old.where(F.col(key).isNotNull())
     if mode == "replace":
@@ -118,4 +117,4 @@ def last_results(results: DataFrame, keys: Sequence[str], order: str) -> DataFra
 def save_results(metrics: DataFrame, results: DataFrame, path: str) -> None:
     """A20. Results as JSONL and tidy metrics as JSON."""
     write_jsonl(results, f"{path}/results")
-    write_jsonl(metrics.coalesce(1), f"{path}/metrics")
+    write_jsonl(metrics, f"{path}/metrics")

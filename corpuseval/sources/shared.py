@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_named: list[str] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder of ``spark.checkpoint.dir``; only a local session may lack that setting."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -15,7 +18,15 @@ def scratch(spark: SparkSession, name: str) -> str:
         if not (spark.sparkContext.master + "[").startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="spark-shared-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _named.append(path := f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return path
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes what stands at the paths that ``scratch`` has named in this process; results that read from there are lost."""
+    while _named:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_named.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stored(df: DataFrame, name: str = "table") -> DataFrame:

@@ -32,21 +32,65 @@ def eligible(df: DataFrame, new: str, retrying: str, limit: int = 3, status: str
     return df.where((F.col(status) == new) | ((F.col(status) == retrying) & (F.coalesce(F.col(trials), F.lit(0)) < limit)))
 
 
-def upsert_stream(rows: DataFrame, table: str, key: str, checkpoint: str, order: str | None = None) -> None:
-    """L4. Every micro-batch merged into a table of versions ``table/v=N``; a batch that comes again writes the same version."""
+#: Parts of a table that ``upsert_stream`` keeps, by a hash of the key.
+PARTS = 64
+
+
+def _versions(spark: SparkSession, table: str) -> tuple[int, dict[int, int]]:
+    """The last batch that was merged and the current slot (0 or 1) of each part; -1 and nothing before the first."""
+    log = spark.read.schema("batch long, part int, slot int").json(f"{table}/log")
+    last = log.agg(F.max("batch")).first()[0]
+    if last is None:
+        return -1, {}
+    newest = log.groupBy("part").agg(F.max_by("slot", "batch").alias("slot"))
+    return last, {r.part: r.slot for r in newest.collect()}
+
+
+def _stored_parts(spark: SparkSession, table: str, schema, slots: dict[int, int]) -> DataFrame:
+    """Rows of the parts given, each from its current slot."""
+    paths = [f"{table}/slot={slot}/_part={part}" for part, slot in sorted(slots.items())]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
+def upsert_stream(rows: DataFrame, table: str, key: str, checkpoint: str, order: str | None = None, parts: int = PARTS) -> None:
+    """L4. Every micro-batch merged into a table of ``parts`` parts by a hash of the key.
+
+    Only the parts that a batch touches are read and written, each into the one of its two slots that is not current, so at most two
+    versions of a part exist.  A line of ``table/log`` for each part makes them current at once; a batch that comes again after
+    that is skipped, one that comes again before it writes the same slots.
+    """
+    spark, schema = rows.sparkSession, rows.schema
+    spark.createDataFrame([], "batch long, part int, slot int").write.mode("append").json(f"{table}/log")
 
     def merge(batch: DataFrame, n: int) -> None:
-        old = batch.sparkSession.read.parquet(f"{table}/v={n - 1}") if n else batch.limit(0)
-        upsert(old, batch, key, order).write.mode("overwrite").parquet(f"{table}/v={n}")
+        session = batch.sparkSession
+        last, slots = _versions(session, table)
+        if n <= last:
+            return
+        part = F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")
+        touched = [r[0] for r in batch.select(part).distinct().collect()]
+        if not touched:
+            return
+        old = _stored_parts(session, table, schema, {k: slots[k] for k in touched if k in slots})
+        if order:  # of old and new rows the last counts, and the new one of equals, in whatever order files come
+            ranked = lambda df, new: df.withColumn("_rank", F.struct(F.col(order), F.lit(new)))
+            both = ranked(old, 0).unionByName(ranked(batch, 1))
+            merged = upsert(both.limit(0), both, key, "_rank").drop("_rank")
+        else:
+            merged = upsert(old, batch, key)
+        merged = merged.withColumn("_part", part)
+        target = {k: 1 - slots.get(k, 1) for k in touched}
+        for slot in sorted(set(target.values())):
+            own = merged.where(F.col("_part").isin([k for k in touched if target[k] == slot]))
+            own.repartition(F.col("_part")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_part").parquet(f"{table}/slot={slot}")
+        session.createDataFrame([(n, k, s) for k, s in target.items()], "batch long, part int, slot int").coalesce(1).write.mode("append").json(f"{table}/log")
 
     rows.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def latest(spark: SparkSession, table: str) -> DataFrame:
-    """The newest version that ``upsert_stream`` wrote."""
-    versions = spark.read.parquet(table)
-    newest = versions.agg(F.max("v")).first()[0]
-    return versions.where(F.col("v") == newest).drop("v")
+def latest(spark: SparkSession, table: str, schema) -> DataFrame:
+    """The current rows of a table of ``upsert_stream``."""
+    return _stored_parts(spark, table, schema, _versions(spark, table)[1])
 
 
 #: L6. Statuses in order: each stage takes rows of one and leaves them in the next.
