@@ -172,9 +172,8 @@ def _nested(s, d):
 
 
 def _resolved(s, d):
-    rows = oc.explode_outcomes(_nested(s, d), "val_outcome", "rq_with_context", "id", "subject")
-    found = oc.resolve_prediction(F.col("outcome.prediction"), F.lit(None).cast("array<string>"), F.col("outcome.response_text"), F.col("outcome.logp"))
-    return rows.select("id", "subject", "model", F.col("outcome.truth").alias("truth"), found.alias("f")).select("id", "subject", "model", "truth", "f.label", "f.source")
+    found = oc.resolve_prediction(F.col("prediction"), F.lit(None).cast("array<string>"), F.col("response_text"), logp_map())
+    return outcomes(s, d).select("id", "subject", "model", "truth", found.alias("f")).select("id", "subject", "model", "truth", "f.label", "f.source")
 
 
 _BOARD = f"""
@@ -307,10 +306,10 @@ def _messages(s, d):
     return table(s, d, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))), lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"))).alias("messages"))
 
 
-@query("i1_to_messages", f"select id, 'Judge the text.' as system, trim(rq_with_context) as ask, coalesce(upper(substr({_TIER}, 1, 1)) || substr({_TIER}, 2), trim(rank_raw)) as answer from articles")
+@query("i1_to_messages", f"select id, 'Judge the text.' as system, md5(trim(rq_with_context)) as ask, coalesce(upper(substr({_TIER}, 1, 1)) || substr({_TIER}, 2), trim(rank_raw)) as answer from articles")
 def _(s, d):
     m = articles(s, d).select("id", ds.to_messages("rq_with_context", "rank_raw", _PROMPT).alias("m"))
-    return m.select("id", F.col("m")[0]["content"].alias("system"), F.col("m")[1]["content"].alias("ask"), F.col("m")[2]["content"].alias("answer"))
+    return m.select("id", F.col("m")[0]["content"].alias("system"), F.md5(F.col("m")[1]["content"]).alias("ask"), F.col("m")[2]["content"].alias("answer"))
 
 
 @query("i2_build_training_set", f"select id from (select id, row_number() over (partition by coalesce(upper(substr({_TIER}, 1, 1)) || substr({_TIER}, 2), trim(rank_raw)) order by md5('32:' || id), id) as nth from articles where trim(rq_with_context) <> '' and trim(rank_raw) <> '') where nth <= 25")
@@ -325,15 +324,15 @@ def _(s, d):
     return _messages(s, d).select("conv_id", ds.to_prompt_completion("messages").alias("p")).select("conv_id", F.md5("p.prompt").alias("prompt"), "p.completion")
 
 
-@query("i4_pick_payload", "select text from documents where doc_id % 5 = 0")
+@query("i4_pick_payload", "select text from documents")
 def _(s, d):
-    return ds.pick_payload(table(s, d, "documents").where("doc_id % 5 = 0"))
+    return ds.pick_payload(table(s, d, "documents"))
 
 
-@query("i5_eval_messages", "select id, coalesce(nullif(trim(rq_with_context), ''), nullif(trim(title), '')) as ask from articles where coalesce(nullif(trim(rq_with_context), ''), nullif(trim(title), '')) is not null")
+@query("i5_eval_messages", "select id, md5(coalesce(nullif(trim(rq_with_context), ''), nullif(trim(title), ''))) as ask from articles where coalesce(nullif(trim(rq_with_context), ''), nullif(trim(title), '')) is not null")
 def _(s, d):
     m = articles(s, d).select("id", ds.eval_messages("rq_with_context", "title", _PROMPT).alias("m")).where("m is not null")
-    return m.select("id", F.col("m")[1]["content"].alias("ask"))
+    return m.select("id", F.md5(F.col("m")[1]["content"]).alias("ask"))
 
 
 @query("i6_pair_messages", "select id, 'RQ1: ' || trim(title) || chr(10) || chr(10) || 'RQ2: ' || trim(type) as ask from articles")
@@ -387,14 +386,14 @@ def _(s, d):
     return sc.score(sc.sample_n(_asked(s, d), 3), sc.stub_model, ["id", "sample"], sample="sample").select("id", "sample", "response_text")
 
 
-@query("j3_with_retries", "select id, case when id % 2 = 1 then 'ok' end as response_text, case when id % 2 = 1 then 1 else 3 end as attempts, id % 2 = 0 as failed from articles where trim(title) <> '' and id % 20 < 2")
+@query("j3_with_retries", "select id, case when id % 2 = 1 then 'ok' end as response_text, case when id % 2 = 1 then 1 else 3 end as attempts, id % 2 = 0 as failed from articles where trim(title) <> ''")
 def _(s, d):
     def model(messages: list, sample: int) -> str:
         if sample == 0:
             raise ValueError("no answer")
         return "ok"
 
-    rows = _asked(s, d).where("id % 20 < 2").withColumn("odd", (F.col("id") % 2).cast("int"))
+    rows = _asked(s, d).withColumn("odd", (F.col("id") % 2).cast("int"))
     return sc.score(rows, model, ["id"], sample="odd", retries=2, wait=0).select("id", "response_text", "attempts", F.col("error").isNotNull().alias("failed"))
 
 
@@ -407,28 +406,50 @@ def _(s, d):
     return done.select("id", F.col("vote.winner").alias("winner"), F.round("stats.avg_accuracy", 6).alias("avg_accuracy"))
 
 
-@query("j6_generate_entries")
+def _answers(messages: list, sample: int) -> str:
+    """A stub that reads the text it is given: no answer to every fifth length, else JSON of a field, an empty word and a type."""
+    text = messages[-1]["content"]
+    if len(text) % 5 == 0:
+        return "I cannot say."
+    kind = ("study", "review", "others")[len(text) % 3]
+    return f"Sure: {{core_rq_short: '{len(text)}', gap_focused: 'N/A', type: '{kind}'}}"
+
+
+_LENGTH = "length(trim(rq_with_context))"
+
+
+@query("j6_generate_entries", f"""
+with t as (select id, rq_with_context as old, case when trim(rq_with_context) <> '' and {_LENGTH} % 5 <> 0 then {_LENGTH} end as n from articles)
+select id, case when n is null then 'entries_failed' else 'entries_parsed' end as status, n::varchar as core_rq_short, null::varchar as gap_focused, md5(old) as rq_with_context from t""")
+def _(s, d):
+    a = articles(s, d).withColumn("entries", F.create_map(F.lit("rq_with_context"), F.col("rq_with_context"), F.lit("gap_focused"), F.lit(None).cast("string")))
+    done = sc.generate_entries_job(a, _answers, "id", "rq_with_context", ["core_rq_short", "gap_focused"], _PROMPT)
+    return done.select("id", "status", *(F.try_element_at("entries", F.lit(k)).alias(k) for k in ("core_rq_short", "gap_focused")), F.md5(F.try_element_at("entries", F.lit("rq_with_context"))).alias("rq_with_context"))
+
+
+@query("j7_classify_type", """
+with t as (select id, length(coalesce(nullif(trim(rq_with_context), ''), nullif(trim(title), ''))) as n from articles)
+select id, case when n is null or n % 5 = 0 then 'failed' else ['study', 'review', 'others'][n % 3 + 1] end as type from t""")
 def _(s, d):
-    """Summary fields of a stub answer, null words dropped, merged into the entries."""
-    from corpuseval.functions.responses import parse_json_answer
-    from corpuseval.functions.textkeys import null_words
-    from corpuseval.operators.reshape import map_update
+    return sc.classify_type_job(articles(s, d), _answers, "id", [("abstract", "rq_with_context"), ("title", "title")], _PROMPT).select("id", "type")
+
 
-    a = articles(s, d).withColumn("answer", F.when(F.col("id") % 4 != 0, F.to_json(F.struct(F.col("title").alias("core_rq_short"), F.lit("N/A").alias("gap_focused")))))
-    r = a.withColumn("r", parse_json_answer("answer", ["core_rq_short", "gap_focused"]))
-    new = F.create_map(*(c for k in ("core_rq_short", "gap_focused") for c in (F.lit(k), null_words(F.col(f"r.{k}")))))
-    done = r.select("id", map_update(F.create_map(F.lit("rq_with_context"), F.col("rq_with_context")), new).alias("entries"), F.when(F.col("r").isNotNull(), "entries_parsed").otherwise("entries_failed").alias("status"))
-    return done.select("id", "status", F.try_element_at("entries", F.lit("core_rq_short")).alias("core_rq_short"))
+@sc.register("usable_articles")
+def usable_articles(df):
+    """Articles with a venue and a split, by subject."""
+    return df.where("journal is not null and split is not null").groupBy("subject", "split").agg(F.count("*").alias("n"))
 
 
-@query("j7_classify_type", "select id, case when trim(rq_with_context) = '' and trim(title) = '' then 'failed' when id % 3 = 0 then 'failed' else type end as type from articles")
+@query("j8_registry", "select subject, split, count(*) as n from articles where journal is not null and split is not null group by subject, split")
 def _(s, d):
-    from corpuseval.functions.responses import parse_json_answer
-    from corpuseval.functions.textkeys import first_text
+    return articles(s, d).transform(sc.TRANSFORMS["usable_articles"])
 
-    a = articles(s, d).withColumn("f", first_text(("abstract", "rq_with_context"), ("title", "title")))
-    a = a.withColumn("answer", F.when(F.col("id") % 3 != 0, F.to_json(F.struct(F.col("type").alias("type")))).otherwise("cannot say"))
-    return a.select("id", F.when(F.col("f").isNull(), "failed").otherwise(F.coalesce(parse_json_answer("answer", ["type"])["type"], F.lit("failed"))).alias("type"))
+
+@query("h9_outcome_struct", "select id, model, prediction, response_text, lp_fair as fair, coalesce(lower(trim(prediction)) = truth, false) as is_match, null::integer as vote_n from outcomes")
+def _(s, d):
+    match = F.coalesce(F.lower(F.trim("prediction")) == F.col("truth"), F.lit(False))
+    o = outcomes(s, d).select("id", "model", oc.outcome_struct(prediction=F.col("prediction"), response_text=F.col("response_text"), logp=logp_map(), is_match=match).alias("o"))
+    return o.select("id", "model", "o.prediction", "o.response_text", F.try_element_at("o.logp", F.lit("fair")).alias("fair"), "o.is_match", "o.vote_n")
 
 
 @query("a18_distill", f"select id as item_id, {_TIER} as ground_truth, {_STUB} as response_text from (select *, '0' as k from articles where trim(title) <> '')")
@@ -466,10 +487,10 @@ def _(s, d):
     return jobs.eligible(rows, "created", "retrying").select("id")
 
 
-@query("l6_stage_chain", "select id, case when id % 2 = 0 then case when id % 3 = 0 then 'entries_parsed' else 'entries_parsed_retrying' end else 'pdf_parsed_retrying' end as status from articles where id % 4 < 2")
+@query("l6_stage_chain", "select id, case when id % 2 = 0 then case when id % 3 = 0 then 'entries_parsed' else 'entries_parsed_retrying' end when id % 4 + 1 < 3 then 'pdf_parsed_retrying' else 'pdf_parsed_failed' end as status from articles")
 def _(s, d):
     works = {"created": F.col("id") % 2 == 0, "pdf_parsed": F.lit(True), "content_parsed": F.col("id") % 3 == 0}
-    return jobs.stage_chain(_work(s, d).where("id % 4 < 2"), works).select("id", "status")
+    return jobs.stage_chain(_work(s, d), works).select("id", "status")
 
 
 @query("l1_ingest_stream", "select event_id, event_type from events where event_type <> 'none'")
@@ -483,15 +504,17 @@ def _(s, d):
     return s.read.schema("event_id long, event_type string").parquet(f"{p}/out")
 
 
-@query("l4_upsert_stream", "select user_id, max(event_id) as event_id from events group by user_id")
+@query("l4_upsert_stream", "select user_id, max(event_id) as event_id, arg_max(event_type, event_id) as event_type from events group by user_id")
 def _(s, d):
+    """All events in four micro-batches, later ones merged into what earlier ones have left."""
     from corpuseval.sources.io import write_jsonl
     from corpuseval.sources.shared import scratch
 
-    p = scratch(s, "l4")
-    write_jsonl(table(s, d, "events").select("user_id", "event_id"), f"{p}/in")
-    jobs.upsert_stream(s.readStream.schema("user_id long, event_id long").json(f"{p}/in"), f"{p}/table", "user_id", f"{p}/checkpoint", "event_id")
-    return jobs.latest(s, f"{p}/table").select("user_id", "event_id")
+    p, schema = scratch(s, "l4"), "user_id long, event_id long, event_type string"
+    write_jsonl(table(s, d, "events").select("user_id", "event_id", "event_type").repartitionByRange(4, "event_id"), f"{p}/in")
+    rows = s.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(f"{p}/in")
+    jobs.upsert_stream(rows, f"{p}/table", "user_id", f"{p}/checkpoint", "event_id", parts=8)
+    return jobs.latest(s, f"{p}/table", schema)
 
 
 @query("l5_resume", "select id from outcomes where model = 'model_0' and prediction is null")

@@ -44,10 +44,13 @@ def _(s, d):
     return io.read_lines(s, p, "name")
 
 
-@query("a6_read_file_catalog")
+@query("a6_read_file_catalog", "select 'n_regionkey=' || min(n_regionkey) as subject, true as named from nation union all select 'r_regionkey=' || min(r_regionkey), true from region")
 def _(s, d):
-    table(s, d, "nation").repartition(3).write.json(f"{(p := scratch(s, 'a6'))}/SUBJECT")
-    return io.read_file_catalog(s, p, "*.json").select("subject", F.length("stem_key").alias("stem_length"))
+    """A folder for each region, written by one task: its files share a name, of which the first path counts."""
+    p = scratch(s, "a6")
+    for name in ("nation", "region"):
+        table(s, d, name).coalesce(1).write.partitionBy(f"{name[0]}_regionkey").json(f"{p}/{name}")
+    return io.read_file_catalog(s, p, "*.json").select("subject", F.expr("replace(name_key, '.', '') = concat(stem_key, 'json')").alias("named"))
 
 
 @query("a7_write_jsonl", "select id, title, journal from articles")
@@ -89,13 +92,12 @@ def _(s, d):
     return rs.select_order(articles(s, d).where("subject = 'EN'"), ["published_year", "id"], 50).select("id", "title")
 
 
-@query("a13_export_sidecar", "select id, split from articles where split = 'validate'")
+@query("a13_export_sidecar", "select id, split, title from articles where split = 'validate'")
 def _(s, d):
-    rows = articles(s, d).where("split = 'validate'").persist()
-    io.write_jsonl(rows.select("id", "title"), scratch(s, "a13"))
-    io.write_jsonl(rows.select("id", "split"), p := scratch(s, "a13-side"))
-    rows.unpersist()
-    return s.read.schema("id long, split string").json(p)
+    rows = articles(s, d).where("split = 'validate'")
+    io.write_jsonl(rows.select("id", "title"), p := scratch(s, "a13"))
+    io.write_jsonl(rows.select("id", "split"), side := scratch(s, "a13-side"))
+    return s.read.schema("id long, split string").json(side).join(s.read.schema("id long, title string").json(p), "id")
 
 
 _UPSERT = """
@@ -127,10 +129,10 @@ def _(s, d):
     return io.replace_scope(a, new, (F.col("subject") == "FR") & (F.col("split") == "validate"), "subject")
 
 
-@query("a16_copy_with_links", "select distinct c_custkey, c_name from customer where c_custkey in (select o_custkey from orders where o_orderstatus = 'F')")
+@query("a16_copy_with_links", "select o_orderkey, 'copied' as status, o_custkey, c_name from orders left join customer on c_custkey = o_custkey where o_orderstatus = 'F'")
 def _(s, d):
     rows, links = io.copy_with_links(table(s, d, "orders"), F.col("o_orderstatus") == "F", table(s, d, "customer").select("c_custkey", "c_name"), "o_custkey", "c_custkey", "copied", order="o_orderkey")
-    return links
+    return rows.join(links, F.col("o_custkey") == F.col("c_custkey"), "left").select("o_orderkey", "status", "o_custkey", "c_name")
 
 
 @query("a17_last_results", "select user_id, event_type, max(event_id) as event_id from events group by user_id, event_type")
@@ -138,11 +140,13 @@ def _(s, d):
     return io.last_results(table(s, d, "events").select("user_id", "event_type", "event_id"), ["user_id", "event_type"], "event_id")
 
 
-@query("a20_save_results", "select lang, count(*)::bigint as n from documents group by lang")
+@query("a20_save_results", "select d.doc_id, d.lang, n from documents d join (select lang, count(*)::bigint as n from documents group by lang) m on m.lang is not distinct from d.lang")
 def _(s, d):
     docs = table(s, d, "documents")
     io.save_results(docs.groupBy("lang").agg(F.count("*").alias("n")), docs.select("doc_id", "lang"), p := scratch(s, "a20"))
-    return s.read.schema("lang string, n long").json(f"{p}/metrics")
+    metrics = s.read.schema("lang string, n long").json(f"{p}/metrics")
+    results = s.read.schema("doc_id long, lang string").json(f"{p}/results")
+    return results.alias("r").join(metrics.alias("m"), F.expr("r.lang <=> m.lang")).select("doc_id", "r.lang", "n")
 
 
 @query("a21_export_by_venues", """

@@ -110,19 +110,18 @@ def _(s, d):
     return pr.assign_position(_pairs(s, d), 32).select("key_a", "key_b", "correct_position")
 
 
-_ASCII = "regexp_matches(title, '^[\\x00-\\x7F]+$')"
-_FUZZY = f"""
-with refs as (select id as r, {_TOKENS.replace('journal', 'title')} as rt from articles where id % 4 = 0 and {_ASCII}), arts as (select id as l, {_TOKENS.replace('journal', 'title')} as lt from articles where {_ASCII}),
-pairs as (select l, r, 2.0 * len(list_intersect(lt, rt)) / (len(lt) + len(rt)) as f1 from arts cross join refs)
-select l, r, round(f1, 6) as f1 from pairs where f1 >= 0.5"""
+_TITLE_TOKENS = "list_filter(list_distinct(string_split_regex(regexp_replace(lower(title), '[^\\p{L}\\p{M}\\p{Nd}\\p{Pc}\\s]', ' ', 'g'), '\\s+')), lambda x: x <> '')"
+_FUZZY = f"""fz_sets as (select id, {_TITLE_TOKENS} as ts from articles), fz_tokens as (select id, len(ts) as n, unnest(ts) as token from fz_sets),
+fz_pairs as (select a.id as l, b.id as r, 2.0 * count(*) / (any_value(a.n) + any_value(b.n)) as f1 from fz_tokens a join fz_tokens b using (token) group by a.id, b.id),
+fz as (select l, r, f1 from fz_pairs where f1 >= 0.5)"""
 
 
 def _fuzzy(s, d):
-    a = articles(s, d).where(F.col("title").rlike(r"\A[\x00-\x7F]+\z")).select("id", "title")
-    return lk.fuzzy_candidates(a, a.where("id % 4 = 0"), "id", "id", "title", "title", 0.5)
+    a = articles(s, d).select("id", "title")
+    return lk.fuzzy_candidates(a, a, "id", "id", "title", "title", 0.5)
 
 
-@query("d10_fuzzy_candidates", _FUZZY)
+@query("d10_fuzzy_candidates", f"with {_FUZZY} select l, r, round(f1, 6) as f1 from fz")
 def _(s, d):
     return _fuzzy(s, d).withColumn("f1", F.round("f1", 6))
 
@@ -228,7 +227,13 @@ def _(s, d):
     return qt.year_quota_weight(_year_counts(s, d), 100, 2025, 0.8)
 
 
-@query("f10_size_factor")
+@query("f10_size_factor", """
+with recursive c as (select count(*) as n from articles where journal is not null group by journal), w as (select sum(n)::double as total from c),
+step as (select 0 as k, 0.0::double as lo, 4.0::double as hi, 4.0::double as best, false as done
+ union all
+ select s.k + 1, case when not s.done and e.t > 200 then (s.lo + s.hi) / 2 else s.lo end, case when not s.done and e.t <= 200 then (s.lo + s.hi) / 2 else s.hi end, case when s.done then s.best else (s.lo + s.hi) / 2 end, s.done or abs(e.t - 200) <= 5
+ from step s join lateral (select sum(least(n, greatest(1, floor(200 * pow(n / total, (s.lo + s.hi) / 2))::bigint))) as t from c, w) e on true where s.k < 50)
+select best as factor, (select sum(least(n, greatest(1, floor(200 * pow(n / total, best))::bigint))) from c, w)::bigint as total from step where k = 50""")
 def _(s, d):
     return qt.size_factor(_venue_counts(s, d), 200, 5)
 
@@ -265,7 +270,15 @@ def _(s, d):
     return rs.select_order(articles(s, d).select("id", "published_year"), ["published_year", "id"], 10, [False, True])
 
 
-@query("d11_assign_one_to_one")
+@query("d11_assign_one_to_one", f"""
+with recursive {_FUZZY}, ask as materialized (select l, r, f1 from fz where l <> r), th as (select unnest([0.8, 0.7, 0.6, 0.5]) as t),
+steps as materialized (select row_number() over (order by t desc, l) as k, t, l, row_number() over (partition by t order by l) = 1 as opens from (select distinct l from ask) cross join th),
+go as (select 0::bigint as k, []::struct(l bigint, r bigint, f1 double)[] as held, false as closed
+ union all
+ select st.k, case when g.closed or (st.opens and len(g.held) >= 120) or e.b is null or list_contains(list_transform(g.held, lambda x: x.l), st.l) then g.held else list_append(g.held, e.b) end, g.closed or (st.opens and len(g.held) >= 120)
+ from go g join steps st on st.k = g.k + 1
+ left join lateral (select arg_max({{'l': a.l, 'r': a.r, 'f1': a.f1}}, (a.f1, -a.r)) as b from ask a where a.l = st.l and a.f1 >= st.t and not list_contains(list_transform(g.held, lambda x: x.r), a.r)) e on true)
+select h.l, h.r, round(h.f1, 6) as f1 from (select unnest(held) as h from go where k = (select max(k) from steps))""")
 def _(s, d):
-    pairs = _fuzzy(s, d).where("l <> r").select(F.col("r").alias("l"), F.col("l").alias("r"), "f1")
-    return lk.assign_one_to_one(pairs, [0.8, 0.7, 0.6, 0.5], 120)
+    done = lk.assign_one_to_one(_fuzzy(s, d).where("l <> r"), [0.8, 0.7, 0.6, 0.5], 120)
+    return done.withColumn("f1", F.round("f1", 6))

@@ -8,6 +8,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
+import corpuseval.plans.q_evaluation  # noqa: F401  registers a transform
 from corpuseval.functions import labels as lb
 from corpuseval.functions import responses as rp
 from corpuseval.functions import textkeys as tk
@@ -20,7 +21,7 @@ from corpuseval.operators import quotas as qt
 from corpuseval.operators import reshape as rs
 from corpuseval.operators import sampling as sm
 from corpuseval.operators import scoring as sc
-from corpuseval.sources import io
+from corpuseval.sources import io, shared
 from corpuseval.sources.shared import scratch
 from corpuseval.streaming import jobs
 
@@ -133,10 +134,40 @@ def test_upsert(spark):
     assert replaced == {(1, "a", "x"), (None, "c", "z"), (2, None, "n2"), (3, "d", None)}
     patched = {(r.id, r.v, r.w) for r in io.upsert(old, new, "id", "at", "patch").drop("at").collect()}
     assert patched == {(1, "a", "x"), (None, "c", "z"), (2, "b", "n2"), (3, "d", None)}
+    unordered = spark.range(6, numPartitions=1).selectExpr("id % 2 as id", "string(id) as v", "'w' as w")
+    assert {(r.id, r.v) for r in io.upsert(old.limit(0), unordered, "id").collect()} == {(0, "4"), (1, "5")}  # the last that is read
     once = io.upsert(old, new.drop("at").where("v is not null"), "id")
     assert sorted(map(str, io.upsert(once, new.drop("at").where("v is not null"), "id").collect())) == sorted(map(str, once.collect()))
 
 
+def test_pages_and_capped_samples(spark, monkeypatch):
+    df = spark.range(500).withColumn("g", F.col("id") % 7)
+    shallow = [r.id for r in fl.paginate(df, 4, 50, "g", "id").collect()]
+    monkeypatch.setattr(fl, "SHALLOW", 0)
+    assert [r.id for r in fl.paginate(df, 4, 50, "g", "id").collect()] == shallow and len(shallow) == 50
+    sizes = [sm.cap_sample(df, n, 3, "id").count() for n in (0, 1, 77, 500, 900)]
+    assert sizes == [0, 1, 77, 500, 500]
+    assert {r.id for r in sm.cap_sample(df, 77, 3, "id").collect()} == {r.id for r in df.orderBy(sm.draw(3, "id"), "id").limit(77).collect()}
+
+
+def test_jobs_of_model_answers(spark):
+    """Failed calls, answers that cannot be read and rows without text keep their entries; empty words become null."""
+
+    def model(messages, sample):
+        if "down" in messages[-1]["content"]:
+            raise RuntimeError("down")
+        return {"ok": '{"a": "x", "b": "None", "type": "review"}', "odd": "nothing", "blank": '{"a": " ", "type": " "}'}[messages[-1]["content"]]
+
+    df = spark.createDataFrame([(1, " ok ", {"a": "old", "c": "kept"}), (2, "odd", {"a": "old"}), (3, " ", None), (4, None, None), (5, "down", {"a": "old"}), (6, "blank", None)], "id long, text string, entries map<string,string>")
+    got = {r.id: (r.entries, r.status) for r in sc.generate_entries_job(df, model, "id", "text", ["a", "b"], "p", retries=0).collect()}
+    bad = "entries_failed"
+    assert got == {1: ({"a": "x", "b": None, "c": "kept"}, "entries_parsed"), 2: ({"a": "old"}, bad), 3: (None, bad), 4: (None, bad), 5: ({"a": "old"}, bad), 6: ({"a": None, "b": None}, "entries_parsed")}
+    kinds = {r.id: r.type for r in sc.classify_type_job(df.drop("entries"), model, "id", [("t", "text")], "p", retries=0).collect()}
+    assert kinds == {1: "review", 2: "failed", 3: "failed", 4: "failed", 5: "failed", 6: "failed"}
+    with pytest.raises(ValueError, match="registered"):
+        sc.register("usable_articles")(lambda d: d)
+
+
 def test_replace_scope_guards(spark):
     df = spark.createDataFrame([(1, "A"), (2, "B")], "id int, s string")
     with pytest.raises(ValueError, match="2 values"):
@@ -196,6 +227,21 @@ def test_size_factor(spark):
     assert abs(qt.size_factor(df, 100, 5).first().total - 100) <= 5
 
 
+def test_fuzzy_candidates_against_python(spark):
+    """All pairs of titles of any script by token F1, repeated and empty titles included."""
+    import re
+
+    rng = random.Random(4)
+    words = ["über", "el", "niño", "the", "of", "and", "straße", "日本", "año", "x1", "a_b", "été", "zum", "der"]
+    titles = [(k, " ".join(rng.choice(words) for _ in range(rng.randrange(0, 9))) + rng.choice(["", "!", " – ", "?"])) for k in range(120)] + [(200, None), (201, ""), (202, "...")]
+    sets = {k: set(re.sub(r"[^\w\s]", " ", (t or "").lower()).split()) for k, t in titles}
+    df = spark.createDataFrame(titles, "id long, title string")
+    for threshold in (0.5, 0.8, 1.0):
+        want = {(a, b): 2 * len(x & y) / (len(x) + len(y)) for a, x in sets.items() for b, y in sets.items() if x and y and 2 * len(x & y) / (len(x) + len(y)) >= threshold - 1e-12}
+        got = {(r.l, r.r): r.f1 for r in lk.fuzzy_candidates(df, df, "id", "id", "title", "title", threshold).collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
 def test_one_to_one_matching_equals_the_sequential_choice(spark):
     rng = random.Random(2)
     for _ in range(2):
@@ -264,7 +310,17 @@ def test_streams_take_new_files_once(spark):
         jobs.ingest_stream(spark, f"{base}/in", "id long, k long", f"{base}/out", f"{base}/check")
         jobs.upsert_stream(spark.readStream.schema("id long, k long").json(f"{base}/in"), f"{base}/table", "k", f"{base}/check2", "id")
     assert sorted(r.id for r in spark.read.parquet(f"{base}/out").collect()) == [1, 2, 3, 4, 5]
-    assert {r.k: r.id for r in jobs.latest(spark, f"{base}/table").collect()} == {0: 3, 1: 4, 2: 5}
+    assert {r.k: r.id for r in jobs.latest(spark, f"{base}/table", "id long, k long").collect()} == {0: 3, 1: 4, 2: 5}
+    log = spark.read.json(f"{base}/table/log")
+    assert {r.batch for r in log.collect()} == {0, 1} and {r.slot for r in log.where("batch = 1").collect()} == {1}
+
+
+def test_scratch_tables_can_be_cleared(spark):
+    path = scratch(spark, "gone")
+    spark.range(3).write.parquet(path)
+    shared.clear(spark)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)
 
 
 def test_entry_works_without_the_training_data_subpackage(tmp_path):
