@@ -31,6 +31,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpuseval.llm._components import components
 from corpuseval.llm._session import spread, stored
@@ -40,6 +41,8 @@ COSINE = 0.98
 PER_PIVOT = 2_048
 #: Labels with pivots, the most pivots of one, and values of all sampled vectors: these are all that is collected and broadcast.
 MAX_LABELS, MAX_PIVOTS, SAMPLE_VALUES = 1_024, 256, 1_000_000
+#: Cells whose sizes are broadcast.
+MAX_CELLS = 100_000
 #: Rows of a group's side, and of a tile.
 BLOCK, TILE = 8_192, 1_024
 #: Comparisons that cost as much as a row that is moved.
@@ -82,36 +85,44 @@ def choose(sample: np.ndarray, n: int, radius: float) -> np.ndarray:
     return sample[: min(options)[1]] if options else sample[:0]
 
 
-def _units(column: pa.Array) -> list[np.ndarray]:
-    return [v / np.linalg.norm(v) for v in (np.array(x, dtype=np.float64) for x in column.to_pylist())]
+def units(packed: list[bytes], kind: str) -> np.ndarray:
+    """Unit vectors in double precision of packed vectors of one length."""
+    found = np.frombuffer(b"".join(packed), kind).astype(np.float64).reshape(len(packed), -1)
+    return found / np.linalg.norm(found, axis=1, keepdims=True)
+
+
+def _packed_kind(vectors: DataFrame) -> str:
+    """The type that vectors travel in: floats as they are, all else as doubles."""
+    return "<f4" if vectors.schema["embedding"].dataType.elementType == T.FloatType() else "<f8"
 
 
 def _homes(nodes: DataFrame, pivots: dict[Key, np.ndarray]) -> DataFrame:
-    """Each node's unit vector, home cell and distance to its pivot; where there are no pivots the home is 0."""
-    shared = nodes.sparkSession.sparkContext.broadcast(pivots)
+    """Each node's packed vector, home cell and distance to its pivot; where there are no pivots the home is 0."""
+    shared, dtype = nodes.sparkSession.sparkContext.broadcast(pivots), _packed_kind(nodes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for batch in batches:
             for low in range(0, len(batch), 2000):
                 part = batch.slice(low, 2000)
-                units, labels = _units(part.column("embedding")), part.column("label").to_pylist()
-                home, far = np.zeros(len(units), np.int32), np.zeros(len(units))
+                packed, labels = [np.array(x, dtype).tobytes() for x in part.column("embedding").to_pylist()], part.column("label").to_pylist()
+                lengths = [len(x) // np.dtype(dtype).itemsize for x in packed]
+                home, far = np.zeros(len(packed), np.int32), np.zeros(len(packed))
                 groups: dict[Key, list[int]] = {}
-                for k, key in enumerate(zip(labels, map(len, units), strict=True)):
+                for k, key in enumerate(zip(labels, lengths, strict=True)):
                     if key in known:
                         groups.setdefault(key, []).append(k)
                 for key, rows in groups.items():
-                    d = distances(np.stack([units[k] for k in rows]), known[key])
+                    d = distances(units([packed[k] for k in rows], dtype), known[key])
                     home[rows], far[rows] = d.argmin(axis=1), d.min(axis=1)
-                columns = [*(part.column(c) for c in ("node", "label", "n")), pa.array([u.tobytes() for u in units], pa.binary()), pa.array([len(u) for u in units], pa.int32()), pa.array(home), pa.array(far)]
-                yield pa.RecordBatch.from_arrays(columns, names=["node", "label", "n", "unit", "length", "cell", "far"])
+                columns = [*(part.column(c) for c in ("node", "label", "n")), pa.array(packed, pa.binary()), pa.array(lengths, pa.int32()), pa.array(home), pa.array(far)]
+                yield pa.RecordBatch.from_arrays(columns, names=["node", "label", "n", "packed", "length", "cell", "far"])
 
     kind = nodes.schema["label"].dataType.simpleString()
-    return nodes.select("node", "label", "n", "embedding").mapInArrow(run, f"node long, label {kind}, n long, unit binary, length int, cell int, far double")
+    return nodes.select("node", "label", "n", "embedding").mapInArrow(run, f"node long, label {kind}, n long, packed binary, length int, cell int, far double")
 
 
-def _visitors(homes: DataFrame, pivots: dict[Key, np.ndarray], reach: dict[Key, np.ndarray], radius: float) -> DataFrame:
+def _visitors(homes: DataFrame, dtype: str, pivots: dict[Key, np.ndarray], reach: dict[Key, np.ndarray], radius: float) -> DataFrame:
     """A row for each node and later cell that it visits, ``far`` its distance to that cell's pivot."""
     shared = homes.sparkSession.sparkContext.broadcast((pivots, {k: distances(p, p) for k, p in pivots.items()}, reach))
 
@@ -122,14 +133,14 @@ def _visitors(homes: DataFrame, pivots: dict[Key, np.ndarray], reach: dict[Key,
             for k, key in enumerate(zip(batch.column("label").to_pylist(), batch.column("length").to_pylist(), strict=True)):
                 if key in known:
                     groups.setdefault(key, []).append(k)
-            units = batch.column("unit")
+            packed = batch.column("packed")
             for key, every in groups.items():
                 for low in range(0, len(every), 2000):
                     rows = np.array(every[low : low + 2000])
-                    far = distances(np.frombuffer(b"".join(units[int(k)].as_py() for k in rows), np.float64).reshape(len(rows), -1), known[key])
+                    far = distances(units([packed[int(k)].as_py() for k in rows], dtype), known[key])
                     i, j = np.nonzero(visits(far, between[key], radii[key], radius))
                     take = pa.array(rows[i])
-                    yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in ("node", "label", "n", "unit", "length")), pa.array(j.astype(np.int32)), pa.array(far[i, j])], names=["node", "label", "n", "unit", "length", "cell", "far"])
+                    yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in ("node", "label", "n", "packed", "length")), pa.array(j.astype(np.int32)), pa.array(far[i, j])], names=["node", "label", "n", "packed", "length", "cell", "far"])
 
     return homes.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in homes.schema))
 
@@ -150,24 +161,20 @@ def spanning_links(near: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _group(cosine: float):
+def _group(cosine: float, dtype: str):
     radius = float(np.sqrt(2 - 2 * cosine))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("far")
-        same = pdf["kind"].iloc[0] == "homes" and pdf["i"].iloc[0] == pdf["j"].iloc[0]
-        a, b = (pdf, pdf) if same else (pdf[pdf["left"]], pdf[~pdf["left"]])
         out = {"node": [np.zeros(0, np.int64)], "to": [np.zeros(0, np.int64)], "links": [np.zeros(0, np.int64)]}
 
         def put(node, to, links):
             for k, v in zip(out, (node, to, links), strict=True):
                 out[k].append(np.asarray(v, np.int64))
 
-        if len(a) and len(b):
-            x, y = (np.frombuffer(b"".join(s["unit"]), np.float64).reshape(len(s), -1) for s in (a, b))
-            (ids, far, weight), (others, far_b, weight_b) = ((s["node"].to_numpy(), s["far"].to_numpy(), s["n"].to_numpy()) for s in (a, b))
-            back = np.zeros(len(b), np.int64)
-            for low in range(0, len(a), TILE):
+        def compare(a: tuple, b: tuple, same: bool) -> None:
+            (x, ids, far, weight), (y, others, far_b, weight_b) = a, b
+            back = np.zeros(len(y), np.int64)
+            for low in range(0, len(x), TILE):
                 own = slice(low, low + TILE)
                 some = slice(np.searchsorted(far_b, far[own][0] - radius - _SLACK), np.searchsorted(far_b, far[own][-1] + radius + _SLACK, "right"))
                 near = (x[own] @ y[some].T >= cosine) & (ids[own][:, None] != others[some])
@@ -181,26 +188,42 @@ def _group(cosine: float):
             if not same:
                 linked = np.flatnonzero(back)
                 put(others[linked], others[linked], back[linked])
+
+        pdf = pdf.sort_values("far")
+        left, right = ((units(list(s["packed"]), dtype), s["node"].to_numpy(), s["far"].to_numpy(), s["n"].to_numpy()) if len(s) else None for s in (pdf[pdf["left"]], pdf[~pdf["left"]]))
+        if right and pdf["inner"].iloc[0]:
+            compare(right, right, True)
+        if left and right:
+            compare(left, right, False)
         return pd.DataFrame({k: np.concatenate(v) for k, v in out.items()})
 
     return run
 
 
-def _links(homes: DataFrame, visitors: DataFrame, cosine: float) -> DataFrame:
-    """``node``, ``to``, ``links``: counts (node = to) and forests of the links of all cells."""
+def _links(homes: DataFrame, visitors: DataFrame, cosine: float, dtype: str) -> DataFrame:
+    """``node``, ``to``, ``links``: counts (node = to) and forests of the links of all cells.
+
+    A cell has blocks of homes and blocks of guests.  A group (i, i) holds the homes of block i and the first guests; all other pairs of
+    blocks of homes, and of further guests and homes, are groups of two blocks.
+    """
     key = ["label", "length", "cell"]
     rows = homes.withColumn("left", F.lit(False)).unionByName(visitors.withColumn("left", F.lit(True)))
     blocks = lambda cond: F.ceil(F.count_if(cond) / BLOCK).cast("int")
-    sizes = rows.groupBy(*key).agg(blocks(~F.col("left")).alias("homes"), blocks(F.col("left")).alias("guests")).where("homes > 0")
-    sized = rows.join(sizes, key).withColumn("own", F.pmod(F.xxhash64("node"), F.when(F.col("left"), F.col("guests")).otherwise(F.col("homes"))).cast("int"))
-    wide = ["node", "n", "unit", "far", *key]
-    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    inside = sized.where("not left").select(*wide, F.lit("homes").alias("kind"), "own", every(F.col("homes")).alias("other"))
-    inside = inside.select(*wide, "kind", ((F.col("own") < F.col("other"))).alias("left"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    guests = sized.where("left").select(*wide, F.lit("guests").alias("kind"), "left", F.col("own").alias("i"), every(F.col("homes")).alias("j"))
-    hosts = sized.where("not left and guests > 0").select(*wide, F.lit("guests").alias("kind"), "left", every(F.col("guests")).alias("i"), F.col("own").alias("j"))
-    pairs = inside.unionByName(guests).unionByName(hosts).repartition(*key, "kind", "i", "j")  # a cell's blocks are not one task
-    return pairs.groupBy(*key, "kind", "i", "j").applyInPandas(_group(cosine), "node long, to long, links long")
+    sizes = stored(rows.groupBy(*key).agg(blocks(~F.col("left")).alias("homes"), blocks(F.col("left")).alias("guests")).where("homes > 0"), "sizes")
+    sized = rows.join(F.broadcast(sizes) if sizes.count() <= MAX_CELLS else sizes, key)  # many cells: joined by key
+    own = F.pmod(F.xxhash64("node"), F.when(F.col("left"), F.col("guests")).otherwise(F.col("homes"))).cast("int")
+    group = lambda i, j, guest, inner, left: F.struct(i.alias("i"), j.alias("j"), guest.alias("guest"), inner.alias("inner"), left.alias("left"))
+    each = lambda n, f: F.transform(F.sequence(F.lit(0), n - 1), f)
+    no, yes = F.lit(False), F.lit(True)
+    o = F.col("own")
+    home = F.concat(
+        each(F.col("homes"), lambda k: group(F.least(o, k), F.greatest(o, k), no, o == k, o < k)),
+        F.when(F.col("guests") > 1, F.transform(F.sequence(F.lit(1), F.col("guests") - 1), lambda g: group(o, g, yes, no, no))).otherwise(F.array().cast("array<struct<i:int,j:int,guest:boolean,inner:boolean,left:boolean>>")),
+    )
+    guest = each(F.col("homes"), lambda k: F.when(o == 0, group(k, k, no, yes, yes)).otherwise(group(k, o, yes, no, yes)))
+    placed = sized.withColumn("own", own).select("node", "n", "packed", "far", *key, F.inline(F.when(F.col("left"), guest).otherwise(home)))
+    pairs = placed.repartition(*key, "i", "j", "guest")  # a cell's blocks are not one task
+    return pairs.groupBy(*key, "i", "j", "guest").applyInPandas(_group(cosine, dtype), "node long, to long, links long")
 
 
 def _pivots(nodes: DataFrame, radius: float, seed: int) -> dict[Key, np.ndarray]:
@@ -241,8 +264,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, id_col: str = "v
         reach = {k: np.full(len(p), -np.inf) for k, p in pivots.items()}
         for r in homes.groupBy("label", "length", "cell").agg(F.max("far").alias("far")).join(F.broadcast(_table(homes, pivots)), ["label", "length"], "left_semi").collect():
             reach[r["label"], r["length"]][r["cell"]] = r["far"]
-        visitors = _visitors(homes, pivots, reach, radius)
-    found = stored(_links(homes, visitors, cosine), "links")
+        visitors = stored(_visitors(homes, _packed_kind(nodes), pivots, reach, radius), "visitors")
+    found = stored(_links(homes, visitors, cosine, _packed_kind(nodes)), "links")
     counts = found.where("links > 0").groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(found.where("node <> to").select(F.col("node").alias("a"), F.col("to").alias("b")))
     named = nodes.join(counts, "node", "left").join(roots.withColumnRenamed("node", "at"), F.col("node") == F.col("at"), "left")
