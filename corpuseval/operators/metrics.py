@@ -69,9 +69,10 @@ def confusion_matrix(df: DataFrame, truth: str, prediction: str, labels: Sequenc
 
 def leaderboard(df: DataFrame, subject: str, model: str, truth: str, label: str, source: str, labels: Sequence[str] = TIERS) -> DataFrame:
     """E18. Rows, accuracy and macro F1 (percent, over all labels) and the commonest source of each subject and model."""
-    judged = df.where(F.col(truth).isin(*labels) & F.col(label).isNotNull())
-    counts = [f(t).alias(f"{n}_{k}") for k, t in enumerate(labels) for n, f in (("tp", lambda t: F.count_if((F.col(truth) == t) & (F.col(label) == t))), ("t", lambda t: F.count_if(F.col(truth) == t)), ("p", lambda t: F.count_if(F.col(label) == t)))]
-    sums = judged.groupBy(subject, model).agg(F.count("*").alias("n"), F.count_if(F.col(truth) == F.col(label)).alias("right"), F.mode(source, True).alias("source"), *counts)
+    # Conditions of the sums, not a filter: that would be pushed below the parsing of labels and parse each row twice.
+    known, told = F.col(truth).isin(*labels), F.col(label).isNotNull()
+    counts = [f(t).alias(f"{n}_{k}") for k, t in enumerate(labels) for n, f in (("tp", lambda t: F.count_if((F.col(truth) == t) & (F.col(label) == t))), ("t", lambda t: F.count_if((F.col(truth) == t) & told)), ("p", lambda t: F.count_if(known & (F.col(label) == t))))]
+    sums = df.groupBy(subject, model).agg(F.count_if(known & told).alias("n"), F.count_if(known & (F.col(truth) == F.col(label))).alias("right"), F.mode(F.when(known & told, F.col(source)), True).alias("source"), *counts).where("n > 0")
     f1 = sum((_div(2.0 * F.col(f"tp_{k}"), F.col(f"t_{k}") + F.col(f"p_{k}")) for k in range(len(labels))), F.lit(0.0)) / len(labels)
     return sums.select(subject, model, "n", (100.0 * F.col("right") / F.col("n")).alias("accuracy"), (100.0 * f1).alias("macro_f1"), "source").orderBy(F.desc("macro_f1"), F.desc("accuracy"), model)
 

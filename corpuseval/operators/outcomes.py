@@ -73,9 +73,10 @@ def resolve_prediction(prediction: Column, votes: Column, response_text: Column,
         ("response_text", parse_reasoning_and_final(response_text, labels)["label"]),
         ("logp", logp_argmax_alpha(logp, labels)),
     )
-    # Source and label travel as one text, so that each parse stands once in the plan and only until one gives a label.
-    both = F.split(F.coalesce(*(F.concat(F.lit(f"{n}:"), c) for n, c in found)), ":", 2)
-    return F.when(both.isNotNull(), F.struct(F.get(both, F.lit(1)).alias("label"), F.get(both, F.lit(0)).alias("source")))
+    # Source and label travel as one text and are bound once, so that each parse runs once and only until one gives a label.
+    first = F.coalesce(*(F.concat(F.lit(f"{n}:"), c) for n, c in found))
+    named = lambda x: F.when(x.isNotNull(), F.struct(F.get(F.split(x, ":", 2), F.lit(1)).alias("label"), F.substring_index(x, ":", 1).alias("source")))
+    return F.get(F.transform(F.array(first), named), F.lit(0))
 
 
 def outcome_is_valid(outcome: Column, logp_mode: bool, need_all_votes: bool = False) -> Column:
