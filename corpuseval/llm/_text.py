@@ -44,12 +44,13 @@ def lower_ascii() -> np.ndarray:
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets (one more than rows) of a string or binary column; null counts as empty."""
-    column = pc.fill_null(column, "" if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) else b"")
     kind = np.int64 if column.type in (pa.large_string(), pa.large_binary()) else np.int32
     _, offsets, data = column.buffers()
     if len(column) == 0 or offsets is None:
         return np.zeros(0, np.uint8), np.zeros(len(column) + 1, np.int64)
     offsets = np.frombuffer(offsets, kind)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    if column.null_count and np.diff(offsets)[column.is_null().to_numpy(zero_copy_only=False)].any():  # nulls with bytes: a copy without
+        return buffers(pc.fill_null(column, "" if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) else b""))
     data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
