@@ -190,26 +190,27 @@ class Model:
 
     def _walk(self, at, state, symbols, start, size, states, counts, end, count) -> None:
         """Parses the runs ``at`` (longest first) from ``state`` on, each until its end or until it is in the state of the parse before."""
-        n = np.zeros(state.shape, np.int32)
-        for k in range(0, RUN, CHECK):
-            for j in range(k, k + CHECK):
-                m = int(np.searchsorted(-size[at], -j, "left"))  # runs that are longer
+        state, n, sizes = state.copy(), np.zeros(state.shape, np.int32), size[at]
+        active = np.searchsorted(-sizes, -np.arange(RUN), "left")  # runs that are longer than each position
+        for here in range(RUN // CHECK):
+            begin = start[at]
+            for j in range(here * CHECK, (here + 1) * CHECK):
+                m = int(active[j])
                 if not m:
                     break
-                move = self.move(state[:, :m], symbols[start[at[:m]] + j])
+                move = self.move(state[:, :m], symbols[begin[:m] + j])
                 n[:, :m] += move & 3
-                state = np.concatenate([move >> 2, state[:, m:]], axis=1) if m < len(at) else move >> 2
-            here = k // CHECK
-            same = (states[here][:, at] == state).all(axis=0) & (size[at] > k + CHECK)
-            if same.any():
-                met = at[same]
-                change = n[:, same] - counts[here][:, met]
-                counts[here:, :, met] += change
-                count[:, met] += change
-            done = same | (size[at] <= k + CHECK)
-            over = done & ~same
-            end[:, at[over]], count[:, at[over]] = state[:, over], n[:, over]
-            at, state, n = at[~done], state[:, ~done], n[:, ~done]
+                np.right_shift(move, 2, out=state[:, :m])
+            going = int(active[(here + 1) * CHECK]) if (here + 1) * CHECK < RUN else 0  # the others are at their end
+            end[:, at[going:]], count[:, at[going:]] = state[:, going:], n[:, going:]
+            at, state, n = at[:going], state[:, :going], n[:, :going]
+            met = (states[here][:, at] == state).all(axis=0)
+            if met.any():
+                change = n[:, met] - counts[here][:, at[met]]
+                counts[here:, :, at[met]] += change
+                count[:, at[met]] += change
+                at, state, n, sizes = at[~met], state[:, ~met], n[:, ~met], sizes[:going][~met]
+                active = np.searchsorted(-sizes, -np.arange(RUN), "left")
             if not len(at):
                 return
             states[here][:, at], counts[here][:, at] = state, n
