@@ -222,8 +222,32 @@ def test_sharding(spark):
     assert sorted((r.shard, r.slot) for r in few) == [(0, 0), (1, 0), (2, 0)]
 
 
+def fisher_yates(rows, seed):
+    """The inside-out shuffle by the Mersenne twister that Spark's ``shuffle`` is, in plain Python."""
+    import numpy as np
+
+    twister, order = np.random.MT19937(), []
+    twister._legacy_seeding([seed >> 32 & 0xFFFFFFFF, seed & 0xFFFFFFFF])
+
+    def below(n):
+        while True:
+            bits = int(twister.random_raw()) >> 1
+            if n & -n == n:
+                return n * bits >> 31
+            if bits - bits % n + n - 1 < 1 << 31:
+                return bits % n
+
+    for i in range(len(rows)):
+        j = below(i + 1)
+        order.append(i)
+        if i != j:
+            order[i] = order[j]
+        order[j] = i
+    return [rows[k] for k in order]
+
+
 def test_sharding_order(spark):
-    """Every bucket is a range of the order, mixed and not sorted by its keys; the order is near uniform and depends on the seed."""
+    """Buckets are ranges of the order, each in the order that Fisher-Yates gives its sorted records; the order is near uniform."""
     df = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("some text of one length").alias("text"))
     total = 4000 * (23 + sharding.OVERHEAD)
     orders = []
@@ -233,9 +257,8 @@ def test_sharding_order(spark):
         buckets = 1 + (total - 1) // (total // 8)
         own = {r[0]: r[1] for r in df.select("doc_id", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(buckets))).collect()}
         key = {r[0]: r[1] for r in df.select("doc_id", F.xxhash64(F.lit(seed + 1), "doc_id", "text")).collect()}
-        assert [own[i] for i in orders[-1]] == sorted(own.values())  # buckets one after another
-        first = [i for i in orders[-1] if own[i] == 0]
-        assert [key[i] for i in first] != sorted(key[i] for i in first)
+        want = [i for b in range(buckets) for i in fisher_yates(sorted((i for i in own if own[i] == b), key=key.get), seed + b)]
+        assert orders[-1] == want
     assert orders[0] != orders[1] and sorted(orders[0]) == list(range(4000))
     quarters = [sum(i < 1000 for i in orders[0][k : k + 1000]) for k in range(0, 4000, 1000)]
     assert all(190 < q < 310 for q in quarters)
