@@ -44,7 +44,7 @@ MAX_BITS = 3
 LARGE = 30_000
 #: ``similar_texts``: words of a shingle and similarity; bits in which candidates may differ, in the fingerprints of words and shingles.
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
-CANDIDATE_BITS = (10, 20)
+CANDIDATE_BITS = (10, 16)
 #: Shingles of the texts that one group compares.
 BLOCK_SHINGLES = 400_000
 _SEGMENTS = ((0, 22), (22, 21), (43, 21))  # first bit and length
