@@ -140,13 +140,13 @@ def edited(words, rng, share):
     return [rng.choice("pqrst") + str(rng.randrange(99)) if rng.random() < share else w for w in words]
 
 
-@pytest.mark.parametrize("block", [simhash.BLOCK_SHINGLES, 2000])
-def test_similar_texts(spark, monkeypatch, block):
-    monkeypatch.setattr(simhash, "BLOCK_SHINGLES", block)
+def test_similar_texts(spark, monkeypatch):
+    """Chains and stars of edited copies in blocks, against all pairs; the pipeline's test has groups of one block."""
+    monkeypatch.setattr(simhash, "BLOCK_SHINGLES", 2000)
     rng = random.Random(9)
     vocabulary = [f"{rng.choice('abcdefgh')}{k}" for k in range(2000)]
     docs = [(k, " ".join(rng.choice(vocabulary) for _ in range(rng.randrange(5, 300)))) for k in range(150)]
-    for k in range(120):  # chains and stars of edited copies
+    for k in range(120):
         docs.append((1000 + k, " ".join(edited((docs[k % 7] if k < 60 else docs[rng.randrange(len(docs))])[1].split(), rng, rng.choice([0, 0.01, 0.02, 0.04])))))
     docs += [(3000, None), (3001, ""), (3002, " \n"), (3003, "one two"), (3004, "ONE  two"), (3005, "one two three"), (3006, "a " * 9), (3007, "a " * 7), (3008, docs[3][1].upper()), (3009, (docs[5][1] + " ") * 200), (3010, (docs[5][1] + " ") * 210)]
     rng.shuffle(docs)
