@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from corpuseval.llm._session import stored
 
+#: Links that one task takes; few links are not dealt out to all of a cluster's tasks in every step.
+TASK_LINKS = 500_000
+
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``node`` and ``root``, the smallest node reachable, for every node that has a link to another.
@@ -19,12 +22,16 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     edges = stored(links.select(F.greatest(x, y).alias("v"), F.least(x, y).alias("u")).where("v <> u").distinct(), "links")
     seen = _mark(edges)
     while seen[0]:
+        tasks = -(-2 * seen[0] // TASK_LINKS)  # steps never add links
+        few = lambda df: df.coalesce(tasks)  # noqa: E731, B023
+        edges = few(edges)
         both = edges.select(F.col("v").alias("n"), F.col("u").alias("m")).unionAll(edges.select("u", "v"))
-        least = stored(both.groupBy("n").agg(F.min("m").alias("least")).select("n", F.least("n", "least").alias("least")), "least")
-        large = stored(both.join(least, "n").where("m > n").select(F.col("m").alias("v"), F.col("least").alias("u")).distinct(), "large")
-        least = stored(large.groupBy("v").agg(F.min("u").alias("least")), "least")
-        small = large.join(least, "v").where("u <> least").select(F.col("u").alias("v"), F.col("least").alias("u")).unionAll(least.toDF("v", "u"))
-        edges = stored(small.distinct(), "links")
+        least = stored(few(both.groupBy("n").agg(F.min("m").alias("least")).select("n", F.least("n", "least").alias("least"))), "least")
+        large = few(both.join(least, "n").where("m > n").select(F.col("m").alias("v"), F.col("least").alias("u")))
+        large = stored(few(large.distinct()), "large")
+        least = stored(few(large.groupBy("v").agg(F.min("u").alias("least"))), "least")
+        small = few(large.join(least, "v").where("u <> least").select(F.col("u").alias("v"), F.col("least").alias("u"))).unionAll(least.toDF("v", "u"))
+        edges = stored(few(small.distinct()), "links")
         if (now := _mark(edges)) == seen:
             break
         seen = now
