@@ -420,7 +420,7 @@ def text_code(text_col: str = "text") -> F.Column:
 
 
 def similar_texts(docs: DataFrame, shingle: int = SHINGLE_WORDS, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col``, ``code``, ``rows``, ``first_id`` and ``first_code`` of each distinct (id, ``text_code``) with an id.
+    """``id_col``, ``code``, ``rows``, ``first_id`` and ``first_code`` of each distinct (id, ``text_code``) with an id; ids are integers.
 
     Texts of equal words (A-Z lower-cased) are one node.  Nodes are linked where the Jaccard similarity of their sets of
     ``shingle``-word shingles is at least ``similarity``; ``first_id`` and ``first_code`` name the smallest row of the component.
