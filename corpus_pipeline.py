@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuseval.llm import byte_bpe, decontaminate, quality, simhash, substring_dedup
-from corpuseval.llm._session import stored
+from corpuseval.llm._session import configure, stored
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -22,6 +22,7 @@ def _columns(docs: DataFrame) -> list[str]:
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose predicted quality is 1; the others go."""
+    configure(spark)
     columns = _columns(docs)
     scored = quality.score(docs, quality.train_on_tables(spark, sf_dir), tuple(c for c in columns if c != "text"), keep_text=True)
     return scored.where("predicted = 1").select(*columns)
@@ -32,6 +33,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Rows equal in all columns count once; rows of the kept id and text that differ elsewhere stay, and so do rows of a null id.
     """
+    configure(spark)
     columns = _columns(docs)
     found = stored(simhash.similar_texts(docs), "similar")
     kept = found.where("doc_id = first_id and code = first_code").select(F.col("doc_id").alias("_id"), F.col("code").alias("_kept"), F.col("rows").alias("_rows"))
@@ -44,6 +46,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages that an earlier document holds; texts without such passages stay as they are."""
+    configure(spark)
     columns = _columns(docs)
     kept = substring_dedup.remove_repeats(docs, keep_unchanged=True, carry=tuple(c for c in columns if c not in ("doc_id", "text", "n_chars")))
     return kept.withColumn("n_chars", F.length("kept").cast("long")).withColumnRenamed("kept", "text").select(*columns)
@@ -51,6 +54,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the words of benchmark windows."""
+    configure(spark)
     columns = _columns(docs)
     found = decontaminate.find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), clean=True, carry=tuple(c for c in columns if c not in ("doc_id", "text", "n_chars")))
     return found.withColumn("n_chars", F.length("cleaned").cast("long")).withColumnRenamed("cleaned", "text").select(*columns)
@@ -58,6 +62,7 @@ def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, and the digests of ids and of the text decoded from them."""
+    configure(spark)
     with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
         ranks = f.read()
     done = byte_bpe.decode(byte_bpe.encode(docs, ranks, public_tokenizers.PATTERN, split_at_spaces=True), ranks)

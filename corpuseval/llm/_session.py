@@ -6,7 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 from corpuseval.sources.shared import scratch, stored
 
-__all__ = ["read_texts", "scratch", "spread", "stored"]
+__all__ = ["configure", "read_texts", "scratch", "spread", "stored"]
+
+BATCH, TEXT_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1_000
+
+
+def configure(spark: SparkSession) -> None:
+    """The session setting of a job over whole texts: at most ``TEXT_ROWS`` rows are sent to Python at once.
+
+    Registered queries and stages of the pipeline are such jobs.  Operators leave the session alone: there the byte bound
+    of Arrow batches holds, 64 MB by default, which takes some 300 MB more of an executor.
+    """
+    if int(spark.conf.get(BATCH)) > TEXT_ROWS:
+        spark.conf.set(BATCH, str(TEXT_ROWS))
 
 
 def spread(scan: DataFrame) -> DataFrame:
@@ -16,5 +28,6 @@ def spread(scan: DataFrame) -> DataFrame:
 
 
 def read_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids and whole texts of ``documents``."""
+    """Ids and whole texts of ``documents``, in a session that is set for them."""
+    configure(spark)
     return spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
