@@ -17,8 +17,9 @@ from corpuseval.llm.simhash import op7_simhash
 from corpuseval.llm.substring_dedup import OP6_SQL, op6_substring_dedup
 from corpuseval.llm.url_filter import op4_url_filter
 from corpuseval.llm.warc import OP5_SQL, op5_warc
+from corpuseval.llm.whitening import op12_whitening
 
-_QUERIES = (op1_language_id, op2_embedding_dedup, op3_quality, op4_url_filter, op5_warc, op6_substring_dedup, op7_simhash, op8_decontaminate, op9_byte_bpe, op10_sharding, op11_line_dedup)
+_QUERIES = (op1_language_id, op2_embedding_dedup, op3_quality, op4_url_filter, op5_warc, op6_substring_dedup, op7_simhash, op8_decontaminate, op9_byte_bpe, op10_sharding, op11_line_dedup, op12_whitening)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
