@@ -236,7 +236,11 @@ def _(s, d):
 
 
 _LINES = "l as (select doc_id, n_lines, i as line_no, parts[i + 1] as line from (select doc_id, string_split(text, chr(10)) as parts, len(string_split(text, chr(10)))::int as n_lines from documents) cross join lateral (select unnest(range(0, n_lines))::int as i))"
-_TABLE_LIKE = "(trim(line) <> '' and length(trim(line)) <= 50 and (regexp_matches(trim(line), '^(?i)(table|figure|quadrant)\\b') or regexp_matches(trim(line), '^[0-9]+$') or (upper(trim(line)) = trim(line) and lower(trim(line)) <> trim(line) and length(trim(line)) < 20) or (len(list_filter(string_split_regex(trim(line), '\\s+'), lambda w: w <> '')) <= 3 and length(trim(line)) < 30) or regexp_matches(line, '\\t| {3,}')))"
+_WS = r"[\x09-\x0d\x1c-\x1f\x{85}\p{Z}]"
+_IS_UPPER, _IS_LOWER = r"(regexp_matches(t, '\p{Lu}') and not regexp_matches(t, '[\p{Ll}\p{Lt}ªº]'))", r"regexp_matches(t, '^[\p{Ll}ªº]')"
+_MARKS = f"""f as (select doc_id, n_lines, line_no, regexp_replace(line, '^{_WS}+|{_WS}+$', '', 'g') as t from l),
+t as (select *, length(t) between 1 and 50 and (regexp_matches(t, '(?i)^(table|figure|quadrant){_WS}+[IVX0-9]') or regexp_matches(t, '^([\\p{{Nd}}.,]|{_WS})+$') or length(t) < 30 and ({_IS_UPPER} or len(string_split_regex(t, '{_WS}+')) <= 3) or regexp_matches(t, '\\t|{_WS}{{3,}}')) as table_like from f),
+r as (select doc_id, min(line_no) as first_line, max(line_no) as last_line from (select *, line_no - row_number() over (partition by doc_id order by line_no) as island from t where table_like) group by doc_id, island having count(*) >= 3)"""
 
 
 def _lines(s, d):
@@ -248,37 +252,40 @@ def _(s, d):
     return _lines(s, d).select("doc_id", "line_no", "n_lines", F.md5("line").alias("h"))
 
 
-@query("k2_table_like", f"with {_LINES} select doc_id, line_no from l where {_TABLE_LIKE}")
+@query("k2_table_like", f"with {_LINES}, {_MARKS} select doc_id, line_no from t where table_like")
 def _(s, d):
     return _lines(s, d).where(ln.table_like("line")).select("doc_id", "line_no")
 
 
-@query("k3_table_regions", f"with {_LINES}, t as (select doc_id, line_no, line_no - row_number() over (partition by doc_id order by line_no) as island from l where {_TABLE_LIKE}) select doc_id, min(line_no) as first_line, max(line_no) as last_line from t group by doc_id, island having count(*) >= 3")
+@query("k3_table_regions", f"with {_LINES}, {_MARKS} select doc_id, first_line, last_line from r")
 def _(s, d):
     return ln.table_regions(_lines(s, d), "doc_id")
 
 
-_ZONE = "(line_no < 5 or line_no >= n_lines - 5)"
-_CLASS = f"""c as (select *, {_ZONE} and regexp_matches(trim(line), '^[0-9]{{1,4}}$') as num from l), n as (select *, row_number() over (partition by doc_id, num order by line_no) as nth from c),
-k as (select doc_id, line_no, case when trim(line) = '' then 'blank' when num and nth = 1 then 'page_number'
- when {_ZONE} and (regexp_matches(trim(line), '(?i)^(page [0-9]+|copyright|©|doi:|https?://|www\\.)') or length(trim(line)) < 5) then 'header_footer'
- when regexp_matches(trim(line), '(?i)^(abstract|introduction|references|conclusion|appendix|table|figure)\\b') or (upper(trim(line)) = trim(line) and lower(trim(line)) <> trim(line) and length(trim(line)) > 20) then 'special' else 'text' end as kind from n)"""
+# The twin of K4 and K5 reads each page line by line: what was seen, the line before, the open paragraph, and those that are done.
+_PAGES_READ = f"""g as (select t.*, r.doc_id is not null as in_table, line_no < 5 or line_no >= n_lines - 5 as zone,
+  length(t) <= 50 and regexp_matches(t, '(?i)^(\\p{{Nd}}{{1,4}}|\\p{{Nd}}+[-/]\\p{{Nd}}+|page{_WS}+\\p{{Nd}}+|\\p{{Nd}}+{_WS}*of{_WS}*\\p{{Nd}}+)$') as number,
+  length(t) <= 50 and (length(t) < 5 or regexp_matches(t, '(?is)(^\\p{{Nd}}+$|^page{_WS}+\\p{{Nd}}|^\\p{{Nd}}+{_WS}+\\||wileyonlinelibrary\\.com|©.*\\p{{Nd}}{{4}}|^([a-z]|{_WS})+\\p{{Nd}}{{4}};)')) as footer,
+  regexp_matches(t, '(?i)^((table|figure){_WS}+\\p{{Nd}}|quadrant{_WS}+[ivx])') or ({_IS_UPPER} and length(t) between 11 and 99) or regexp_matches(lower(t), '^(abstract|keywords|introduction|conclusion|references|acknowledgments|appendix|results|discussion|methods|methodology)') as special,
+  contains(t, '©') or contains(upper(t), 'DOI') as metadata, {_IS_LOWER} as goes_lower from t left join r on t.doc_id = r.doc_id and t.line_no between r.first_line and r.last_line),
+page as (select doc_id, -1 as line_no, false as seen, '' as before, null::varchar as para, []::varchar[] as done, '' as kind, n_lines from g where line_no = 0
+ union all select doc_id, line_no, seen or kind = 'page_number' or (kind = 'text' and number and not in_table and before <> '' and not goes_lower and right(before, 1) not in ('-', ',', ';', ':', '，', '；', '：', '.', '!', '?', '。', '！', '？')),
+  case when kind in ('blank', 'page_number') or (kind = 'header_footer' and metadata) then '' when kind = 'header_footer' then before else t end,
+  case when kind = 'header_footer' and not metadata then para when kind <> 'text' then null when para is null or starts then t when right(before, 1) = '-' then left(para, length(para) - 1) || t else para || ' ' || t end,
+  done || case when para is not null and (kind in ('blank', 'page_number', 'special') or (kind = 'header_footer' and metadata) or (kind = 'text' and starts)) then [para] else [] end
+   || case when kind = 'page_number' then ['[Journal Page: ' || t || ']'] when kind = 'header_footer' and metadata then ['[Metadata: ' || t || ']'] when kind = 'special' then [t] else [] end,
+  kind, n_lines
+ from (select p.seen, p.before, p.para, p.done, g.*, not in_table and right(p.before, 1) in ('.', '!', '?', '。', '！', '？') and not goes_lower as starts,
+   case when t = '' then 'blank' when zone and number and not seen then 'page_number' when zone and footer and not in_table then 'header_footer' when special then 'special' else 'text' end as kind
+  from page p join g on g.doc_id = p.doc_id and g.line_no = p.line_no + 1))"""
 
 
-@query("k4_line_class", f"with {_LINES}, {_CLASS} select doc_id, line_no, kind from k")
+@query("k4_line_class", f"with recursive {_LINES}, {_MARKS}, {_PAGES_READ} select doc_id, line_no, kind from page where line_no >= 0")
 def _(s, d):
     return ln.line_class(_lines(s, d), "doc_id").select("doc_id", "line_no", "kind")
 
 
-_PARAGRAPHS = """m as (select doc_id, line_no, kind, trim(line) as t, kind = 'page_number' or (kind = 'header_footer' and regexp_matches(trim(line), '(?i)^(copyright|©|doi:)')) as mark from k join l using (doc_id, line_no)),
-kp as (select doc_id, line_no, case when mark then '[' || t || ']' else t end as tt, mark or kind in ('special', 'blank') as alone from m where kind <> 'header_footer' or mark),
-b as (select *, lag(tt) over w as before, coalesce(lag(alone) over w, true) as alone_before from kp window w as (partition by doc_id order by line_no)),
-g as (select *, not alone and not alone_before and (regexp_matches(before, '[-,;:]$') or not regexp_matches(before, '[.!?][''")\\]]?$') or regexp_matches(tt, '^\\p{Ll}')) as goes from b),
-p as (select *, sum(case when goes then 0 else 1 end) over (partition by doc_id order by line_no) as p from g),
-j as (select doc_id, p, list_reduce(list(tt order by line_no), lambda a, x: case when regexp_matches(a, '\\p{L}-$') then left(a, length(a) - 1) || x else a || ' ' || x end) as paragraph from p where tt <> '' group by doc_id, p)"""
-
-
-@query("k5_restore_paragraphs", f"with {_LINES}, {_CLASS}, {_PARAGRAPHS} select doc_id, (row_number() over (partition by doc_id order by p))::integer as paragraph_no, paragraph from j")
+@query("k5_restore_paragraphs", f"with recursive {_LINES}, {_MARKS}, {_PAGES_READ}, whole as (select doc_id, done || case when para is not null then [para] else [] end as ps from page where line_no = n_lines - 1) select doc_id, i::integer as paragraph_no, ps[i] as paragraph from whole cross join lateral (select unnest(range(1, len(ps) + 1)) as i)")
 def _(s, d):
     return ln.restore_paragraphs(ln.line_class(_lines(s, d), "doc_id"), "doc_id")
 
