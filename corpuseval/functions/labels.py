@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from corpuseval.functions.textkeys import LINE_BREAK, stripped
+
 # The canonical tiers in their order, and the aliases of each.
 TIERS = ("exceptional", "strong", "fair", "limited")
 ALIASES = {
@@ -48,13 +50,18 @@ def normalize_label_plain(text: Column | str, labels: Sequence[str] = TIERS) ->
 
 
 def parse_reasoning_and_final(text: Column | str, labels: Sequence[str] = TIERS) -> Column:
-    """C4. ``struct<reasoning, label>``: tagged parts if there are any, else the last line is the answer."""
+    """C4. ``struct<reasoning, label>``: tagged parts if there are any, empty ones too, else the last line as it stands is the answer.
+
+    A tag that is there decides: an empty ``<final>`` is no label, and an empty ``<reasoning>`` is an empty reasoning.
+    """
     text = _col(text)
-    tag = lambda name: F.nullif(F.regexp_extract(text, rf"(?is)<{name}>\s*(.*?)\s*</{name}>", 1), F.lit(""))
-    reasoning = F.coalesce(tag("reasoning"), tag("think"))
-    untagged = F.regexp_replace(text, r"(?is)<(reasoning|think)>.*?</(reasoning|think)>", "")
-    lines = F.filter(F.transform(F.split(untagged, "\n"), F.trim), lambda x: x != "")
-    final = tag("final")
+
+    def tag(name: str) -> Column:
+        form = rf"(?is)<{name}>\s*(.*?)\s*</{name}>"
+        return F.when(text.rlike(form), F.regexp_extract(text, form, 1))
+
+    lines = F.filter(F.transform(F.split(text, LINE_BREAK), stripped), lambda x: x != "")
+    final, reasoning = tag("final"), F.coalesce(tag("reasoning"), tag("think"))
     answer = F.coalesce(final, F.try_element_at(lines, F.lit(-1)))
     before = F.nullif(F.array_join(F.slice(lines, 1, F.greatest(F.size(lines) - 1, F.lit(0))), "\n"), F.lit(""))
     return F.struct(F.coalesce(reasoning, F.when(final.isNull(), before)).alias("reasoning"), normalize_label(answer, labels).alias("label"))

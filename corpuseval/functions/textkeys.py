@@ -13,10 +13,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 
+#: White space of all scripts, and what ends a line.
+SPACE = r"[\x09-\x0d\x1c-\x1f\x85\p{Z}]"
+LINE_BREAK = r"\r\n|[\x0a-\x0d\x1c-\x1e\x85\u2028\u2029]"
+
+
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def stripped(text: Column | str) -> Column:
+    """The text without white space at both ends, that of all scripts."""
+    return F.regexp_replace(_col(text), rf"\A{SPACE}+|{SPACE}+\z", "")
+
+
 @F.pandas_udf(StringType())
 def _nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
@@ -61,18 +71,25 @@ def pair_key(a: Column | str, b: Column | str) -> Column:
     return F.struct(*(F.trim(F.coalesce(_col(c), F.lit(""))).alias(n) for c, n in ((a, "first"), (b, "second"))))
 
 
+#: Words of an answer that stand for nothing.
+NULL_WORDS = ("null", "None", "N/A")
+
+
 def null_words(text: Column | str) -> Column:
-    """C22. Null for blank texts and words that stand for nothing."""
-    t = F.trim(_col(text))
-    return F.when(F.lower(t).isin("", "null", "none", "n/a"), None).otherwise(t)
+    """C22. Null for blank texts and words that stand for nothing, as they are spelt."""
+    t = stripped(text)
+    return F.when(t.isin("", *NULL_WORDS), None).otherwise(t)
 
 
-def safe_file_key(text: Column | str, longest: int = 200) -> Column:
-    """C24. A file name without illegal characters, cut so that its extension stays."""
-    t = F.regexp_replace(F.regexp_replace(_col(text), r'[<>:"/\\|?*]', "_"), r"[\x00-\x1f]", "")
-    t = F.regexp_replace(F.regexp_replace(t, r"^[. ]+", ""), r"[. ]+$", "")
-    dot = F.regexp_extract(t, r"(\.[^.]*)$", 1)
-    return F.when(F.length(t) > longest, F.concat(F.substring(t, F.lit(1), F.greatest(longest - F.length(dot), F.lit(0))), dot)).otherwise(t)
+def safe_file_key(text: Column | str, longest: int = 255, nameless: str = "unnamed") -> Column:
+    """C24. A file name without illegal and control characters, cut so that its extension stays; ``nameless`` where nothing is left."""
+    t = F.regexp_replace(F.regexp_replace(_col(text), r'[<>:"/\\|?*]', "_"), r"[\x00-\x1f\x7f]", "")
+    t = F.regexp_replace(t, r"\A[. ]+|[. ]+\z", "")
+    dot = F.regexp_extract(t, r"(\.[^.]*)\z", 1)
+    stem, room = F.length(t) - F.length(dot), longest - F.length(dot)
+    kept = F.when(room >= 0, room).otherwise(F.greatest(stem + room, F.lit(0)))  # an extension over the limit takes its excess from the stem
+    cut = F.concat(F.substring(t, F.lit(1), F.least(kept, stem)), dot)
+    return F.when(t == "", nameless).when(F.length(t) > longest, cut).otherwise(t)
 
 
 def join_context(*parts: Column | str) -> Column:
@@ -90,9 +107,9 @@ def path_stem(path: Column | str) -> Column:
 
 
 def clean_text(text: Column | str) -> Column:
-    """C27. Unix newlines, no NUL, at most one blank line, trimmed."""
-    t = F.replace(F.replace(_col(text), F.lit("\r\n"), F.lit("\n")), F.lit("\x00"), F.lit(""))
-    return F.regexp_replace(F.regexp_replace(t, "\n{3,}", "\n\n"), r"\A\s+|\s+\z", "")
+    """C27. Unix newlines (a lone carriage return is one), no NUL, at most one blank line, trimmed."""
+    t = F.translate(F.replace(_col(text), F.lit("\r\n"), F.lit("\n")), "\r\x00", "\n")
+    return stripped(F.regexp_replace(t, "\n{3,}", "\n\n"))
 
 
 def upper_key(text: Column | str) -> Column:

@@ -5,13 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuseval.functions.textkeys import clean_text
+from corpuseval.functions.textkeys import SPACE, clean_text, stripped
 
 # Marks of journal pages.
 ZONE = 5  # lines at the head and tail of a page
 SHORT = 50  # characters of a table line, a page number, a header or a footer at most
 SECTIONS = ("abstract", "acknowledgments", "appendix", "conclusion", "discussion", "introduction", "keywords", "methodology", "methods", "references", "results")
-SPACE = r"[\x09-\x0d\x1c-\x1f\x85\p{Z}]"
 PAGE_NUMBER = rf"(?i)^(\p{{Nd}}{{1,4}}|\p{{Nd}}+[-/]\p{{Nd}}+|Page{SPACE}+\p{{Nd}}+|\p{{Nd}}+{SPACE}*of{SPACE}*\p{{Nd}}+)$"
 FOOTER = rf"(?is)(^\p{{Nd}}+$|^Page{SPACE}+\p{{Nd}}|^\p{{Nd}}+{SPACE}+\||wileyonlinelibrary\.com|©.*\p{{Nd}}{{4}}|^([A-Z]|{SPACE})+\p{{Nd}}{{4}};)"
 TABLE_HEAD = rf"(?i)^(table|figure|quadrant){SPACE}+[IVX0-9]"
@@ -25,11 +24,6 @@ def explode_lines(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.withColumn("_lines", F.split(text, "\n")).select(key, F.size("_lines").alias("n_lines"), F.posexplode("_lines").alias("line_no", "line"))
 
 
-def stripped(line: Column | str) -> Column:
-    """The line without white space at both ends, that of all scripts."""
-    return F.regexp_replace(F.col(line) if isinstance(line, str) else line, rf"^{SPACE}+|{SPACE}+$", "")
-
-
 def _is_upper(t: Column) -> Column:
     return t.rlike(UPPER) & ~t.rlike(LOWER)
 

@@ -15,8 +15,8 @@ def _div(a: Column, b: Column) -> Column:
 
 
 def accuracy_top(df: DataFrame, keys: Sequence[str], truth: str, top1: str, top2: str) -> DataFrame:
-    """E10. Shares of all rows whose truth text contains the first, or the first or second, prediction."""
-    inside = lambda p: F.coalesce((F.col(p) != "") & F.col(truth).contains(F.col(p)), F.lit(False))
+    """E10. Shares of all rows whose truth text contains the first, or the first or second, prediction, in any case."""
+    inside = lambda p: F.coalesce((F.col(p) != "") & F.lower(F.col(truth)).contains(F.lower(F.col(p))), F.lit(False))
     return df.groupBy(*keys).agg(F.avg(inside(top1).cast("int")).alias("accuracy_top1"), F.avg((inside(top1) | inside(top2)).cast("int")).alias("accuracy_top1_or_top2"))
 
 
@@ -32,19 +32,19 @@ def mode_select(df: DataFrame, keys: Sequence[str], average: str, top1: str, is_
 
 
 def label_prf(df: DataFrame, keys: Sequence[str], truth: str, prediction: str, labels: Sequence[str] = TIERS) -> DataFrame:
-    """E14. Precision, recall, F1 and support of each label; rows without a prediction are skipped."""
+    """E14. Precision, recall, F1 and support of each label; rows without a prediction are skipped. Truth and prediction count in any case."""
     each = df.where(F.col(prediction).isNotNull() & (F.col(prediction) != "")).withColumn("label", F.explode(F.array(*map(F.lit, labels))))
-    is_true, is_pred = F.coalesce(F.col(truth) == F.col("label"), F.lit(False)), F.col(prediction) == F.col("label")
+    is_true, is_pred = F.coalesce(F.lower(F.col(truth)) == F.col("label"), F.lit(False)), F.lower(F.col(prediction)) == F.col("label")
     sums = each.groupBy(*keys, "label").agg(F.count_if(is_true & is_pred).cast("double").alias("tp"), F.count_if(~is_true & is_pred).cast("double").alias("fp"), F.count_if(is_true & ~is_pred).cast("double").alias("fn"))
     return _prf(sums, keys)
 
 
 def label_prf_soft(df: DataFrame, keys: Sequence[str], truth: str, votes: str, labels: Sequence[str] = TIERS) -> DataFrame:
-    """E15. As E14, each vote adding its share of all votes that are there; an item without votes is one miss of its label."""
+    """E15. As E14, each vote adding its share of all votes that are there; an item without votes is one miss of its label. The truth counts in any case, votes as they are."""
     given = F.filter(F.col(votes), lambda v: F.coalesce(v != "", F.lit(False)))
     each = df.withColumn("_votes", given).withColumn("label", F.explode(F.array(*map(F.lit, labels))))
     share = _div(F.size(F.filter("_votes", lambda v: v == F.col("label"))).cast("double"), F.size("_votes"))
-    is_true = F.coalesce(F.col(truth) == F.col("label"), F.lit(False))
+    is_true = F.coalesce(F.lower(F.col(truth)) == F.col("label"), F.lit(False))
     sums = each.groupBy(*keys, "label").agg(F.sum(F.when(is_true, share).otherwise(0.0)).alias("tp"), F.sum(F.when(~is_true, share).otherwise(0.0)).alias("fp"), F.sum(F.when(is_true, 1 - share).otherwise(0.0)).alias("fn"))
     return _prf(sums, keys)
 

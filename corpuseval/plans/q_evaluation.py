@@ -98,7 +98,7 @@ _BEST = f"{SCORES_SQL}, best as (select id, model, first(label order by logp des
 
 @query("e10_accuracy_top", f"with {_BEST} select o.model, round(avg((coalesce(p1 <> '' and contains(truth, p1), false))::int), 6) as accuracy_top1, round(avg((coalesce(contains(truth, p1), false) or coalesce(contains(truth, p2), false))::int), 6) as accuracy_top1_or_top2 from outcomes o join best b on o.id = b.id and o.model = b.model group by o.model")
 def _(s, d):
-    rows = outcomes(s, d).withColumn("t", lb.logp_top2(logp_map())).select("model", "truth", "t.*")
+    rows = outcomes(s, d).withColumn("t", lb.logp_top2(logp_map())).select("model", F.initcap("truth").alias("truth"), "t.*")
     return mt.accuracy_top(rows, ["model"], "truth", "top1", "top2").select("model", *r6("accuracy_top1", "accuracy_top1_or_top2"))
 
 
@@ -133,7 +133,7 @@ sums as (select model, label, count(*) filter (where coalesce(truth = label, fal
 
 
 def _hard(s, d):
-    return mt.label_prf(outcomes(s, d).withColumn("p", F.lower(F.trim("prediction"))), ["model"], "truth", "p")
+    return mt.label_prf(outcomes(s, d).withColumns({"p": F.trim("prediction"), "truth": F.initcap("truth")}), ["model"], "truth", "p")
 
 
 @query("e14_label_prf", f"with {_HARD} select model, label, round(precision, 6) as precision, round(recall, 6) as recall, round(f1, 6) as f1, support from f")
@@ -147,7 +147,7 @@ sh as (select model, label, coalesce(truth = label, false) as t, coalesce(len(li
 sums as (select model, label, sum(case when t then x else 0 end) as tp, sum(case when not t then x else 0 end) as fp, sum(case when t then 1 - x else 0 end) as fn from sh group by 1, 2), {_PRF}
 select model, label, round(precision, 6) as precision, round(recall, 6) as recall, round(f1, 6) as f1, round(support, 6) as support from f""")
 def _(s, d):
-    return mt.label_prf_soft(_voted(s, d), ["model"], "truth", "votes").select("model", "label", *r6("precision", "recall", "f1", "support"))
+    return mt.label_prf_soft(_voted(s, d).withColumn("truth", F.upper("truth")), ["model"], "truth", "votes").select("model", "label", *r6("precision", "recall", "f1", "support"))
 
 
 @query("e16_macro", f"with {_HARD} select model, round(coalesce(avg(recall) filter (where support > 0), 0), 6) as balanced_accuracy, round(coalesce(avg(f1) filter (where support > 0), 0), 6) as macro_f1 from f group by model")

@@ -44,13 +44,18 @@ def _(s, d):
     return io.read_lines(s, p, "name")
 
 
-@query("a6_read_file_catalog", "select 'n_regionkey=' || min(n_regionkey) as subject, true as named from nation union all select 'r_regionkey=' || min(r_regionkey), true from region")
+@query("a6_read_file_catalog", """
+with f as (select upper('n_regionkey=' || n_regionkey) as subject from nation group by 1 union all select upper('r_regionkey=' || r_regionkey) from region group by 1)
+select 'subject_stem' as kind, subject, true as own from f union all select 'stem', min(subject), true from f group by left(subject, 1)""")
 def _(s, d):
-    """A folder for each region, written by one task: its files share a name, of which the first path counts."""
+    """A folder for each region, written by one task, so that its files share a name: each folder has its own copy, and the first path is that of the name alone."""
     p = scratch(s, "a6")
     for name in ("nation", "region"):
         table(s, d, name).coalesce(1).write.partitionBy(f"{name[0]}_regionkey").json(f"{p}/{name}")
-    return io.read_file_catalog(s, p, "*.json").select("subject", F.expr("replace(name_key, '.', '') = concat(stem_key, 'json')").alias("named"))
+    catalog = io.read_file_catalog(s, p, "*.json")
+    found = io.file_index(catalog).where("kind like '%stem'").join(catalog, "path")
+    stem = F.element_at(F.split("key", ":"), -1)
+    return found.select("kind", "subject", (stem == F.col("stem_key")).alias("own"))
 
 
 @query("a7_write_jsonl", "select id, title, journal from articles")

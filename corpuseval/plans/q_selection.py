@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corpuseval.functions import textkeys as tk
 from corpuseval.functions.labels import normalize_rank
 from corpuseval.operators import filters as fl
 from corpuseval.operators import linkage as lk
@@ -14,6 +15,7 @@ from corpuseval.operators import sampling as sm
 from corpuseval.plans.fixtures import articles, outcomes, table
 from corpuseval.plans.q_text import _JOURNAL_KEY, _TOKENS, rank_sql
 from corpuseval.plans.registry import query
+from corpuseval.sources import io
 
 _RULES = f"rules as (select k, min(rank) as rank from (select {_JOURNAL_KEY} as k, {rank_sql('rank_raw')} as rank from articles where id % 4 = 0 and journal is not null) where rank is not null group by k)"
 
@@ -52,15 +54,39 @@ def _(s, d):
     return lk.lookup_cascade(a, a.withColumn("hit", F.col("id")), "id", probes, [("title", F.col("title")), ("venue", F.col("journal"))], "hit", "id")
 
 
-@query("d5_match_file", """
-with idx as (select subject || ':' || journal as key, 0 as p, min(id) as hit from articles where journal is not null group by 1 union all select journal, 1, min(id) from articles where journal is not null group by 1)
-select a.id, coalesce(s.hit, g.hit) as hit, case when s.hit is not null then 'subject' when g.hit is not null then 'global' end as matched_by
-from articles a left join idx s on s.p = 0 and s.key = 'EN:' || a.journal left join idx g on g.p = 1 and g.key = a.journal""")
-def _(s, d):
-    a = articles(s, d)
-    probes = [("subject", F.concat(F.lit("EN:"), "journal")), ("global", F.col("journal"))]
-    keys = [("subject", F.concat("subject", F.lit(":"), "journal")), ("global", F.col("journal"))]
-    return lk.lookup_cascade(a, a.withColumn("hit", F.col("id")), "id", probes, keys, "hit", "id")
+_FILES = "select doc_id as id, upper(lang) as subject, 'store/' || lang || '/' || source || '-' || doc_id % 40 || case when doc_id % 3 = 0 then '.PDF' else '.pdf' end as path, lang from documents"
+#: Five probes of a row: names of other rows' files, in its own subject or another's, and stems.
+_PROBES = {
+    "article.path": ("name", "case when id % 5 = 0 then '/a/b/' || split_part(path, '/', 3) end"),
+    "row.path": ("name", "case when id % 7 = 0 then 'x/' || source_of || '-' || (id + 3) % 50 || '.pdf' end"),
+    "row.name": ("name", "case when id % 3 = 0 then ' ' || upper(source_of) || '-' || (id + 1) % 60 || '.PDF' end"),
+    "article.base": ("stem", "case when id % 2 = 0 then source_of || ' - ' || (id + 7) % 45 end"),
+    "row.base": ("stem", "source_of || '-' || id % 80"),
+}
+_ASKING = f"select f.id, case when f.id % 4 = 0 then null else ' ' || lower(f.subject) end as subject, path, split_part(split_part(path, '/', 3), '-', 1) as source_of from ({_FILES}) f"
+_KEY = "lower(replace(trim({t}), ' ', ''))"
+
+
+def _probe_sql() -> str:
+    asks = []
+    for place, (source, (kind, text)) in enumerate(_PROBES.items()):
+        key = _KEY.format(t=f"string_split({text}, '/')[-1]")
+        asks.append(f"select id, {2 * place} as prio, 'subject_{kind}' as kind, upper(trim(subject)) || ':' || {key} as key, '{source}:subject' as source from asking union all select id, {2 * place + 1}, '{kind}', {key}, '{source}' from asking")
+    index = " union all ".join(f"select '{kind}' as kind, {key} as key, path from named union all select 'subject_{kind}', subject || ':' || {key}, path from named" for kind, key in (("name", _KEY.format(t="name")), ("stem", _KEY.format(t="regexp_replace(name, '\\.[^.]*$', '')"))))
+    return f"""with files as ({_FILES}), named as (select path, subject, split_part(path, '/', 3) as name from files), asking as ({_ASKING}),
+idx as (select kind, key, min(path) as path from ({index}) group by kind, key), asks as ({" union all ".join(asks)}),
+hits as (select a.id, arg_min(i.path, prio) as path, arg_min(source, prio) as matched_by from asks a join idx i using (kind, key) group by a.id)
+select a.id, h.path, h.matched_by from asking a left join hits h using (id)"""
+
+
+@query("d5_match_file", _probe_sql())
+def _(s, d):
+    docs = table(s, d, "documents")
+    files = s.sql(_FILES.replace("from documents", "from {documents}"), documents=docs)
+    catalog = files.select("path", tk.identifier_key(tk.path_name("path"), True).alias("name_key"), tk.identifier_key(tk.path_stem("path"), True).alias("stem_key"), "subject")
+    asking = s.sql(_ASKING.replace("from documents", "from {documents}"), documents=docs)
+    probes = [(source, kind, F.expr(text)) for source, (kind, text) in _PROBES.items()]
+    return lk.match_file(asking, io.file_index(catalog), "id", F.col("subject"), probes)
 
 
 @query("d6_deref", "select o_orderkey, case when length(c_name) > 0 then 'ok' else 'failed' end as link_status from orders left join customer on c_custkey = o_custkey and c_custkey % 3 <> 0")

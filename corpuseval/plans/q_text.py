@@ -27,8 +27,8 @@ def label_sql(col: str) -> str:
 
 def final_sql(col: str) -> str:
     """The answer part of C4 in SQL."""
-    lines = f"list_filter(list_transform(string_split(regexp_replace({col}, '(?is)<(reasoning|think)>.*?</(reasoning|think)>', '', 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> '')"
-    return f"coalesce(nullif(regexp_extract({col}, '(?is)<final>\\s*(.*?)\\s*</final>', 1), ''), {lines}[-1])"
+    lines = f"list_filter(list_transform(string_split({col}, chr(10)), lambda x: trim(x)), lambda x: x <> '')"
+    return f"case when regexp_matches({col}, '(?is)<final>.*?</final>') then regexp_extract({col}, '(?is)<final>\\s*(.*?)\\s*</final>', 1) else {lines}[-1] end"
 
 
 def logp_map():
@@ -189,7 +189,7 @@ def _(s, d):
     return articles(s, d).select("id", tk.pair_key("journal", "title").alias("k")).select("id", "k.*")
 
 
-@query("c22_null_words", "select id, case when trim(v) in ('', 'N/A', 'null') then null else trim(v) end as v from (select id, case id % 4 when 0 then ' N/A ' when 1 then 'null' when 2 then '  ' else type end as v from articles)")
+@query("c22_null_words", "select id, case when trim(v) in ('', 'N/A', 'null', 'None') then null else trim(v) end as v from (select id, case id % 4 when 0 then ' N/A ' when 1 then 'null' when 2 then '  ' else type end as v from articles)")
 def _(s, d):
     return articles(s, d).select("id", tk.null_words(F.expr("case id % 4 when 0 then ' N/A ' when 1 then 'null' when 2 then '  ' else type end")).alias("v"))
 
@@ -200,9 +200,14 @@ def _(s, d):
     return a.select("id", rp.parse_json_answer("answer", ["kind", "venue"]).alias("r")).select("id", "r.*")
 
 
-@query("c24_safe_file_key", "select page_id, regexp_replace(regexp_replace(regexp_replace(url, '[<>:\"/\\\\|?*]', '_', 'g'), '^[. ]+', ''), '[. ]+$', '') as k from pages")
+_NAMED = "case page_id % 5 when 0 then ' .. ' when 1 then url || chr(127) || repeat('x', 300) || '.html' else url end"
+
+
+@query("c24_safe_file_key", f"""
+with n as (select page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace({_NAMED}, '[<>:"/\\\\|?*]', '_', 'g'), '[\\x00-\\x1f\\x7f]', '', 'g'), '^[. ]+', ''), '[. ]+$', '') as k from pages)
+select page_id, case when k = '' then 'unnamed' when length(k) > 255 then left(k, 255 - length(regexp_extract(k, '\\.[^.]*$'))) || regexp_extract(k, '\\.[^.]*$') else k end as k from n""")
 def _(s, d):
-    return table(s, d, "pages").select("page_id", tk.safe_file_key("url").alias("k"))
+    return table(s, d, "pages").select("page_id", tk.safe_file_key(F.expr(_NAMED)).alias("k"))
 
 
 @query("c25_join_context", "select id, concat_ws(chr(10), nullif(journal, ''), nullif(title, ''), split) as c from articles")
@@ -215,9 +220,9 @@ def _(s, d):
     return table(s, d, "pages").select("page_id", tk.path_name("url").alias("name"), tk.path_stem("url").alias("stem"))
 
 
-@query("c27_clean_text", "select doc_id, md5(regexp_replace(regexp_replace(replace(text, chr(13) || chr(10), chr(10)), '\\n{3,}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g')) as h from documents")
+@query("c27_clean_text", "select doc_id, md5(regexp_replace(regexp_replace(replace(replace(replace(text, ' ', chr(13)), chr(13) || chr(10), chr(10)), chr(13), chr(10)), '\\n{3,}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g')) as h from documents")
 def _(s, d):
-    return table(s, d, "documents").select("doc_id", F.md5(tk.clean_text("text")).alias("h"))
+    return table(s, d, "documents").select("doc_id", F.md5(tk.clean_text(F.translate("text", " ", "\r"))).alias("h"))
 
 
 @query("c28_upper_key", "select doc_id, nullif(upper(trim(lang)), '') as k from documents")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpuseval.functions.textkeys import identifier_key, path_name
 
 def read_jsonl(spark: SparkSession, path: str | list[str], schema: T.StructType | str, strict: bool = False) -> DataFrame:
     """A1, A3. One object for each line; blank lines are skipped, and lines that are no JSON too, unless ``strict``, which raises.
@@ -41,11 +42,24 @@ def read_lines(spark: SparkSession, path: str | list[str], name: str = "value")
 
 
 def read_file_catalog(spark: SparkSession, path: str, pattern: str = "*.pdf") -> DataFrame:
-    """A6. Files below a folder by normalised name: ``path, name_key, stem_key, subject``; of equal names the first path counts."""
+    """A6. Files below a folder, each one row: ``path``, ``name_key`` and ``stem_key`` (identifier keys), ``subject`` (its folder, upper case)."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path).select("path")
-    name = F.element_at(F.split("path", "/"), -1)
-    keys = files.select("path", F.regexp_replace(F.lower(name), r"[^a-z0-9.]", "").alias("name_key"), F.regexp_replace(F.lower(F.regexp_replace(name, r"\.[^.]*$", "")), "[^a-z0-9]", "").alias("stem_key"), F.element_at(F.split("path", "/"), -2).alias("subject"))
-    return keys.withColumn("_nth", F.row_number().over(Window.partitionBy("name_key").orderBy("path"))).where("_nth = 1").drop("_nth")
+    name = path_name("path")
+    stem = F.regexp_replace(name, r"(?<=.)\.[^.]*$", "")
+    subject = F.upper(F.element_at(F.split("path", "/"), -2))
+    return files.select("path", identifier_key(name).alias("name_key"), identifier_key(stem).alias("stem_key"), subject.alias("subject"))
+
+
+def file_index(catalog: DataFrame) -> DataFrame:
+    """A6. (kind, key, path): the four indexes of a catalog, of files with one key the first path.
+
+    Kinds are ``name`` and ``stem`` over all files, and ``subject_name`` and ``subject_stem`` with keys ``subject:key``, so that each
+    subject has its own copy of a name that several have.
+    """
+    plain = [F.struct(F.lit(kind).alias("kind"), F.col(f"{kind}_key").alias("key")) for kind in ("name", "stem")]
+    scoped = [F.struct(F.lit(f"subject_{kind}").alias("kind"), F.concat(F.nullif(F.col("subject"), F.lit("")), F.lit(":"), F.nullif(F.col(f"{kind}_key"), F.lit(""))).alias("key")) for kind in ("name", "stem")]
+    rows = catalog.select("path", F.inline(F.array(*plain, *scoped))).where(F.col("key") != "")
+    return rows.groupBy("kind", "key").agg(F.min("path").alias("path"))
 
 
 def write_jsonl(df: DataFrame, path: str, mode: str = "error") -> None:

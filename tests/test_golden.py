@@ -79,6 +79,11 @@ def test_reasoning_forms(spark):
         "Exceptional!": (None, "exceptional"),
         "no label here": (None, None),
         "<final> Limited\n</final> strong": (None, "limited"),
+        "<think>a</think>Limited": ("a", None),
+        "<final></final>\nStrong": (None, None),
+        "<reasoning></reasoning><think>t</think>\nFair": ("", "fair"),
+        "one\r\ntwo\u2028 Fair. ": ("one\ntwo", "fair"),
+        "  ": (None, None),
     }
     df = spark.createDataFrame([(a,) for a in answers], "a string").select("a", lb.parse_reasoning_and_final("a").alias("r"))
     assert {r.a: tuple(r.r) for r in df.collect()} == answers
@@ -104,7 +109,13 @@ def test_text_keys(spark):
     assert spark.createDataFrame([(" /DOI/10.1 / X ",)], "v string").select(tk.identifier_key("v")).first()[0] == "10.1/x"
     assert spark.createDataFrame([("Straße, straße — Über!",)], "v string").select(F.array_sort(tk.title_tokens("v"))).first()[0] == ["straße", "über"]
     assert spark.createDataFrame([(" ..a<b>:c.txt. ",)], "v string").select(tk.safe_file_key("v")).first()[0] == "a_b__c.txt"
-    assert spark.createDataFrame([("x" * 300 + ".json",)], "v string").select(F.length(tk.safe_file_key("v")), tk.safe_file_key("v").endswith(".json")).first() == (200, True)
+    assert spark.createDataFrame([("x" * 300 + ".json",)], "v string").select(F.length(tk.safe_file_key("v")), tk.safe_file_key("v").endswith(".json")).first() == (255, True)
+    names = {"a\x7fb\x01c": "abc", " .. ": "unnamed", "": "unnamed", "a." + "e" * 300: "e", "a|b?.txt": "a_b_.txt", "n" * 260: "n" * 255}
+    got = {r.v: r.k for r in spark.createDataFrame([(n,) for n in names], "v string").select("v", tk.safe_file_key("v").alias("k")).collect()}
+    assert got.pop("a." + "e" * 300) == "." + "e" * 300 and all(got[n] == names[n] for n in got)
+    assert spark.createDataFrame([("a\rb\r\nc\r\r\rd\u00a0",)], "v string").select(tk.clean_text("v")).first()[0] == "a\nb\nc\n\nd"
+    words = {" null ": None, "None": None, "N/A": None, " ": None, "NULL": "NULL", "none": "none", "n/a": "n/a"}
+    assert {r.v: r.k for r in spark.createDataFrame([(w,) for w in words], "v string").select("v", tk.null_words("v").alias("k")).collect()} == words
     assert spark.createDataFrame([("\r\na\r\n\n\n\nb\x00 ",)], "v string").select(tk.clean_text("v")).first()[0] == "a\n\nb"
 
 
@@ -127,6 +138,39 @@ def test_jsonl_bad_lines_and_types(spark):
         io.read_jsonl(spark, path, "k string, n int", strict=True).collect()
 
 
+def test_files_with_one_name_are_entries_of_their_subjects(spark, tmp_path):
+    names = ["EN/a-b.pdf", "FR/ab.pdf", "FR/A - B.pdf", "FR/论文.pdf", "EN/文献.pdf", "EN/other.txt"]
+    for n in names:
+        (tmp_path / n).parent.mkdir(exist_ok=True)
+        (tmp_path / n).write_text("x")
+    catalog = io.read_file_catalog(spark, str(tmp_path))
+    tail = lambda p: p.split(str(tmp_path) + "/")[1]
+    assert {(tail(r.path), r.name_key, r.stem_key, r.subject) for r in catalog.collect()} == {
+        ("EN/a-b.pdf", "a-b.pdf", "a-b", "EN"), ("FR/ab.pdf", "ab.pdf", "ab", "FR"), ("FR/A - B.pdf", "a-b.pdf", "a-b", "FR"), ("FR/论文.pdf", "论文.pdf", "论文", "FR"), ("EN/文献.pdf", "文献.pdf", "文献", "EN")}
+    index = io.file_index(catalog)
+    assert {(r.key, tail(r.path)) for r in index.where("kind = 'name'").collect()} == {("a-b.pdf", "EN/a-b.pdf"), ("ab.pdf", "FR/ab.pdf"), ("论文.pdf", "FR/论文.pdf"), ("文献.pdf", "EN/文献.pdf")}
+    rows = [
+        (1, "fr", "x/a-b.pdf", None, None, None, None),  # the subject's own copy
+        (2, None, "x/A-B.PDF", None, None, None, None),  # no subject: the first path
+        (3, "FR", "x/none.pdf", None, "文献.pdf", None, None),  # only another subject has it
+        (4, "EN", None, "ab.pdf", "a-b.pdf", None, None),  # an earlier probe anywhere is before a later one in the subject
+        (5, "EN", None, None, None, "AB", "a-b"),
+        (6, "EN", None, None, None, None, " 论文 "),
+        (7, "EN", "", "", None, "none", None),
+    ]
+    df = spark.createDataFrame(rows, "id int, subject string, p1 string, p2 string, p3 string, p4 string, p5 string")
+    probes = [("p1", "name", F.col("p1")), ("p2", "name", F.col("p2")), ("p3", "name", F.col("p3")), ("p4", "stem", F.col("p4")), ("p5", "stem", F.col("p5"))]
+    got = {r.id: (r.path and tail(r.path), r.matched_by) for r in lk.match_file(df, index, "id", F.col("subject"), probes).collect()}
+    assert got == {1: ("FR/A - B.pdf", "p1:subject"), 2: ("EN/a-b.pdf", "p1"), 3: ("EN/文献.pdf", "p3"), 4: ("FR/ab.pdf", "p2"), 5: ("FR/ab.pdf", "p4"), 6: ("FR/论文.pdf", "p5"), 7: (None, None)}
+
+
+def test_metrics_in_any_case(spark):
+    df = spark.createDataFrame([("Strong", "strong", "FAIR", ["strong"]), ("FAIR", "Fair", "x", [])], "truth string, p string, q string, v array<string>").withColumn("k", F.lit(1))
+    assert tuple(mt.accuracy_top(df, ["k"], "truth", "p", "q").first())[1:] == (1.0, 1.0)
+    assert {r.label: (r.recall, r.support) for r in mt.label_prf(df, ["k"], "truth", "p").collect() if r.support} == {"strong": (1.0, 1.0), "fair": (1.0, 1.0)}
+    assert {r.label: (r.recall, r.support) for r in mt.label_prf_soft(df, ["k"], "truth", "v").collect() if r.support} == {"strong": (1.0, 1.0), "fair": (0.0, 1.0)}
+
+
 def test_upsert(spark):
     old = spark.createDataFrame([(1, "a", "x"), (2, "b", "y"), (None, "c", "z")], "id int, v string, w string")
     new = spark.createDataFrame([(2, "n1", None, 1), (2, None, "n2", 2), (3, "d", None, 1)], "id int, v string, w string, at int")
@@ -287,7 +331,7 @@ def test_paragraphs(spark):
     page = "INTRODUCTION TO THE WHOLE FIELD\nThis is a hyphen-\nated line that goes\non here.\n\nNew paragraph, which\nends. \nNext Sentence stands alone.\na b\nx\ny\nz\nw\n12"
     df = spark.createDataFrame([(1, page)], "id int, text string")
     got = [r.paragraph for r in ln.restore_paragraphs(ln.line_class(ln.explode_lines(df, "id", "text"), "id"), "id").orderBy("paragraph_no").collect()]
-    assert got[0] == "INTRODUCTION TO THE WHOLE FIELD" and "hyphenated line that goes on here." in got[1] and got[-1] == "[12]"
+    assert got[0] == "INTRODUCTION TO THE WHOLE FIELD" and "hyphenated line that goes on here." in got[1] and got[-1] == "[Journal Page: 12]"
 
 
 def test_scoring_keeps_errors_with_their_rows(spark):
