@@ -12,13 +12,17 @@ order of their share of blocked urls, and one that does not differ from the bran
 proportions) is merged with it: ``/de|en``, or ``/*`` where the wildcard is among them.  Merged branches grow on as one.
 ``*`` and ``|`` within segments are written ``%2A`` and ``%7C``.
 
-Purity: the share of blocked labels of a template, smoothed by its parent's purity, the root's by the share of all labels; a
-template without labels has its parent's.  From ``REJECT`` on a template is rejected.  Without any labels all are allowed.
+A branch grows as long as ``MIN_URLS`` of its urls go on; of what fewer urls share, deeper segments do not show in the template.
+
+Purity: each label counts in one template, that where its url ends in the tree.  The share of blocked labels there is smoothed by the parent's
+purity, the root's by the share of all labels.  A template is rejected from ``REJECT`` on, and only if it has labels of its own: a branch
+that no rule touches is not judged by its siblings, and is allowed.
 
 A null url, or one without ``://``, has an empty host and path, which no rule fits.  Every row is judged once; repeated rows
 are judged alike and count as often as they are there.  An empty table gives no rows.  Rules are literals of the plan and at
 most ``MAX_RULES``.  Urls are only counted, by sums on the map side, so a large host is no large task; segments that are
-rarer than ``MIN_URLS`` go before anything is joined, and nothing but the overall share and the longest path is collected.
+rarer than ``MIN_URLS`` go before anything is joined, and nothing but the overall share and counts of rows is collected.  Each level writes the urls
+that go on and takes only these to the next, so a few urls of very many segments cost small jobs and not scans of all.
 """
 
 from __future__ import annotations
@@ -28,8 +32,6 @@ from pyspark.sql import functions as F
 
 from corpuseval.llm._session import stored
 
-#: Most levels of the tree; the longest path ends it sooner, deeper segments do not count.
-DEPTH = 8
 #: A segment stays literal from this share of its parent's urls on, and from this number.
 MIN_SHARE, MIN_URLS = 0.02, 3
 #: Deviations up to which shares do not differ, labels that the overall share counts, and the share that rejects.
@@ -74,11 +76,11 @@ def _merged(kids: F.Column) -> F.Column:
     return F.concat(F.aggregate(labelled, F.array().cast(kind), step), others.cast(kind))
 
 
-def _branches(rows: DataFrame, parents: DataFrame, level: int) -> DataFrame:
-    """The next level: ``host``, ``parent``, ``template``, ``names``, ``n``, ``bad`` and ``purity`` of all children of ``parents``."""
+def _branches(rows: DataFrame, level: int) -> DataFrame:
+    """The next level: ``host``, ``parent``, ``template`` and ``names`` of all children of the templates of ``rows`` that grow."""
     at = rows.withColumn("segment", F.get("segments", F.lit(level))).where("segment is not null")
     sums = [F.count("*").alias("urls"), F.count("fit").alias("n"), F.count_if(F.col("fit.action") == "block").alias("bad")]
-    totals = at.groupBy("host", "template").agg(*sums)
+    totals = at.groupBy("host", "template").agg(*sums).where(F.col("urls") >= MIN_URLS)
     counts = at.groupBy("host", "template", "segment").agg(*sums).where(F.col("urls") >= MIN_URLS)
     share = lambda bad, n: F.coalesce(F.try_divide(bad, n), F.lit(0.0)).alias("share")
     kid = F.struct(share(F.col("bad"), F.col("n")), "segment", "n", "bad")
@@ -90,41 +92,56 @@ def _branches(rows: DataFrame, parents: DataFrame, level: int) -> DataFrame:
     kids = F.coalesce("kids", F.array().cast("array<struct<share:double,segment:string,n:bigint,bad:bigint>>"))
     grown = rest.select("host", "template", F.inline(_merged(F.when(urls > 0, F.concat(kids, F.array(wild))).otherwise(kids))))
     name = F.when(F.array_contains("names", "*"), "*").otherwise(F.array_join(F.array_sort("names"), "|"))
-    known = parents.select("host", "template", F.col("purity").alias("above"))
-    purity = (F.col("bad") + PRIOR * F.col("above")) / (F.col("n") + PRIOR)
-    return grown.join(known, ["host", "template"]).select("host", F.col("template").alias("parent"), F.concat("template", F.lit("/"), name).alias("template"), "names", "n", "bad", purity.alias("purity"))
-
-
-def tree(rows: DataFrame, depth: int = DEPTH) -> tuple[DataFrame, DataFrame]:
-    """The rows (``host``, ``segments``, ``fit`` and others) with their ``template``, and ``host``, ``template`` and ``purity`` of all templates."""
-    bad, labels, longest = rows.agg(F.count_if(F.col("fit.action") == "block"), F.count("fit"), F.max(F.size("segments"))).first()
-    overall = bad / labels if labels else 0.0
-    smooth = (F.count_if(F.col("fit.action") == "block") + PRIOR * overall) / (F.count("fit") + PRIOR)
-    found = [rows.groupBy("host").agg(smooth.alias("purity")).select("host", F.lit("").alias("template"), "purity")]
+    return grown.select("host", F.col("template").alias("parent"), F.concat("template", F.lit("/"), name).alias("template"), "names")
+
+
+def _purities(rows: DataFrame, levels: list[DataFrame]) -> DataFrame:
+    """``host``, ``template``, ``n`` and ``purity`` of all templates: labels of the urls that end there, smoothed from the root on."""
+    bad, labels = rows.agg(F.count_if(F.col("fit.action") == "block"), F.count("fit")).first()
+    own = stored(rows.groupBy("host", "template").agg(F.count("fit").alias("n"), F.count_if(F.col("fit.action") == "block").alias("bad")), "labels")
+    nodes = None
+    above = rows.select("host").distinct().select("host", F.lit("").alias("template"), F.lit(bad / labels if labels else 0.0).alias("above"))
+    for level in [None, *levels]:
+        if level is not None:
+            known = above.select("host", F.col("template").alias("parent"), F.col("purity").alias("above"))
+            above = level.select("host", "parent", "template").join(known, ["host", "parent"]).drop("parent")
+        n, blocked = (F.coalesce(c, F.lit(0)) for c in ("n", "bad"))
+        above = above.join(own, ["host", "template"], "left").select("host", "template", n.alias("n"), ((blocked + PRIOR * F.col("above")) / (n + PRIOR)).alias("purity"))
+        above = stored(above, "purities")
+        nodes = above if nodes is None else nodes.unionByName(above)
+    return nodes
+
+
+def tree(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows (``host``, ``segments``, ``fit`` and others) with their ``template``, and ``host``, ``template``, ``n`` and ``purity`` of all templates."""
     rows = rows.withColumn("template", F.lit(""))
-    for level in range(min(depth, longest or 0)):
-        branches = stored(_branches(rows, found[-1], level), "branches")  # small, and plans stay chains of joins
+    ended, levels = None, []
+    while True:
+        branches = stored(_branches(rows, len(levels)), "branches")  # small
         literal = branches.select("host", F.col("parent").alias("template"), F.explode("names").alias("segment"), F.col("template").alias("grown")).where("segment <> '*'")
-        at = rows.withColumn("segment", F.get("segments", F.lit(level))).join(literal, ["host", "template", "segment"], "left")
-        next_ = F.coalesce("grown", F.concat("template", F.lit("/*")))
-        rows = at.withColumn("template", F.when(F.col("segment").isNotNull(), next_).otherwise(F.col("template"))).drop("segment", "grown")
-        found.append(branches.select("host", "template", "purity"))
-    nodes = found[0]
-    for more in found[1:]:
-        nodes = nodes.unionByName(more)
-    return rows, nodes
-
-
-def judge(pages: DataFrame, rules=RULES, depth: int = DEPTH, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
-    """``id_col``, ``host``, ``path``, ``rule``, ``verdict``, ``template`` and ``purity`` of every row."""
+        wild = branches.where(F.array_contains("names", "*")).select("host", F.col("parent").alias("template"), F.col("template").alias("wild"))
+        at = rows.withColumn("segment", F.get("segments", F.lit(len(levels)))).join(literal, ["host", "template", "segment"], "left").join(wild, ["host", "template"], "left")
+        next_ = F.when(F.col("segment").isNotNull(), F.coalesce("grown", "wild"))
+        moved = stored(at.withColumn("next", next_).drop("segment", "grown", "wild"), "level")
+        here = moved.where("next is null").drop("next")
+        ended = here if ended is None else ended.unionByName(here)
+        rows = moved.where("next is not null").drop("template").withColumnRenamed("next", "template")
+        if not branches.take(1):
+            break
+        levels.append(branches)
+    return ended, _purities(ended, levels)
+
+
+def judge(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+    """``id_col``, ``host``, ``path``, ``rule``, ``verdict``, ``template``, ``n_labels`` (of the template's own) and ``purity`` of every row."""
     host, path = host_and_path(F.col(url_col))
     rows = pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path"))
     rows = stored(rows.withColumn("fit", rule_of(F.col("host"), F.col("path"), rules)), "urls")
     plain = F.replace(F.replace("path", F.lit("*"), F.lit("%2A")), F.lit("|"), F.lit("%7C"))
-    rows, nodes = tree(rows.withColumn("segments", F.filter(F.split(plain, "/"), lambda s: s != "")), depth)
-    verdict = F.coalesce("fit.action", F.when(F.col("purity") >= REJECT, "block").otherwise("allow"))
+    rows, nodes = tree(rows.withColumn("segments", F.filter(F.split(plain, "/"), lambda s: s != "")))
+    verdict = F.coalesce("fit.action", F.when((F.col("n") > 0) & (F.col("purity") >= REJECT), "block").otherwise("allow"))
     joined = rows.join(nodes, ["host", "template"])
-    return joined.select(F.col("id").alias(id_col), "host", "path", F.col("fit.rule").alias("rule"), verdict.alias("verdict"), "template", "purity")
+    return joined.select(F.col("id").alias(id_col), "host", "path", F.col("fit.rule").alias("rule"), verdict.alias("verdict"), "template", F.col("n").alias("n_labels"), "purity")
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -93,24 +93,26 @@ def similar(docs, width=5, similarity=0.8):
 
 
 def url_tree(urls, min_share, min_urls, similar, prior):
-    """(template, purity) of each (host, path, label): label 1 is blocked, 0 allowed, None unknown."""
+    """(template, labels of its own, purity) of each (host, path, label): label 1 is blocked, 0 allowed, None unknown."""
     known = [x for _, _, x in urls if x is not None]
     overall = sum(known) / len(known) if known else 0.0
     out = [None] * len(urls)
 
-    def smooth(rows, above):
-        labels = [urls[k][2] for k in rows if urls[k][2] is not None]
-        return (sum(labels) + prior * above) / (len(labels) + prior)
-
-    def grow(rows, level, template, purity):
-        deeper = defaultdict(list)
+    def grow(rows, level, template, above):
+        deeper, ended = defaultdict(list), []
         for k in rows:
             segments = [s.replace("*", "%2A").replace("|", "%7C") for s in urls[k][1].split("/") if s]
             if len(segments) > level:
                 deeper[segments[level]].append(k)
             else:
-                out[k] = template, purity
+                ended.append(k)
         total, kids = sum(map(len, deeper.values())), defaultdict(list)
+        if total < min_urls:
+            ended, deeper = rows, {}
+        labels = [urls[k][2] for k in ended if urls[k][2] is not None]
+        purity = (sum(labels) + prior * above) / (len(labels) + prior)
+        for k in ended:
+            out[k] = template, len(labels), purity
         for name, own in deeper.items():
             kids[name if len(own) >= max(min_urls, total * min_share) else "*"] += own
         branches, labelled = [], []
@@ -130,13 +132,13 @@ def url_tree(urls, min_share, min_urls, similar, prior):
                     continue
             runs.append([[name], n, bad, own])
         for names, _, _, own in branches + runs:
-            grow(own, level + 1, f"{template}/{'*' if '*' in names else '|'.join(sorted(names))}", smooth(own, purity))
+            grow(own, level + 1, f"{template}/{'*' if '*' in names else '|'.join(sorted(names))}", purity)
 
     hosts = defaultdict(list)
     for k, (host, _, _) in enumerate(urls):
         hosts[host].append(k)
     for rows in hosts.values():
-        grow(rows, 0, "", smooth(rows, overall))
+        grow(rows, 0, "", overall)
     return out
 
 

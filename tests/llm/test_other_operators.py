@@ -259,12 +259,11 @@ def test_url_tree(spark):
     label = {k: None if r.rule is None else int(action[r.rule] == "block") for k, r in got.items()}
     want = brute.url_tree([(got[k].host, got[k].path, label[k]) for k in range(len(urls))], url_filter.MIN_SHARE, url_filter.MIN_URLS, url_filter.SIMILAR, url_filter.PRIOR)
     for k in range(len(urls)):
-        assert got[k].template == want[k][0] and abs(got[k].purity - want[k][1]) < 1e-9, urls[k]
-        assert got[k].verdict == (action[got[k].rule] if got[k].rule else "block" if want[k][1] >= url_filter.REJECT else "allow")
+        assert got[k].template == want[k][0] and got[k].n_labels == want[k][1] and abs(got[k].purity - want[k][2]) < 1e-9, urls[k]
+        assert got[k].verdict == (action[got[k].rule] if got[k].rule else "block" if want[k][1] and want[k][2] >= url_filter.REJECT else "allow")
     templates = {(r.host, r.template) for r in got.values()}
     assert any("|" in t for _, t in templates) and any(t.count("/") > 5 for _, t in templates)
-    assert {r.verdict for r in got.values() if r.rule is None and r.host == "m.spam.net"} <= {"block"}
-    assert len({r.verdict for r in got.values() if r.rule is None}) == 2
+    assert all(r.n_labels for r in got.values() if r.rule is None and r.verdict == "block")
 
 
 def test_url_templates(spark):
@@ -275,6 +274,17 @@ def test_url_templates(spark):
     assert free == {("/spam/*", "block"), ("/news/*", "allow")}
 
 
+def test_url_branches_without_labels_are_not_judged_by_their_siblings(spark):
+    """A host whose labels are all of blocked branches, and paths far deeper than any rule looks."""
+    rows = [(k, f"http://x.net/{('es', 'fr', 'en', 'de')[k % 4]}/{k}") for k in range(200)] + [(1000 + k, "http://deep.org/" + "/".join("abcdefghijklmnop") + f"/{'pq'[k % 2]}/{k}") for k in range(80)]
+    rules = [*url_filter.RULES, *(("block", "deep.org", "/" + "/".join("abcdefghijklmnop") + f"/q/{d}") for d in "1234")]
+    got = {r.page_id: r for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string"), rules).collect()}
+    free = [r for r in got.values() if r.rule is None]
+    assert {(r.template, r.verdict) for r in free if r.host == "x.net"} == {("/en/*", "allow"), ("/de/*", "allow")}
+    deep = {(r.template.count("/"), r.template.split("/")[17], r.verdict) for r in free if r.host == "deep.org"}
+    assert deep == {(18, "p", "allow"), (18, "q", "block")}
+
+
 def test_warc(spark):
     big = "x" * 100_000
     rows = [(1, "u", big), (2, "u\r\nWARC/1.1\r\n", "\r\n\r\nWARC/1.1\r\nWARC-Type: x\r\n\r\n"), (3, None, None), (4, "", ""), (5, "a", big), (5, "a", big), (None, "b", big), (6, "é", "é\U0001F600" * 9000), (7, "q", "WARC/1.1\r\n" * 3000), (8, "q", "\r\n" * 40_000)]
