@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from corpuseval.sources.shared import scratch, stored
 
-__all__ = ["configure", "read_texts", "scratch", "spread", "stored"]
+__all__ = ["configure", "read_texts", "refuse_clash", "scratch", "spread", "stored", "valid_text"]
 
 BATCH, TEXT_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1_000
 
@@ -27,6 +28,17 @@ def spread(scan: DataFrame) -> DataFrame:
     return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
 
 
+def valid_text(column: str) -> F.Column:
+    """A column as text; bytes that are no UTF-8 become U+FFFD."""
+    return F.make_valid_utf8(F.col(f"`{column}`").cast("string"))
+
+
+def refuse_clash(columns, taken) -> None:
+    """Raises where columns to be carried along have the names of columns that are added."""
+    if clash := set(taken).intersection(columns):
+        raise ValueError(f"these names are taken: {sorted(clash)}")
+
+
 def read_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and whole texts of ``documents``, in a session that is set for them."""
     configure(spark)

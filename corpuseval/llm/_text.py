@@ -15,6 +15,8 @@ import pyarrow.compute as pc
 
 #: Bytes of text that are handled at once; temporary arrays are about 40 times as large.
 SLICE_BYTES = 1 << 18
+#: Bytes, or words, of a longer text that temporary arrays are made of; what stays of such a text are the places and hashes of its words.
+RUN = 1 << 20
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
@@ -73,14 +75,16 @@ def spans(column: pa.Array, limit: int = 4 * SLICE_BYTES) -> Iterator[tuple[int,
 
 def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of all words, and for each row the index of its first word (one more than rows)."""
-    inside = table[data]
-    first = np.zeros(len(data) + 1, dtype=bool)
-    first[offsets] = True
-    begins = inside.copy()
-    begins[1:] &= ~inside[:-1] | first[1:-1]
-    ends = inside.copy()
-    ends[:-1] &= ~inside[1:] | first[1:-1]
-    starts, ends = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+    starts, ends, place = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], np.int32 if RUN < len(data) < 1 << 31 else np.int64
+    for a in range(0, len(data), RUN):
+        b = min(a + RUN, len(data))
+        inside = np.zeros(b - a + 2, dtype=bool)  # with the byte before and the byte after
+        inside[1 - (a > 0) : len(inside) - (b == len(data))] = table[data[max(a - 1, 0) : b + 1]]
+        first = np.zeros(b - a + 1, dtype=bool)
+        first[offsets[np.searchsorted(offsets, a) : np.searchsorted(offsets, b, "right")] - a] = True
+        starts.append((np.flatnonzero(inside[1:-1] & (~inside[:-2] | first[:-1])) + a).astype(place))
+        ends.append((np.flatnonzero(inside[1:-1] & (~inside[2:] | first[1:])) + a + 1).astype(place))
+    starts, ends = (np.concatenate(x[1:] or x) for x in (starts, ends))
     return starts, ends, np.searchsorted(starts, offsets)
 
 
@@ -94,12 +98,42 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of words, a run of them at a time."""
+    if len(data) <= RUN:
+        return _hashes(data, starts, ends)
+    out, low = np.empty(len(starts), dtype=_U), 0
+    while low < len(starts):
+        a = int(starts[low])
+        high = max(low + 1, int(np.searchsorted(ends, a + RUN, "right")))
+        if ends[low] - a > RUN:
+            out[low] = _long_hash(data[a : ends[low]])
+        else:
+            out[low:high] = _hashes(data[a : ends[high - 1]], starts[low:high] - a, ends[low:high] - a)
+        low = high
+    return out
+
+
+def _long_hash(word: np.ndarray) -> np.uint64:
+    """The hash of a word of more than ``RUN`` bytes: sums of its runs, moved to their places."""
+    _grow_powers(RUN)
+    total = 0
+    for a in range(0, len(word), RUN):
+        part = word[a : a + RUN].astype(_U) + _U(1)
+        total += int((part * _powers[0][: len(part)]).sum(dtype=_U)) * pow(_BASE, a, 1 << 64)
+    return mix(np.array([(total + len(word) * 0xD6E8FEB86659FD93) % (1 << 64)], dtype=_U))[0]
+
+
+def _grow_powers(length: int) -> None:
     global _powers
-    if len(_powers[0]) <= len(data):
-        n = max(2 * SLICE_BYTES, len(data) + 1)
+    if len(_powers[0]) <= length:
+        n = max(2 * SLICE_BYTES, length + 1)
         up, down = (np.full(n, p, dtype=_U) for p in (_BASE, _INVERSE))
         up[0] = down[0] = 1
         _powers = np.cumprod(up, dtype=_U), np.cumprod(down, dtype=_U)
+
+
+def _hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    _grow_powers(len(data))
     total = np.zeros(len(data) + 1, dtype=_U)
     np.cumsum((data.astype(_U) + _U(1)) * _powers[0][: len(data)], out=total[1:])
     return mix((total[ends] - total[starts]) * _powers[1][starts] + (ends - starts).astype(_U) * _U(0xD6E8FEB86659FD93))
@@ -110,16 +144,20 @@ def window_hashes(hashes: np.ndarray, width: int, seed: int = 0x2545F4914F6CDD1D
     n = len(hashes) - width + 1
     if n <= 0:
         return np.zeros(0, dtype=_U)
-    out = hashes[:n].copy()
-    for k in range(1, width):
-        out *= _U(seed)
-        out += hashes[k : n + k]
-    return mix(out + _U(seed))
+    out = np.empty(n, dtype=_U)
+    for a in range(0, n, RUN):
+        b = min(a + RUN, n)
+        part = hashes[a:b].copy()
+        for k in range(1, width):
+            part *= _U(seed)
+            part += hashes[a + k : b + k]
+        out[a:b] = mix(part + _U(seed))
+    return out
 
 
 def row_of(first: np.ndarray) -> np.ndarray:
     """For each word the row it belongs to."""
-    return np.repeat(np.arange(len(first) - 1), np.diff(first))
+    return np.repeat(np.arange(len(first) - 1, dtype=np.int32), np.diff(first))
 
 
 def inside_rows(rows: np.ndarray, width: int) -> np.ndarray:

@@ -8,7 +8,7 @@ Nothing is trained.
 
 Null text counts as empty and gives no ids.  Texts are handled in runs of whole rows of about a megabyte, or one longer text: a run,
 its units or a part of its pre-tokens, its ids and the caches are what is in memory.  Rows keep their order and number, repeated rows are encoded alike,
-and only the two columns named are read, so further columns cannot clash.
+and only the two columns named are read, so further columns cannot clash.  Bytes that are no UTF-8 become U+FFFD first.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuseval.llm import _text
-from corpuseval.llm._session import read_texts
+from corpuseval.llm._session import read_texts, valid_text
 
 #: Bytes are shown to SentencePiece as the characters from this code on.
 _FIRST_CHARACTER = 0x100
@@ -80,7 +80,7 @@ class Encoder:
 
     ``split_at_spaces`` states that the pattern always starts a pre-token at a space that follows anything but
     white space, that a space and the letters
-    after it are one pre-token, and that punctuation after those is another.  Texts where white space never precedes a space are then cut at spaces first, and the pattern
+    after it are one pre-token, and that punctuation after those is another; ``encode`` tries that on probes and raises where it does not hold.  Texts where white space never precedes a space are then cut at spaces first, and the pattern
     runs once for each new unit and not for each word of the text.
     """
 
@@ -152,6 +152,25 @@ class Encoder:
         return out
 
 
+def check_split(pattern: str) -> None:
+    """Raises where the pattern does not cut probe texts as ``split_at_spaces`` states."""
+    import regex
+
+    cut = regex.compile(pattern).findall
+    parts = ["a", "Word", "don't", "I'LL", "x1", "12", "1234", "é", "naïve", "ß", "日本", "слово", "ا", "_", "-", "--", "...", "(a)", "a.b", "#!", "'s", "'", "\n", "a\n", "\nb", "\t", "\r\n", "", "😀", "e\u0301", "½", "a\u00a0b"]
+    for text in (f"{a} {b}{c} {d}" for k, a in enumerate(parts) for b in parts for c, d in [(parts[(k * 7 + 3) % len(parts)], parts[(k * 11 + 5) % len(parts)])]):
+        if any(pair in text for pair in _PAIRS):
+            continue
+        first, *units = text.split(" ")
+        if cut(text) != cut(first) + [t for u in units for t in cut(" " + u)]:
+            raise ValueError(f"the pattern does not start a pre-token at each space: {text!r}")
+    for stem in (p for p in parts if p.isalpha() and max(p) < _LATIN_END):
+        for end in ["", *string.punctuation, "?!", ").", "'s"]:
+            rest = end.lstrip(string.ascii_letters)
+            if end == rest and cut(" " + stem + end) != [" " + stem, *cut(end)]:
+                raise ValueError(f"the pattern does not part letters from punctuation: {stem + end!r}")
+
+
 _workers: dict[tuple, Encoder] = {}
 
 
@@ -170,6 +189,8 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id",
     ``split_at_spaces``.
     """
     tokens = read_ranks(ranks)
+    if split_at_spaces:
+        check_split(pattern)
     shared = docs.sparkSession.sparkContext.broadcast((tokens, model_from_ranks(tokens), pattern, split_at_spaces))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,7 +202,7 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id",
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.binary()), pa.array([len(x) // 4 for x in found], pa.int64())], names=[id_col, "ids", "n_tokens"])
 
     kind = docs.select(id_col).schema[0].dataType.simpleString()
-    return docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, f"`{id_col}` {kind}, ids binary, n_tokens long")
+    return docs.select(id_col, valid_text(text_col)).mapInArrow(run, f"`{id_col}` {kind}, ids binary, n_tokens long")
 
 
 def decode(encoded: DataFrame, ranks: bytes) -> DataFrame:

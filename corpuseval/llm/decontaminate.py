@@ -12,7 +12,7 @@ broadcast.  Any size of benchmark gives the same rows, whatever ids repeat or ar
 
 Null text has no words, and an item of null text no windows.  Items of a null id hit like all others; together they are one
 item without a name, null and last among the items found.  Items with equal words each count.  Repeated rows are judged
-alike, and only the columns named are read, so further columns cannot clash.
+alike.  Only the columns named are read; carried columns with the name of an added one raise.  Bytes that are no UTF-8 become U+FFFD.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuseval.llm import _text
-from corpuseval.llm._session import read_texts, scratch, stored
+from corpuseval.llm._session import read_texts, refuse_clash, scratch, stored, valid_text
 
 WIDTH = 10
 #: Windows that are broadcast at once: about 200 bytes each.
@@ -73,21 +73,21 @@ class _Windows:
 
     def scan(self, data: np.ndarray, offsets: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, dict[int, set[int]]]:
         """Which words are hit, and for each row the numbers of the items found."""
-        hashes, rows = _text.word_hashes(data, starts, ends), _text.row_of(first)
+        hashes = _text.word_hashes(data, starts, ends)
         hit, items = np.zeros(len(starts), dtype=bool), {}
+        row = lambda at: np.searchsorted(first, at, "right") - 1
         for width, (values, bits, lookup) in self.by_width.items():
-            windows = _text.window_hashes(hashes, width)
-            at = np.flatnonzero(bits[windows >> np.uint64(64 - _FILTER_BITS)])
-            at = at[values[np.minimum(np.searchsorted(values, windows[at]), len(values) - 1)] == windows[at]]
-            at = at[rows[at] == rows[at + width - 1]]
-            true = np.zeros(len(windows), dtype=bool)
-            for k in at.tolist():
-                words = b" ".join(data[starts[j] : ends[j]].tobytes() for j in range(k, k + width))
-                for window, numbers in lookup[int(windows[k])]:
-                    if words == window:
-                        true[k] = True
-                        items.setdefault(int(rows[k]), set()).update(numbers)
-            hit |= _text.cover(true, width, len(starts))
+            for low in range(0, len(hashes) - width + 1, _text.RUN):
+                windows = _text.window_hashes(hashes[low : low + _text.RUN + width - 1], width)
+                at = np.flatnonzero(bits[windows >> np.uint64(64 - _FILTER_BITS)])
+                at = at[values[np.minimum(np.searchsorted(values, windows[at]), len(values) - 1)] == windows[at]]
+                at = at[row(at + low) == row(at + low + width - 1)]
+                for k in at.tolist():
+                    words = b" ".join(data[starts[j] : ends[j]].tobytes() for j in range(low + k, low + k + width))
+                    for window, numbers in lookup[int(windows[k])]:
+                        if words == window:
+                            hit[low + k : low + k + width] = True
+                            items.setdefault(int(row(low + k)), set()).update(numbers)
         return hit, items
 
 
@@ -109,17 +109,20 @@ def _without(text: bytes, starts: np.ndarray, ends: np.ndarray, hit: np.ndarray)
 def _marked(columns: list[pa.Array], names: list[str], texts: pa.Array, raw: np.ndarray, offsets: np.ndarray, words: tuple, hit: np.ndarray, items: list[list[str]], clean: bool) -> pa.RecordBatch:
     """The rows of a slice with ``n_words``, ``hits``, ``items`` and perhaps ``cleaned``."""
     starts, ends, first = words
-    touched = set(_text.row_of(first)[hit].tolist())
+    touched = set((np.searchsorted(first, np.flatnonzero(hit), "right") - 1).tolist())
     runs = [_runs(hit[first[k] : first[k + 1]]) if k in touched else [] for k in range(len(texts))]
     spans = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
     columns = [*columns, pa.array(np.diff(first), pa.int32()), pa.array(runs, spans), pa.array(items, pa.list_(pa.string()))]
     names = [*names, "n_words", "hits", "items"]
     if clean:
-        kept = texts.to_pylist()
-        for k in touched:
-            at = slice(first[k], first[k + 1])
-            kept[k] = _without(raw[offsets[k] : offsets[k + 1]].tobytes(), starts[at] - offsets[k], ends[at] - offsets[k], hit[at]).decode()
-        columns.append(pa.array(kept, texts.type))
+        kept, valid = texts, texts.is_valid().to_pylist()
+        if touched:
+            whole = [raw[offsets[k] : offsets[k + 1]].tobytes() if valid[k] else None for k in range(len(texts))]
+            for k in touched:
+                at = slice(first[k], first[k + 1])
+                whole[k] = _without(whole[k], starts[at] - offsets[k], ends[at] - offsets[k], hit[at])
+            kept = pa.array(whole, pa.binary()).cast(texts.type)
+        columns.append(kept)
         names.append("cleaned")
     return pa.RecordBatch.from_arrays(columns, names=names)
 
@@ -143,7 +146,7 @@ def _scan(docs: DataFrame, shared, keys: list[str], text_col: str, clean: bool)
                 found = [[known.items[i] for i in sorted(items.get(k, ()))] for k in range(high - low)]
                 yield _marked([c.slice(low, high - low) for c in batch.columns[: len(keys)]], keys, texts.slice(low, high - low), raw, offsets, words, hit, found, clean)
 
-    return docs.select(*keys, F.col(text_col).cast("string")).mapInArrow(run, _schema(docs, keys, clean))
+    return docs.select(*keys, valid_text(text_col)).mapInArrow(run, _schema(docs, keys, clean))
 
 
 def _scan_blocks(rows: DataFrame, windows: DataFrame, blocks: int, text_col: str) -> DataFrame:
@@ -173,7 +176,7 @@ def _join_marks(rows: DataFrame, keys: list[str], text_col: str, clean: bool) ->
                         hit[words[2][k] + span["first"] : words[2][k] + span["last"] + 1] = True
                 yield _marked([c.slice(low, high - low) for c in batch.columns[: len(keys)]], keys, texts.slice(low, high - low), raw, offsets, words, hit, items.slice(low, high - low).to_pylist(), clean)
 
-    return rows.select(*keys, F.col(text_col).cast("string"), _FOUND, "items").mapInArrow(run, _schema(rows, keys, clean))
+    return rows.select(*keys, valid_text(text_col), _FOUND, "items").mapInArrow(run, _schema(rows, keys, clean))
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", clean: bool = False, max_windows: int = MAX_WINDOWS, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -181,6 +184,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH
 
     ``clean`` adds ``cleaned``, the text without the hit words; ``carry`` names columns that are passed on.
     """
+    refuse_clash(carry, {id_col, text_col, "n_words", "hits", "items", "cleaned", _ROW, _FOUND})
     spark, keys = docs.sparkSession, [id_col, *carry]
     windows = benchmark_windows(benchmark, width, item_col, item_text_col)
     if windows.count() <= max_windows:

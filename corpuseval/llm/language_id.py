@@ -25,10 +25,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpuseval.llm import _text
-from corpuseval.llm._session import read_texts
+from corpuseval.llm._session import read_texts, refuse_clash
 
-#: The sample of each language: texts, and symbols of all of them.
-SAMPLE_TEXTS = 200
+#: The sample: texts of each language and of all, symbols of each, and languages, those of most labelled rows; all that is collected.
+SAMPLE_TEXTS, ALL_TEXTS, LANGUAGES = 200, 20_000, 1_000
 SAMPLE_SYMBOLS = 40_000
 #: Characters of one sampled text that are used, from a seeded place on, so that no text fills the sample.
 SAMPLE_CHARS = 4_000
@@ -230,19 +230,28 @@ class Model:
 
 
 def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", seed: int = 42) -> Model:
-    """A model of a bounded sample of every language: the texts that come first by a seeded hash, whatever their number."""
+    """A model of a bounded sample of every language: the texts that come first by a seeded hash, whatever their number.
+
+    With more than ``ALL_TEXTS`` / ``SAMPLE_TEXTS`` languages each has a smaller sample; beyond ``LANGUAGES`` values of the label those of
+    the fewest rows are not learnt.
+    """
+    counts = labelled.where(F.col(lang_col).isNotNull()).groupBy(F.col(lang_col).alias("lang")).count()
+    learnt = [r["lang"] for r in counts.orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
+    each = min(SAMPLE_TEXTS, ALL_TEXTS // max(len(learnt), 1))
+    labelled = labelled.where(F.col(lang_col).isin(learnt))
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("whole"))
     place = F.pmod(F.xxhash64(F.lit(seed + 1), "whole"), F.greatest(F.length("whole") - SAMPLE_CHARS, F.lit(0)) + 1) + 1
     rows = rows.select("lang", F.substring("whole", place.cast("int"), F.lit(SAMPLE_CHARS)).alias("text"))
     first = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64(F.lit(seed), "text"), "text"))
     samples: dict[str, list[str]] = {}
-    for lang, text in rows.withColumn("nth", first).where(F.col("nth") <= SAMPLE_TEXTS).orderBy("lang", "nth").select("lang", "text").collect():
+    for lang, text in rows.withColumn("nth", first).where(F.col("nth") <= each).orderBy("lang", "nth").select("lang", "text").collect():
         samples.setdefault(lang, []).append(text)
     return Model(samples)
 
 
 def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
     """The columns ``keep`` with ``lang_pred`` and ``score`` of every row's whole text."""
+    refuse_clash(keep, {text_col, "lang_pred", "score"})
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuseval.llm import _text
-from corpuseval.llm._session import read_texts, stored
+from corpuseval.llm._session import read_texts, refuse_clash, stored
 
 FEATURES = 192
 WIDTH = 2.5  # of the kernel, in standard deviations
@@ -42,10 +42,23 @@ def _class_tables() -> np.ndarray:
 
 
 def _sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    if len(values) > _text.RUN:
+        return np.array([values[a:b].sum(dtype=np.int64) for a, b in zip(offsets[:-1], offsets[1:], strict=True)], dtype=np.int64)
     total = np.concatenate(([0], np.cumsum(values, dtype=np.int64)))
     return total[offsets[1:]] - total[offsets[:-1]]
 
 
+def _again(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """For each row how many of its words stand in it before."""
+    if len(first) == 2:
+        found = np.sort(hashes)
+        return np.array([np.count_nonzero(found[1:] == found[:-1])])
+    rows = _text.row_of(first)
+    order = np.lexsort((hashes, rows))
+    found, of = hashes[order], rows[order]
+    return np.bincount(of[1:][(found[1:] == found[:-1]) & (of[1:] == of[:-1])], minlength=len(first) - 1)
+
+
 def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """A row of statistics for each text of a slice; shares are square roots, sizes logarithms."""
     size = np.diff(offsets)
@@ -53,19 +66,16 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     starts, ends, first = _text.words(data, offsets, _text.not_space())
     words = np.diff(first)
     lengths = ends - starts
-    rows = _text.row_of(first)
     last = data[ends - 1] if len(ends) else data[:0]
     letters = np.zeros(256, bool)
     letters[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
     odd = np.zeros(256, bool)
     odd[list(_CLASSES[-1])] = True
     hashes = _text.word_hashes(data, starts, ends)
-    order = np.lexsort((hashes, rows))
-    again = np.zeros(len(rows), bool)
-    again[1:] = (hashes[order][1:] == hashes[order][:-1]) & (rows[order][1:] == rows[order][:-1])
+    again = _again(hashes, first)
     share = lambda x, n: np.sqrt(x / np.maximum(n, 1))
     word_total = _sums(lengths, first)
-    word_square = _sums(lengths * lengths, first)
+    word_square = _sums(lengths.astype(np.int64) ** 2, first)
     mean = word_total / np.maximum(words, 1)
     lines = counts[3] + 1
     columns = [
@@ -76,7 +86,7 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         share(_sums(odd[last], first), words),
         share(_sums(~letters[last], first), words),
         share(_sums(lengths == 1, first), words),
-        share(np.bincount(rows[order][again], minlength=len(words)), words),
+        share(again, words),
         np.log1p(words / lines) / 2,
     ]
     return np.stack(columns, axis=1).astype(np.float64)
@@ -203,6 +213,7 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col:
 
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", keep_text: bool = False) -> DataFrame:
     """The columns ``keep``, and the text if asked for, with ``score`` (0 to 1) and ``predicted`` (1 from ``THRESHOLD`` on)."""
+    refuse_clash(keep, {text_col, "score", "predicted"})
     sent, names = len(keep) + 1, [*keep, *([text_col] if keep_text else [])]
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

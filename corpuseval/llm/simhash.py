@@ -33,6 +33,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpuseval.llm import _text
 from corpuseval.llm._components import components
@@ -61,15 +62,26 @@ def majority(hashes: np.ndarray) -> int:
 
 
 def _fingerprint(text: bytes, shingle: int) -> int:
+    text = text.lower()
+    if len(text) <= _text.RUN:
+        words = text.split()
+        return majority(_shingle_hashes(words, shingle)) if words else 0
+    data = np.frombuffer(text, np.uint8)
+    starts, ends, _ = _text.words(data, np.array([0, len(data)]), _text.not_space())
+    step, found = 1 << 16, [np.zeros(0, np.uint64)]
+    for low in range(0, max(len(starts) - shingle + 1, min(len(starts), 1)), step):  # runs of shingles, of words that overlap
+        run = slice(low, low + step + shingle - 1)
+        found.append(_shingle_hashes([text[a:b] for a, b in zip(starts[run].tolist(), ends[run].tolist(), strict=True)], shingle))
+    return majority(np.concatenate(found)) if len(starts) else 0
+
+
+def _shingle_hashes(words: list[bytes], shingle: int) -> np.ndarray:
     from xxhash import xxh64_intdigest
 
-    words = text.lower().split()
-    if not words:
-        return 0
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     joined, last = b" ".join(words), ends[min(shingle, len(words)) - 1 :].tolist()
-    return majority(np.array([xxh64_intdigest(joined[a:b], 42) for a, b in zip(starts.tolist(), last, strict=False)], dtype=np.uint64))
+    return np.array([xxh64_intdigest(joined[a:b], 42) for a, b in zip(starts.tolist(), last, strict=False)], dtype=np.uint64)
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -308,13 +320,34 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = MAX_BIT
 # ---- texts by the similarity of their sets of shingles
 
 
+def _distinct(hashes: np.ndarray) -> np.ndarray:
+    """Sorted distinct hashes; the array given is sorted too."""
+    hashes.sort()
+    new = np.ones(len(hashes), dtype=bool)
+    np.not_equal(hashes[1:], hashes[:-1], out=new[1:])
+    return hashes[new]
+
+
+def _content(text: bytes, xxh3_128) -> bytes:
+    """The digest of a text's words joined by one space; runs of a longer text at a time."""
+    if len(text) <= _text.RUN:
+        return xxh3_128(b" ".join(text.split())).digest()
+    data = np.frombuffer(text, np.uint8)
+    starts, ends, _ = _text.words(data, np.array([0, len(data)]), _text.not_space())
+    digest, step = xxh3_128(), 1 << 16
+    for low in range(0, len(starts), step):
+        words = [text[a:b] for a, b in zip(starts[low : low + step].tolist(), ends[low : low + step].tolist(), strict=True)]
+        digest.update((b" " if low else b"") + b" ".join(words))
+    return digest.digest()
+
+
 def _shingle_sets(data: np.ndarray, offsets: np.ndarray, shingle: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each text its word hashes in order and its sorted distinct shingle hashes; fewer words are one shingle."""
     starts, ends, first = _text.words(data, offsets, _text.not_space())
     hashes = _text.word_hashes(data, starts, ends)
     for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
         own = hashes[a:b]
-        yield own, np.unique(_text.window_hashes(own, min(shingle, len(own)))) if len(own) else own
+        yield own, _distinct(_text.window_hashes(own, min(shingle, len(own)))) if len(own) else own
 
 
 def _sketches(docs: DataFrame, shingle: int) -> DataFrame:
@@ -325,15 +358,15 @@ def _sketches(docs: DataFrame, shingle: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh3_128_digest
+        from xxhash import xxh3_128
 
         lower = _text.lower_ascii()
         for batch in batches:
             for low, high, data, offsets in _text.slices(batch.column(2)):
                 data, rows = lower[data], []
                 for k, (words, found) in enumerate(_shingle_sets(data, offsets, shingle)):
-                    content = xxh3_128_digest(b" ".join(data[offsets[k] : offsets[k + 1]].tobytes().split()))
-                    rows.append((content, len(words) < shingle, *((majority(np.unique(words)), majority(found)) if len(words) else (0, 0))))
+                    content = _content(data[offsets[k] : offsets[k + 1]].tobytes(), xxh3_128)
+                    rows.append((content, len(words) < shingle, *((majority(_distinct(words.copy())), majority(found)) if len(words) else (0, 0))))
                 content, short, *marks = zip(*rows, strict=True)
                 marks = [np.array(m, np.int64) for m in marks]
                 marks = [pa.array(m, mask=np.array(short)) for m in (*marks, _names(marks))]
@@ -427,6 +460,8 @@ def similar_texts(docs: DataFrame, shingle: int = SHINGLE_WORDS, similarity: flo
     Candidates are the components of fingerprints of distinct words that share a pair of Golay keys and differ in at most
     ``CANDIDATE_BITS``; texts without words are copies of each other.  ``rows`` counts the rows of that name.
     """
+    if not isinstance(docs.schema[id_col].dataType, T.IntegralType):
+        raise TypeError(f"{id_col} must be of whole numbers")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_code(text_col).alias("code"), F.col(text_col).cast("string").alias("text")).where("id is not null")
     marked = stored(_sketches(rows, shingle), "sketches")
     first = F.min(F.struct("id", "code")).alias("first")

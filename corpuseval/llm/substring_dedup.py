@@ -13,7 +13,9 @@ Both shuffles deal the hashes by value, packed into rows of many.  What document
 and only its smallest document goes on, so a passage that a third of all documents hold is a row for each batch in one
 task and not one for each document.
 
-Null text has no words.  Rows of a null id neither remove words nor lose any.  Rows that share an id are one document
+A text longer than a slice is worked on alone, runs of its words at a time: what stays in memory are its bytes, and places and hashes of its words.
+
+Null text has no words.  Bytes that are no UTF-8 become U+FFFD.  Ids are whole numbers, others raise.  Rows of a null id neither remove words nor lose any.  Rows that share an id are one document
 for the rule, each with its own words.  An empty table gives no rows.  Only the columns named are read.
 """
 
@@ -25,9 +27,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpuseval.llm import _text
-from corpuseval.llm._session import read_texts
+from corpuseval.llm._session import read_texts, refuse_clash, valid_text
 
 WINDOW = 13
 PERIOD = 7
@@ -48,17 +51,28 @@ class _Words:
         self.rows = _text.row_of(self.first)
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray]:
-        """Positions of anchors that windows can hold, and their hashes."""
-        hashes = _text.window_hashes(self.hashes, ANCHOR)
-        n = len(hashes)
-        place = (np.arange(len(self.rows)) - self.first[self.rows])[:n] % PERIOD
-        fit = _text.inside_rows(self.rows, ANCHOR) & np.isin(place, COVER) & (np.diff(self.first)[self.rows[:n]] >= WINDOW)
-        at = np.flatnonzero(fit)
-        return at, hashes[at]
+        """Positions of anchors that windows can hold, and their hashes; runs of words at a time."""
+        places, hashes, sizes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], np.diff(self.first)
+        for low in range(0, len(self.hashes) - ANCHOR + 1, _text.RUN):
+            run = slice(low, low + _text.RUN + ANCHOR - 1)
+            found, rows = _text.window_hashes(self.hashes[run], ANCHOR), self.rows[run]
+            own = rows[: len(found)]
+            place = (np.arange(low, low + len(found)) - self.first[own]) % PERIOD
+            at = np.flatnonzero(_text.inside_rows(rows, ANCHOR) & np.isin(place, COVER) & (sizes[own] >= WINDOW))
+            places.append(at + low)
+            hashes.append(found[at])
+        return np.concatenate(places), np.concatenate(hashes)
 
     def windows(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Two hashes of the windows that start at ``at``."""
-        return _text.window_hashes(self.hashes, WINDOW)[at], _text.window_hashes(_text.mix(self.hashes ^ np.uint64(0x5851F42D4C957F2D)), WINDOW, 0x9FB21C651E98DF25)[at]
+        """Two hashes of the windows that start at ``at``, which rises; runs of words at a time."""
+        first, second = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+        for low in range(0, len(self.hashes) - WINDOW + 1, _text.RUN):
+            own = at[np.searchsorted(at, low) : np.searchsorted(at, low + _text.RUN)] - low
+            if len(own):
+                hashes = self.hashes[low : low + _text.RUN + WINDOW - 1]
+                first.append(_text.window_hashes(hashes, WINDOW)[own])
+                second.append(_text.window_hashes(_text.mix(hashes ^ np.uint64(0x5851F42D4C957F2D)), WINDOW, 0x9FB21C651E98DF25)[own])
+        return np.concatenate(first), np.concatenate(second)
 
 
 class _Packer:
@@ -217,7 +231,7 @@ def _windows(flagged: DataFrame, deals: int) -> DataFrame:
                 for k in range(high - low):
                     own = slice(bounds[k], bounds[k + 1])
                     shared[at[own]] = np.isin(hashes[own], np.frombuffer(tags[low + k].as_py(), "<u4"))
-                near = np.concatenate(([0], np.cumsum(shared)))
+                near = np.concatenate((np.zeros(1, np.int32), np.cumsum(shared, dtype=np.int32)))
                 fit = _text.inside_rows(found.rows, WINDOW)
                 n = len(fit)
                 chosen = np.flatnonzero(fit & (near[PERIOD : PERIOD + n] > near[:n]))
@@ -227,6 +241,13 @@ def _windows(flagged: DataFrame, deals: int) -> DataFrame:
     return flagged.mapInArrow(run, _PACKED)
 
 
+def _joined(text: bytes, starts: np.ndarray, ends: np.ndarray) -> bytes:
+    """The words of a text at these places, joined by one space; runs of words at a time."""
+    step = 1 << 16
+    runs = (slice(low, low + step) for low in range(0, len(starts), step))
+    return b" ".join(b" ".join([text[a:b] for a, b in zip(starts[r].tolist(), ends[r].tolist(), strict=True)]) for r in runs)
+
+
 def _cut(flagged: DataFrame, carry: tuple[str, ...], keep_unchanged: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _text.not_space()
@@ -238,15 +259,14 @@ def _cut(flagged: DataFrame, carry: tuple[str, ...], keep_unchanged: bool) -> Da
                 own = tags.slice(low, high - low)
                 hashes = _text.window_hashes(_text.word_hashes(data, starts, ends), WINDOW) if own.null_count < len(own) else None
                 for k, mine in enumerate(own.to_pylist()):
-                    text, lost = data[offsets[k] : offsets[k + 1]].tobytes(), 0
-                    words = text.split() if mine or not keep_unchanged else []
+                    text, lost, stay = data[offsets[k] : offsets[k + 1]].tobytes(), 0, np.arange(first[k], first[k + 1], dtype=starts.dtype)
                     if mine:
                         at = hashes[first[k] : max(first[k], first[k + 1] - WINDOW + 1)]
-                        gone = _text.cover(np.isin(at, np.frombuffer(mine, "<u8")), WINDOW, len(words))
+                        gone = _text.cover(np.isin(at, np.frombuffer(mine, "<u8")), WINDOW, len(stay))
                         lost = int(gone.sum())
-                        words = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
+                        stay = stay[~gone]
                     removed.append(lost)
-                    kept.append(b" ".join(words) if lost or not keep_unchanged else text if valid[low + k] else None)
+                    kept.append(_joined(text, starts[stay] - offsets[k], ends[stay] - offsets[k]) if lost or not keep_unchanged else text if valid[low + k] else None)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), *(c.slice(low, high - low) for c in batch.columns[3:])], names=["id", "n_words", "n_removed", "kept", *carry])
 
     carried = "".join(f", `{c}` {flagged.schema[c].dataType.simpleString()}" for c in carry)
@@ -258,10 +278,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     ``keep_unchanged`` leaves texts that lose nothing as they are; the columns ``carry`` come along.
     """
-    if clash := {id_col, "id", "n_words", "n_removed", "kept"}.intersection(carry):
-        raise ValueError(f"these names are taken: {sorted(clash)}")
+    refuse_clash(carry, {id_col, "id", "n_words", "n_removed", "kept"})
+    if not isinstance(docs.schema[id_col].dataType, T.IntegralType):
+        raise TypeError(f"{id_col} must be of whole numbers")
     spark = docs.sparkSession
-    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"), *carry)
+    texts = docs.select(F.col(id_col).cast("long").alias("_id"), valid_text(text_col).alias("_text"), *carry)
     total = texts.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     deals = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // _TASK_BYTES + 1)
     named = texts.where("_id is not null")

@@ -277,3 +277,69 @@ def test_shards_of_any_columns_written_and_read(spark):
         held.setdefault((r.shard, r.file), []).append(r.slot)
     assert all(v == list(range(v[0], v[0] + len(v))) for v in held.values())
     assert len(held) <= 3 + 2 * (1 + 500 * 300 // 20_000)
+
+
+def test_long_texts_in_runs_give_the_same_rows(spark, monkeypatch):
+    """Each operator with runs of 64 bytes or words, inside the driver and in tasks, against texts in one piece."""
+    import numpy as np
+
+    from corpuseval.llm import _text, quality, simhash
+
+    rng = random.Random(8)
+    words = ["a", "Bb", "cc!", "ddd", "é", "日本語", "x" * 90, "9"]
+    passage = " ".join(rng.choice(words) for _ in range(30))
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(0, 400))) + rng.choice(["", f" {passage} ", "\n\n"]) + " ".join(rng.choice(words) for _ in range(50)) for _ in range(40)]
+    items = decontaminate._Windows([("i", " ".join(decontaminate_words(passage)[:10])), ("j", "a bb")])
+
+    def results():
+        out = []
+        for t in texts:
+            data = np.frombuffer(t.encode(), np.uint8)
+            offsets = np.array([0, len(data)])
+            lower = _text.lower_ascii()[data]
+            found = _text.words(lower, offsets, _text.alphanumeric())
+            own = substring_dedup._Words(data, offsets, _text.not_space())
+            hit, named = items.scan(lower, offsets, *found)
+            out.append((quality.statistics(data, offsets).tolist(), [x.tolist() for x in own.anchors()], [x.tolist() for x in own.windows(np.arange(0, max(len(own.hashes) - 12, 0), 3))], hit.tolist(), named, simhash._fingerprint(t.encode(), 3), [x.tolist() for pair in simhash._shingle_sets(lower, offsets, 5) for x in pair]))
+        return out
+
+    whole = results()
+    monkeypatch.setattr(_text, "RUN", 64)
+    assert results() == whole
+
+
+def decontaminate_words(text):
+    return [w for w in "".join(c if c.isalnum() or ord(c) > 127 else " " for c in text.lower()).split() if w]
+
+
+def test_invalid_utf8_and_clashing_names(spark):
+    """A row whose text is no UTF-8 passes every operator over texts; its bad bytes are U+FFFD in what comes out."""
+    from pyspark.sql import functions as F
+
+    from corpuseval.llm import byte_bpe, language_id, line_dedup, quality, sharding, simhash
+
+    df = spark.sql("select 1L as doc_id, cast(x'61626320FFFE20646566' as string) as text, 'en' as lang union all select 2, 'plain text of words', 'en' union all select 3, null, null")
+    good = "abc �� def"
+    assert substring_dedup.remove_repeats(df).where("doc_id = 1").first().kept == good
+    bench = spark.createDataFrame([(1, "def plain")], "item_id int, text string")
+    assert decontaminate.find_contamination(df, bench, clean=True).where("doc_id = 1").first().cleaned == good
+    ranks = b"".join(__import__("base64").b64encode(bytes([b])) + b" %d\n" % b for b in range(256))
+    done = byte_bpe.decode(byte_bpe.encode(df, ranks, r"\S+|\s+"), ranks)
+    assert bytes(done.where("doc_id = 1").first().decoded) == good.encode()
+    assert line_dedup.drop_repeated_lines(df.select("doc_id", "text")).where("doc_id = 1").first().kept == good
+    assert language_id.identify(df, language_id.train(df)).count() == 3
+    assert quality.score(df, quality.train(df, spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int"))).count() == 3
+    assert simhash.near_duplicates(df).count() == 3 and simhash.similar_texts(df).count() >= 2
+    assert sharding.shuffle_shards(df, 2).count() == 3
+    for refuse in (
+        lambda: decontaminate.find_contamination(df.withColumn("items", F.lit(1)), bench, carry=("items",)),
+        lambda: language_id.identify(df.withColumn("score", F.lit(1)), language_id.Model({}), ("doc_id", "score")),
+        lambda: quality.score(df.withColumn("score", F.lit(1)), None, ("doc_id", "score")),
+        lambda: substring_dedup.remove_repeats(df, carry=("kept",)),
+    ):
+        with pytest.raises(ValueError, match="names are taken"):
+            refuse()
+    with pytest.raises(TypeError, match="whole numbers"):
+        substring_dedup.remove_repeats(df.withColumn("doc_id", F.lit("x")))
+    with pytest.raises(ValueError, match="pre-token"):
+        byte_bpe.encode(df, ranks, r"\S+\s*", split_at_spaces=True)
