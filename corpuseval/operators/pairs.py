@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuseval.functions.labels import TIERS, tier_distance
+from corpuseval.functions.labels import TIERS, parse_reasoning_and_final, tier_distance
 from corpuseval.operators.reshape import number_rows
 from corpuseval.operators.sampling import draw, top_per_group
+from corpuseval.operators.scoring import score_once
+from corpuseval.sources.shared import stored
 
 PAIR_TYPES = tuple((a, b) for i, b in enumerate(TIERS) for a in TIERS[i + 1 :])  # lower tier first
 
@@ -61,3 +65,20 @@ def judge_pairs(df: DataFrame, answer: str = "prediction") -> DataFrame:
     fail = ~F.coalesce(told.isin("first", "second"), F.lit(False))
     return df.withColumn("alignment_fail", fail).withColumn("is_correct", ~fail & (told == F.col("correct_position")))
 
+
+
+#: Seconds that one pair may take.
+PAIR_SECONDS = 300.0
+
+
+def pair_job(items: DataFrame, model: Callable, key: str, tier: str, text: str, prompt: str, n: int, seed: int, path: str | None = None, timeout: float | None = PAIR_SECONDS, **options) -> DataFrame:
+    """J5. Sampled pairs in drawn positions, asked, and judged: one row for each pair that was answered.
+
+    ``path`` keeps the answers by ordered pair (``first``, ``second``): a run appends to it as tasks end, takes from it what earlier runs have brought,
+    and asks only for pairs that are missing there, those that failed or ran out of time among them.  Pairs that lack a text are not asked.
+    """
+    drawn = attach_texts(assign_position(sample_pairs(items, n, seed, key, tier), seed), items, key, text, tier)
+    asked = stored(pair_messages(drawn, prompt).select("pair_type", "distance", "first", "second", "rank_first", "rank_second", "correct_position", "messages"), "pairs")
+    answers = score_once(asked, model, ["first", "second"], path, timeout=timeout, **options).where("error is null")
+    answers = answers.select("first", "second", F.trim("response_text").alias("raw_response"), parse_reasoning_and_final("response_text", ("first", "second"))["label"].alias("prediction"))
+    return judge_pairs(asked.drop("messages").join(answers, ["first", "second"]))

@@ -6,16 +6,24 @@ import hashlib
 import json
 import time
 from collections.abc import Callable, Iterator, Sequence
-from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
+from queue import Empty, SimpleQueue
+from threading import Thread
+from typing import TypeVar
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from corpuseval.functions.labels import TIERS, majority_vote, parse_reasoning_and_final, vote_stats
-from corpuseval.functions.responses import parse_json_answer
+from corpuseval.functions.labels import TIERS, logp_top2, majority_vote, normalize_label, parse_reasoning_and_final, vote_stats
+from corpuseval.functions.responses import first_position_logp, parse_json_answer, parsed
 from corpuseval.functions.textkeys import first_text, null_words
+from corpuseval.operators import metrics
+from corpuseval.operators.outcomes import OUTCOME, get_outcome, outcome_is_valid, outcome_struct, put_outcome
 from corpuseval.operators.reshape import map_update
+from corpuseval.sources.io import last_results
+from corpuseval.sources.shared import exists, stored
 
 SCORED = "response_text string, response_json string, attempts int, error string"
 
@@ -32,30 +40,115 @@ def stub_answer(content: Column, sample: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, TIERS)), digit + 1)
 
 
-def score(df: DataFrame, model: Callable[[list[dict], int], str], keys: Sequence[str], messages: str = "messages", sample: str | None = None, tasks: int | None = None, threads: int = 8, retries: int = 3, wait: float = 1.0) -> DataFrame:
-    """J1, J3. ``model`` on every row's messages; errors stay with their row after ``retries`` more tries (waits double).
+Asked, Found = TypeVar("Asked"), TypeVar("Found")
+#: Answers that leave a task together at most, and seconds until fewer do.
+FLUSH, TICK = 256, 1.0
 
-    Calls at once: tasks x threads. The keys and the answer come back, nothing else passes through Python.
-    """
 
-    def call(row: tuple) -> tuple[str | None, str | None, int, str | None]:
-        error = None
-        for attempt in range(retries + 1):
+def finished(asked: Iterator[Asked], call: Callable[[Asked], Found], late: Callable[[Asked], Found], threads: int, timeout: float | None = None) -> Iterator[tuple[Asked, Found] | None]:
+    """Each of ``asked`` with its answer as calls end, at most ``threads`` at once; None where nothing ended for a while.
+
+    A call that is not done after ``timeout`` seconds is given up: ``late`` answers for it and its place is free.  Its thread is a
+    daemon and what it brings later is dropped.  An error that is no ``Exception`` ends everything.
+    """
+    done: SimpleQueue = SimpleQueue()
+    running: dict[int, tuple[Asked, float]] = {}
+    number, more = 0, True
+
+    def work(n: int, item: Asked) -> None:
+        try:
+            done.put((n, call(item), None))
+        except BaseException as e:  # noqa: BLE001  raised again by the task
+            done.put((n, None, e))
+
+    while True:
+        while more and len(running) < threads:
             try:
-                text = model([dict(m) if isinstance(m, dict) else m.asDict() for m in row[0]], row[1])
-                return text, json.dumps({"choices": [{"message": {"content": text}}]}), attempt + 1, None
-            except Exception as e:  # noqa: BLE001  the model is the caller's: its error is a result
-                error = f"{type(e).__name__}: {e}"
-                if attempt < retries and wait:
-                    time.sleep(wait * 2**attempt)
-        return None, None, retries + 1, error
+                item = next(asked)
+            except StopIteration:
+                more = False
+                break
+            running[number] = item, time.monotonic() + timeout if timeout else float("inf")
+            Thread(target=work, args=(number, item), daemon=True).start()
+            number += 1
+        if not running:
+            return
+        try:
+            n, result, error = done.get(timeout=max(0.0, min(TICK, min(t for _, t in running.values()) - time.monotonic())))
+        except Empty:
+            over = [n for n, (_, t) in running.items() if t <= time.monotonic()]
+            for n in over:
+                item, _ = running.pop(n)
+                yield item, late(item)
+            if not over:
+                yield None
+            continue
+        if error is not None:
+            raise error
+        if n in running:
+            item, _ = running.pop(n)
+            yield item, result
+
+
+def _texts(answer: str | dict | None) -> tuple[str | None, str | None]:
+    """Text and JSON of an answer: a text, or a whole response in chat form."""
+    if isinstance(answer, dict):
+        first = (answer.get("choices") or [{}])[0]
+        return (first.get("message") or {}).get("content") or first.get("text"), json.dumps(answer, ensure_ascii=False)
+    return answer, json.dumps({"choices": [{"message": {"content": answer}}]}, ensure_ascii=False)
+
+
+def score(df: DataFrame, model: Callable[[list[dict], int], str | dict], keys: Sequence[str], messages: str = "messages", sample: str | None = None, tasks: int | None = None, threads: int = 8, retries: int = 3, wait: float = 1.0, timeout: float | None = None) -> DataFrame:
+    """J1, J3. ``model`` on every row's messages; errors stay with their row after ``retries`` more tries (waits double).
+
+    Calls at once: tasks x threads.  A row that takes more than ``timeout`` seconds with all its tries is given up with the error
+    ``timeout``, and the others go on.  Answers leave the task as they come, and the keys alone come back with them.
+    The model gives a text, or a response in chat form as a dictionary.
+    """
+    keys = list(keys)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        with ThreadPoolExecutor(threads) as pool:
-            for pdf in batches:
-                asked = zip(pdf["_messages"], pdf["_sample"], strict=True)
-                found = pd.DataFrame(list(pool.map(call, asked)), columns=["response_text", "response_json", "attempts", "error"], dtype=object)
-                yield pd.concat([pdf[list(keys)].reset_index(drop=True), found], axis=1)
+        tries: dict[tuple[int, int], int] = {}
+
+        def rows() -> Iterator[tuple[pd.DataFrame, int, int]]:
+            for number, pdf in enumerate(batches):
+                for at in range(len(pdf)):
+                    yield pdf, number, at
+
+        def call(row: tuple[pd.DataFrame, int, int]) -> tuple[str | None, str | None, int, str | None]:
+            pdf, number, at = row
+            asked, place, error = pdf["_messages"].iat[at], int(pdf["_sample"].iat[at]), None
+            for attempt in range(retries + 1):
+                tries[number, at] = attempt + 1
+                try:
+                    answer = model([dict(m) if isinstance(m, dict) else m.asDict() for m in asked], place)
+                    return *_texts(answer), attempt + 1, None
+                except Exception as e:  # noqa: BLE001  the model is the caller's: its error is a result
+                    error = f"{type(e).__name__}: {e}"
+                    if attempt < retries and wait:
+                        time.sleep(wait * 2**attempt)
+            return None, None, retries + 1, error
+
+        def late(row: tuple[pd.DataFrame, int, int]) -> tuple[str | None, str | None, int, str | None]:
+            return None, None, tries.get(row[1:], 0), "timeout"
+
+        def frames(ready: list) -> Iterator[pd.DataFrame]:
+            by_batch: dict[int, list] = {}
+            for (pdf, number, at), result in ready:
+                by_batch.setdefault(number, []).append((pdf, at, result))
+            for found in by_batch.values():
+                own = found[0][0].iloc[[at for _, at, _ in found]][keys].reset_index(drop=True)
+                yield pd.concat([own, pd.DataFrame([r for *_, r in found], columns=["response_text", "response_json", "attempts", "error"], dtype=object)], axis=1)
+
+        ready, since = [], time.monotonic()
+        for end in finished(rows(), call, late, threads, timeout):
+            if end is not None:
+                tries.pop(end[0][1:], None)
+                ready.append(end)
+            if ready and (len(ready) >= FLUSH or time.monotonic() - since > TICK):
+                yield from frames(ready)
+                ready, since = [], time.monotonic()
+        yield from frames(ready)
 
     rows = df.select(*keys, F.coalesce(F.col(messages), F.array().cast("array<struct<role:string,content:string>>")).alias("_messages"), (F.col(sample) if sample else F.lit(0)).cast("int").alias("_sample"))
     rows = rows.repartition(tasks) if tasks else rows
@@ -63,6 +156,32 @@ def score(df: DataFrame, model: Callable[[list[dict], int], str], keys: Sequence
     return rows.mapInPandas(run, f"{kinds}, {SCORED}")
 
 
+def resume(df: DataFrame, keys: Sequence[str], path: str, work: Callable[[DataFrame], DataFrame], schema: T.StructType) -> DataFrame:
+    """L5. Rows of ``work`` for ``df`` by ``keys`` (not null), of which those that ``path`` holds without an error are not done again.
+
+    New rows are appended while the job runs: each task commits its own file as it ends (version 2 of the file committer), so what finished
+    tasks of a killed job have brought is there for the next run.  Rows have ``error`` and get ``run``, the number of the run; of a key
+    that was done more than once (a task that ran again, a failure that was tried anew) the last good row counts.
+    """
+    spark, keys = df.sparkSession, list(keys)
+    kinds = T.StructType([*schema, T.StructField("run", T.IntegerType())])
+    read = lambda: spark.read.schema(kinds).parquet(path) if exists(spark, path) else spark.createDataFrame([], kinds)
+    earlier = read()
+    run = (earlier.agg(F.max("run")).first()[0] or 0) + 1
+    pending = df.join(earlier.where("error is null").select(*keys).distinct(), keys, "left_anti")
+    work(pending).withColumn("run", F.lit(run)).write.mode("append").option("mapreduce.fileoutputcommitter.algorithm.version", "2").parquet(path)
+    order = read().withColumn("_order", F.struct(F.col("error").isNull(), "run"))
+    return last_results(order, keys, "_order").drop("_order", "run").join(df.select(*keys).distinct(), keys, "left_semi")
+
+
+def score_once(df: DataFrame, model: Callable, keys: Sequence[str], path: str | None = None, **options) -> DataFrame:
+    """J1 written once: at ``path``, where what earlier runs have brought is kept (L5), or in a scratch table."""
+    if path is None:
+        return stored(score(df, model, keys, **options), "scored")
+    schema = T.StructType([*(df.schema[k] for k in keys), *T.StructType.fromDDL(SCORED)])
+    return resume(df, keys, path, lambda rows: score(rows, model, keys, **options), schema)
+
+
 def sample_n(df: DataFrame, n: int) -> DataFrame:
     """J2. Each row n times, with ``sample`` from 0."""
     return df.withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
@@ -75,11 +194,90 @@ def vote_rows(scored: DataFrame, key: str, truth: str, labels: Sequence[str] = T
     return listed.withColumn("vote", majority_vote("votes", labels)).withColumn("stats", vote_stats("votes", truth, labels))
 
 
-def validate_job(items: DataFrame, model: Callable, key: str, messages: str, truth: str, n: int = 8, done: DataFrame | None = None, **options) -> DataFrame:
-    """J4. Items without an earlier result are scored n times, parsed and voted."""
-    pending = items if done is None else items.join(done.select(key).distinct(), key, "left_anti")
-    scored = score(sample_n(pending.select(key, truth, messages), n), model, [key, truth, "sample"], messages, "sample", **options)
-    return vote_rows(scored, key, truth)
+@dataclass(frozen=True)
+class Validation:
+    """What a run gives: items with their outcomes put back, one result for each item (``reused`` or new), all calls, and what they are split into."""
+
+    items: DataFrame
+    results: DataFrame
+    scored: DataFrame
+    distilled: DataFrame
+    dead: DataFrame
+
+
+def _empty_outcomes() -> Column:
+    return F.lit(None).cast(f"map<string,map<string,{OUTCOME}>>")
+
+
+def validate_job(items: DataFrame, model: Callable, key: str, messages: str, truth: str, name: str, entry: str, outcomes: str = "val_outcome", n: int = 8, logp: bool = False, refill: bool = False, labels: Sequence[str] = TIERS, path: str | None = None, **options) -> Validation:
+    """J4. Items of a model and an entry: earlier outcomes are used again where they are valid (H7), all others are scored, in one pass.
+
+    In text mode an item is asked ``n`` times and its answers are votes; with ``refill`` an earlier outcome that lacks votes keeps
+    those that it has, and only its null slots are asked (H8).  In ``logp`` mode it is asked once, and its scores are those of the first token.
+    Calls are written once (see ``score_once`` for ``path``) and split: ``distilled`` holds those that were answered, ``dead`` those that
+    failed.  An item that has a failed call gets no outcome; one without scores in logp mode gets none either.  Items without
+    a key or without messages are left as they are and have no result.
+    """
+    if outcomes not in items.columns:
+        items = items.withColumn(outcomes, _empty_outcomes())
+    earlier = get_outcome(outcomes, entry, name)
+    valid = F.coalesce(outcome_is_valid(earlier, logp, refill), F.lit(False))
+    known = items.where(F.col(key).isNotNull()).select(key, truth, messages, earlier.alias("earlier"), valid.alias("valid"))
+    votes = F.col("earlier.vote_predictions")
+    gaps = F.filter(F.transform(votes, lambda v, k: F.when(v.isNull(), k)), lambda k: k.isNotNull())
+    gaps = F.when(F.lit(refill and not logp) & (F.size(gaps) > 0), gaps)
+    pending = known.where(~F.col("valid") & (F.size(messages) > 0)).select(key, truth, messages, "earlier", gaps.alias("gaps"))
+    slots = F.coalesce("gaps", F.sequence(F.lit(0), F.lit(0 if logp else n - 1)))
+    scored = score_once(pending.select(key, messages, F.explode(slots).alias("sample")), model, [key, "sample"], path, messages=messages, sample="sample", **options)
+    scored = scored.withColumn("tag", F.when(F.col("error").isNull(), "answered").otherwise("failed"))
+    answered, dead = scored.where("tag = 'answered'"), scored.where("tag = 'failed'")
+    answer = parse_reasoning_and_final("response_text", labels)
+    vote = F.coalesce(answer["label"], F.lit("alignment_fail")).alias("vote")
+    scores = first_position_logp(parsed("response_json", "chat"), labels).alias("logp")
+    call = F.struct("sample", vote, "response_text", answer["reasoning"].alias("reasoning"), scores if logp else F.lit(None).cast("map<string,double>").alias("logp"))
+    of = scored.groupBy(key).agg(F.array_sort(F.collect_list(F.when(F.col("tag") == "answered", call)), lambda a, b: a["sample"] - b["sample"]).alias("calls"), F.bool_or(F.col("tag") == "failed").alias("failed"))
+    of = of.where("not failed").select(key, "calls")
+    rows = pending.select(key, truth, "earlier", "gaps").join(of, key)
+    if logp:
+        rows = rows.withColumn("logp", F.map_filter(F.get("calls", F.lit(0))["logp"], lambda _, v: v.isNotNull())).where(F.size("logp") > 0)
+        outcome = outcome_struct(logp=F.col("logp"))
+    else:
+        new = lambda k: F.get(F.filter("calls", lambda c: c["sample"] == k), F.lit(0))["vote"]
+        filled = F.when(F.col("gaps").isNotNull(), F.transform(votes, lambda v, k: F.coalesce(v, new(k)))).otherwise(F.transform("calls", lambda c: c["vote"]))
+        rows = rows.withColumn("votes", filled)
+        rows = rows.withColumns({"vote": majority_vote("votes", labels), "stats": vote_stats("votes", normalize_label(truth, labels), labels)})
+        chosen = F.get("calls", F.coalesce(F.col("vote.pick").cast("int"), F.lit(1)) - 1)
+        kept = lambda c: F.when(F.col("gaps").isNotNull(), F.col(f"earlier.{c[0]}")).otherwise(chosen[c[1]])
+        count = lambda x: F.size(F.filter("votes", lambda v: v == x))
+        counts = F.map_filter(F.create_map(*(c for x in labels for c in (F.lit(x), count(x)))), lambda _, k: k > 0)
+        tie = F.col("vote.is_tie")
+        outcome = outcome_struct(response_text=kept(("response_text", "response_text")), reasoning_content=kept(("reasoning_content", "reasoning")), avg_accuracy=F.col("stats.avg_accuracy"), vote_n=F.col("stats.n"), vote_valid_n=F.col("stats.valid_n"), vote_counts=counts, vote_is_tie=tie, vote_tied=F.col("vote.tied"), vote_predictions=F.col("votes"))
+    done = stored(rows.select(key, F.col(truth).alias("_truth"), outcome.alias("_outcome")), "outcomes")
+    put = put_outcome(F.coalesce(outcomes, F.create_map().cast(items.schema[outcomes].dataType)), entry, name, F.col("_outcome"))
+    written = items.join(done.select(key, "_outcome"), key, "left").withColumn(outcomes, F.when(F.col("_outcome").isNotNull(), put).otherwise(F.col(outcomes))).select(*items.columns)
+    reused = known.where("valid").select(key, truth, F.col("earlier").cast(OUTCOME).alias("outcome"), F.lit(True).alias("reused"))
+    results = reused.unionByName(done.select(key, F.col("_truth").alias(truth), F.col("_outcome").alias("outcome"), F.lit(False).alias("reused")))
+    return Validation(written, results, scored, distill_rows(items, answered, key, truth, messages), dead)
+
+
+def validation_report(results: DataFrame, truth: str, labels: Sequence[str] = TIERS) -> DataFrame:
+    """(metric, label, value) of the results of ``validate_job``: accuracy, balanced accuracy, macro F1, and precision, recall, F1 and support of each label.
+
+    Averages of votes count if any result has one, else scores, else predictions (E13); no results give no rows.
+    """
+    flat = results.select(F.lit(1).alias("k"), F.col(truth).alias("truth"), "outcome.avg_accuracy", "outcome.vote_predictions", "outcome.is_match", F.lower("outcome.prediction").alias("prediction"), logp_top2(F.col("outcome.logp"), labels).alias("top")).select("*", "top.*")
+    first = metrics.mode_select(flat, ["k"], "avg_accuracy", "top1", "is_match").first()
+    mode = first["mode"] if first else "none"
+    if mode == "avg":
+        prf, shares = metrics.label_prf_soft(flat, ["k"], "truth", "vote_predictions", labels), metrics.accuracy_match(flat, ["k"], "is_match", "avg_accuracy").select("k", "accuracy_avg")
+    elif mode == "logp":
+        prf, shares = metrics.label_prf(flat, ["k"], "truth", "top1", labels), metrics.accuracy_top(flat, ["k"], "truth", "top1", "top2")
+    else:
+        prf, shares = metrics.label_prf(flat, ["k"], "truth", "prediction", labels), metrics.accuracy_match(flat, ["k"], "is_match", "avg_accuracy").select("k", "accuracy_text_match")
+    tall = lambda df, label, names: df.select(F.inline(F.array(*(F.struct(F.lit(c).alias("metric"), label.alias("label"), F.col(c).cast("double").alias("value")) for c in names))))
+    none, prf = F.lit(None).cast("string"), stored(prf, "prf")
+    whole = tall(shares, none, [c for c in shares.columns if c != "k"]).unionByName(tall(metrics.macro(prf, ["k"]), none, ["balanced_accuracy", "macro_f1"]))
+    return whole.unionByName(tall(prf, F.col("label"), ["precision", "recall", "f1", "support"]))
 
 
 def distill_rows(items: DataFrame, scored: DataFrame, key: str, truth: str, messages: str = "messages") -> DataFrame:
@@ -97,12 +295,15 @@ def _asked(text: Column, prompt: str) -> Column:
     return F.when(text.isNotNull(), F.array(message("system", F.lit(prompt)), message("user", text)))
 
 
-def generate_entries_job(items: DataFrame, model: Callable, key: str, text: str, fields: Sequence[str], prompt: str, entries: str = "entries", **options) -> DataFrame:
-    """J6. ``entries`` with the fields of the model's JSON answer to the text, and ``status``.
+def generate_entries_job(items: DataFrame, model: Callable, key: str, text: str, fields: Sequence[str], prompt: str, entries: str = "entries", trials: str = "trial_count", limit: int = 1, **options) -> DataFrame:
+    """J6. ``entries`` with the fields of the model's JSON answer to the text, ``status`` and ``trials``.
 
-    Fields that are blank or say nothing ("null", "none", "n/a") are null; they replace what ``entries`` holds. Rows without a text, and
-    rows whose call fails or whose answer cannot be read, keep their entries and are ``entries_failed``.
+    Fields that are blank or say nothing (``NULL_WORDS``) are null; they replace what ``entries`` holds, and the row is ``entries_parsed`` with no
+    trials. Rows whose call fails or whose answer cannot be read keep their entries; they are ``entries_retrying`` while their trials, this
+    one included (see ``claim``), are under ``limit``, then ``entries_failed``. Rows without a text fail at once. Without a column of trials each row is at its first.
     """
+    if trials not in items.columns:
+        items = items.withColumn(trials, F.lit(1))
     asked = items.withColumn("_messages", _asked(F.when(F.trim(F.col(text)) != "", F.trim(F.col(text))), prompt))
     scored = score(asked.where("_messages is not null").select(key, "_messages"), model, [key], "_messages", **options)
     answers = scored.select(key, parse_json_answer("response_text", fields).alias("_answer"))
@@ -110,7 +311,9 @@ def generate_entries_job(items: DataFrame, model: Callable, key: str, text: str,
     joined = items.join(answers, key, "left")
     read = F.col("_answer").isNotNull()
     merged = F.when(read, map_update(F.coalesce(entries, F.create_map().cast("map<string,string>")), new)).otherwise(F.col(entries))
-    return joined.withColumn(entries, merged).withColumn("status", F.when(read, "entries_parsed").otherwise("entries_failed")).drop("_answer")
+    again = (F.trim(F.col(text)) != "") & (F.coalesce(F.col(trials), F.lit(0)) < limit)
+    status = F.when(read, "entries_parsed").when(again, "entries_retrying").otherwise("entries_failed")
+    return joined.withColumns({entries: merged, "status": status, trials: F.when(read, 0).otherwise(F.col(trials))}).drop("_answer")
 
 
 def classify_type_job(items: DataFrame, model: Callable, key: str, texts: Sequence[tuple[str, str]], prompt: str, kind: str = "type", **options) -> DataFrame:

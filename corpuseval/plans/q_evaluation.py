@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from corpuseval.functions import labels as lb
@@ -12,8 +14,10 @@ from corpuseval.operators import pairs as pr
 from corpuseval.operators import profile as pf
 from corpuseval.operators import scoring as sc
 from corpuseval.plans.fixtures import TIERS, articles, outcomes, table, votes
+from corpuseval.plans.q_selection import _DRAWN
 from corpuseval.plans.q_text import SCORES_SQL, final_sql, label_sql, logp_map, rank_sql
 from corpuseval.plans.registry import query
+from corpuseval.sources.shared import scratch
 from corpuseval.streaming import jobs
 
 
@@ -231,9 +235,26 @@ def _(s, d):
     return mt.pair_metrics(_judged(s, d), "pair_type", "is_correct", "alignment_fail").select("pair_type", "n", "correct", "failed", *r6("accuracy", "weighted_accuracy"))
 
 
-@query("j5_pair_job", f"with {_PAIRS} select pair_type, correct_position, told = '?' as alignment_fail, told <> '?' and told = correct_position as is_correct, count(*) as n from p group by 1, 2, 3, 4")
+def _choice(messages: list, sample: int) -> str:
+    """A stub that answers by a hash of the question: the first, the second, or neither."""
+    digit = int(hashlib.md5(messages[-1]["content"].encode()).hexdigest()[0], 16) % 3
+    return ("<think>a</think>\nFirst.", "**second**", "both")[digit]
+
+
+@query("j5_pair_job", f"""
+with {_DRAWN}, placed as (select pair_type, key_a, key_b, substr(md5('33:' || key_a || ':' || key_b), 1, 1) < '8' as heads from drawn),
+pos as (select pair_type, case when heads then key_a else key_b end as first, case when heads then key_b else key_a end as second, case when heads then 'second' else 'first' end as correct_position from placed),
+asked as (select pos.*, x.tier as rank_first, y.tier as rank_second, ('0x' || substr(md5('RQ1: ' || trim(x.title) || chr(10) || chr(10) || 'RQ2: ' || trim(y.title)), 1, 1))::int % 3 as digit
+ from pos join (select id, trim(title) as title, {rank_sql('rank_raw')} as tier from articles where trim(title) <> '') x on x.id = first join (select id, trim(title) as title, {rank_sql('rank_raw')} as tier from articles where trim(title) <> '') y on y.id = second),
+told as (select *, case digit when 0 then 'first' when 1 then 'second' end as prediction from asked)
+select pair_type, first, second, rank_first, rank_second, correct_position, prediction, prediction is null as alignment_fail, coalesce(prediction = correct_position, false) as is_correct from told""")
 def _(s, d):
-    return _judged(s, d).groupBy("pair_type", "correct_position", "alignment_fail", "is_correct").agg(F.count("*").alias("n"))
+    """Two runs over one cache: the second asks nothing."""
+    items = articles(s, d).select("id", "title", lb.normalize_rank("rank_raw").alias("tier"))
+    path = scratch(s, "pairs")
+    for _ in range(2):
+        done = pr.pair_job(items, _choice, "id", "tier", "title", _PROMPT, 50, 32, path)
+    return done.select("pair_type", "first", "second", "rank_first", "rank_second", "correct_position", "prediction", "alignment_fail", "is_correct")
 
 
 @query("e23_build_counters", f"select count(*) as total, count(*) filter (where trim(rq_with_context) <> '' and coalesce(trim(rank_raw), '') <> '') as valid, count(*) filter (where trim(rq_with_context) = '') as skipped_text, count(*) filter (where trim(rq_with_context) <> '' and coalesce(trim(rank_raw), '') = '') as skipped_label from articles")
@@ -397,13 +418,37 @@ def _(s, d):
     return sc.score(rows, model, ["id"], sample="odd", retries=2, wait=0).select("id", "response_text", "attempts", F.col("error").isNotNull().alias("failed"))
 
 
+#: Earlier outcomes: every fifth item has one of eight votes, and the next one lacks two of its votes.
+_EARLIER = "case when id % 5 = 0 then 'fair' when id % 5 = 1 and k not in ('2', '5') then 'strong' end"
+_VALIDATED = f"""v as (select id, {_TIER} as truth, id % 5 = 0 as reused, k, coalesce({_EARLIER}, {_STUB}) as vote from (select *, unnest(['0', '1', '2', '3', '4', '5', '6', '7']) as k from articles where trim(title) <> '')),
+c as (select id, truth, vote, count(*) as n from v group by 1, 2, 3), w as (select id, vote, row_number() over (partition by id order by n desc, vote) as nth from c)"""
+
+
+def _validation(s, d):
+    slots = [F.when(F.col("id") % 5 == 0, "fair").when((F.col("id") % 5 == 1) & F.lit(k not in (2, 5)), "strong") for k in range(8)]
+    earlier = oc.outcome_struct(response_text=F.lit("earlier"), vote_predictions=F.array(*slots), avg_accuracy=F.when(lb.normalize_rank("truth") == "fair", 1.0).otherwise(0.0))
+    asked = _asked(s, d).withColumn("val_outcome", F.when(F.col("id") % 5 < 2, F.create_map(F.lit("title"), F.create_map(F.lit("stub"), earlier))))
+    return sc.validate_job(asked, sc.stub_model, "id", "messages", "truth", "stub", "title", refill=True)
+
+
 @query("j4_validate_job", f"""
-with v as (select id, {_TIER} as truth, k, {_STUB} as vote from (select *, unnest(['0', '1', '2', '3', '4', '5', '6', '7']) as k from articles where trim(title) <> '')),
-c as (select id, truth, vote, count(*) as n from v group by 1, 2, 3), w as (select id, vote, row_number() over (partition by id order by n desc, vote) as nth from c)
-select v.id, any_value(w.vote) as winner, round(count(*) filter (where v.vote = v.truth) / 8.0, 6) as avg_accuracy from v join w on w.id = v.id and nth = 1 group by v.id""")
+with {_VALIDATED} select v.id, reused, any_value(w.vote) as winner, string_agg(v.vote, ',' order by k) as votes, round(count(*) filter (where v.vote = v.truth) / 8.0, 6) as avg_accuracy from v join w on w.id = v.id and nth = 1 group by v.id, reused""")
 def _(s, d):
-    done = sc.validate_job(_asked(s, d), sc.stub_model, "id", "messages", "truth")
-    return done.select("id", F.col("vote.winner").alias("winner"), F.round("stats.avg_accuracy", 6).alias("avg_accuracy"))
+    """Outcomes as they are put back into the items; each has one."""
+    done = _validation(s, d)
+    o = oc.get_outcome("val_outcome", "title", "stub")
+    rows = done.items.join(done.results.select("id", "reused"), "id").select("id", "reused", o.alias("o"))
+    return rows.select("id", "reused", lb.majority_vote("o.vote_predictions")["winner"].alias("winner"), F.array_join("o.vote_predictions", ",").alias("votes"), F.round("o.avg_accuracy", 6).alias("avg_accuracy"))
+
+
+@query("j4_validation_report", f"""
+with {_VALIDATED}, lab as (select unnest(['exceptional', 'strong', 'fair', 'limited']) as label), sh as (select id, truth, label, count(*) filter (where vote = label) / 8.0 as x from v cross join lab group by 1, 2, 3),
+sums as (select 1 as model, label, sum(case when truth = label then x else 0 end) as tp, sum(case when coalesce(truth = label, false) then 0 else x end) as fp, sum(case when truth = label then 1 - x else 0 end) as fn from sh group by 2), {_PRF},
+tall as (select label, unnest(['precision', 'recall', 'f1', 'support']) as metric, unnest([precision, recall, f1, support]) as value from f)
+select metric, label, round(value, 6) as value from tall union all select 'balanced_accuracy', null, round(avg(recall) filter (where support > 0), 6) from f union all select 'macro_f1', null, round(avg(f1) filter (where support > 0), 6) from f
+union all select 'accuracy_avg', null, round(avg(a), 6) from (select id, count(*) filter (where vote = truth) / 8.0 as a from v group by id)""")
+def _(s, d):
+    return sc.validation_report(_validation(s, d).results, "truth").select("metric", "label", F.round("value", 6).alias("value"))
 
 
 def _answers(messages: list, sample: int) -> str:
@@ -419,12 +464,12 @@ _LENGTH = "length(trim(rq_with_context))"
 
 
 @query("j6_generate_entries", f"""
-with t as (select id, rq_with_context as old, case when trim(rq_with_context) <> '' and {_LENGTH} % 5 <> 0 then {_LENGTH} end as n from articles)
-select id, case when n is null then 'entries_failed' else 'entries_parsed' end as status, n::varchar as core_rq_short, null::varchar as gap_focused, md5(old) as rq_with_context from t""")
+with t as (select id, rq_with_context as old, id % 4 as trials, trim(rq_with_context) <> '' as has_text, case when trim(rq_with_context) <> '' and {_LENGTH} % 5 <> 0 then {_LENGTH} end as n from articles)
+select id, case when n is not null then 'entries_parsed' when has_text and trials < 3 then 'entries_retrying' else 'entries_failed' end as status, case when n is null then trials else 0 end::int as trial_count, n::varchar as core_rq_short, null::varchar as gap_focused, md5(old) as rq_with_context from t""")
 def _(s, d):
-    a = articles(s, d).withColumn("entries", F.create_map(F.lit("rq_with_context"), F.col("rq_with_context"), F.lit("gap_focused"), F.lit(None).cast("string")))
-    done = sc.generate_entries_job(a, _answers, "id", "rq_with_context", ["core_rq_short", "gap_focused"], _PROMPT)
-    return done.select("id", "status", *(F.try_element_at("entries", F.lit(k)).alias(k) for k in ("core_rq_short", "gap_focused")), F.md5(F.try_element_at("entries", F.lit("rq_with_context"))).alias("rq_with_context"))
+    a = articles(s, d).withColumn("entries", F.create_map(F.lit("rq_with_context"), F.col("rq_with_context"), F.lit("gap_focused"), F.lit(None).cast("string"))).withColumn("trial_count", (F.col("id") % 4).cast("int"))
+    done = sc.generate_entries_job(a, _answers, "id", "rq_with_context", ["core_rq_short", "gap_focused"], _PROMPT, limit=3)
+    return done.select("id", "status", "trial_count", *(F.try_element_at("entries", F.lit(k)).alias(k) for k in ("core_rq_short", "gap_focused")), F.md5(F.try_element_at("entries", F.lit("rq_with_context"))).alias("rq_with_context"))
 
 
 @query("j7_classify_type", """
@@ -517,9 +562,16 @@ def _(s, d):
     return jobs.latest(s, f"{p}/table", schema)
 
 
-@query("l5_resume", "select id from outcomes where model = 'model_0' and prediction is null")
+@query("l5_resume", f"select id, {_STUB} as response_text, 1 as attempts, id % 3 = 0 as earlier from (select *, '0' as k from articles where trim(title) <> '')")
 def _(s, d):
-    from corpuseval.operators.linkage import split_cached
+    """A run over a third of the rows, of which every other answer is lost to an error, then one over all, which asks only for what is missing."""
+    rows, path = _asked(s, d), scratch(s, "resume")
+
+    def flaky(messages: list, sample: int) -> str:
+        if len(messages[-1]["content"]) % 2:
+            raise ValueError("lost")
+        return sc.stub_model(messages, sample)
 
-    o = outcomes(s, d).where("model = 'model_0'")
-    return split_cached(o.select("id"), o.where("prediction is not null"), "id")[1]
+    sc.score_once(rows.where("id % 3 = 0"), flaky, ["id"], path, retries=0)
+    done = sc.score_once(rows, sc.stub_model, ["id"], path)
+    return done.where("error is null").select("id", "response_text", "attempts", (F.col("id") % 3 == 0).alias("earlier"))

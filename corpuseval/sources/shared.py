@@ -22,6 +22,12 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder stands at the path."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
 def clear(spark: SparkSession) -> None:
     """Deletes what stands at the paths that ``scratch`` has named in this process; results that read from there are lost."""
     while _named:
