@@ -532,10 +532,18 @@ def _(s, d):
     return jobs.eligible(rows, "created", "retrying").select("id")
 
 
-@query("l6_stage_chain", "select id, case when id % 2 = 0 then case when id % 3 = 0 then 'entries_parsed' else 'entries_parsed_retrying' end when id % 4 + 1 < 3 then 'pdf_parsed_retrying' else 'pdf_parsed_failed' end as status from articles")
-def _(s, d):
-    works = {"created": F.col("id") % 2 == 0, "pdf_parsed": F.lit(True), "content_parsed": F.col("id") % 3 == 0}
-    return jobs.stage_chain(_work(s, d), works).select("id", "status")
+@query("l6_stage_chain", "select id, case when id % 5 > 2 then 'content_parsed_failed' else 'entries_parsed' end as status, case when id % 5 > 2 then 3 else 0 end as trial_count, case when id % 5 > 2 then id % 5 - 3 else 0 end::int as fails from articles")
+def _(s, d):
+    """Three runs of three steps; the second step fails for a row as often as the row says."""
+    rows = articles(s, d).select("id", F.lit("created").alias("status"), F.lit(0).alias("trial_count"), (F.col("id") % 5).cast("int").alias("fails"))
+    table_path = scratch(s, "stages")
+    done = lambda df: df.withColumn("ok", F.lit(True))
+    flaky = lambda df: df.withColumn("ok", F.col("fails") == 0).withColumn("fails", F.greatest(F.col("fails") - 1, F.lit(0)))
+    stages = [jobs.Stage("created", "pdf_parsed", done), jobs.Stage("pdf_parsed", "content_parsed", flaky), jobs.Stage("content_parsed", "entries_parsed", done)]
+    jobs.enqueue(rows, table_path, "id", parts=2)
+    for _ in range(3):
+        jobs.stage_chain(s, table_path, rows.schema, "id", stages, f"{table_path}-checkpoints", parts=2)
+    return jobs.latest(s, table_path, rows.schema)
 
 
 @query("l1_ingest_stream", "select event_id, event_type from events where event_type <> 'none'")

@@ -22,17 +22,33 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
+def _at(spark: SparkSession, path: str):
+    """The file system of a path, and the path as it knows it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a file or folder stands at the path."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+    system, path = _at(spark, path)
+    return system.exists(path)
+
+
+def files(spark: SparkSession, folder: str) -> list[str]:
+    """Data files of a folder, by name."""
+    system, path = _at(spark, folder)
+    return sorted(str(f.getPath()) for f in system.listStatus(path) if f.isFile() and f.getPath().getName()[0] not in "_.") if system.exists(path) else []
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    system, path = _at(spark, path)
+    system.delete(path, True)
 
 
 def clear(spark: SparkSession) -> None:
     """Deletes what stands at the paths that ``scratch`` has named in this process; results that read from there are lost."""
     while _named:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_named.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        delete(spark, _named.pop())
 
 
 def stored(df: DataFrame, name: str = "table") -> DataFrame:
