@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpuseval.functions.textkeys import identifier_key, path_name
+from corpuseval.sources.shared import stored
 
 def read_jsonl(spark: SparkSession, path: str | list[str], schema: T.StructType | str, strict: bool = False) -> DataFrame:
     """A1, A3. One object for each line; blank lines are skipped, and lines that are no JSON too, unless ``strict``, which raises.
@@ -31,9 +32,49 @@ def read_collection(spark: SparkSession, path: str, cond: Column | None = None,
     return df if cond is None else df.where(cond)
 
 
+def _before(pieces: DataFrame, value: Column) -> tuple[DataFrame, Column]:
+    """The sum of ``value`` over all pieces of a file before each: within its split, and over the splits before."""
+    own = F.coalesce(F.sum(value).over(Window.partitionBy("file", "block").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    splits = pieces.groupBy("file", "block").agg(F.sum(value).alias("_all"))
+    earlier = F.coalesce(F.sum("_all").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return pieces.join(splits.select("file", "block", earlier.alias("_earlier")), ["file", "block"]), own + F.col("_earlier")
+
+
 def read_json_array(spark: SparkSession, path: str | list[str], schema: T.StructType | str) -> DataFrame:
-    """A4. Files that each hold one array; a file is one task, so large inputs should be many files."""
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+    """A4. Objects of files that each hold one array, or one object; a large file is read by many tasks.
+
+    A file is cut at every closing brace, by splits that know nothing of each other.  What a piece means follows from sums over the pieces
+    before it: an odd number of quotes means that it begins within a string; then its brackets outside strings are counted, and a
+    brace that brings the depth back to that of the array ends an object.  Sums run within a split and over the totals of splits, so
+    no task sees a whole file; pieces meet by object.  Elements that are no objects, and blank files, give no rows.
+    """
+    text = spark.read.option("lineSep", "}").text(path)
+    pieces = text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), "value")
+    plain = F.regexp_replace("value", r"(?s)\\.", "")  # without escaped characters
+    count = lambda c, x: F.length(c) - F.length(F.replace(c, F.lit(x), F.lit("")))
+
+    def brackets(inside: bool) -> Column:
+        outside = F.regexp_replace(F.concat(F.lit('"'), plain) if inside else plain, '"[^"]*("|\\z)', "")
+        return count(outside, "{") + count(outside, "[") - count(outside, "]")
+
+    first = F.substring(F.regexp_replace("value", r"\A[\s\ufeff]+", ""), 1, 1)
+    pieces = stored(pieces.select("*", count(plain, '"').alias("quotes"), brackets(False).alias("outside"), brackets(True).alias("inside"), first.alias("first")), "pieces")
+    base = pieces.where("first <> ''").groupBy("file").agg(F.min_by("first", F.struct("block", "id")).alias("first")).select("file", (F.col("first") == "[").cast("int").alias("base"))
+    marks, quotes = _before(pieces.select("file", "block", "id", "quotes", "outside", "inside"), F.col("quotes"))
+    marks = marks.withColumn("begins", quotes % 2).drop("_earlier")
+    closes = 1 - (F.col("begins") + F.col("quotes")) % 2  # the brace after the piece is no part of a string
+    marks = marks.select("file", "block", "id", closes.alias("closes"), F.when(F.col("begins") == 1, F.col("inside")).otherwise(F.col("outside")).alias("delta"))
+    marks, depth = _before(marks, F.col("delta") - F.col("closes"))
+    marks = marks.withColumn("depth", depth + F.col("delta") - F.col("closes")).drop("_earlier").join(base, "file")
+    marks = marks.select("file", "block", "id", ((F.col("closes") == 1) & (F.col("depth") == F.col("base"))).cast("int").alias("ends"))
+    marks, element = _before(marks, F.col("ends"))
+    marks = marks.select("file", "block", "id", element.alias("element"), "ends")
+    whole = pieces.select("file", "block", "id", "value").join(marks, ["file", "block", "id"]).groupBy("file", "element")
+    found = whole.agg(F.array_sort(F.collect_list(F.struct("block", "id", "value"))).alias("parts"), F.max("ends").alias("ends")).where("ends = 1")
+    value = F.concat(F.array_join(F.transform("parts", lambda x: x["value"]), "}"), F.lit("}"))
+    value = F.regexp_replace(value, r"\A[\s\ufeff]*[\[,]?\s*", "")
+    last = F.try_element_at(F.from_json(F.concat(F.lit("["), value, F.lit("]")), "array<string>"), F.lit(-1))  # elements that are no objects stand before it
+    return found.select(F.from_json(F.when(value.startswith("{"), value).otherwise(last), schema).alias("r")).select("r.*")
 
 
 def read_lines(spark: SparkSession, path: str | list[str], name: str = "value") -> DataFrame:

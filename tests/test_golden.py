@@ -286,21 +286,48 @@ def test_fuzzy_candidates_against_python(spark):
         assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
 
+def in_turn(pairs, thresholds, cap=None):
+    held, used = {}, set()
+    for t in thresholds:
+        if cap is not None and len(held) >= cap:
+            break
+        for left in sorted({a for a, _ in pairs}):
+            best = [(-f, b) for (a, b), f in pairs.items() if a == left and f >= t and b not in used]
+            if left not in held and best:
+                held[left] = min(best)[1]
+                used.add(held[left])
+    return set(held.items())
+
+
 def test_one_to_one_matching_equals_the_sequential_choice(spark):
+    """Components as they stand, and all of them by proposals; with a cap between thresholds."""
     rng = random.Random(2)
-    for _ in range(2):
-        pairs = {(left, right): rng.choice([0.5, 0.6, 0.7, 0.8, 0.9]) for left in range(6) for right in range(7) if rng.random() < 0.6}
-        got = {(r.l, r.r) for r in lk.assign_one_to_one(spark.createDataFrame([(a, b, f) for (a, b), f in pairs.items()], "l int, r int, f1 double"), [0.8, 0.5]).collect()}
-        want, used_l, used_r = set(), set(), set()
-        for t in (0.8, 0.5):
-            for left in range(6):
-                best = [(-f, b) for (a, b), f in pairs.items() if a == left and f >= t and b not in used_r]
-                if left not in used_l and best:
-                    right = min(best)[1]
-                    want.add((left, right))
-                    used_l.add(left)
-                    used_r.add(right)
-        assert got == want
+    for component, cap in ((lk.COMPONENT, None), (4, 3)):
+        pairs = {(left, right): rng.choice([0.5, 0.6, 0.7, 0.8, 0.9]) for left in range(14) for right in range(14) if rng.random() < 0.2}
+        df = spark.createDataFrame([(a, b, f) for (a, b), f in pairs.items()], "l int, r int, f1 double")
+        got = lk.assign_one_to_one(df, [0.8, 0.5], cap, component)
+        assert {(r.l, r.r) for r in got.collect()} == in_turn(pairs, [0.8, 0.5], cap)
+    assert lk.assign_one_to_one(df.limit(0), [0.8, 0.5], 3).count() == 0
+
+
+def test_a_chain_of_references_takes_few_jobs(spark, monkeypatch):
+    """Each reference prefers what the one before it takes, so that a round of proposals would settle one of them."""
+    from corpuseval.operators import graph
+
+    n, written = 2000, []
+    for module in (graph, lk):
+        monkeypatch.setattr(module, "stored", lambda df, name="table", real=module.stored: (written.append(name), real(df, name))[1])
+    rows = [(f"l{k:05}", f"r{k + d:05}", 0.9 - 0.1 * d) for k in range(n) for d in (-1, 0, 1) if k + d >= 0]
+    got = {(r.l, r.r) for r in lk.assign_one_to_one(spark.createDataFrame(rows, "l string, r string, f1 double"), [0.5]).collect()}
+    wishes, taken, want = {}, set(), set()
+    for left, right, f in rows:
+        wishes.setdefault(left, []).append((-f, right))
+    for left in sorted(wishes):
+        right = min(w for w in wishes[left] if w[1] not in taken)[1]
+        want.add((left, right))
+        taken.add(right)
+    assert got == want and len(got) == n
+    assert len(written) < 70
 
 
 def test_samples_do_not_depend_on_partitions(spark):
