@@ -6,9 +6,10 @@ document is scanned once: its windows are hashed, those in the set are compared
 window, and the words inside any true occurrence are hit.
 
 The benchmark's windows are collected only after their size has been counted.  Beyond ``max_windows`` the rows get
-numbers and are written once; distinct windows are taken in blocks of at most about that size, each one scan of the
-rows, and what is found is joined by row number.  Items are joined to the windows found, so that they are never
-broadcast.  Any size of benchmark gives the same rows, whatever ids repeat or are null.
+numbers and are written once, and hashes of distinct windows are broadcast in place of the windows, in blocks of about ``max_hashes``, each
+one scan of the rows.  A scan gives the words of every window whose hash is in the set; these are joined with the
+benchmark's windows as texts, which verifies them, and then go back to the rows by number.  Neither windows nor items are broadcast there.
+Any size of benchmark gives the same rows, whatever ids repeat or are null.
 
 Null text has no words, and an item of null text no windows.  Items of a null id hit like all others; together they are one
 item without a name, null and last among the items found.  Items with equal words each count.  Repeated rows are judged
@@ -30,6 +31,8 @@ from corpuseval.llm._session import read_texts, refuse_clash, scratch, stored, v
 WIDTH = 10
 #: Windows that are broadcast at once: about 200 bytes each.
 MAX_WINDOWS = 200_000
+#: Hashes that are broadcast at once for larger benchmarks: 8 bytes each.
+MAX_HASHES = 4_000_000
 _SPANS = "array<struct<first:int,last:int>>"
 _FILTER_BITS = 20
 _ROW, _FOUND = "__row", "__found"  # columns of a benchmark of several blocks
@@ -149,16 +152,56 @@ def _scan(docs: DataFrame, shared, keys: list[str], text_col: str, clean: bool)
     return docs.select(*keys, valid_text(text_col)).mapInArrow(run, _schema(docs, keys, clean))
 
 
+def _hashed(windows: DataFrame) -> DataFrame:
+    """``window``, its number of words ``width``, and its ``hash``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = _text.alphanumeric()
+        for batch in batches:
+            for low, high, data, offsets in _text.slices(batch.column(0)):
+                starts, ends, first = _text.words(data, offsets, table)
+                hashes, widths = _text.word_hashes(data, starts, ends), np.diff(first)
+                found = np.zeros(high - low, np.uint64)
+                for width in np.unique(widths):
+                    of = np.flatnonzero(widths == width)
+                    found[of] = _text.window_hashes(hashes, int(width))[first[of]]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(widths.astype(np.int32)), pa.array(found.view(np.int64))], names=["window", "width", "hash"])
+
+    return windows.mapInArrow(run, "window string, width int, hash long")
+
+
 def _scan_blocks(rows: DataFrame, windows: DataFrame, blocks: int, text_col: str) -> DataFrame:
-    """``_ROW``, ``hits`` and ``items`` (numbers of windows) of the rows that each block hits; a row of several blocks repeats."""
+    """``_ROW``, ``first`` and ``last`` word, and ``window`` of every window of the rows whose hash a benchmark window has."""
     spark, path = rows.sparkSession, scratch(rows.sparkSession, "marks")
+    hashed = stored(_hashed(windows).select("width", "hash").distinct().withColumn("block", F.pmod(F.xxhash64("hash"), F.lit(blocks))), "hashes")
+    schema = f"{_ROW} long, first int, last int, window string"
     for k in range(blocks):
-        block = windows.where(F.col("block") == k).select(F.col("number").cast("string"), "window").collect()
-        shared = spark.sparkContext.broadcast(_Windows([tuple(r) for r in block]))
-        found = _scan(rows, shared, [_ROW], text_col, False).where(F.size("hits") > 0).select(_ROW, "hits", "items")
-        found.write.mode("append").parquet(path)
+        block = hashed.where(F.col("block") == k).select("width", "hash").toPandas()
+        by_width = {int(w): np.sort(own.to_numpy(np.int64).view(np.uint64)) for w, own in block.groupby("width")["hash"]}
+        shared = spark.sparkContext.broadcast(by_width)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            known, table, lower = shared.value, _text.alphanumeric(), _text.lower_ascii()
+            for batch in batches:
+                numbers = batch.column(0).to_numpy(zero_copy_only=False)
+                for low, high, raw, offsets in _text.slices(batch.column(1)):
+                    data = lower[raw]
+                    starts, ends, first = _text.words(data, offsets, table)
+                    hashes = _text.word_hashes(data, starts, ends)
+                    for width, values in known.items():
+                        for at in range(0, len(hashes) - width + 1, _text.RUN):
+                            windows = _text.window_hashes(hashes[at : at + _text.RUN + width - 1], width)
+                            hits = np.flatnonzero(values[np.minimum(np.searchsorted(values, windows), len(values) - 1)] == windows) + at
+                            row = np.searchsorted(first, hits, "right") - 1
+                            inside = hits + width <= first[row + 1]
+                            hits, row = hits[inside], row[inside]
+                            words = [b" ".join(data[starts[j] : ends[j]].tobytes() for j in range(h, h + width)).decode() for h in hits.tolist()]
+                            own = (hits - first[row]).astype(np.int32)
+                            yield pa.RecordBatch.from_arrays([pa.array(numbers[low:high][row]), pa.array(own), pa.array(own + np.int32(width - 1)), pa.array(words, pa.string())], names=[_ROW, "first", "last", "window"])
+
+        rows.select(_ROW, valid_text(text_col)).mapInArrow(run, schema).write.mode("append").parquet(path)
         shared.destroy()
-    return spark.read.schema(f"{_ROW} long, hits {_SPANS}, items array<string>").parquet(path)
+    return spark.read.schema(schema).parquet(path)
 
 
 def _join_marks(rows: DataFrame, keys: list[str], text_col: str, clean: bool) -> DataFrame:
@@ -179,7 +222,7 @@ def _join_marks(rows: DataFrame, keys: list[str], text_col: str, clean: bool) ->
     return rows.select(*keys, valid_text(text_col), _FOUND, "items").mapInArrow(run, _schema(rows, keys, clean))
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", clean: bool = False, max_windows: int = MAX_WINDOWS, carry: tuple[str, ...] = ()) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", clean: bool = False, max_windows: int = MAX_WINDOWS, max_hashes: int = MAX_HASHES, carry: tuple[str, ...] = ()) -> DataFrame:
     """``id_col``, ``n_words``, ``hits`` (runs of hit words: first and last word, from 0) and ``items`` (found item ids, sorted).
 
     ``clean`` adds ``cleaned``, the text without the hit words; ``carry`` names columns that are passed on.
@@ -191,13 +234,11 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH
         return _scan(docs, spark.sparkContext.broadcast(_Windows([tuple(r) for r in windows.collect()])), keys, text_col, clean)
     whole = stored(windows.select("window").distinct().withColumn("number", F.monotonically_increasing_id()), "windows")
     items = stored(windows.join(whole, "window").select("number", F.struct("item").alias("name")), "items")
-    total = whole.count()
-    blocks = 1 if total <= max_windows else 2 * -(-total // max_windows)
-    whole = whole.withColumn("block", F.pmod(F.xxhash64("window"), F.lit(blocks)))
+    blocks = -(-whole.count() // max_hashes)
     rows = stored(docs.select(*keys, text_col).withColumn(_ROW, F.monotonically_increasing_id()), "rows")
-    marks = _scan_blocks(rows, whole, blocks, text_col)
-    spans = marks.groupBy(_ROW).agg(F.flatten(F.collect_list("hits")).alias(_FOUND))
-    named = marks.select(_ROW, F.explode(F.col("items").cast("array<bigint>")).alias("number")).join(items, "number")
+    marks = stored(_scan_blocks(rows, whole.select("window"), blocks, text_col).join(whole, "window").select(_ROW, "first", "last", "number"), "found")
+    spans = marks.groupBy(_ROW).agg(F.collect_set(F.struct("first", "last")).alias(_FOUND))
+    named = marks.select(_ROW, "number").distinct().join(items, "number")
     named = named.groupBy(_ROW).agg(F.array_sort(F.transform(F.collect_set("name"), lambda n: n["item"])).alias("items"))
     found = rows.join(spans.join(named, _ROW), _ROW, "left")
     return _join_marks(found.withColumn(_FOUND, F.coalesce(_FOUND, F.array().cast(_SPANS))).withColumn("items", F.coalesce("items", F.array().cast("array<string>"))), keys, text_col, clean)

@@ -177,7 +177,7 @@ def test_decontaminate(spark):
     want = brute.contamination(docs, ITEMS)
     df, bench = spark.createDataFrame([(i, t, 1) for i, t in docs], DOCS + ", hits int"), spark.createDataFrame(ITEMS, "item_id long, text string")
     for limit in (decontaminate.MAX_WINDOWS, 5):
-        got = decontaminate.find_contamination(df, bench, max_windows=limit).collect()
+        got = decontaminate.find_contamination(df, bench, max_windows=limit, max_hashes=10).collect()
         assert len(got) == len(docs)
         for r in got:
             assert (r.n_words, sum(h["last"] - h["first"] + 1 for h in r.hits), r["items"]) == want[r.doc_id]
@@ -197,10 +197,10 @@ def test_decontaminate_blocks_give_the_same_rows(spark):
     docs += [(1000, "no hit at all"), (1000, f"again {ITEMS[0][1]}"), (None, ITEMS[4][1]), (None, "short item and more"), (None, None), (1000, "no hit at all")]
     bench = spark.createDataFrame([*ITEMS, *((100 + k, "short item") for k in range(20))], "item_id long, text string")
     df = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(docs)], DOCS + ", tag int")
-    got = [sorted(map(repr, decontaminate.find_contamination(df, bench, clean=True, max_windows=m, carry=("tag",)).collect())) for m in (decontaminate.MAX_WINDOWS, 15, 5, 1)]
+    got = [sorted(map(repr, decontaminate.find_contamination(df, bench, clean=True, max_windows=m, max_hashes=7 * m, carry=("tag",)).collect())) for m in (decontaminate.MAX_WINDOWS, 15, 5, 1)]
     assert len(got[0]) == len(docs) and sum("hits=[]" not in r for r in got[0]) > 20
     assert all(g == got[0] for g in got[1:])
-    plain = [sorted(map(repr, decontaminate.find_contamination(df.select("doc_id", "text"), bench, max_windows=m).collect())) for m in (decontaminate.MAX_WINDOWS, 5)]
+    plain = [sorted(map(repr, decontaminate.find_contamination(df.select("doc_id", "text"), bench, max_windows=m, max_hashes=20).collect())) for m in (decontaminate.MAX_WINDOWS, 5)]
     assert plain[0] == plain[1] and len(plain[0]) == len(docs)
 
 
