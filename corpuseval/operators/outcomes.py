@@ -80,10 +80,10 @@ def resolve_prediction(prediction: Column, votes: Column, response_text: Column,
 
 
 def outcome_is_valid(outcome: Column, logp_mode: bool, need_all_votes: bool = False) -> Column:
-    """H7. Whether an earlier outcome can be used again."""
+    """H7. Whether an earlier outcome can be used again; in text mode one with a prediction, a match flag or a text, be it empty."""
     if logp_mode:
         return F.coalesce(F.size(outcome["logp"]) > 0, F.lit(False))
-    some = outcome["prediction"].isNotNull() | outcome["is_match"].isNotNull() | F.coalesce(outcome["response_text"] != "", F.lit(False))
+    some = outcome["prediction"].isNotNull() | outcome["is_match"].isNotNull() | outcome["response_text"].isNotNull()
     gaps = F.coalesce(F.exists(outcome["vote_predictions"], lambda v: v.isNull()), F.lit(False))
     return some & ~gaps if need_all_votes else some
 

@@ -305,9 +305,9 @@ def _(s, d):
     return _resolved(s, d).select("id", "model", "label", "source")
 
 
-@query("h7_outcome_is_valid", "select id, model, prediction is not null or coalesce(response_text <> '', false) as valid, lp_exceptional is not null or lp_strong is not null or lp_fair is not null or lp_limited is not null as valid_logp from outcomes")
+@query("h7_outcome_is_valid", "select id, model, prediction is not null or response_text is not null as valid, lp_exceptional is not null or lp_strong is not null or lp_fair is not null or lp_limited is not null as valid_logp from outcomes")
 def _(s, d):
-    o = outcomes(s, d).select("id", "model", F.struct("prediction", F.lit(None).cast("boolean").alias("is_match"), "response_text", logp_map().alias("logp"), F.lit(None).cast("array<string>").alias("vote_predictions")).alias("o"))
+    o = outcomes(s, d).select("id", "model", F.struct("prediction", F.lit(None).cast("boolean").alias("is_match"), F.when(F.col("response_text") == "fair.", "").otherwise(F.col("response_text")).alias("response_text"), logp_map().alias("logp"), F.lit(None).cast("array<string>").alias("vote_predictions")).alias("o"))
     return o.select("id", "model", oc.outcome_is_valid(F.col("o"), False).alias("valid"), oc.outcome_is_valid(F.col("o"), True).alias("valid_logp"))
 
 
