@@ -47,3 +47,15 @@ def test_near_duplicates_by_row(spark):
     docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
     got = sorted((r.doc_id or 0, r.text, r.lang) for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect())
     assert got == sorted([(0, text, "en"), (0, text, "en"), (1, text, "en"), (3, other, "en"), (5, "same", "en"), (5, "same", "fr")])
+
+
+def test_run_hands_the_session_back(spark, monkeypatch):
+    from corpuseval.llm._session import BATCH, configure
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("one", lambda s, docs, d: (configure(s), docs.limit(1))[1])])
+    before = spark.conf.get(BATCH)
+    spark.conf.set(BATCH, "7777")
+    try:
+        assert corpus_pipeline.run(spark, SF).count() == 1 and spark.conf.get(BATCH) == "7777"
+    finally:
+        spark.conf.set(BATCH, before)
