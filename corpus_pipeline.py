@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuseval.llm import byte_bpe, decontaminate, quality, simhash, substring_dedup
-from corpuseval.llm._session import configure, stored
+from corpuseval.llm._session import BATCH, configure, stored
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -82,7 +82,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-").lower())
+    """All stages over ``documents``; the session's size of Arrow batches is the caller's again afterwards."""
+    docs, rows = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.conf.get(BATCH)
+    try:
+        for name, stage in STAGES:
+            docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-").lower())
+    finally:
+        spark.conf.set(BATCH, rows)
     return docs
