@@ -58,9 +58,9 @@ _FILES = "select doc_id as id, upper(lang) as subject, 'store/' || lang || '/' |
 #: Five probes of a row: names of other rows' files, in its own subject or another's, and stems.
 _PROBES = {
     "article.path": ("name", "case when id % 5 = 0 then '/a/b/' || split_part(path, '/', 3) end"),
-    "row.path": ("name", "case when id % 7 = 0 then 'x/' || source_of || '-' || (id + 3) % 50 || '.pdf' end"),
-    "row.name": ("name", "case when id % 3 = 0 then ' ' || upper(source_of) || '-' || (id + 1) % 60 || '.PDF' end"),
-    "article.base": ("stem", "case when id % 2 = 0 then source_of || ' - ' || (id + 7) % 45 end"),
+    "row.path": ("name", "case when id % 7 = 0 then 'x/' || source_of || '-' || (id + 20) % 60 || '.pdf' end"),
+    "row.name": ("name", "case when id % 3 = 0 then ' ' || upper(source_of) || '-' || (id + 40) % 80 || '.PDF' end"),
+    "article.base": ("stem", "case when id % 2 = 0 then source_of || ' - ' || (id + 20) % 80 end"),
     "row.base": ("stem", "source_of || '-' || id % 80"),
 }
 _ASKING = f"select f.id, case when f.id % 4 = 0 then null else ' ' || lower(f.subject) end as subject, path, split_part(split_part(path, '/', 3), '-', 1) as source_of from ({_FILES}) f"

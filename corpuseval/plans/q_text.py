@@ -241,6 +241,13 @@ def _(s, d):
 
 
 _LINES = "l as (select doc_id, n_lines, i as line_no, parts[i + 1] as line from (select doc_id, string_split(text, chr(10)) as parts, len(string_split(text, chr(10)))::int as n_lines from documents) cross join lateral (select unnest(range(0, n_lines))::int as i))"
+#: Documents as pages: broken and hyphenated lines, heads and tails, tables, blanks and numbers; one SQL text for Spark and DuckDB.
+_BROKEN = "case when length(text) < 4000 then replace(replace(replace(text, ', ', ',' || chr(10)), ' de ', ' de-' || chr(10)), '. ', '.' || chr(10)) else text end"
+_PAGE = f"""case doc_id % 8 when 0 then 'Page ' || (doc_id % 50) || chr(10) || {_BROKEN} when 1 then {_BROKEN} || chr(10) || '12-34' || chr(10) || '7'
+ when 2 then 'ABSTRACT' || chr(10) || 'A HEADING OF CAPITALS' || chr(10) || {_BROKEN} when 3 then 'Table 2' || chr(10) || 'a b' || chr(10) || '1.5, 2' || chr(10) || '3' || chr(10) || {_BROKEN}
+ when 4 then '© 2019 Some Press' || chr(10) || {_BROKEN} || chr(10) || 'DOI' when 5 then 'Introduction' || chr(10) || chr(10) || {_BROKEN} || chr(10) || chr(10) || '3 of 9'
+ when 6 then {_BROKEN} || chr(10) || 'no end here' || chr(10) || '412' || chr(10) || 'more to read in this line, and it ends.' || chr(10) || 'a' || chr(10) || 'b of c, d' || chr(10) || 'f' || chr(10) || 'g' || chr(10) || '99' else {_BROKEN} end"""
+_PAGE_LINES = _LINES.replace("from documents", f"from (select doc_id, {_PAGE} as text from documents)")
 _WS = r"[\x09-\x0d\x1c-\x1f\x{85}\p{Z}]"
 _IS_UPPER, _IS_LOWER = r"(regexp_matches(t, '\p{Lu}') and not regexp_matches(t, '[\p{Ll}\p{Lt}ªº]'))", r"regexp_matches(t, '^[\p{Ll}ªº]')"
 _MARKS = f"""f as (select doc_id, n_lines, line_no, regexp_replace(line, '^{_WS}+|{_WS}+$', '', 'g') as t from l),
@@ -252,19 +259,23 @@ def _lines(s, d):
     return ln.explode_lines(table(s, d, "documents"), "doc_id", "text")
 
 
+def _page_lines(s, d):
+    return ln.explode_lines(table(s, d, "documents").select("doc_id", F.expr(_PAGE).alias("text")), "doc_id", "text")
+
+
 @query("k1_explode_lines", f"with {_LINES} select doc_id, line_no, n_lines, md5(line) as h from l")
 def _(s, d):
     return _lines(s, d).select("doc_id", "line_no", "n_lines", F.md5("line").alias("h"))
 
 
-@query("k2_table_like", f"with {_LINES}, {_MARKS} select doc_id, line_no from t where table_like")
+@query("k2_table_like", f"with {_PAGE_LINES}, {_MARKS} select doc_id, line_no from t where table_like")
 def _(s, d):
-    return _lines(s, d).where(ln.table_like("line")).select("doc_id", "line_no")
+    return _page_lines(s, d).where(ln.table_like("line")).select("doc_id", "line_no")
 
 
-@query("k3_table_regions", f"with {_LINES}, {_MARKS} select doc_id, first_line, last_line from r")
+@query("k3_table_regions", f"with {_PAGE_LINES}, {_MARKS} select doc_id, first_line, last_line from r")
 def _(s, d):
-    return ln.table_regions(_lines(s, d), "doc_id")
+    return ln.table_regions(_page_lines(s, d), "doc_id")
 
 
 # The twin of K4 and K5 reads each page line by line: what was seen, the line before, the open paragraph, and those that are done.
@@ -285,14 +296,14 @@ page as (select doc_id, -1 as line_no, false as seen, '' as before, null::varcha
   from page p join g on g.doc_id = p.doc_id and g.line_no = p.line_no + 1))"""
 
 
-@query("k4_line_class", f"with recursive {_LINES}, {_MARKS}, {_PAGES_READ} select doc_id, line_no, kind from page where line_no >= 0")
+@query("k4_line_class", f"with recursive {_PAGE_LINES}, {_MARKS}, {_PAGES_READ} select doc_id, line_no, kind from page where line_no >= 0")
 def _(s, d):
-    return ln.line_class(_lines(s, d), "doc_id").select("doc_id", "line_no", "kind")
+    return ln.line_class(_page_lines(s, d), "doc_id").select("doc_id", "line_no", "kind")
 
 
-@query("k5_restore_paragraphs", f"with recursive {_LINES}, {_MARKS}, {_PAGES_READ}, whole as (select doc_id, done || case when para is not null then [para] else [] end as ps from page where line_no = n_lines - 1) select doc_id, i::integer as paragraph_no, ps[i] as paragraph from whole cross join lateral (select unnest(range(1, len(ps) + 1)) as i)")
+@query("k5_restore_paragraphs", f"with recursive {_PAGE_LINES}, {_MARKS}, {_PAGES_READ}, whole as (select doc_id, done || case when para is not null then [para] else [] end as ps from page where line_no = n_lines - 1) select doc_id, i::integer as paragraph_no, ps[i] as paragraph from whole cross join lateral (select unnest(range(1, len(ps) + 1)) as i)")
 def _(s, d):
-    return ln.restore_paragraphs(ln.line_class(_lines(s, d), "doc_id"), "doc_id")
+    return ln.restore_paragraphs(ln.line_class(_page_lines(s, d), "doc_id"), "doc_id")
 
 
 _PAGES = "regexp_replace(regexp_replace(replace(string_agg(text, chr(10) || chr(10) order by turn, text), chr(13) || chr(10), chr(10)), '\\n{3,}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g')"
