@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 
-#: White space of all scripts, and what ends a line.
+#: White space of all scripts as a class of a pattern and as its characters, and what ends a line.
 SPACE = r"[\x09-\x0d\x1c-\x1f\x85\p{Z}]"
+SPACES = "".join(map(chr, (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 LINE_BREAK = r"\r\n|[\x0a-\x0d\x1c-\x1e\x85\u2028\u2029]"
 
 
@@ -24,7 +25,7 @@ def _col(c: Column | str) -> Column:
 
 def stripped(text: Column | str) -> Column:
     """The text without white space at both ends, that of all scripts."""
-    return F.regexp_replace(_col(text), rf"\A{SPACE}+|{SPACE}+\z", "")
+    return F.btrim(_col(text), F.lit(SPACES))
 
 
 @F.pandas_udf(StringType())
