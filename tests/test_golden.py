@@ -286,6 +286,21 @@ def test_fuzzy_candidates_against_python(spark):
         assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
 
+def test_copies_of_titles_travel_as_chunks(spark, monkeypatch):
+    """Two linked classes of many copies are four links, however many pairs; both sides of a cross join, null ids included."""
+    monkeypatch.setattr(lk, "CHUNK", 3)
+    monkeypatch.setattr(lk, "PAIRS", 50)
+    left = spark.createDataFrame([(k, "alpha beta gamma") for k in range(20)] + [(k, "Gamma, beta alpha delta!") for k in range(20, 37)] + [(None, "other")], "id long, title string")
+    classes = lk.title_classes(left, left, "id", "id", "title", "title", 0.5)
+    assert classes.links.count() == 5 and classes.members.groupBy("node", "side", "chunk").count().count() > 20
+    got = [(r.l, r.r, round(r.f1, 6)) for r in lk.title_pairs(classes).collect()]
+    want = [(a, b, 1.0 if (a < 20) == (b < 20) else 0.857143) for a in range(37) for b in range(37)]
+    assert sorted(got, key=str) == sorted([*want, (None, None, 1.0)], key=str)
+    right = spark.createDataFrame([("x", "alpha beta"), ("y", "delta"), (None, "alpha beta gamma")], "name string, heading string")
+    got = {(r.l, r.r, round(r.f1, 6)) for r in lk.fuzzy_candidates(left, right, "id", "name", "title", "heading", 0.8).collect()}
+    assert got == {(k, "x", 0.8) for k in range(20)} | {(k, None, 1.0 if k < 20 else 0.857143) for k in range(37)}
+
+
 def in_turn(pairs, thresholds, cap=None):
     held, used = {}, set()
     for t in thresholds:
