@@ -325,6 +325,29 @@ def test_one_to_one_matching_equals_the_sequential_choice(spark):
     assert lk.assign_one_to_one(df.limit(0), [0.8, 0.5], 3).count() == 0
 
 
+def test_titles_are_assigned_by_classes_as_by_pairs(spark, monkeypatch):
+    """Copies, near copies and single titles, with and without ``distinct``; ids that no double holds; the chain of a class of copies is one round."""
+    rng, far = random.Random(7), 2**53
+    words = [f"w{k}" for k in range(12)]
+    base = [rng.sample(words, rng.randrange(3, 6)) for _ in range(9)]
+    titles = [(far + k, " ".join([*rng.choice(base), *rng.sample(["x", "y"], rng.randrange(0, 2))])) for k in range(60)]
+    sets = {k: set(t.split()) for k, t in titles}
+    pairs = {(a, b): 2 * len(x & y) / (len(x) + len(y)) for a, x in sets.items() for b, y in sets.items()}
+    pairs = {p: f for p, f in pairs.items() if f >= 0.5}
+    df = spark.createDataFrame(titles, "id long, title string")
+    classes = lk.title_classes(df, df, "id", "id", "title", "title", 0.5)
+    for distinct, cap in ((True, 20), (True, None), (False, None)):
+        got = lk.assign_titles(classes, [0.8, 0.5], cap, distinct)
+        assert {(r.l, r.r) for r in got.collect()} == in_turn({p: f for p, f in pairs.items() if not distinct or p[0] != p[1]}, [0.8, 0.5], cap)
+    few = lk.title_classes(df.where(F.col("id") < far + 8), df.where(F.col("id") < far + 8), "id", "id", "title", "title", 0.5)
+    got = {(r.l, r.r) for r in lk.assign_titles(few, [0.5], None, True, 5).collect()}
+    assert got == in_turn({p: f for p, f in pairs.items() if p[0] != p[1] and max(p) < far + 8}, [0.5])
+    monkeypatch.setattr(lk, "_by_proposals", None)
+    many = spark.createDataFrame([(k, "one and the same") for k in range(3001)], "id long, title string")
+    got = {r.l: r.r for r in lk.assign_titles(lk.title_classes(many, many, "id", "id", "title", "title", 0.5), [0.8], distinct=True).collect()}
+    assert got == {k: k ^ 1 for k in range(3000)}
+
+
 def test_a_chain_of_references_takes_few_jobs(spark, monkeypatch):
     """Each reference prefers what the one before it takes, so that a round of proposals would settle one of them."""
     from corpuseval.operators import graph
