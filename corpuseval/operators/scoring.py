@@ -11,7 +11,7 @@ from queue import Empty, SimpleQueue
 from threading import Thread
 from typing import TypeVar
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -49,45 +49,60 @@ def finished(asked: Iterator[Asked], call: Callable[[Asked], Found], late: Calla
     """Each of ``asked`` with its answer as calls end, at most ``threads`` at once; None where nothing ended for a while.
 
     A call that is not done after ``timeout`` seconds is given up: ``late`` answers for it and its place is free.  Its thread is a
-    daemon and what it brings later is dropped.  An error that is no ``Exception`` ends everything.
+    daemon, is replaced, and what it brings later is dropped; all others take call after call.  An error that is no ``Exception`` ends everything.
     """
     done: SimpleQueue = SimpleQueue()
+    todo: SimpleQueue = SimpleQueue()
+    given_up: set[int] = set()
     running: dict[int, tuple[Asked, float]] = {}
-    number, more = 0, True
+    number, workers, started, more = 0, 0, 0, True
 
-    def work(n: int, item: Asked) -> None:
-        try:
-            done.put((n, call(item), None))
-        except BaseException as e:  # noqa: BLE001  raised again by the task
-            done.put((n, None, e))
-
-    while True:
-        while more and len(running) < threads:
+    def work() -> None:
+        while (job := todo.get()) is not None:
+            n, item = job
+            try:
+                done.put((n, call(item), None))
+            except BaseException as e:  # noqa: BLE001  raised again by the task
+                done.put((n, None, e))
+            if n in given_up:
+                return
+
+    try:
+        while True:
+            while more and len(running) < threads:
+                try:
+                    item = next(asked)
+                except StopIteration:
+                    more = False
+                    break
+                running[number] = item, time.monotonic() + timeout if timeout else float("inf")
+                if workers < len(running):
+                    Thread(target=work, daemon=True).start()
+                    workers, started = workers + 1, started + 1
+                todo.put((number, item))
+                number += 1
+            if not running:
+                return
             try:
-                item = next(asked)
-            except StopIteration:
-                more = False
-                break
-            running[number] = item, time.monotonic() + timeout if timeout else float("inf")
-            Thread(target=work, args=(number, item), daemon=True).start()
-            number += 1
-        if not running:
-            return
-        try:
-            n, result, error = done.get(timeout=max(0.0, min(TICK, min(t for _, t in running.values()) - time.monotonic())))
-        except Empty:
-            over = [n for n, (_, t) in running.items() if t <= time.monotonic()]
-            for n in over:
+                n, result, error = done.get(timeout=max(0.0, min(TICK, min(t for _, t in running.values()) - time.monotonic())))
+            except Empty:
+                over = [n for n, (_, t) in running.items() if t <= time.monotonic()]
+                for n in over:
+                    given_up.add(n)
+                    workers -= 1
+                    item, _ = running.pop(n)
+                    yield item, late(item)
+                if not over:
+                    yield None
+                continue
+            if error is not None:
+                raise error
+            if n in running:
                 item, _ = running.pop(n)
-                yield item, late(item)
-            if not over:
-                yield None
-            continue
-        if error is not None:
-            raise error
-        if n in running:
-            item, _ = running.pop(n)
-            yield item, result
+                yield item, result
+    finally:
+        for _ in range(started):
+            todo.put(None)
 
 
 def _texts(answer: str | dict | None) -> tuple[str | None, str | None]:
@@ -107,21 +122,22 @@ def score(df: DataFrame, model: Callable[[list[dict], int], str | dict], keys: S
     """
     keys = list(keys)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tries: dict[tuple[int, int], int] = {}
 
-        def rows() -> Iterator[tuple[pd.DataFrame, int, int]]:
-            for number, pdf in enumerate(batches):
-                for at in range(len(pdf)):
-                    yield pdf, number, at
+        def rows() -> Iterator[tuple[pa.RecordBatch, int, int, list[dict], int]]:
+            for number, batch in enumerate(batches):
+                own = batch.select(keys)
+                for at, (asked, place) in enumerate(zip(batch.column("_messages").to_pylist(), batch.column("_sample").to_pylist())):
+                    yield own, number, at, asked, place
 
-        def call(row: tuple[pd.DataFrame, int, int]) -> tuple[str | None, str | None, int, str | None]:
-            pdf, number, at = row
-            asked, place, error = pdf["_messages"].iat[at], int(pdf["_sample"].iat[at]), None
+        def call(row: tuple[pa.RecordBatch, int, int, list[dict], int]) -> tuple[str | None, str | None, int, str | None]:
+            _, number, at, asked, place = row
+            error = None
             for attempt in range(retries + 1):
                 tries[number, at] = attempt + 1
                 try:
-                    answer = model([dict(m) if isinstance(m, dict) else m.asDict() for m in asked], place)
+                    answer = model([dict(m) for m in asked], place)
                     return *_texts(answer), attempt + 1, None
                 except Exception as e:  # noqa: BLE001  the model is the caller's: its error is a result
                     error = f"{type(e).__name__}: {e}"
@@ -129,21 +145,22 @@ def score(df: DataFrame, model: Callable[[list[dict], int], str | dict], keys: S
                         time.sleep(wait * 2**attempt)
             return None, None, retries + 1, error
 
-        def late(row: tuple[pd.DataFrame, int, int]) -> tuple[str | None, str | None, int, str | None]:
-            return None, None, tries.get(row[1:], 0), "timeout"
+        def late(row: tuple[pa.RecordBatch, int, int, list[dict], int]) -> tuple[str | None, str | None, int, str | None]:
+            return None, None, tries.get(row[1:3], 0), "timeout"
 
-        def frames(ready: list) -> Iterator[pd.DataFrame]:
+        def frames(ready: list) -> Iterator[pa.RecordBatch]:
             by_batch: dict[int, list] = {}
-            for (pdf, number, at), result in ready:
-                by_batch.setdefault(number, []).append((pdf, at, result))
+            for (own, number, at, *_), result in ready:
+                by_batch.setdefault(number, []).append((own, at, result))
             for found in by_batch.values():
-                own = found[0][0].iloc[[at for _, at, _ in found]][keys].reset_index(drop=True)
-                yield pd.concat([own, pd.DataFrame([r for *_, r in found], columns=["response_text", "response_json", "attempts", "error"], dtype=object)], axis=1)
+                own = found[0][0].take(pa.array([at for _, at, _ in found]))
+                results = [pa.array(c, kind) for c, kind in zip(zip(*(r for *_, r in found)), (pa.string(), pa.string(), pa.int32(), pa.string()))]
+                yield pa.RecordBatch.from_arrays([*own.columns, *results], names=[*keys, "response_text", "response_json", "attempts", "error"])
 
         ready, since = [], time.monotonic()
         for end in finished(rows(), call, late, threads, timeout):
             if end is not None:
-                tries.pop(end[0][1:], None)
+                tries.pop(end[0][1:3], None)
                 ready.append(end)
             if ready and (len(ready) >= FLUSH or time.monotonic() - since > TICK):
                 yield from frames(ready)
@@ -153,7 +170,7 @@ def score(df: DataFrame, model: Callable[[list[dict], int], str | dict], keys: S
     rows = df.select(*keys, F.coalesce(F.col(messages), F.array().cast("array<struct<role:string,content:string>>")).alias("_messages"), (F.col(sample) if sample else F.lit(0)).cast("int").alias("_sample"))
     rows = rows.repartition(tasks) if tasks else rows
     kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
-    return rows.mapInPandas(run, f"{kinds}, {SCORED}")
+    return rows.mapInArrow(run, f"{kinds}, {SCORED}")
 
 
 def resume(df: DataFrame, keys: Sequence[str], path: str, work: Callable[[DataFrame], DataFrame], schema: T.StructType) -> DataFrame:

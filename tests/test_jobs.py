@@ -48,6 +48,20 @@ def test_calls_end_in_any_order_and_late_ones_are_given_up():
         list(sc.finished(iter([1]), lambda x: exec("raise SystemExit"), lambda x: None, 2))
 
 
+def test_threads_take_call_after_call(monkeypatch):
+    """Two threads for 200 calls, and one more for each that hangs."""
+    started = []
+    monkeypatch.setattr(sc, "Thread", lambda real=sc.Thread, **k: (started.append(1), real(**k))[1])
+    hang = lambda x: time.sleep(20) if x in (50, 51, 120) else x
+    ends = [e for e in sc.finished(iter(range(200)), hang, lambda x: "late", 2, 0.5) if e is not None]
+    assert sorted(ends) == [(x, "late" if x in (50, 51, 120) else x) for x in range(200)] and len(started) <= 5
+
+
+def test_keys_that_no_double_holds_come_back_beside_null_keys(spark):
+    rows = spark.createDataFrame([(2**53 + 1, [("user", "a")]), (None, [("user", "b")])], "id long, messages array<struct<role:string,content:string>>").coalesce(1)
+    assert {(r.id, r.response_text) for r in sc.score(rows, lambda m, k: m[0]["content"], ["id"]).collect()} == {(2**53 + 1, "a"), (None, "b")}
+
+
 def test_a_hanging_call_is_one_error_row(spark):
     def model(messages, sample):
         if messages[-1]["content"] == "hang":
