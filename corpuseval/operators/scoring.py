@@ -282,7 +282,8 @@ def validation_report(results: DataFrame, truth: str, labels: Sequence[str] = TI
 
     Averages of votes count if any result has one, else scores, else predictions (E13); no results give no rows.
     """
-    flat = results.select(F.lit(1).alias("k"), F.col(truth).alias("truth"), "outcome.avg_accuracy", "outcome.vote_predictions", "outcome.is_match", F.lower("outcome.prediction").alias("prediction"), logp_top2(F.col("outcome.logp"), labels).alias("top")).select("*", "top.*")
+    flat = results.select(F.lit(1).alias("k"), F.col(truth).alias("truth"), "outcome.avg_accuracy", "outcome.vote_predictions", "outcome.is_match", F.lower("outcome.prediction").alias("prediction"), logp_top2(F.col("outcome.logp"), labels).alias("top")).select("*", "top.*").drop("top")
+    flat = stored(flat, "flat")
     first = metrics.mode_select(flat, ["k"], "avg_accuracy", "top1", "is_match").first()
     mode = first["mode"] if first else "none"
     if mode == "avg":

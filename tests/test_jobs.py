@@ -62,6 +62,21 @@ def test_keys_that_no_double_holds_come_back_beside_null_keys(spark):
     assert {(r.id, r.response_text) for r in sc.score(rows, lambda m, k: m[0]["content"], ["id"]).collect()} == {(2**53 + 1, "a"), (None, "b")}
 
 
+def test_a_report_reads_its_results_once(spark):
+    """However many figures it has: what comes before is one scan, not one for each."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    outcome = oc.outcome_struct(avg_accuracy=F.lit(1.0), vote_predictions=F.array(F.lit("fair")))
+    results = spark.range(5).mapInArrow(count, "id long").select("id", F.lit("fair").alias("truth"), outcome.alias("outcome"))
+    got = {(r.metric, r.label): r.value for r in sc.validation_report(results, "truth").collect()}
+    assert got["accuracy_avg", None] == 1.0 and got["recall", "fair"] == 1.0 and seen.value == 5
+
+
 def test_a_hanging_call_is_one_error_row(spark):
     def model(messages, sample):
         if messages[-1]["content"] == "hang":
