@@ -336,12 +336,9 @@ def test_titles_are_assigned_by_classes_as_by_pairs(spark, monkeypatch):
     pairs = {p: f for p, f in pairs.items() if f >= 0.5}
     df = spark.createDataFrame(titles, "id long, title string")
     classes = lk.title_classes(df, df, "id", "id", "title", "title", 0.5)
-    for distinct, cap in ((True, 20), (True, None), (False, None)):
-        got = lk.assign_titles(classes, [0.8, 0.5], cap, distinct)
+    for distinct, cap, component in ((True, 20, lk.CLASS_COMPONENT), (True, None, lk.CLASS_COMPONENT), (False, None, lk.CLASS_COMPONENT), (True, None, 5)):
+        got = lk.assign_titles(classes, [0.8, 0.5], cap, distinct, component)
         assert {(r.l, r.r) for r in got.collect()} == in_turn({p: f for p, f in pairs.items() if not distinct or p[0] != p[1]}, [0.8, 0.5], cap)
-    few = lk.title_classes(df.where(F.col("id") < far + 8), df.where(F.col("id") < far + 8), "id", "id", "title", "title", 0.5)
-    got = {(r.l, r.r) for r in lk.assign_titles(few, [0.5], None, True, 5).collect()}
-    assert got == in_turn({p: f for p, f in pairs.items() if p[0] != p[1] and max(p) < far + 8}, [0.5])
     monkeypatch.setattr(lk, "_by_proposals", None)
     many = spark.createDataFrame([(k, "one and the same") for k in range(3001)], "id long, title string")
     got = {r.l: r.r for r in lk.assign_titles(lk.title_classes(many, many, "id", "id", "title", "title", 0.5), [0.8], distinct=True).collect()}
