@@ -301,6 +301,24 @@ def test_copies_of_titles_travel_as_chunks(spark, monkeypatch):
     assert got == {(k, "x", 0.8) for k in range(20)} | {(k, None, 1.0 if k < 20 else 0.857143) for k in range(37)}
 
 
+def test_only_pairs_that_hold_are_written(spark, monkeypatch):
+    """Long titles that share little, near copies and sets of one token, in many blocks; scratch holds no candidate below the threshold, and no pair twice."""
+    from corpuseval.sources import shared
+
+    for name, value in (("BLOCK_TOKENS", 900), ("BLOCK_ROWS", 9), ("MEETINGS", 50)):
+        monkeypatch.setattr(f"corpuseval.operators.setjoin.{name}", value, raising=False)
+    rng = random.Random(9)
+    sets = [rng.sample(range(1200), 300) for _ in range(8)] + [rng.sample(range(60), rng.randrange(10, 30)) for _ in range(25)] + [[k] for k in range(20)] + [[0, 1], [0, 2]]
+    sets += [s[: len(s) - k] + [2000 + k] for s in sets[6:12] for k in (1, 3, 9)]
+    df = spark.createDataFrame([(k, " ".join(f"w{x}" for x in s)) for k, s in enumerate(sets)], "id long, title string")
+    want = {(a, b): 2 * len({*x} & {*y}) / (len(x) + len(y)) for a, x in enumerate(sets) for b, y in enumerate(sets)}
+    before = len(shared._named)
+    got = lk.fuzzy_candidates(df, df, "id", "id", "title", "title", 0.5).collect()
+    assert len(got) == len({(r.l, r.r) for r in got}) and {(r.l, r.r): r.f1 for r in got} == {p: f for p, f in want.items() if f >= 0.5}
+    near = spark.read.parquet(next(p for p in shared._named[before:] if p.rpartition("/")[2].startswith("near-")))
+    assert near.count() == sum(a < b and f >= 0.5 for (a, b), f in want.items())
+
+
 def in_turn(pairs, thresholds, cap=None):
     held, used = {}, set()
     for t in thresholds:
