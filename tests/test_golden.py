@@ -363,6 +363,19 @@ def test_titles_are_assigned_by_classes_as_by_pairs(spark, monkeypatch):
     assert got == {k: k ^ 1 for k in range(3000)}
 
 
+def test_large_components_of_classes_are_settled_in_steps(spark, monkeypatch):
+    """Near copies that are all linked, in steps of three titles, without pairs."""
+    monkeypatch.setattr(lk, "_by_proposals", None)
+    rng = random.Random(3)
+    words = [f"w{k}" for k in range(9)]
+    titles = [(k, " ".join(["same", *rng.sample(words, rng.randrange(4, 8))])) for k in range(12)] + [(k, "same w0 w1 w2 w3") for k in range(12, 17)]
+    sets = {k: set(t.split()) for k, t in titles}
+    pairs = {(a, b): 2 * len(x & y) / (len(x) + len(y)) for a, x in sets.items() for b, y in sets.items() if a != b}
+    df = spark.createDataFrame(titles, "id long, title string")
+    got = lk.assign_titles(lk.title_classes(df, df, "id", "id", "title", "title", 0.5), [0.6], None, True, 9)
+    assert {(r.l, r.r) for r in got.collect()} == in_turn({p: f for p, f in pairs.items() if f >= 0.5}, [0.6])
+
+
 def test_a_chain_of_references_takes_few_jobs(spark, monkeypatch):
     """Each reference prefers what the one before it takes, so that a round of proposals would settle one of them."""
     from corpuseval.operators import graph
